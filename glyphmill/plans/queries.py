@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import text as TX
 from glyphmill.functions import vectors as V
-from glyphmill.operators import codec, nseq, samples, vector_ops, vocab as vocab_ops
+from glyphmill.operators import codec, nseq, samples, scoring, vector_ops, vocab as vocab_ops
 from glyphmill.sources import corpus as src
 
 # Parameters of the registered queries (fixed here, shared by Spark and SQL).
@@ -476,6 +476,153 @@ SELECT vec_id, {_sql_digest('v')} FROM u
 """
 
 
+# ---------------------------------------------------------------------------
+# Scoring: character tokens, model ids = rank of the code among codes seen,
+# embed = embeddings rows (vec_id = model id), unembed tied to it (U = E^T).
+
+def _model(spark, d):
+    toks = _char_tokens(spark, d)
+    mv = codec.model_vocab(toks)
+    emb = _emb(spark, d).select(F.col("vec_id").alias("idx"),
+                                F.col("embedding").cast("array<double>").alias("vec"))
+    return toks, mv, emb
+
+
+def _to_idx(df, mv, cols):
+    for c in cols:
+        df = (df.join(mv.select(F.col("code").alias(c), F.col("tok_idx").alias("_i")), c)
+              .drop(c).withColumnRenamed("_i", c))
+    return df
+
+
+def q_embedding_lookup(spark, d):
+    toks, mv, emb = _model(spark, d)
+    pos = toks.select("doc_id", F.posexplode("tokens").alias("pos", "code"))
+    pos = pos.join(mv, "code").select("doc_id", "pos", F.col("tok_idx").alias("idx"))
+    looked = pos.join(emb, "idx")
+    return looked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pos"),
+                                        _r(F.sum(V.vec_sum(F.col("vec")))).alias("s1"))
+
+
+def q_next_token(spark, d):
+    toks, mv, emb = _model(spark, d)
+    last = (toks.filter(F.size("tokens") > 0)
+            .select("doc_id", F.element_at("tokens", -1).alias("code")))
+    last = last.join(mv, "code").select("doc_id", F.col("tok_idx").alias("tokens"))
+    seqs = last.select("doc_id", F.array("tokens").alias("tokens"))
+    return scoring.predict_next(seqs, emb, emb).select("doc_id", "next_idx")
+
+
+def _idx_pairs(spark, d, keys):
+    toks, mv, emb = _model(spark, d)
+    wins = samples.sample_windows(toks, SAMPLE_SIZE, SEED)
+    pc = samples.pair_counts(wins, keys)
+    return _to_idx(pc, mv, ["x", "y"]), emb, wins
+
+
+def q_pair_loss(spark, d):
+    pc, emb, _ = _idx_pairs(spark, d, [])
+    terms = scoring.pair_terms(pc, emb, emb)
+    return terms.select("x", "y", "n", _r(F.col("term")).alias("term"))
+
+
+def q_batch_metrics(spark, d):
+    pc, emb, wins = _idx_pairs(spark, d, ["doc_id", "k"])
+    losses = scoring.losses_from_pairs(pc, emb, emb, ["doc_id", "k"])
+    idx = samples.limit_samples(wins.select("doc_id", "k"), N_SAMPLES, BATCH)
+    m = scoring.batch_metrics(losses.join(idx.select("doc_id", "k", "batch_id"), ["doc_id", "k"]))
+    return m.select("batch_id", _r(F.col("avg_loss")).alias("avg_loss"),
+                    _r(F.col("min_loss")).alias("min_loss"), _r(F.col("max_loss")).alias("max_loss"),
+                    "n_samples")
+
+
+def q_validation_loss(spark, d):
+    toks, mv, emb = _model(spark, d)
+    val = samples.validation_set(toks, BATCH, SAMPLE_SIZE, SEED)
+    pc = _to_idx(samples.pair_counts(val, ["doc_id"]), mv, ["x", "y"])
+    losses = scoring.losses_from_pairs(pc, emb, emb, ["doc_id"])
+    return losses.agg(_r(F.avg("loss")).alias("val_loss"), F.count(F.lit(1)).alias("n_val"))
+
+
+def _sql_model() -> str:
+    return f"""{_sql_windows()},
+mv AS (SELECT code, (row_number() OVER (ORDER BY code) - 1)::BIGINT AS idx
+       FROM (SELECT DISTINCT unnest(tokens) AS code FROM tok)),
+E AS (SELECT vec_id AS idx, embedding::DOUBLE[] AS e FROM embeddings)"""
+
+
+def _sql_terms(pairs: str) -> str:
+    """pairs: a CTE name with columns xi, yi."""
+    return f"""xs AS (SELECT DISTINCT xi FROM {pairs}),
+z AS (SELECT xi, sum(exp(list_dot_product(ex.e, ev.e))) AS zsum
+      FROM xs JOIN E ex ON ex.idx = xs.xi, E ev GROUP BY xi),
+dp AS (SELECT DISTINCT xi, yi FROM {pairs}),
+terms AS (SELECT dp.xi, dp.yi,
+                 -ln(greatest({_sql_clip('exp(list_dot_product(ex.e, ey.e))')} / {_sql_clip('z.zsum')},
+                              {SMOL})) AS term
+          FROM dp JOIN E ex ON ex.idx = dp.xi JOIN E ey ON ey.idx = dp.yi JOIN z ON z.xi = dp.xi)"""
+
+
+SQL_EMBEDDING_LOOKUP = f"""
+WITH {_sql_model()},
+pos AS (SELECT doc_id, unnest(tokens) AS code FROM tok)
+SELECT doc_id, count(*)::BIGINT AS n_pos, round(sum(list_sum(E.e)), {ROUND}) AS s1
+FROM pos JOIN mv USING (code) JOIN E ON E.idx = mv.idx GROUP BY doc_id
+"""
+
+SQL_NEXT_TOKEN = f"""
+WITH {_sql_model()},
+last AS (SELECT doc_id, mv.idx AS xi FROM tok JOIN mv ON mv.code = tokens[len(tokens)]
+         WHERE len(tokens) > 0),
+xs AS (SELECT DISTINCT xi FROM last),
+sc AS (SELECT xi, ev.idx AS v, {_sql_clip('exp(list_dot_product(ex.e, ev.e))')} AS val
+       FROM xs JOIN E ex ON ex.idx = xs.xi, E ev),
+best AS (SELECT xi, v FROM (SELECT xi, v, row_number() OVER (PARTITION BY xi ORDER BY val DESC, v) AS rn
+                            FROM sc) WHERE rn = 1)
+SELECT doc_id, best.v::BIGINT AS next_idx FROM last JOIN best USING (xi)
+"""
+
+SQL_PAIR_LOSS = f"""
+WITH {_sql_model()},
+p AS (SELECT unnest(x) AS x, unnest(y) AS y FROM sw),
+pc AS (SELECT mx.idx AS xi, my.idx AS yi, count(*)::BIGINT AS n
+       FROM p JOIN mv mx ON mx.code = p.x JOIN mv my ON my.code = p.y GROUP BY 1, 2),
+{_sql_terms('pc')}
+SELECT pc.xi AS x, pc.yi AS y, pc.n, round(terms.term, {ROUND}) AS term
+FROM pc JOIN terms ON terms.xi = pc.xi AND terms.yi = pc.yi
+"""
+
+SQL_BATCH_METRICS = f"""
+WITH {_sql_model()},
+p AS (SELECT doc_id, k, unnest(x) AS x, unnest(y) AS y FROM sw),
+pc AS (SELECT doc_id, k, mx.idx AS xi, my.idx AS yi, count(*)::BIGINT AS n
+       FROM p JOIN mv mx ON mx.code = p.x JOIN mv my ON my.code = p.y GROUP BY 1, 2, 3, 4),
+{_sql_terms('pc')},
+loss AS (SELECT doc_id, k, sum(n * term) AS loss FROM pc
+         JOIN terms ON terms.xi = pc.xi AND terms.yi = pc.yi GROUP BY doc_id, k),
+ix AS (SELECT doc_id, k, (row_number() OVER (ORDER BY doc_id, k) - 1)::BIGINT AS i FROM sw),
+b AS (SELECT doc_id, k, ceil(i / {BATCH})::BIGINT AS batch_id FROM ix WHERE i < {N_SAMPLES})
+SELECT batch_id, round(avg(loss), {ROUND}) AS avg_loss, round(min(loss), {ROUND}) AS min_loss,
+       round(max(loss), {ROUND}) AS max_loss, count(*)::BIGINT AS n_samples
+FROM loss JOIN b USING (doc_id, k) GROUP BY batch_id
+"""
+
+SQL_VALIDATION_LOSS = f"""
+WITH {_sql_model()},
+pick AS (SELECT doc_id, tokens FROM tok WHERE len(tokens) >= {SAMPLE_SIZE}
+         ORDER BY md5(concat_ws(':', '{SEED}', doc_id)), doc_id LIMIT {max(BATCH // 10, 1)}),
+vs AS (SELECT doc_id, list_slice(tokens, 1, {SAMPLE_SIZE - 1}) AS x,
+              list_slice(tokens, 2, {SAMPLE_SIZE}) AS y FROM pick),
+p AS (SELECT doc_id, unnest(x) AS x, unnest(y) AS y FROM vs),
+pc AS (SELECT doc_id, mx.idx AS xi, my.idx AS yi, count(*)::BIGINT AS n
+       FROM p JOIN mv mx ON mx.code = p.x JOIN mv my ON my.code = p.y GROUP BY 1, 2, 3),
+{_sql_terms('pc')},
+loss AS (SELECT doc_id, sum(n * term) AS loss FROM pc
+         JOIN terms ON terms.xi = pc.xi AND terms.yi = pc.yi GROUP BY doc_id)
+SELECT round(avg(loss), {ROUND}) AS val_loss, count(*)::BIGINT AS n_val FROM loss
+"""
+
+
 # ---------------------------------------------------------------------------
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -511,6 +658,11 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "global_norm": q_global_norm,
         "clip_by_norm": q_clip_by_norm,
         "apply_update": q_apply_update,
+        "embedding_lookup": q_embedding_lookup,
+        "next_token": q_next_token,
+        "pair_loss": q_pair_loss,
+        "batch_metrics": q_batch_metrics,
+        "validation_loss": q_validation_loss,
     }
 
 
@@ -544,4 +696,9 @@ def oracle() -> dict[str, str]:
         "global_norm": SQL_GLOBAL_NORM,
         "clip_by_norm": SQL_CLIP_BY_NORM,
         "apply_update": SQL_APPLY_UPDATE,
+        "embedding_lookup": SQL_EMBEDDING_LOOKUP,
+        "next_token": SQL_NEXT_TOKEN,
+        "pair_loss": SQL_PAIR_LOSS,
+        "batch_metrics": SQL_BATCH_METRICS,
+        "validation_loss": SQL_VALIDATION_LOSS,
     }

@@ -623,6 +623,58 @@ SELECT round(avg(loss), {ROUND}) AS val_loss, count(*)::BIGINT AS n_val FROM los
 """
 
 
+# ---------------------------------------------------------------------------
+# Vocabulary files and resolution, parameters and gradient rounds (rows-only checks)
+
+def q_vocab_json_roundtrip(spark, d):
+    import uuid
+    from glyphmill.session import checkpoint_dir
+    from glyphmill.sources import vocab_io
+    v, _ = trained(spark, d)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/glyphmill-vocab-{uuid.uuid4().hex}.json"
+    vocab_io.export_vocab(v, path)
+    back = vocab_io.import_vocab(spark, path)
+    return back.to_df(spark)
+
+
+def q_vocab_resolve(spark, d):
+    v, _ = trained(spark, d)
+    entries = v.to_df(spark).select("code", "comps")
+    return vocab_ops.resolve_vocab(entries)
+
+
+TRAIN_EMBED = 64
+TRAIN_BATCH = 1_000
+
+
+def q_init_params(spark, d):
+    from glyphmill.operators import training
+    toks = _char_tokens(spark, d)
+    V_ = codec.model_vocab(toks).count()
+    shape = training.ModelShape(vocab_size=V_, embed_dim=TRAIN_EMBED, n_blocks=1, n_heads=8,
+                                ff_dim=128)
+    p = training.init_params(spark, shape, SEED)
+    return p.groupBy("tensor", "block").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max(F.size("vec")).alias("width"),
+        _r(F.max(F.array_max("vec"))).alias("max_val"), _r(F.min(F.array_min("vec"))).alias("min_val"))
+
+
+def q_train_rounds(spark, d):
+    from glyphmill.operators import training
+    toks, mv, _ = _model(spark, d)
+    V_ = mv.count()
+    wins = samples.sample_windows(toks, SAMPLE_SIZE, SEED)
+    per_sample = _to_idx(samples.pair_counts(wins, ["doc_id", "k"]), mv, ["x", "y"])
+    batch_ids = samples.limit_samples(wins.select("doc_id", "k"), N_SAMPLES, TRAIN_BATCH)
+    val = samples.validation_set(toks, TRAIN_BATCH, SAMPLE_SIZE, SEED)
+    val_pairs = _to_idx(samples.pair_counts(val, ["doc_id"]), mv, ["x", "y"])
+    shape = training.ModelShape(vocab_size=V_, embed_dim=TRAIN_EMBED)
+    params = training.init_params(spark, shape, SEED)
+    cfg = training.TrainConfig(batch_size=TRAIN_BATCH, lr=LR, max_norm=MAX_NORM)
+    _, metrics = training.train(per_sample, batch_ids, params, cfg, val_pairs)
+    return metrics.drop("seconds")
+
+
 # ---------------------------------------------------------------------------
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -663,6 +715,10 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pair_loss": q_pair_loss,
         "batch_metrics": q_batch_metrics,
         "validation_loss": q_validation_loss,
+        "vocab_json_roundtrip": q_vocab_json_roundtrip,
+        "vocab_resolve": q_vocab_resolve,
+        "init_params": q_init_params,
+        "train_rounds": q_train_rounds,
     }
 
 

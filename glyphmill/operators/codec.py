@@ -178,5 +178,7 @@ def model_vocab(encoded: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     ordered ``row_number`` runs over a bounded table.
     """
     from pyspark.sql import Window
-    codes = encoded.select(F.explode(tokens_col).alias("code")).distinct()
+    # de-duplicate inside each row first (codegen'd), so the explode emits at most
+    # |distinct codes per row| rows instead of one per token position
+    codes = encoded.select(F.explode(F.array_distinct(tokens_col)).alias("code")).distinct()
     return codes.withColumn("tok_idx", F.row_number().over(Window.orderBy("code")) - 1)

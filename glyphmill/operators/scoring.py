@@ -144,6 +144,20 @@ def losses_from_pairs(per_sample: DataFrame, embed: DataFrame, unembed: DataFram
             .groupBy(*keys).agg(F.sum(F.col("n") * F.col("term")).alias("loss")))
 
 
+def losses_from_terms(samples: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
+    """P05 per sample from per-pair terms ``(x, y, term)`` keyed like the samples' tokens.
+
+    Each sample's pairs are exploded and joined to the distinct-pair terms (at
+    most one row per distinct (x, y); AQE broadcasts it when its runtime size
+    allows, else shuffles), then summed per sample -- the explode comes from one
+    input row, so the partial aggregate leaves one row per sample per task.
+    """
+    pairs = samples.select(*keys, F.explode(F.arrays_zip("x", "y")).alias("p")).select(
+        *keys, F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    return (pairs.join(terms.select("x", "y", "term"), ["x", "y"])
+            .groupBy(*keys).agg(F.sum("term").alias("loss")))
+
+
 def predict_next(seqs: DataFrame, embed: DataFrame, unembed: DataFrame,
                  tokens_col: str = "tokens", keys: list[str] | None = None) -> DataFrame:
     """Arg-max next token after the last token of each sequence."""

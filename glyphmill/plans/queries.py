@@ -481,8 +481,10 @@ SELECT vec_id, {_sql_digest('v')} FROM u
 # embed = embeddings rows (vec_id = model id), unembed tied to it (U = E^T).
 
 def _model(spark, d):
+    from glyphmill.session import cut_lineage
     toks = _char_tokens(spark, d)
-    mv = codec.model_vocab(toks)
+    # small (distinct codes) and read several times: materialise it once
+    mv = cut_lineage(codec.model_vocab(toks))
     emb = _emb(spark, d).select(F.col("vec_id").alias("idx"),
                                 F.col("embedding").cast("array<double>").alias("vec"))
     return toks, mv, emb
@@ -499,9 +501,12 @@ def q_embedding_lookup(spark, d):
     toks, mv, emb = _model(spark, d)
     pos = toks.select("doc_id", F.posexplode("tokens").alias("pos", "code"))
     pos = pos.join(mv, "code").select("doc_id", "pos", F.col("tok_idx").alias("idx"))
-    looked = pos.join(emb, "idx")
+    # Reduce each embedding row once (V rows), not once per token position:
+    # higher-order functions are interpreted, so per-position vector work is costly.
+    row_sums = emb.select("idx", V.vec_sum(F.col("vec")).alias("vsum"))
+    looked = pos.join(row_sums, "idx")
     return looked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pos"),
-                                        _r(F.sum(V.vec_sum(F.col("vec")))).alias("s1"))
+                                        _r(F.sum("vsum")).alias("s1"))
 
 
 def q_next_token(spark, d):
@@ -513,22 +518,25 @@ def q_next_token(spark, d):
     return scoring.predict_next(seqs, emb, emb).select("doc_id", "next_idx")
 
 
-def _idx_pairs(spark, d, keys):
+def _code_terms(spark, d):
+    """Windows (persisted: used twice) and per-pair terms keyed by character code."""
     toks, mv, emb = _model(spark, d)
-    wins = samples.sample_windows(toks, SAMPLE_SIZE, SEED)
-    pc = samples.pair_counts(wins, keys)
-    return _to_idx(pc, mv, ["x", "y"]), emb, wins
+    wins = samples.sample_windows(toks, SAMPLE_SIZE, SEED).persist()
+    pc = _to_idx(samples.pair_counts(wins), mv, ["x", "y"])     # distinct pairs only
+    terms = scoring.pair_terms(pc, emb, emb)
+    back = (terms.join(mv.select(F.col("tok_idx").alias("x"), F.col("code").alias("xc")), "x")
+            .join(mv.select(F.col("tok_idx").alias("y"), F.col("code").alias("yc")), "y"))
+    return wins, terms, back.select(F.col("xc").alias("x"), F.col("yc").alias("y"), "term")
 
 
 def q_pair_loss(spark, d):
-    pc, emb, _ = _idx_pairs(spark, d, [])
-    terms = scoring.pair_terms(pc, emb, emb)
+    _, terms, _ = _code_terms(spark, d)
     return terms.select("x", "y", "n", _r(F.col("term")).alias("term"))
 
 
 def q_batch_metrics(spark, d):
-    pc, emb, wins = _idx_pairs(spark, d, ["doc_id", "k"])
-    losses = scoring.losses_from_pairs(pc, emb, emb, ["doc_id", "k"])
+    wins, _, code_terms = _code_terms(spark, d)
+    losses = scoring.losses_from_terms(wins, code_terms, ["doc_id", "k"])
     idx = samples.limit_samples(wins.select("doc_id", "k"), N_SAMPLES, BATCH)
     m = scoring.batch_metrics(losses.join(idx.select("doc_id", "k", "batch_id"), ["doc_id", "k"]))
     return m.select("batch_id", _r(F.col("avg_loss")).alias("avg_loss"),

@@ -75,7 +75,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         raise RuntimeError(
             "spark.checkpoint.dir is not set; iterative jobs need a shared checkpoint folder")
     spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint(eager=True)
+    # Persist first: a reliable checkpoint otherwise computes the plan twice
+    # (once for the eager action, once more to write the checkpoint files).
+    staged = df.persist()
+    try:
+        return staged.checkpoint(eager=True)
+    finally:
+        staged.unpersist()
 
 
 _PKG_PARENT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

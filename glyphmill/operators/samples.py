@@ -18,6 +18,8 @@ BATCH_SIZE = 10
 N_SAMPLES = 1_000_000
 RNG_SEED = 0xDEADBEEF
 
+MAX_BUCKETS = 1024
+
 
 def windows_per_doc(n_tokens: Column, sample_size: int) -> Column:
     """``ceil(len / min(sample_size, len))``; 0 for an empty document."""
@@ -78,7 +80,8 @@ def global_index(df: DataFrame, order_cols: list[str], bucket_col: str, weight_c
     Adds ``_offset`` (BIGINT).
     """
     spark = df.sparkSession
-    buckets = buckets or max(spark.sparkContext.defaultParallelism * 4, 1)
+    # bucket assignment scans the split list per row: keep it short (<= 1024)
+    buckets = min(buckets or max(spark.sparkContext.defaultParallelism * 4, 1), MAX_BUCKETS)
     w = F.col(weight_col) if weight_col else F.lit(1)
     splits = sorted(set(df.approxQuantile(bucket_col, [i / buckets for i in range(1, buckets)],
                                           rel_err)))

@@ -35,6 +35,9 @@ from glyphmill.session import cut_lineage, ensure_worker_import
 # Largest vocabulary we agree to hold in one broadcast (entries).  The trainer's
 # vocab_size is checked against it up front, so the broadcast is size-bounded.
 MAX_BROADCAST_ENTRIES = 5_000_000
+# Existing-token texts are hinted as a broadcast side up to this many entries;
+# above it the join strategy is left to Catalyst/AQE (measured sizes).
+BROADCAST_HINT_ENTRIES = 1_000_000
 
 VOCAB_SCHEMA = T.StructType([
     T.StructField("code", T.LongType(), False),
@@ -131,7 +134,7 @@ def round_candidates(segs: DataFrame, vocab_texts: DataFrame, n: int, cap_left:
     cands = counted.filter(keep_candidate(F.col("cnt"), F.col("unrolled")))
     # An entry with the same components has the same text, so one
     # anti-join on text drops both kinds of already-known candidates.
-    cands = cands.join(F.broadcast(vocab_texts), "unrolled", "left_anti")
+    cands = cands.join(vocab_texts, "unrolled", "left_anti")
     cands = cands.withColumn("skey", nseq_sort_key(F.col("comps")))
     # Same-round duplicates by text -> keep the first in T06 order.
     best = (cands.groupBy("unrolled")
@@ -169,6 +172,8 @@ def train_vocab(corpus: DataFrame, n: int = 2, vocab_size: int = 1000,
         t0 = time.time()
         cap_left = vocab.vocab_size - vocab.count
         vocab_texts = vocab.to_df(spark).select("unrolled")
+        if vocab.count <= BROADCAST_HINT_ENTRIES:   # checked size: hint the broadcast
+            vocab_texts = F.broadcast(vocab_texts)
         chosen = round_candidates(segs, vocab_texts, n, cap_left).collect()
         for row in chosen:
             vocab.add(tuple(row["comps"]), row["unrolled"])

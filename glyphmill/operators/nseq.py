@@ -80,9 +80,12 @@ def top_nseqs(corpus: DataFrame, n: int, k: int, scope: str = "corpus") -> DataF
     return counted.orderBy(*rank_order()).limit(k)
 
 
-def _scope_keys(scope: str) -> list[str]:
+def _scope_keys(scope) -> list[str]:
+    """'corpus' -> whole table; 'doc' -> per doc_id; a list -> per those key columns."""
+    if isinstance(scope, (list, tuple)):
+        return list(scope)
     if scope == "corpus":
         return []
     if scope == "doc":
         return ["doc_id"]
-    raise ValueError("scope must be 'corpus' or 'doc'")
+    raise ValueError("scope must be 'corpus', 'doc' or a list of key columns")

@@ -79,3 +79,30 @@ def scatter_add(rows: DataFrame, index_col: str, vec_col: str = "vec",
     if out_keys:
         out = out.withColumnRenamed(index_col, out_keys[0])
     return out
+
+
+def vector_validity(df: DataFrame, keys: list[str], vec_col: str = "vec") -> DataFrame:
+    """Per key, number of vectors, NaN elements and infinite elements."""
+    from glyphmill.functions.vectors import count_inf, count_nan
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_vecs"),
+        F.sum(count_nan(F.col(vec_col))).cast("bigint").alias("n_nan"),
+        F.sum(count_inf(F.col(vec_col))).cast("bigint").alias("n_inf"))
+
+
+def validate_vectors(df: DataFrame, keys: list[str], vec_col: str = "vec",
+                     check_nan: bool = True, check_inf: bool = True) -> None:
+    """Raise ``ValueError`` naming the keys whose vectors hold NaN and/or infinity.
+
+    Only offending groups (at most 20) reach the driver.
+    """
+    v = vector_validity(df, keys, vec_col)
+    cond = F.lit(False)
+    if check_nan:
+        cond = cond | (F.col("n_nan") > 0)
+    if check_inf:
+        cond = cond | (F.col("n_inf") > 0)
+    bad = v.filter(cond).limit(20).collect()
+    if bad:
+        raise ValueError("non-finite values: " + "; ".join(
+            f"{[r[k] for k in keys]}: {r['n_nan']} NaN, {r['n_inf']} inf" for r in bad))

@@ -683,6 +683,88 @@ def q_train_rounds(spark, d):
     return metrics.drop("seconds")
 
 
+# ---------------------------------------------------------------------------
+# Second corpus with a composite key, held-out scoring, per-sample log
+
+def q_conversation_turn_bigrams(spark, d):
+    conv = src.read_corpus(spark, f"{d}/conversations.parquet", key_col=["conv_id", "turn"])
+    return nseq.nseq_counts(conv, 2, scope=["conv_id", "turn"])
+
+
+SQL_CONVERSATION_TURN_BIGRAMS = f"""
+WITH d AS (SELECT conv_id, turn, string_split(text, '') AS cs FROM conversations
+           WHERE text IS NOT NULL AND length(text) >= 2),
+w AS (SELECT conv_id, turn, unnest(list_transform(range(1, len(cs)), lambda i: cs[i] || cs[i + 1])) AS nseq
+      FROM d)
+SELECT conv_id, turn, nseq, count(*)::BIGINT AS cnt FROM w GROUP BY conv_id, turn, nseq
+HAVING count(*) > 1 AND regexp_full_match(nseq, '{LEGAL_SQL}')
+"""
+
+
+def q_benchmark_loss(spark, d):
+    """Each held-out benchmark text scored as one sequence under the corpus model."""
+    _, mv, emb = _model(spark, d)
+    bench = src.read_corpus(spark, f"{d}/benchmark.parquet", key_col="item_id")
+    toks = bench.select("item_id", TX.char_codes(F.col("text")).alias("t"))
+    seqs = toks.filter(F.size("t") > 1).select(
+        "item_id", F.slice("t", 1, F.size("t") - 1).alias("x"), F.slice("t", 2, F.size("t") - 1).alias("y"))
+    pc = samples.pair_counts(seqs, ["item_id"])
+    # characters the corpus never saw have no model id: those pairs are reported, not scored
+    scored = _to_idx(pc, mv, ["x", "y"])
+    losses = scoring.losses_from_pairs(scored, emb, emb, ["item_id"])
+    totals = pc.groupBy("item_id").agg(F.sum("n").alias("n_pairs"))
+    kept = scored.groupBy("item_id").agg(F.sum("n").alias("n_scored"))
+    return (totals.join(kept, "item_id", "left").join(losses, "item_id", "left")
+            .select("item_id", "n_pairs", F.coalesce("n_scored", F.lit(0)).alias("n_scored"),
+                    _r(F.col("loss")).alias("loss")))
+
+
+SQL_BENCHMARK_LOSS = f"""
+WITH {_sql_model()},
+bt AS (SELECT item_id, list_transform(string_split(text, ''), lambda c: unicode(c)::BIGINT) AS t
+       FROM benchmark WHERE text IS NOT NULL AND length(text) > 1),
+p AS (SELECT item_id, unnest(list_slice(t, 1, len(t) - 1)) AS x, unnest(list_slice(t, 2, len(t))) AS y FROM bt),
+tot AS (SELECT item_id, count(*)::BIGINT AS n_pairs FROM p GROUP BY item_id),
+pc AS (SELECT item_id, mx.idx AS xi, my.idx AS yi, count(*)::BIGINT AS n
+       FROM p JOIN mv mx ON mx.code = p.x JOIN mv my ON my.code = p.y GROUP BY 1, 2, 3),
+{_sql_terms('pc')},
+loss AS (SELECT item_id, sum(n)::BIGINT AS n_scored, sum(n * term) AS loss FROM pc
+         JOIN terms ON terms.xi = pc.xi AND terms.yi = pc.yi GROUP BY item_id)
+SELECT tot.item_id, tot.n_pairs, coalesce(loss.n_scored, 0)::BIGINT AS n_scored,
+       round(loss.loss, {ROUND}) AS loss
+FROM tot LEFT JOIN loss USING (item_id)
+"""
+
+
+def q_sample_log(spark, d):
+    """Per sample -- doc, global index, start, end, length, loss."""
+    wins, _, code_terms = _code_terms(spark, d)
+    losses = scoring.losses_from_terms(wins, code_terms, ["doc_id", "k"])
+    idx = samples.limit_samples(wins.select("doc_id", "k"), N_SAMPLES, BATCH)
+    return (wins.select("doc_id", "k", "start_idx", "sample_len")
+            .join(idx.select("doc_id", "k", "i"), ["doc_id", "k"])
+            .join(losses, ["doc_id", "k"])
+            .select("doc_id", "i", "start_idx",
+                    (F.col("start_idx") + F.col("sample_len")).alias("end_idx"),
+                    "sample_len", _r(F.col("loss")).alias("loss")))
+
+
+SQL_SAMPLE_LOG = f"""
+WITH {_sql_model()},
+p AS (SELECT doc_id, k, unnest(x) AS x, unnest(y) AS y FROM sw),
+pc AS (SELECT doc_id, k, mx.idx AS xi, my.idx AS yi, count(*)::BIGINT AS n
+       FROM p JOIN mv mx ON mx.code = p.x JOIN mv my ON my.code = p.y GROUP BY 1, 2, 3, 4),
+{_sql_terms('pc')},
+loss AS (SELECT doc_id, k, sum(n * term) AS loss FROM pc
+         JOIN terms ON terms.xi = pc.xi AND terms.yi = pc.yi GROUP BY doc_id, k),
+ix AS (SELECT doc_id, k, start_idx, sample_len,
+              (row_number() OVER (ORDER BY doc_id, k) - 1)::BIGINT AS i FROM sw)
+SELECT doc_id, i, start_idx, start_idx + sample_len AS end_idx, sample_len,
+       round(loss, {ROUND}) AS loss
+FROM ix JOIN loss USING (doc_id, k) WHERE i < {N_SAMPLES}
+"""
+
+
 # ---------------------------------------------------------------------------
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -727,6 +809,9 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "vocab_resolve": q_vocab_resolve,
         "init_params": q_init_params,
         "train_rounds": q_train_rounds,
+        "conversation_turn_bigrams": q_conversation_turn_bigrams,
+        "benchmark_loss": q_benchmark_loss,
+        "sample_log": q_sample_log,
     }
 
 
@@ -765,4 +850,7 @@ def oracle() -> dict[str, str]:
         "pair_loss": SQL_PAIR_LOSS,
         "batch_metrics": SQL_BATCH_METRICS,
         "validation_loss": SQL_VALIDATION_LOSS,
+        "conversation_turn_bigrams": SQL_CONVERSATION_TURN_BIGRAMS,
+        "benchmark_loss": SQL_BENCHMARK_LOSS,
+        "sample_log": SQL_SAMPLE_LOG,
     }

@@ -109,13 +109,19 @@ def normalizers(xs: DataFrame, embed: DataFrame, unembed: DataFrame) -> DataFram
                     F.col("b.best_val").alias("best_val")))
 
 
-def pair_terms(pairs: DataFrame, embed: DataFrame, unembed: DataFrame) -> DataFrame:
-    """P05 per distinct pair: ``(x, y, n, logit, p, term)`` with ``term = -ln(max(p, SMOL))``."""
+def pair_terms(pairs: DataFrame, embed: DataFrame, unembed: DataFrame,
+               z: DataFrame | None = None) -> DataFrame:
+    """P05 per distinct pair: ``(x, y, n, logit, p, term)`` with ``term = -ln(max(p, SMOL))``.
+
+    ``z`` may carry precomputed ``normalizers`` rows (x, zsum) to share them.
+    """
     e = embed.select(F.col("idx").alias("x"), F.col("vec").alias("ex"))
     u = unembed.select(F.col("idx").alias("y"), F.col("vec").alias("uy"))
     logits = (pairs.join(e, "x").join(u, "y")
               .withColumn("logit", dot(F.col("ex"), F.col("uy"))).drop("ex", "uy"))
-    z = normalizers(pairs.select("x"), embed, unembed).select("x", "zsum")
+    if z is None:
+        z = normalizers(pairs.select("x"), embed, unembed)
+    z = z.select("x", "zsum")
     p = clip_magnitude(F.exp("logit")) / clip_magnitude(F.col("zsum"))
     return (logits.join(z, "x")
             .withColumn("p", p)
@@ -136,10 +142,10 @@ def sample_losses(samples: DataFrame, embed: DataFrame, unembed: DataFrame,
 
 
 def losses_from_pairs(per_sample: DataFrame, embed: DataFrame, unembed: DataFrame,
-                      keys: list[str]) -> DataFrame:
+                      keys: list[str], z: DataFrame | None = None) -> DataFrame:
     """P05 from per-sample pair counts ``(keys, x, y, n)`` already in model ids."""
     distinct_pairs = per_sample.groupBy("x", "y").agg(F.sum("n").alias("n"))
-    terms = pair_terms(distinct_pairs, embed, unembed).select("x", "y", "term")
+    terms = pair_terms(distinct_pairs, embed, unembed, z).select("x", "y", "term")
     return (per_sample.join(terms, ["x", "y"])
             .groupBy(*keys).agg(F.sum(F.col("n") * F.col("term")).alias("loss")))
 

@@ -157,16 +157,19 @@ def _grad_fn(bc, lo: int, cols: int):
     return run
 
 
-def batch_gradients(pairs: DataFrame, params: DataFrame) -> DataFrame:
+def batch_gradients(pairs: DataFrame, params: DataFrame, z: DataFrame | None = None) -> DataFrame:
     """Summed gradients ``(tensor, block, row, vec)`` of one batch's pair counts.
 
-    ``pairs(x, y, n)`` are model ids aggregated over the batch's samples.
+    ``pairs(x, y, n)`` are model ids aggregated over the batch's samples; ``z`` may
+    carry the batch's precomputed softmax normalisers.
     """
     spark = pairs.sparkSession
     ensure_worker_import(spark)
     embed = params.filter(F.col("tensor") == "embed").select(F.col("row").alias("idx"), "vec")
     unembed = params.filter(F.col("tensor") == "unembed").select(F.col("row").alias("idx"), "vec")
-    z = scoring.normalizers(pairs.select("x"), embed, unembed).select("x", "zsum")
+    if z is None:
+        z = scoring.normalizers(pairs.select("x"), embed, unembed)
+    z = z.select("x", "zsum")
     per_x = (pairs.groupBy("x")
              .agg(F.sum("n").alias("nx"), F.collect_list(F.struct("y", "n")).alias("ys"))
              .join(embed.select(F.col("idx").alias("x"), F.col("vec").alias("evec")), "x")
@@ -246,14 +249,17 @@ def train(per_sample_pairs: DataFrame, batch_ids: DataFrame, params: DataFrame,
         rows = pairs_tbl.filter(F.col("batch_id") == b)
         embed = params.filter(F.col("tensor") == "embed").select(F.col("row").alias("idx"), "vec")
         unembed = params.filter(F.col("tensor") == "unembed").select(F.col("row").alias("idx"), "vec")
-        losses = scoring.losses_from_pairs(rows.drop("batch_id"), embed, unembed, ["doc_id", "k"])
+        batch_pairs = rows.groupBy("x", "y").agg(F.sum("n").alias("n"))
+        # one softmax normaliser per distinct current token, shared by loss and gradient
+        z = cut_lineage(scoring.normalizers(batch_pairs.select("x"), embed, unembed))
+        losses = scoring.losses_from_pairs(rows.drop("batch_id"), embed, unembed,
+                                           ["doc_id", "k"], z)
         m = losses.agg(F.avg("loss"), F.min("loss"), F.max("loss"), F.count(F.lit(1))).first()
         val = None
         if val_pairs is not None:
             vl = scoring.losses_from_pairs(val_pairs, embed, unembed, ["doc_id"])
             val = vl.agg(F.avg("loss")).first()[0]
-        batch_pairs = rows.groupBy("x", "y").agg(F.sum("n").alias("n"))
-        grads = cut_lineage(vector_ops.scale_vectors(batch_gradients(batch_pairs, params),
+        grads = cut_lineage(vector_ops.scale_vectors(batch_gradients(batch_pairs, params, z),
                                                      1.0 / cfg.batch_size))
         norm = vector_ops.global_l2_norm(grads).first()[0]
         grads = vector_ops.clip_by_norm(grads, cfg.max_norm)

@@ -180,5 +180,6 @@ def model_vocab(encoded: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     from pyspark.sql import Window
     # de-duplicate inside each row first (codegen'd), so the explode emits at most
     # |distinct codes per row| rows instead of one per token position
-    codes = encoded.select(F.explode(F.array_distinct(tokens_col)).alias("code")).distinct()
+    codes = (encoded.select(F.explode_outer(F.array_distinct(tokens_col)).alias("code"))
+             .filter(F.col("code").isNotNull()).distinct())
     return codes.withColumn("tok_idx", F.row_number().over(Window.orderBy("code")) - 1)

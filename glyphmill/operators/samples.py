@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.sources.corpus import sample_n, seeded_uint32
+from glyphmill.sources.corpus import seeded_hash_key, seeded_uint32
 
 # Defaults of the reference trainer (fixed values).
 SAMPLE_SIZE = 1_000
@@ -40,10 +40,13 @@ def sample_windows(encoded: DataFrame, sample_size: int = SAMPLE_SIZE, seed: int
     n = F.size(tokens_col)
     base = (encoded.select("doc_id", tokens_col)
             .withColumn("_len", n)
-            .withColumn("_nw", windows_per_doc(F.col("_len"), sample_size))
-            .filter(F.col("_nw") > 0))
-    wins = base.select("doc_id", tokens_col, "_len",
-                       F.explode(F.sequence(F.lit(0), F.col("_nw") - 1)).alias("k"))
+            .withColumn("_nw", windows_per_doc(F.col("_len"), sample_size)))
+    # explode_outer + a guarded sequence instead of filter + explode: a filter on
+    # the token count (or the one Spark infers for explode) would be pushed into
+    # the scan and recompute the token arrays there.
+    ks = F.when(F.col("_nw") > 0, F.sequence(F.lit(0), F.col("_nw") - 1))
+    wins = (base.select("doc_id", tokens_col, "_len", F.explode_outer(ks).alias("k"))
+            .filter(F.col("k").isNotNull()))
     sl = F.least(F.lit(sample_size), F.col("_len"))
     span = F.col("_len") - sl
     start = F.when(span <= 0, F.lit(0)).otherwise(
@@ -131,8 +134,13 @@ def validation_set(encoded: DataFrame, batch_size: int = BATCH_SIZE,
     abort on them).  Output: ``doc_id, x, y``.
     """
     n_val = max(batch_size // 10, 1)
-    eligible = encoded.filter(F.size(tokens_col) >= sample_size)
-    picked = sample_n(eligible.select("doc_id", tokens_col), n_val, seed)
+    # Ineligible rows get a NULL draw and sort last; they are dropped *after* the
+    # top-n, where the filter cannot be pushed into the scan (a pushed-down
+    # size(tokens) filter would recompute the token arrays there).
+    draw = F.when(F.size(tokens_col) >= sample_size, seeded_hash_key(seed, "doc_id"))
+    picked = (encoded.select("doc_id", tokens_col, draw.alias("_draw"))
+              .orderBy(F.col("_draw").asc_nulls_last(), "doc_id").limit(n_val)
+              .filter(F.col("_draw").isNotNull()).drop("_draw"))
     head = F.slice(tokens_col, 1, sample_size)
     return picked.select("doc_id",
                          F.slice(head, 1, sample_size - 1).alias("x"),

@@ -35,15 +35,22 @@ def embed_tokens(seqs: DataFrame, embed: DataFrame, tokens_col: str = "tokens",
                  keys: list[str] | None = None) -> DataFrame:
     """One row per token position with its embedding ``(keys, pos, idx, vec)``."""
     keys = keys or ["doc_id"]
-    pos = seqs.select(*keys, F.posexplode(tokens_col).alias("pos", "idx"))
+    pos = _positions(seqs, tokens_col, keys)
     return pos.join(embed, "idx")
 
 
+def _positions(seqs: DataFrame, tokens_col: str, keys: list[str]) -> DataFrame:
+    # posexplode_outer: the filter Spark infers for posexplode would be pushed
+    # into the scan and recompute the token arrays there
+    return (seqs.select(*keys, F.posexplode_outer(tokens_col).alias("pos", "idx"))
+            .filter(F.col("pos").isNotNull()))
+
+
 def embed_violations(seqs: DataFrame, embed: DataFrame, tokens_col: str = "tokens",
                      keys: list[str] | None = None) -> DataFrame:
     """P01 errors: token ids with no embedding row (the reference would panic)."""
     keys = keys or ["doc_id"]
-    pos = seqs.select(*keys, F.posexplode(tokens_col).alias("pos", "idx"))
+    pos = _positions(seqs, tokens_col, keys)
     return pos.join(embed.select("idx"), "idx", "left_anti")
 
 

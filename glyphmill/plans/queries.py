@@ -499,7 +499,7 @@ def _to_idx(df, mv, cols):
 
 def q_embedding_lookup(spark, d):
     toks, mv, emb = _model(spark, d)
-    pos = toks.select("doc_id", F.posexplode("tokens").alias("pos", "code"))
+    pos = scoring._positions(toks, "tokens", ["doc_id"]).withColumnRenamed("idx", "code")
     pos = pos.join(mv, "code").select("doc_id", "pos", F.col("tok_idx").alias("idx"))
     # Reduce each embedding row once (V rows), not once per token position:
     # higher-order functions are interpreted, so per-position vector work is costly.

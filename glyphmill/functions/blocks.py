@@ -1,0 +1,153 @@
+"""Per-sample attention-block math (M03/M04 forward and backward, C07 causal mask).
+
+These are small NumPy helpers called inside ``mapInArrow`` tasks on one sample
+(``T <= sample_size`` rows of width ``C``) at a time; Spark partitions, shuffles
+and sums around them (``operators.blocks``).  Formulas are kept as the reference
+writes them, including its deviations from the textbook derivatives:
+
+* layer norm divides only the mean: ``x_hat = x - mu / sqrt(var + SMOL)``;
+* the GELU gradient uses ``exp(+1.702 x)`` (C02);
+* the MLP backward does not add the residual path;
+* ``g_v = A . g_o`` (A not transposed), ``g_S = A * (g_a - A^T g_a A)``, no
+  ``1/sqrt(hs)`` on ``g_q``/``g_k``, and the q/k/v weight gradients use the block
+  input ``xs`` rather than the layer-normed ``x_ln``.
+
+Block parameters are a dict of arrays: ``ln_scale (C)``, ``ln_bias (C)``,
+``query``/``key``/``value (H, C, hs)``, ``atn_out (C, C)``, ``ff1 (C, F)``,
+``ff1_b (F)``, ``ff2 (F, C)``, ``ff2_b (C)``.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+from glyphmill.functions.vectors import BIGE, GELU_K, SMOL
+
+BLOCK_TENSORS = ("ln_scale", "ln_bias", "query", "key", "value", "atn_out",
+                 "ff1", "ff1_b", "ff2", "ff2_b")
+
+
+def clip(a: np.ndarray) -> np.ndarray:
+    """C05 on arrays: tiny magnitudes (and NaN) raised to SMOL, huge ones lowered to BIGE."""
+    a = np.asarray(a, dtype=np.float64)
+    out = np.where(np.abs(a) > SMOL, a, np.where(a < 0, -SMOL, SMOL))
+    out = np.where(np.isnan(a), SMOL, out)
+    return np.where(np.abs(out) < BIGE, out, np.where(out < 0, -BIGE, BIGE))
+
+
+def softmax_rows(s: np.ndarray) -> np.ndarray:
+    """P03 along the last axis: ``clip(exp(s)) / clip(sum(exp(s)))``."""
+    ex = np.exp(s)
+    return clip(ex) / clip(ex.sum(axis=-1))[..., None]
+
+
+def gelu(x: np.ndarray) -> np.ndarray:
+    return x * (1.0 / clip(1.0 + np.exp(-GELU_K * x)))
+
+
+def gelu_grad(x: np.ndarray) -> np.ndarray:
+    s = 1.0 / clip(1.0 + np.exp(GELU_K * x))
+    return s * (1.0 + GELU_K * x * (1.0 - s))
+
+
+def causal_scores(q: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """``q k^T`` per head with future positions (column > row) set to -inf."""
+    s = q @ k.transpose(0, 2, 1)
+    t = s.shape[-1]
+    return np.where(np.triu(np.ones((t, t), dtype=bool), 1), -np.inf, s)
+
+
+def block_forward(x: np.ndarray, p: dict) -> tuple[np.ndarray, dict]:
+    """One block: layer norm, causal multi-head attention + residual, GELU MLP + residual."""
+    t, c = x.shape
+    n_heads, _, hs = p["query"].shape
+    mu = x.mean(axis=1)
+    var = x.var(axis=1)
+    x_hat = x - (mu / np.sqrt(var + SMOL))[:, None]
+    x_ln = p["ln_scale"] * x_hat + p["ln_bias"]
+    q = np.einsum("tc,hcs->hts", x_ln, p["query"])
+    k = np.einsum("tc,hcs->hts", x_ln, p["key"])
+    v = np.einsum("tc,hcs->hts", x_ln, p["value"])
+    a = softmax_rows(causal_scores(q, k) / clip(np.sqrt(float(hs))))
+    o = (a @ v).transpose(1, 0, 2).reshape(t, c)        # heads concatenated per token
+    x1 = x + o @ p["atn_out"]
+    h1 = x1 @ p["ff1"] + p["ff1_b"]
+    act = gelu(h1)
+    x2 = x1 + act @ p["ff2"] + p["ff2_b"]
+    cache = {"xs": x, "mu": mu, "var": var, "x_hat": x_hat, "q": q, "k": k, "v": v,
+             "a": a, "o": o, "x1": x1, "h1": h1, "act": act}
+    return x2, cache
+
+
+def block_backward(cache: dict, g: np.ndarray, p: dict) -> tuple[np.ndarray, dict]:
+    """Gradient of one block for the incoming ``g`` (T, C): (gradient wrt input, tensor grads)."""
+    t, c = g.shape
+    n_heads, _, hs = p["query"].shape
+    xs, a, q, k, v = cache["xs"], cache["a"], cache["q"], cache["k"], cache["v"]
+    grads = {"ff2": cache["act"].T @ g, "ff2_b": g.sum(axis=0)}
+    g1 = (g @ p["ff2"].T) * gelu_grad(cache["h1"])
+    grads["ff1"] = cache["x1"].T @ g1
+    grads["ff1_b"] = g1.sum(axis=0)
+    g_h = g1 @ p["ff1"].T
+    grads["atn_out"] = cache["o"].T @ g_h
+    g_o = (g_h @ p["atn_out"].T).reshape(t, n_heads, hs).transpose(1, 0, 2)
+    g_a = g_o @ v.transpose(0, 2, 1)
+    g_v = a @ g_o
+    g_s = a * (g_a - a.transpose(0, 2, 1) @ g_a @ a)
+    g_q = g_s @ k
+    g_k = g_s.transpose(0, 2, 1) @ q
+    grads["query"] = np.einsum("tc,hts->hcs", xs, g_q)
+    grads["key"] = np.einsum("tc,hts->hcs", xs, g_k)
+    grads["value"] = np.einsum("tc,hts->hcs", xs, g_v)
+    g_xln = (np.einsum("hts,hcs->tc", g_q, p["query"])
+             + np.einsum("hts,hcs->tc", g_k, p["key"])
+             + np.einsum("hts,hcs->tc", g_v, p["value"]))
+    grads["ln_scale"] = (g_xln * cache["x_hat"]).sum(axis=0)
+    grads["ln_bias"] = g_xln.sum(axis=0)
+    g_xhat = g_xln * p["ln_scale"]
+    var_e = cache["var"] + SMOL
+    xm = xs - cache["mu"][:, None]
+    g_var = (g_xhat * xm * (-0.5 * var_e ** -1.5)[:, None]).sum(axis=1)
+    g_mu = (g_xhat * (-1.0 / np.sqrt(var_e))[:, None]).sum(axis=1) \
+        + g_var * (-2.0 * xm / c).sum(axis=1)
+    g_x = g_xhat / np.sqrt(var_e)[:, None] + g_var[:, None] * 2.0 * xm / c + (g_mu / c)[:, None]
+    return g_x, grads
+
+
+def forward(x_embedded: np.ndarray, blocks: list[dict]) -> tuple[np.ndarray, list[dict]]:
+    """``x_refined`` of one sample through all blocks, with the per-block caches."""
+    x = x_embedded
+    caches = []
+    for p in blocks:
+        x, cache = block_forward(x, p)
+        caches.append(cache)
+    return x, caches
+
+
+def backward(caches: list[dict], g_h: np.ndarray, blocks: list[dict]) -> tuple[np.ndarray, list[dict]]:
+    """M04 through the blocks in reverse: (gradient wrt the embedded input, per-block grads)."""
+    g = g_h
+    out = [None] * len(blocks)
+    for b in range(len(blocks) - 1, -1, -1):
+        g, out[b] = block_backward(caches[b], g, blocks[b])
+    return g, out
+
+
+def to_rows(tensor: str, arr: np.ndarray) -> np.ndarray:
+    """A block tensor in the parameter table's row layout (rows x width)."""
+    if tensor in ("query", "key", "value"):
+        h, c, hs = arr.shape
+        return arr.reshape(h * c, hs)
+    if arr.ndim == 1:
+        return arr[None, :]
+    return arr
+
+
+def from_rows(tensor: str, rows: np.ndarray, n_heads: int) -> np.ndarray:
+    """Inverse of ``to_rows``: the parameter table's rows back to the tensor shape."""
+    if tensor in ("query", "key", "value"):
+        hc, hs = rows.shape
+        return rows.reshape(n_heads, hc // n_heads, hs)
+    if tensor in ("ln_scale", "ln_bias", "ff1_b", "ff2_b"):
+        return rows[0]
+    return rows

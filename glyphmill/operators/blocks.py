@@ -1,0 +1,386 @@
+"""Attention-block jobs: feature extraction (M03) and batch gradients through blocks.
+
+Samples are independent, so each is one unit of work inside ``mapInArrow``: the
+per-sample NumPy helpers in ``functions.blocks`` run there, while Spark does the
+lookups, the per-sample grouping and every sum across samples.
+
+* Block tensors are broadcast.  They are bounded by the model shape, and the
+  bound is checked before anything is collected (``MAX_BLOCK_DOUBLES``).
+* The embedding lookup of ``extract_features`` broadcasts the embedding table
+  only below ``MAX_EMBED_BROADCAST_DOUBLES``.  Above that, positions are joined
+  to it and regrouped per sample; each group is one sample, bounded by the
+  sample size.
+* Gradients are summed over a task's samples before they are emitted
+  (map-side combine), then summed per ``(tensor, block, row)`` by
+  ``vector_ops.sum_vectors`` (partial + final aggregate).
+
+A batch gradient needs, per position ``t``, ``g_h(t) = sum_v p(v|x_t) U[:, v] -
+U[:, y_t]``.  Predictions depend only on the current token, so the expected
+column ``m(x) = sum_v p(v|x) U[:, v]`` is computed once per distinct current
+token with ``U`` broadcast in bounded column chunks.  The unembedding gradient
+``x_refined^T (P - onehot)`` is ``sum_x R(x) p(.|x) - Y``:
+
+* ``R(x)`` sums the block outputs at positions whose current token is ``x``;
+* ``Y(v)`` sums the block outputs at positions whose next token is ``v``.
+
+Both are emitted by the per-sample job and combined by key, so the dense
+``T x V`` matrix is never formed per sample.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.stat import Summarizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from glyphmill.functions import blocks as B
+from glyphmill.functions.vectors import BIGE, SMOL, clip_magnitude
+from glyphmill.operators import scoring, vector_ops
+from glyphmill.session import ensure_worker_import
+
+MAX_BLOCK_DOUBLES = 8_000_000            # all block tensors together (64 MB)
+MAX_EMBED_BROADCAST_DOUBLES = 8_000_000  # embedding table broadcast for the feature lookup
+
+GRAD_SCHEMA = "tensor string, block int, row bigint, vec array<double>"
+
+
+# ---------------------------------------------------------------------------
+# Parameters
+
+def _width(params: DataFrame) -> int:
+    return int(params.filter(F.col("tensor") == "ln_scale").agg(F.max(F.size("vec"))).first()[0])
+
+
+def load_blocks(params: DataFrame) -> list[dict]:
+    """Block tensors as NumPy arrays, one dict per block, after a size check."""
+    blk = params.filter(F.col("block") >= 0)
+    st = blk.agg(F.count(F.lit(1)).alias("rows"),
+                 F.coalesce(F.sum(F.size("vec")), F.lit(0)).alias("vals"),
+                 F.max("block").alias("top")).first()
+    if not st["rows"]:
+        return []
+    if st["vals"] > MAX_BLOCK_DOUBLES:
+        raise ValueError(f"block tensors hold {st['vals']} values, above the broadcast bound "
+                         f"{MAX_BLOCK_DOUBLES}")
+    width = _width(params)
+    n_blocks = int(st["top"]) + 1
+    parts: dict[tuple[int, str], dict[int, list]] = {}
+    # bounded above (model size, not data): safe to bring to the driver
+    for r in blk.select("tensor", "block", "row", "vec").collect():
+        parts.setdefault((r["block"], r["tensor"]), {})[r["row"]] = r["vec"]
+    out = []
+    for b in range(n_blocks):
+        p = {}
+        for t in B.BLOCK_TENSORS:
+            rows = parts.get((b, t))
+            if rows is None:
+                raise ValueError(f"block {b} has no {t} tensor")
+            mat = np.asarray([rows[i] for i in sorted(rows)], dtype=np.float64)
+            if sorted(rows) != list(range(len(rows))):
+                raise ValueError(f"block {b} tensor {t}: rows are not 0..n-1")
+            heads = mat.shape[0] // width if t in ("query", "key", "value") else 1
+            p[t] = B.from_rows(t, mat, heads)
+        out.append(p)
+    return out
+
+
+def _embed_matrix(embed: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Dense embedding matrix and presence mask, when it is under the broadcast bound."""
+    st = embed.agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"),
+                   F.max(F.size("vec")).alias("c")).first()
+    if st["lo"] is None or st["lo"] < 0:
+        return None
+    if (int(st["hi"]) + 1) * int(st["c"]) > MAX_EMBED_BROADCAST_DOUBLES:
+        return None
+    mat = np.zeros((int(st["hi"]) + 1, int(st["c"])), dtype=np.float64)
+    present = np.zeros(int(st["hi"]) + 1, dtype=bool)
+    for r in embed.select("idx", "vec").collect():
+        mat[r["idx"]] = r["vec"]
+        present[r["idx"]] = True
+    return mat, present
+
+
+# ---------------------------------------------------------------------------
+# Arrow helpers
+
+def _list_slices(col: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    return col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False)
+
+
+def _struct_rows(col: pa.ListArray, fields: list[str]):
+    """For ``array<struct<...>>``: offsets plus each field as a flat array (vectors 2-D)."""
+    offs = col.offsets.to_numpy()
+    structs = col.values
+    names = [structs.type.field(i).name for i in range(structs.type.num_fields)]
+    flat = dict(zip(names, structs.flatten()))
+    out = {}
+    for f in fields:
+        arr = flat[f]
+        if pa.types.is_list(arr.type):
+            o = arr.offsets.to_numpy()
+            vals = arr.values.to_numpy(zero_copy_only=False).astype(np.float64)
+            width = int(o[1] - o[0]) if len(o) > 1 else 0
+            out[f] = vals[o[0]:o[-1]].reshape(-1, width) if width else np.zeros((len(arr), 0))
+        else:
+            out[f] = arr.to_numpy(zero_copy_only=False)
+    return offs, out
+
+
+def _vec_array(mat: np.ndarray) -> pa.ListArray:
+    n, c = mat.shape
+    offsets = pa.array(np.arange(0, n * c + 1, c, dtype=np.int32) if n else [0], pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(mat).ravel(),
+                                                      pa.float64()))
+
+
+# ---------------------------------------------------------------------------
+# M03 feature job
+
+def _features_fn(bc_blocks, bc_embed, keys: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = bc_blocks.value
+        table = bc_embed.value if bc_embed is not None else None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            key_vals = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in keys}
+            if table is not None:
+                offs, toks = _list_slices(batch.column("x"))
+            else:
+                offs, fl = _struct_rows(batch.column("rows"), ["pos", "vec"])
+            out_keys = {k: [] for k in keys}
+            out_pos, out_vec = [], []
+            for r in range(batch.num_rows):
+                lo, hi = int(offs[r]), int(offs[r + 1])
+                if hi == lo:
+                    continue
+                if table is not None:
+                    ids = toks[lo:hi].astype(np.int64)
+                    if ids.min() < 0 or ids.max() >= len(table[0]) or not table[1][ids].all():
+                        raise ValueError("token id without an embedding row")
+                    e = table[0][ids]
+                    pos = np.arange(hi - lo, dtype=np.int32)
+                else:
+                    e = fl["vec"][lo:hi]
+                    pos = fl["pos"][lo:hi].astype(np.int32)
+                xr, _ = B.forward(e, blocks)
+                for k in keys:
+                    out_keys[k].append(np.repeat(key_vals[k][r:r + 1], hi - lo))
+                out_pos.append(pos)
+                out_vec.append(xr)
+            if not out_pos:
+                continue
+            cols = [pa.array(np.concatenate(out_keys[k])) for k in keys]
+            cols += [pa.array(np.concatenate(out_pos), pa.int32()),
+                     _vec_array(np.concatenate(out_vec))]
+            yield pa.RecordBatch.from_arrays(cols, names=keys + ["pos", "vec"])
+    return run
+
+
+def _sample_rows(samples: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """Positions of each sample's ``x`` (and ``y``) as ``(keys, pos, x[, y])``."""
+    zipped = F.arrays_zip(*[F.col(c) for c in cols])
+    # posexplode_outer + null filter: the filter Spark infers for posexplode would
+    # be pushed into the scan and recompute the token arrays there
+    ex = (samples.select(*keys, F.posexplode_outer(zipped).alias("pos", "_p"))
+          .filter(F.col("pos").isNotNull()))
+    return ex.select(*keys, "pos", *[F.col(f"_p.{c}").alias(c) for c in cols])
+
+
+def extract_features(samples: DataFrame, embed: DataFrame, params: DataFrame,
+                     keys: list[str] | None = None) -> DataFrame:
+    """``x_refined`` of every sample position through all blocks.
+
+    ``samples(keys, x ARRAY<BIGINT>)`` in model ids; ``embed(idx, vec)``.
+    Output ``(keys, pos, vec)``, one row per position.
+    """
+    keys = keys or ["doc_id", "k"]
+    spark = samples.sparkSession
+    ensure_worker_import(spark)
+    sc = spark.sparkContext
+    key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}"
+                           for f in samples.select(*keys).schema.fields)
+    schema = f"{key_schema}, pos int, vec array<double>"
+    bc_blocks = sc.broadcast(load_blocks(params))
+    table = _embed_matrix(embed)
+    if table is not None:
+        return (samples.select(*keys, F.col("x").cast("array<bigint>").alias("x"))
+                .mapInArrow(_features_fn(bc_blocks, sc.broadcast(table), keys), schema))
+    pos = _sample_rows(samples, keys, ["x"]).withColumnRenamed("x", "idx")
+    joined = pos.join(embed.select("idx", F.col("vec").cast("array<double>").alias("vec")), "idx")
+    grouped = joined.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("pos", "vec"))).alias("rows"))
+    return grouped.mapInArrow(_features_fn(bc_blocks, None, keys), schema)
+
+
+# ---------------------------------------------------------------------------
+# M04 with blocks
+
+def _mean_fn(bc, lo: int):
+    """Per distinct x, over one chunk of U: unclipped exp sum and ``sum_v clip(exp) U[:, v]``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u = bc.value                                           # (C, chunk)
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            xs = batch.column("x").to_numpy()
+            ev = np.asarray(batch.column("evec").to_pylist(), dtype=np.float64)
+            ex = np.exp(ev @ u)
+            zsum = ex.sum(axis=1)
+            cl = np.minimum(np.where(np.abs(ex) > SMOL, ex, SMOL), BIGE)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(xs, pa.int64()), pa.array(zsum, pa.float64()), _vec_array(cl @ u.T)],
+                names=["x", "zsum", "num"])
+    return run
+
+
+def _unembed_chunks(spark, unembed: DataFrame):
+    """Yield (lo, width, broadcast (C, width) chunk) of U, each at most MAX_CHUNK_DOUBLES."""
+    st = unembed.agg(F.min("idx"), F.max("idx"), F.max(F.size("vec"))).first()
+    if st[0] is None:
+        raise ValueError("empty unembedding table")
+    lo_all, hi_all, c = int(st[0]), int(st[1]), int(st[2])
+    width = max(1, scoring.MAX_CHUNK_DOUBLES // max(c, 1))
+    for lo in range(lo_all, hi_all + 1, width):
+        hi = min(lo + width - 1, hi_all)
+        rows = unembed.filter((F.col("idx") >= lo) & (F.col("idx") <= hi)).collect()
+        mat = np.zeros((c, hi - lo + 1), dtype=np.float64)
+        for r in rows:
+            mat[:, r["idx"] - lo] = r["vec"]
+        yield lo, hi - lo + 1, spark.sparkContext.broadcast(mat)
+
+
+def expected_unembed(xs: DataFrame, embed: DataFrame, unembed: DataFrame) -> DataFrame:
+    """Per distinct current token: ``(x, zsum, mvec)`` with ``mvec = sum_v p(v|x) U[:, v]``."""
+    spark = xs.sparkSession
+    ensure_worker_import(spark)
+    xv = xs.select("x").distinct().join(
+        embed.select(F.col("idx").alias("x"), F.col("vec").alias("evec")), "x")
+    parts = [xv.mapInArrow(_mean_fn(bc, lo), "x bigint, zsum double, num array<double>")
+             for lo, _, bc in _unembed_chunks(spark, unembed)]
+    allp = parts[0]
+    for p in parts[1:]:
+        allp = allp.unionByName(p)
+    summed = (allp.select("x", "zsum", array_to_vector("num").alias("num"))
+              .groupBy("x").agg(F.sum("zsum").alias("zsum"), Summarizer.sum(F.col("num")).alias("num")))
+    zc = clip_magnitude(F.col("zsum"))
+    return summed.select("x", "zsum", F.transform(vector_to_array("num", "float64"),
+                                                  lambda a: a / zc).alias("mvec"))
+
+
+def _block_grad_fn(bc_blocks):
+    """Per sample: forward, backward; sums over the task's samples before emitting."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = bc_blocks.value
+        acc = [None] * len(blocks)
+        keyed = {"embed": {}, "_rsum": {}, "_ysum": {}}
+
+        def add(tag, ids, mat):
+            uniq, inv = np.unique(ids, return_inverse=True)
+            s = np.zeros((len(uniq), mat.shape[1]))
+            np.add.at(s, inv, mat)
+            d = keyed[tag]
+            for i, t in enumerate(uniq.tolist()):
+                d[t] = d[t] + s[i] if t in d else s[i]
+
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            offs, fl = _struct_rows(batch.column("rows"), ["x", "y", "e", "g"])
+            for r in range(batch.num_rows):
+                lo, hi = int(offs[r]), int(offs[r + 1])
+                if hi == lo:
+                    continue
+                x_ids, y_ids = fl["x"][lo:hi], fl["y"][lo:hi]
+                xr, caches = B.forward(fl["e"][lo:hi], blocks)
+                g_e, gb = B.backward(caches, fl["g"][lo:hi], blocks)
+                for b in range(len(blocks)):
+                    acc[b] = gb[b] if acc[b] is None else {t: acc[b][t] + gb[b][t] for t in gb[b]}
+                add("embed", x_ids, g_e)
+                add("_rsum", x_ids, xr)
+                add("_ysum", y_ids, xr)
+        for tag, d in keyed.items():
+            if d:
+                ids = np.fromiter(d.keys(), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([tag] * len(ids)), pa.array(np.full(len(ids), -1), pa.int32()),
+                     pa.array(ids, pa.int64()), _vec_array(np.stack(list(d.values())))],
+                    names=["tensor", "block", "row", "vec"])
+        for b, grads in enumerate(acc):
+            if grads is None:
+                continue
+            for t in B.BLOCK_TENSORS:
+                rows = B.to_rows(t, grads[t])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([t] * len(rows)), pa.array(np.full(len(rows), b), pa.int32()),
+                     pa.array(np.arange(len(rows)), pa.int64()), _vec_array(rows)],
+                    names=["tensor", "block", "row", "vec"])
+    return run
+
+
+def _unembed_grad_fn(bc, lo: int, width: int):
+    """``sum_x R(x) p(.|x)`` for one chunk of U columns, summed over the task's rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u = bc.value
+        acc = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            ev = np.asarray(batch.column("evec").to_pylist(), dtype=np.float64)
+            rs = np.asarray(batch.column("rvec").to_pylist(), dtype=np.float64)
+            zsum = batch.column("zsum").to_numpy()
+            ex = np.exp(ev @ u)
+            ex = np.minimum(np.where(np.abs(ex) > SMOL, ex, SMOL), BIGE)
+            zc = np.minimum(np.where(np.abs(zsum) > SMOL, zsum, SMOL), BIGE)
+            part = rs.T @ (ex / zc[:, None])                      # (C, width)
+            acc = part if acc is None else acc + part
+        if acc is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(["unembed"] * width), pa.array(np.full(width, -1), pa.int32()),
+                 pa.array(np.arange(lo, lo + width), pa.int64()), _vec_array(acc.T)],
+                names=["tensor", "block", "row", "vec"])
+    return run
+
+
+def block_gradients(batch_samples: DataFrame, params: DataFrame, zm: DataFrame | None = None,
+                    keys: list[str] | None = None) -> DataFrame:
+    """M04-M06 for one batch through the attention blocks: summed ``(tensor, block, row, vec)``.
+
+    ``batch_samples(keys, x, y)`` in model ids; ``zm`` may carry the batch's
+    ``expected_unembed`` rows.
+    """
+    from glyphmill.session import cut_lineage
+    keys = keys or ["doc_id", "k"]
+    spark = batch_samples.sparkSession
+    ensure_worker_import(spark)
+    embed = params.filter(F.col("tensor") == "embed").select(F.col("row").alias("idx"), "vec")
+    unembed = params.filter(F.col("tensor") == "unembed").select(F.col("row").alias("idx"), "vec")
+    pos = _sample_rows(batch_samples, keys, ["x", "y"])
+    if zm is None:
+        zm = expected_unembed(pos.select("x"), embed, unembed)
+    e = embed.select(F.col("idx").alias("x"), F.col("vec").alias("e"))
+    u = unembed.select(F.col("idx").alias("y"), F.col("vec").alias("uy"))
+    g = (pos.join(e, "x").join(zm.select("x", "mvec"), "x").join(u, "y")
+         .withColumn("g", F.zip_with("mvec", "uy", lambda a, b: a - b)))
+    per_sample = g.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("pos", "x", "y", "e", "g"))).alias("rows"))
+    raw = cut_lineage(per_sample.mapInArrow(_block_grad_fn(spark.sparkContext.broadcast(
+        load_blocks(params))), GRAD_SCHEMA))
+    rsum = (raw.filter(F.col("tensor") == "_rsum")
+            .select(F.col("row").alias("x"), F.col("vec").alias("rvec"))
+            .join(e.withColumnRenamed("e", "evec"), "x").join(zm.select("x", "zsum"), "x"))
+    parts = [raw.filter(~F.col("tensor").isin("_rsum", "_ysum")),
+             raw.filter(F.col("tensor") == "_ysum").select(
+                 F.lit("unembed").alias("tensor"), "block", "row",
+                 F.transform("vec", lambda a: -a).alias("vec"))]
+    for lo, width, bc in _unembed_chunks(spark, unembed):
+        parts.append(rsum.mapInArrow(_unembed_grad_fn(bc, lo, width), GRAD_SCHEMA))
+    allp = parts[0]
+    for p in parts[1:]:
+        allp = allp.unionByName(p)
+    return vector_ops.sum_vectors(allp, ["tensor", "block", "row"], "vec", "vec")

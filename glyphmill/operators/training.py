@@ -29,9 +29,10 @@ A gradient round (batch) is a chain of Spark jobs:
 4. scale by 1/B, global L2 norm (one aggregate row), clip, and a left-join update.
 
 The model's predictions use only the embedding and unembedding tensors (the
-attention blocks feed neither logits nor loss), so the block-free gradient is the
-reference's gradient for ``block_count = 0``.  Gradients through attention blocks
-(M03/M04 with blocks) are not built; ``train`` refuses ``n_blocks > 0``.
+attention blocks feed neither logits nor loss), so without blocks the gradient
+works on pair counts alone.  With blocks the unembedding gradient uses the block
+output and the embedding gradient flows back through every block; ``train`` then
+needs the ordered samples and runs ``operators.blocks.block_gradients`` per batch.
 """
 
 from __future__ import annotations
@@ -223,21 +224,26 @@ def write_training_pairs(per_sample: DataFrame, batch_ids: DataFrame) -> DataFra
 
 
 def train(per_sample_pairs: DataFrame, batch_ids: DataFrame, params: DataFrame,
-          cfg: TrainConfig, val_pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+          cfg: TrainConfig, val_pairs: DataFrame | None = None,
+          samples: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The batch loop.  Returns (final params, metrics per batch).
 
     ``per_sample_pairs(doc_id, k, x, y, n)`` in model ids; ``batch_ids(doc_id, k,
     batch_id, complete)`` from ``samples.limit_samples``.  Per batch: train loss
     avg/min/max (L08), validation loss before the update (L09), gradient norm,
     then scale 1/B, clip and update with ``lr * B``.  Only complete batches are
-    applied, as in the reference.
+    applied, as in the reference.  A model with attention blocks also needs
+    ``samples(doc_id, k, x, y)`` (model ids, in sample order) for M03/M04.
     """
+    from glyphmill.operators import blocks as blk
     spark = params.sparkSession
-    others = params.filter(~F.col("tensor").isin("embed", "unembed")).limit(1).count()
-    if others:
-        raise NotImplementedError("gradient rounds through attention blocks are not built")
-    pairs_tbl = write_training_pairs(per_sample_pairs, batch_ids.filter("complete")
-                                     .select("doc_id", "k", "batch_id"))
+    has_blocks = params.filter(~F.col("tensor").isin("embed", "unembed")).limit(1).count() > 0
+    if has_blocks and samples is None:
+        raise ValueError("a model with attention blocks needs the ordered samples")
+    applied = batch_ids.filter("complete").select("doc_id", "k", "batch_id")
+    pairs_tbl = write_training_pairs(per_sample_pairs, applied)
+    samples_tbl = (write_training_pairs(samples.select("doc_id", "k", "x", "y"), applied)
+                   if has_blocks else None)
     n_batches = pairs_tbl.agg(F.max("batch_id")).first()[0]
     n_batches = -1 if n_batches is None else int(n_batches)
     if cfg.max_batches is not None:
@@ -251,7 +257,11 @@ def train(per_sample_pairs: DataFrame, batch_ids: DataFrame, params: DataFrame,
         unembed = params.filter(F.col("tensor") == "unembed").select(F.col("row").alias("idx"), "vec")
         batch_pairs = rows.groupBy("x", "y").agg(F.sum("n").alias("n"))
         # one softmax normaliser per distinct current token, shared by loss and gradient
-        z = cut_lineage(scoring.normalizers(batch_pairs.select("x"), embed, unembed))
+        if has_blocks:
+            zm = cut_lineage(blk.expected_unembed(batch_pairs.select("x"), embed, unembed))
+            z = zm.select("x", "zsum")
+        else:
+            z = cut_lineage(scoring.normalizers(batch_pairs.select("x"), embed, unembed))
         losses = scoring.losses_from_pairs(rows.drop("batch_id"), embed, unembed,
                                            ["doc_id", "k"], z)
         m = losses.agg(F.avg("loss"), F.min("loss"), F.max("loss"), F.count(F.lit(1))).first()
@@ -259,8 +269,12 @@ def train(per_sample_pairs: DataFrame, batch_ids: DataFrame, params: DataFrame,
         if val_pairs is not None:
             vl = scoring.losses_from_pairs(val_pairs, embed, unembed, ["doc_id"])
             val = vl.agg(F.avg("loss")).first()[0]
-        grads = cut_lineage(vector_ops.scale_vectors(batch_gradients(batch_pairs, params, z),
-                                                     1.0 / cfg.batch_size))
+        if has_blocks:
+            raw = blk.block_gradients(samples_tbl.filter(F.col("batch_id") == b).drop("batch_id"),
+                                      params, zm)
+        else:
+            raw = batch_gradients(batch_pairs, params, z)
+        grads = cut_lineage(vector_ops.scale_vectors(raw, 1.0 / cfg.batch_size))
         norm = vector_ops.global_l2_norm(grads).first()[0]
         grads = vector_ops.clip_by_norm(grads, cfg.max_norm)
         new_params = cut_lineage(vector_ops.apply_update(params, grads, cfg.lr * cfg.batch_size))

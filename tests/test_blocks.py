@@ -1,0 +1,249 @@
+"""Attention blocks (M03, M04 with blocks, C07): formulas, Spark decomposition, training rounds."""
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from glyphmill.functions import blocks as B
+from glyphmill.functions.vectors import GELU_K, SMOL
+from glyphmill.operators import blocks as OB
+from glyphmill.operators import samples, training
+
+
+# --- scalar restatement of the formula sheet (loops only, tiny sizes) -------
+
+def _sm(row):
+    ex = [math.exp(v) for v in row]
+    tot = B.clip(np.array(sum(ex)))
+    return [float(B.clip(np.array(e))) / float(tot) for e in ex]
+
+
+def _loop_forward(x, p):
+    T, C = len(x), len(x[0])
+    H, _, hs = p["query"].shape
+    mu = [sum(r) / C for r in x]
+    var = [sum((v - mu[t]) ** 2 for v in x[t]) / C for t in range(T)]
+    xh = [[x[t][c] - mu[t] / math.sqrt(var[t] + SMOL) for c in range(C)] for t in range(T)]
+    xl = [[p["ln_scale"][c] * xh[t][c] + p["ln_bias"][c] for c in range(C)] for t in range(T)]
+    proj = {n: [[[sum(xl[t][c] * p[n][h][c][s] for c in range(C)) for s in range(hs)]
+                 for t in range(T)] for h in range(H)] for n in ("query", "key", "value")}
+    A, O = [], [[0.0] * C for _ in range(T)]
+    for h in range(H):
+        q, k, v = proj["query"][h], proj["key"][h], proj["value"][h]
+        rows = []
+        for i in range(T):
+            sc = [(sum(q[i][s] * k[j][s] for s in range(hs)) if j <= i else -math.inf) / math.sqrt(hs)
+                  for j in range(T)]
+            rows.append(_sm(sc))
+        A.append(rows)
+        for i in range(T):
+            for s in range(hs):
+                O[i][h * hs + s] = sum(rows[i][j] * v[j][s] for j in range(T))
+    x1 = [[x[t][c] + sum(O[t][i] * p["atn_out"][i][c] for i in range(C)) for c in range(C)]
+          for t in range(T)]
+    Fd = len(p["ff1_b"])
+    h1 = [[sum(x1[t][c] * p["ff1"][c][f] for c in range(C)) + p["ff1_b"][f] for f in range(Fd)]
+          for t in range(T)]
+    act = [[v / float(B.clip(np.array(1 + math.exp(-GELU_K * v)))) for v in r] for r in h1]
+    x2 = [[x1[t][c] + sum(act[t][f] * p["ff2"][f][c] for f in range(Fd)) + p["ff2_b"][c]
+           for c in range(C)] for t in range(T)]
+    return np.array(x2), np.array(A), np.array(O), np.array(x1), np.array(act)
+
+
+def _params(rng, C=4, H=2, Fd=3):
+    hs = C // H
+    return {"ln_scale": rng.uniform(0.5, 1.5, C), "ln_bias": rng.uniform(-.2, .2, C),
+            "query": rng.uniform(-1, 1, (H, C, hs)), "key": rng.uniform(-1, 1, (H, C, hs)),
+            "value": rng.uniform(-1, 1, (H, C, hs)), "atn_out": rng.uniform(-1, 1, (C, C)),
+            "ff1": rng.uniform(-1, 1, (C, Fd)), "ff1_b": rng.uniform(-1, 1, Fd),
+            "ff2": rng.uniform(-1, 1, (Fd, C)), "ff2_b": rng.uniform(-1, 1, C)}
+
+
+def test_block_forward_matches_loops():
+    rng = np.random.default_rng(5)
+    p = _params(rng)
+    x = rng.uniform(-1, 1, (3, 4))
+    want, A, O, x1, act = _loop_forward(x.tolist(), p)
+    got, cache = B.block_forward(x, p)
+    assert np.allclose(got, want, atol=1e-12)
+    assert np.allclose(cache["a"], A) and np.allclose(cache["o"], O)
+    assert np.allclose(cache["x1"], x1) and np.allclose(cache["act"], act)
+
+
+def test_causal_mask_weights_are_smol_over_sum():
+    q = np.array([[[1.0], [2.0], [0.5]]])
+    k = np.array([[[0.3], [0.1], [0.2]]])
+    s = B.causal_scores(q, k)
+    assert np.isneginf(s[0, 0, 1]) and np.isneginf(s[0, 1, 2]) and not np.isinf(s[0, 2, 0])
+    a = B.softmax_rows(s)
+    first = math.exp(s[0, 0, 0])
+    assert a[0, 0, 1] == pytest.approx(SMOL / first) and a[0, 0, 0] == pytest.approx(1.0)
+
+
+def test_block_backward_matches_formula_sheet_loops():
+    rng = np.random.default_rng(6)
+    C, H, Fd, T = 4, 2, 3, 3
+    hs = C // H
+    p = _params(rng, C, H, Fd)
+    x = rng.uniform(-1, 1, (T, C))
+    g = rng.uniform(-1, 1, (T, C))
+    _, c = B.block_forward(x, p)
+    g_x, gr = B.block_backward(c, g, p)
+    act, h1, x1, o, a = c["act"], c["h1"], c["x1"], c["o"], c["a"]
+    q, k, v, mu, var, xh = c["q"], c["k"], c["v"], c["mu"], c["var"], c["x_hat"]
+    # feed-forward
+    assert np.allclose(gr["ff2"], [[sum(act[t][f] * g[t][j] for t in range(T)) for j in range(C)]
+                                   for f in range(Fd)])
+    gg = [[float(1.0 / B.clip(np.array(1 + math.exp(GELU_K * h1[t][f])))) for f in range(Fd)]
+          for t in range(T)]
+    g1 = [[sum(g[t][j] * p["ff2"][f][j] for j in range(C))
+           * gg[t][f] * (1 + GELU_K * h1[t][f] * (1 - gg[t][f])) for f in range(Fd)] for t in range(T)]
+    assert np.allclose(gr["ff1"], [[sum(x1[t][i] * g1[t][f] for t in range(T)) for f in range(Fd)]
+                                   for i in range(C)])
+    assert np.allclose(gr["ff1_b"], np.array(g1).sum(0))
+    gh = [[sum(g1[t][f] * p["ff1"][i][f] for f in range(Fd)) for i in range(C)] for t in range(T)]
+    assert np.allclose(gr["atn_out"], [[sum(o[t][i] * gh[t][j] for t in range(T)) for j in range(C)]
+                                       for i in range(C)])
+    go = [[sum(gh[t][j] * p["atn_out"][i][j] for j in range(C)) for i in range(C)] for t in range(T)]
+    gxl = np.zeros((T, C))
+    for h in range(H):
+        goh = [[go[t][h * hs + s] for s in range(hs)] for t in range(T)]
+        ga = [[sum(goh[i][s] * v[h][j][s] for s in range(hs)) for j in range(T)] for i in range(T)]
+        gv = [[sum(a[h][i][j] * goh[j][s] for j in range(T)) for s in range(hs)] for i in range(T)]
+        ata = [[sum(a[h][m][i] * ga[m][n] * a[h][n][j] for m in range(T) for n in range(T))
+                for j in range(T)] for i in range(T)]
+        gs = [[a[h][i][j] * (ga[i][j] - ata[i][j]) for j in range(T)] for i in range(T)]
+        gq = [[sum(gs[i][j] * k[h][j][s] for j in range(T)) for s in range(hs)] for i in range(T)]
+        gk = [[sum(gs[j][i] * q[h][j][s] for j in range(T)) for s in range(hs)] for i in range(T)]
+        for name, gm in (("query", gq), ("key", gk), ("value", gv)):
+            want = [[sum(x[t][i] * gm[t][s] for t in range(T)) for s in range(hs)] for i in range(C)]
+            assert np.allclose(gr[name][h], want)
+            for t in range(T):
+                for i in range(C):
+                    gxl[t][i] += sum(gm[t][s] * p[name][h][i][s] for s in range(hs))
+    assert np.allclose(gr["ln_scale"], (gxl * xh).sum(0))
+    assert np.allclose(gr["ln_bias"], gxl.sum(0))
+    gxh = gxl * p["ln_scale"]
+    for t in range(T):
+        ve = var[t] + SMOL
+        gvar = sum(gxh[t][i] * (x[t][i] - mu[t]) * -0.5 * ve ** -1.5 for i in range(C))
+        gmu = sum(-gxh[t][i] / math.sqrt(ve) for i in range(C)) \
+            + gvar * sum(-2 * (x[t][i] - mu[t]) / C for i in range(C))
+        for i in range(C):
+            want = gxh[t][i] / math.sqrt(ve) + 2 * gvar * (x[t][i] - mu[t]) / C + gmu / C
+            assert g_x[t][i] == pytest.approx(want, abs=1e-10)
+
+
+# --- Spark jobs against a dense per-sample evaluation ----------------------
+
+V_, C_, H_, F_ = 7, 8, 2, 5
+
+
+def _toy(spark, seed=1):
+    rng = np.random.default_rng(seed)
+    seqs = [(1, 0, rng.integers(0, V_, 9).tolist()), (2, 0, rng.integers(0, V_, 6).tolist()),
+            (2, 1, rng.integers(0, V_, 4).tolist()), (3, 0, rng.integers(0, V_, 5).tolist())]
+    rows = [(d, k, s[:-1], s[1:]) for d, k, s in seqs]
+    return rows, spark.createDataFrame(rows, "doc_id bigint, k int, x array<bigint>, y array<bigint>")
+
+
+def _dense_params(params):
+    p = {(r["tensor"], r["block"], r["row"]): np.array(r["vec"]) for r in params.collect()}
+    E = np.stack([p[("embed", -1, i)] for i in range(V_)])
+    U = np.stack([p[("unembed", -1, i)] for i in range(V_)]).T
+    return E, U, OB.load_blocks(params)
+
+
+def _dense_grads(rows, E, U, blocks):
+    """The reference's model backward on whole (T, V) matrices, per sample, summed."""
+    out = {}
+
+    def add(key, v):
+        out[key] = out.get(key, 0) + v
+    for _, _, x, y in rows:
+        xe = E[x]
+        xr, caches = B.forward(xe, blocks)
+        P = B.softmax_rows(xe @ U)
+        gz = P - np.eye(U.shape[1])[y]
+        gu = xr.T @ gz
+        for v in range(U.shape[1]):
+            add(("unembed", -1, v), gu[:, v])
+        ge, gb = B.backward(caches, gz @ U.T, blocks)
+        for t, tok in enumerate(x):
+            add(("embed", -1, tok), ge[t])
+        for b, g in enumerate(gb):
+            for name in B.BLOCK_TENSORS:
+                for i, r in enumerate(B.to_rows(name, g[name])):
+                    add((name, b, i), r)
+    return out
+
+
+@pytest.mark.parametrize("n_blocks", [0, 2])
+def test_block_gradients_match_dense(spark, n_blocks):
+    rows, samp = _toy(spark)
+    shape = training.ModelShape(vocab_size=V_, embed_dim=C_, n_blocks=n_blocks, n_heads=H_, ff_dim=F_)
+    params = training.init_params(spark, shape, 3).cache()
+    got = {(r["tensor"], r["block"], r["row"]): np.array(r["vec"])
+           for r in OB.block_gradients(samp.repartition(3), params).collect()}
+    want = _dense_grads(rows, *_dense_params(params))
+    assert set(got) == set(want)
+    for key in want:
+        assert np.allclose(got[key], want[key], atol=1e-12), key
+    if n_blocks == 0:      # same as the pair-count path of the block-free model
+        old = {(r["tensor"], r["block"], r["row"]): np.array(r["vec"]) for r in
+               training.batch_gradients(samples.pair_counts(samp).select("x", "y", "n"), params).collect()}
+        assert set(old) == set(got)
+        assert all(np.allclose(old[k], got[k]) for k in old)
+
+
+def test_extract_features_paths_agree(spark, monkeypatch):
+    rows, samp = _toy(spark)
+    shape = training.ModelShape(vocab_size=V_, embed_dim=C_, n_blocks=2, n_heads=H_, ff_dim=F_)
+    params = training.init_params(spark, shape, 4).cache()
+    embed = params.filter("tensor = 'embed'").select(F.col("row").alias("idx"), "vec")
+    E, _, blocks = _dense_params(params)
+    bc = {(r["doc_id"], r["k"], r["pos"]): np.array(r["vec"])
+          for r in OB.extract_features(samp.select("doc_id", "k", "x"), embed, params).collect()}
+    monkeypatch.setattr(OB, "MAX_EMBED_BROADCAST_DOUBLES", 0)      # force the join path
+    jn = {(r["doc_id"], r["k"], r["pos"]): np.array(r["vec"])
+          for r in OB.extract_features(samp.select("doc_id", "k", "x"), embed, params).collect()}
+    assert bc.keys() == jn.keys() and len(bc) == sum(len(r[2]) for r in rows)
+    for d, k, x, _ in rows:
+        want, _ = B.forward(E[x], blocks)
+        for t in range(len(x)):
+            assert np.allclose(bc[(d, k, t)], want[t]) and np.allclose(jn[(d, k, t)], want[t])
+
+
+def test_train_with_blocks_replays_direct(spark):
+    rows, samp = _toy(spark, seed=8)
+    Bsz, lr = 2, 0.05
+    shape = training.ModelShape(vocab_size=V_, embed_dim=C_, n_blocks=1, n_heads=H_, ff_dim=F_)
+    params = training.init_params(spark, shape, 9).cache()
+    E, U, blocks = _dense_params(params)
+    pc = samples.pair_counts(samp, ["doc_id", "k"])
+    bids = samples.limit_samples(samp.select("doc_id", "k"), 100, Bsz)
+    cfg = training.TrainConfig(batch_size=Bsz, lr=lr, max_norm=1.0)
+    new, metrics = training.train(pc, bids, params, cfg, samples=samp)
+    assert [r["batch_id"] for r in metrics.orderBy("batch_id").collect()] == [0, 1]
+    flat = {("embed", -1, i): E[i] for i in range(V_)}
+    flat.update({("unembed", -1, v): U[:, v] for v in range(V_)})
+    for name in B.BLOCK_TENSORS:
+        for i, r in enumerate(B.to_rows(name, blocks[0][name])):
+            flat[(name, 0, i)] = r
+    order = sorted(rows)
+    for batch in ([order[0]], order[1:3]):       # sample 0 alone, then samples 1-2
+        Ed = np.stack([flat[("embed", -1, i)] for i in range(V_)])
+        Ud = np.stack([flat[("unembed", -1, v)] for v in range(V_)]).T
+        bl = [{n: B.from_rows(n, np.stack([flat[(n, 0, i)] for i in range(len(B.to_rows(n, blocks[0][n])))]),
+                              H_) for n in B.BLOCK_TENSORS}]
+        g = {key: val / Bsz for key, val in _dense_grads(batch, Ed, Ud, bl).items()}
+        norm = math.sqrt(sum((v ** 2).sum() for v in g.values()))
+        c = 1.0 / max(norm, SMOL)
+        for key, val in g.items():
+            flat[key] = flat[key] - (val * c if c < 1 else val) * lr * Bsz
+    got = {(r["tensor"], r["block"], r["row"]): np.array(r["vec"]) for r in new.collect()}
+    assert set(got) == set(flat)
+    for key in flat:
+        assert np.allclose(got[key], flat[key], atol=1e-10), key

@@ -89,10 +89,10 @@ def test_validate_vectors(spark):
     assert counts == {"a": (1, 0), "b": (0, 1), "c": (0, 0)}
 
 
-def test_train_refuses_block_tensors(spark):
+def test_train_with_blocks_needs_samples(spark):
     shape = training.ModelShape(vocab_size=4, embed_dim=4, n_blocks=1, n_heads=2, ff_dim=3)
     p = training.init_params(spark, shape, 1)
     empty = spark.createDataFrame([], "doc_id bigint, k int, x bigint, y bigint, n bigint")
     ids = spark.createDataFrame([], "doc_id bigint, k int, batch_id bigint, complete boolean")
-    with pytest.raises(NotImplementedError):
+    with pytest.raises(ValueError, match="ordered samples"):
         training.train(empty, ids, p, training.TrainConfig())

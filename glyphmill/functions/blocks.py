@@ -28,17 +28,37 @@ BLOCK_TENSORS = ("ln_scale", "ln_bias", "query", "key", "value", "atn_out",
 
 
 def clip(a: np.ndarray) -> np.ndarray:
-    """C05 on arrays: tiny magnitudes (and NaN) raised to SMOL, huge ones lowered to BIGE."""
+    """C05 on arrays: tiny magnitudes (and NaN) raised to SMOL, huge ones lowered to BIGE.
+
+    The result takes the sign of ``a`` only when ``a < 0`` (so -0.0 and NaN give +SMOL).
+    """
     a = np.asarray(a, dtype=np.float64)
-    out = np.where(np.abs(a) > SMOL, a, np.where(a < 0, -SMOL, SMOL))
-    out = np.where(np.isnan(a), SMOL, out)
-    return np.where(np.abs(out) < BIGE, out, np.where(out < 0, -BIGE, BIGE))
+    flat = a.reshape(-1)
+    out = np.clip(np.abs(flat), SMOL, BIGE)
+    np.negative(out, out=out, where=flat < 0)
+    return _nan_to_smol(out).reshape(a.shape)
+
+
+def _nan_to_smol(out: np.ndarray) -> np.ndarray:
+    nan = np.isnan(out)
+    if nan.any():
+        out[nan] = SMOL
+    return out
+
+
+def _clip_exp(ex: np.ndarray) -> np.ndarray:
+    """``clip`` for results of ``exp`` (never negative), in place."""
+    np.clip(ex, SMOL, BIGE, out=ex)
+    return _nan_to_smol(ex)
 
 
 def softmax_rows(s: np.ndarray) -> np.ndarray:
     """P03 along the last axis: ``clip(exp(s)) / clip(sum(exp(s)))``."""
     ex = np.exp(s)
-    return clip(ex) / clip(ex.sum(axis=-1))[..., None]
+    total = clip(ex.sum(axis=-1))
+    ex = _clip_exp(ex)
+    ex /= total[..., None]
+    return ex
 
 
 def gelu(x: np.ndarray) -> np.ndarray:
@@ -54,7 +74,8 @@ def causal_scores(q: np.ndarray, k: np.ndarray) -> np.ndarray:
     """``q k^T`` per head with future positions (column > row) set to -inf."""
     s = q @ k.transpose(0, 2, 1)
     t = s.shape[-1]
-    return np.where(np.triu(np.ones((t, t), dtype=bool), 1), -np.inf, s)
+    np.copyto(s, -np.inf, where=np.triu(np.ones((t, t), dtype=bool), 1))
+    return s
 
 
 def block_forward(x: np.ndarray, p: dict) -> tuple[np.ndarray, dict]:
@@ -65,10 +86,10 @@ def block_forward(x: np.ndarray, p: dict) -> tuple[np.ndarray, dict]:
     var = x.var(axis=1)
     x_hat = x - (mu / np.sqrt(var + SMOL))[:, None]
     x_ln = p["ln_scale"] * x_hat + p["ln_bias"]
-    q = np.einsum("tc,hcs->hts", x_ln, p["query"])
-    k = np.einsum("tc,hcs->hts", x_ln, p["key"])
-    v = np.einsum("tc,hcs->hts", x_ln, p["value"])
-    a = softmax_rows(causal_scores(q, k) / clip(np.sqrt(float(hs))))
+    q, k, v = (x_ln[None] @ p[n] for n in ("query", "key", "value"))     # (H, T, hs)
+    s = causal_scores(q, k)
+    s /= clip(np.sqrt(float(hs)))
+    a = softmax_rows(s)
     o = (a @ v).transpose(1, 0, 2).reshape(t, c)        # heads concatenated per token
     x1 = x + o @ p["atn_out"]
     h1 = x1 @ p["ff1"] + p["ff1_b"]
@@ -96,12 +117,10 @@ def block_backward(cache: dict, g: np.ndarray, p: dict) -> tuple[np.ndarray, dic
     g_s = a * (g_a - a.transpose(0, 2, 1) @ g_a @ a)
     g_q = g_s @ k
     g_k = g_s.transpose(0, 2, 1) @ q
-    grads["query"] = np.einsum("tc,hts->hcs", xs, g_q)
-    grads["key"] = np.einsum("tc,hts->hcs", xs, g_k)
-    grads["value"] = np.einsum("tc,hts->hcs", xs, g_v)
-    g_xln = (np.einsum("hts,hcs->tc", g_q, p["query"])
-             + np.einsum("hts,hcs->tc", g_k, p["key"])
-             + np.einsum("hts,hcs->tc", g_v, p["value"]))
+    xs_t = xs.T[None]
+    grads["query"], grads["key"], grads["value"] = xs_t @ g_q, xs_t @ g_k, xs_t @ g_v
+    g_xln = (g_q @ p["query"].transpose(0, 2, 1) + g_k @ p["key"].transpose(0, 2, 1)
+             + g_v @ p["value"].transpose(0, 2, 1)).sum(axis=0)
     grads["ln_scale"] = (g_xln * cache["x_hat"]).sum(axis=0)
     grads["ln_bias"] = g_xln.sum(axis=0)
     g_xhat = g_xln * p["ln_scale"]

@@ -273,10 +273,16 @@ def expected_unembed(xs: DataFrame, embed: DataFrame, unembed: DataFrame) -> Dat
                                                   lambda a: a / zc).alias("mvec"))
 
 
-def _block_grad_fn(bc_blocks):
-    """Per sample: forward, backward; sums over the task's samples before emitting."""
+def _block_grad_fn(bc_blocks, bc_lookup=None):
+    """Per sample: forward, backward; sums over the task's samples before emitting.
+
+    With ``bc_lookup = (E, U, M, present)`` the sample rows are ``(x, y)`` arrays
+    and ``e = E[x]``, ``g = M[x] - U[y]`` are looked up here; otherwise each row
+    carries the joined ``rows`` array of ``(pos, x, y, e, g)`` structs.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = bc_blocks.value
+        lookup = bc_lookup.value if bc_lookup is not None else None
         acc = [None] * len(blocks)
         keyed = {"embed": {}, "_rsum": {}, "_ysum": {}}
 
@@ -291,14 +297,28 @@ def _block_grad_fn(bc_blocks):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            offs, fl = _struct_rows(batch.column("rows"), ["x", "y", "e", "g"])
+            if lookup is None:
+                offs, fl = _struct_rows(batch.column("rows"), ["x", "y", "e", "g"])
+            else:
+                offs, xs = _list_slices(batch.column("x"))
+                _, ys = _list_slices(batch.column("y"))
             for r in range(batch.num_rows):
                 lo, hi = int(offs[r]), int(offs[r + 1])
                 if hi == lo:
                     continue
-                x_ids, y_ids = fl["x"][lo:hi], fl["y"][lo:hi]
-                xr, caches = B.forward(fl["e"][lo:hi], blocks)
-                g_e, gb = B.backward(caches, fl["g"][lo:hi], blocks)
+                if lookup is None:
+                    x_ids, y_ids = fl["x"][lo:hi], fl["y"][lo:hi]
+                    e, g_h = fl["e"][lo:hi], fl["g"][lo:hi]
+                else:
+                    emat, umat, mmat, ok = lookup
+                    x_ids, y_ids = xs[lo:hi].astype(np.int64), ys[lo:hi].astype(np.int64)
+                    both = np.concatenate([x_ids, y_ids])
+                    if both.min() < 0 or both.max() >= len(ok) or not ok[x_ids].all() \
+                            or not ok[y_ids].all():
+                        raise ValueError("token id without a model row")
+                    e, g_h = emat[x_ids], mmat[x_ids] - umat[y_ids]
+                xr, caches = B.forward(e, blocks)
+                g_e, gb = B.backward(caches, g_h, blocks)
                 for b in range(len(blocks)):
                     acc[b] = gb[b] if acc[b] is None else {t: acc[b][t] + gb[b][t] for t in gb[b]}
                 add("embed", x_ids, g_e)
@@ -323,6 +343,23 @@ def _block_grad_fn(bc_blocks):
     return run
 
 
+def _lookup_tables(embed: DataFrame, unembed: DataFrame, zm: DataFrame):
+    """(E, U, M, present) as dense arrays when E is under the broadcast bound, else None.
+
+    U has E's row range (both are V x C) and M has at most one row per id.
+    """
+    et = _embed_matrix(embed)
+    if et is None:
+        return None
+    ut = _embed_matrix(unembed)
+    if ut is None or ut[0].shape != et[0].shape:
+        return None
+    mmat = np.zeros_like(et[0])
+    for r in zm.select("x", "mvec").collect():          # distinct x of the batch, <= V rows
+        mmat[r["x"]] = r["mvec"]
+    return et[0], ut[0], mmat, et[1] & ut[1]
+
+
 def _unembed_grad_fn(bc, lo: int, width: int):
     """``sum_x R(x) p(.|x)`` for one chunk of U columns, summed over the task's rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,11 +385,13 @@ def _unembed_grad_fn(bc, lo: int, width: int):
 
 
 def block_gradients(batch_samples: DataFrame, params: DataFrame, zm: DataFrame | None = None,
-                    keys: list[str] | None = None) -> DataFrame:
+                    keys: list[str] | None = None, parallelism: int | None = None) -> DataFrame:
     """M04-M06 for one batch through the attention blocks: summed ``(tensor, block, row, vec)``.
 
     ``batch_samples(keys, x, y)`` in model ids; ``zm`` may carry the batch's
-    ``expected_unembed`` rows.
+    ``expected_unembed`` rows.  The samples are hash-spread over ``parallelism``
+    tasks (default: the session's), since a batch read from the batch-sorted
+    table sits in one split.
     """
     from glyphmill.session import cut_lineage
     keys = keys or ["doc_id", "k"]
@@ -364,13 +403,25 @@ def block_gradients(batch_samples: DataFrame, params: DataFrame, zm: DataFrame |
     if zm is None:
         zm = expected_unembed(pos.select("x"), embed, unembed)
     e = embed.select(F.col("idx").alias("x"), F.col("vec").alias("e"))
-    u = unembed.select(F.col("idx").alias("y"), F.col("vec").alias("uy"))
-    g = (pos.join(e, "x").join(zm.select("x", "mvec"), "x").join(u, "y")
-         .withColumn("g", F.zip_with("mvec", "uy", lambda a, b: a - b)))
-    per_sample = g.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("pos", "x", "y", "e", "g"))).alias("rows"))
-    raw = cut_lineage(per_sample.mapInArrow(_block_grad_fn(spark.sparkContext.broadcast(
-        load_blocks(params))), GRAD_SCHEMA))
+    sc = spark.sparkContext
+    bc_blocks = sc.broadcast(load_blocks(params))
+    lookup = _lookup_tables(embed, unembed, zm)
+    if lookup is not None:
+        # E, U and M are each bounded by V x C (checked): no per-position join or shuffle
+        # a fixed-count repartition: AQE does not coalesce it back into one task
+        per_sample = batch_samples.select(
+            *keys, F.col("x").cast("array<bigint>").alias("x"),
+            F.col("y").cast("array<bigint>").alias("y")).repartition(
+                parallelism or sc.defaultParallelism, *keys)
+        fn = _block_grad_fn(bc_blocks, sc.broadcast(lookup))
+    else:
+        u = unembed.select(F.col("idx").alias("y"), F.col("vec").alias("uy"))
+        g = (pos.join(e, "x").join(zm.select("x", "mvec"), "x").join(u, "y")
+             .withColumn("g", F.zip_with("mvec", "uy", lambda a, b: a - b)))
+        per_sample = g.groupBy(*keys).agg(
+            F.sort_array(F.collect_list(F.struct("pos", "x", "y", "e", "g"))).alias("rows"))
+        fn = _block_grad_fn(bc_blocks)
+    raw = cut_lineage(per_sample.mapInArrow(fn, GRAD_SCHEMA))
     rsum = (raw.filter(F.col("tensor") == "_rsum")
             .select(F.col("row").alias("x"), F.col("vec").alias("rvec"))
             .join(e.withColumnRenamed("e", "evec"), "x").join(zm.select("x", "zsum"), "x"))

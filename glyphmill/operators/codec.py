@@ -183,3 +183,51 @@ def model_vocab(encoded: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     codes = (encoded.select(F.explode_outer(F.array_distinct(tokens_col)).alias("code"))
              .filter(F.col("code").isNotNull()).distinct())
     return codes.withColumn("tok_idx", F.row_number().over(Window.orderBy("code")) - 1)
+
+
+MAX_ID_TABLE = 5_000_000   # entries of a code -> model id table broadcast to tasks
+
+
+def _map_ids_fn(bc, tokens_col: str, keep: list[str]):
+    import numpy as np
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, ids = bc.value
+        for batch in batches:
+            col = batch.column(tokens_col)
+            vals = col.values.to_numpy(zero_copy_only=False)
+            at = np.searchsorted(codes, vals)
+            at = np.minimum(at, max(len(codes) - 1, 0))
+            if len(vals) and (len(codes) == 0 or not (codes[at] == vals).all()):
+                raise ValueError("token code without a model id")
+            mapped = pa.ListArray.from_arrays(col.offsets, pa.array(ids[at], pa.int64()),
+                                              mask=col.is_null())
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + [mapped],
+                                             names=keep + [tokens_col])
+    return run
+
+
+def map_tokens(df: DataFrame, ids: DataFrame, tokens_col: str = "tokens") -> DataFrame:
+    """Token arrays of codes -> arrays of dense model ids from ``ids(code, tok_idx)``.
+
+    The id table is at most (chars seen + vocab size) rows; under ``MAX_ID_TABLE``
+    it is broadcast as two sorted arrays and looked up per Arrow batch (no
+    shuffle).  Above that the positions are joined to it and regrouped per row.
+    """
+    import numpy as np
+    spark = df.sparkSession
+    ensure_worker_import(spark)
+    keep = [c for c in df.columns if c != tokens_col]
+    n = ids.count()
+    if n <= MAX_ID_TABLE:
+        rows = ids.select("code", "tok_idx").orderBy("code").collect()
+        codes = np.array([r[0] for r in rows], dtype=np.int64)
+        vals = np.array([r[1] for r in rows], dtype=np.int64)
+        bc = spark.sparkContext.broadcast((codes, vals))
+        return df.mapInArrow(_map_ids_fn(bc, tokens_col, keep),
+                             _schema_with(df, keep, f"`{tokens_col}` array<bigint>"))
+    pos = (df.select(*keep, F.posexplode_outer(tokens_col).alias("_pos", "code"))
+           .filter(F.col("_pos").isNotNull()).join(ids, "code"))
+    back = pos.groupBy(*keep).agg(
+        F.sort_array(F.collect_list(F.struct("_pos", "tok_idx"))).alias("_t"))
+    return back.select(*keep, F.col("_t.tok_idx").cast("array<bigint>").alias(tokens_col))

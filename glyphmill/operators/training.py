@@ -244,6 +244,7 @@ def train(per_sample_pairs: DataFrame, batch_ids: DataFrame, params: DataFrame,
     pairs_tbl = write_training_pairs(per_sample_pairs, applied)
     samples_tbl = (write_training_pairs(samples.select("doc_id", "k", "x", "y"), applied)
                    if has_blocks else None)
+    spread = spark.sparkContext.defaultParallelism
     n_batches = pairs_tbl.agg(F.max("batch_id")).first()[0]
     n_batches = -1 if n_batches is None else int(n_batches)
     if cfg.max_batches is not None:
@@ -271,7 +272,7 @@ def train(per_sample_pairs: DataFrame, batch_ids: DataFrame, params: DataFrame,
             val = vl.agg(F.avg("loss")).first()[0]
         if has_blocks:
             raw = blk.block_gradients(samples_tbl.filter(F.col("batch_id") == b).drop("batch_id"),
-                                      params, zm)
+                                      params, zm, parallelism=min(cfg.batch_size, spread))
         else:
             raw = batch_gradients(batch_pairs, params, z)
         grads = cut_lineage(vector_ops.scale_vectors(raw, 1.0 / cfg.batch_size))

@@ -683,6 +683,58 @@ def q_train_rounds(spark, d):
     return metrics.drop("seconds")
 
 
+# ---------------------------------------------------------------------------
+# Attention blocks (M03, M04 through blocks): the corpus model above plus one
+# block (feed-forward 128 as in the reference).  Two heads: the backward's
+# A^T g_a A product costs T^3 per head and sample (T = 1,000); the library
+# takes any head count that divides the width.
+
+BLOCK_SHAPE = dict(n_blocks=1, n_heads=2, ff_dim=128)
+
+
+def _block_model(spark, d):
+    """Windows in model ids, and a parameter table: embeddings (tied) + seeded blocks."""
+    from glyphmill.operators import training
+    toks, mv, emb = _model(spark, d)
+    ids = _token_ids(toks, mv)
+    wins = samples.sample_windows(ids, SAMPLE_SIZE, SEED)
+    shape = training.ModelShape(vocab_size=mv.count(), embed_dim=TRAIN_EMBED, **BLOCK_SHAPE)
+    blocks = training.init_params(spark, shape, SEED).filter(F.col("block") >= 0)
+    tied = [emb.select(F.lit(t).alias("tensor"), F.lit(-1).alias("block"),
+                       F.col("idx").alias("row"), "vec") for t in ("embed", "unembed")]
+    params = tied[0].unionByName(tied[1]).unionByName(blocks)
+    return ids, wins, emb, params
+
+
+def _token_ids(toks, mv):
+    """Token arrays of character codes -> arrays of model ids (bounded code table)."""
+    from glyphmill.operators import codec
+    return codec.map_tokens(toks, mv.select("code", "tok_idx"))
+
+
+def q_block_features(spark, d):
+    """Every window through the block; per-window digest of x_refined."""
+    from glyphmill.operators import blocks
+    _, wins, emb, params = _block_model(spark, d)
+    feats = blocks.extract_features(wins.select("doc_id", "k", "x"), emb, params)
+    return feats.groupBy("doc_id", "k").agg(
+        F.count(F.lit(1)).alias("n_pos"), _r(F.sum(V.vec_sum(F.col("vec")))).alias("s1"))
+
+
+def q_train_block_rounds(spark, d):
+    """M04 through the block inside the M11 loop; per-batch metrics."""
+    from glyphmill.operators import training
+    ids, wins, _, params = _block_model(spark, d)
+    wins = wins.persist()
+    per_sample = samples.pair_counts(wins, ["doc_id", "k"])
+    batch_ids = samples.limit_samples(wins.select("doc_id", "k"), N_SAMPLES, TRAIN_BATCH)
+    val = samples.validation_set(ids, TRAIN_BATCH, SAMPLE_SIZE, SEED)
+    cfg = training.TrainConfig(batch_size=TRAIN_BATCH, lr=LR, max_norm=MAX_NORM)
+    _, metrics = training.train(per_sample, batch_ids, params, cfg,
+                                samples.pair_counts(val, ["doc_id"]), samples=wins)
+    return metrics.drop("seconds")
+
+
 # ---------------------------------------------------------------------------
 # Second corpus with a composite key, held-out scoring, per-sample log
 
@@ -809,6 +861,8 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "vocab_resolve": q_vocab_resolve,
         "init_params": q_init_params,
         "train_rounds": q_train_rounds,
+        "block_features": q_block_features,
+        "train_block_rounds": q_train_block_rounds,
         "conversation_turn_bigrams": q_conversation_turn_bigrams,
         "benchmark_loss": q_benchmark_loss,
         "sample_log": q_sample_log,

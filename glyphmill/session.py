@@ -88,7 +88,7 @@ _PKG_PARENT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def ensure_worker_import(spark: SparkSession) -> None:
-    """Let Python workers import this package (needed by the Arrow jobs).
+    """Let Python workers import this package (needed by the Arrow jobs), one BLAS thread per task cpu.
 
     Adds the package's parent folder to the PYTHONPATH handed to Python workers.
     On a cluster the package is normally shipped with ``--py-files``; this only
@@ -99,3 +99,9 @@ def ensure_worker_import(spark: SparkSession) -> None:
     parts = [p for p in current.split(os.pathsep) if p]
     if _PKG_PARENT not in parts:
         env["PYTHONPATH"] = os.pathsep.join([_PKG_PARENT] + parts)
+    # One task per core: NumPy's BLAS inside a task gets the task's cores
+    # (spark.task.cpus), not every core of the machine, unless the user chose.
+    task_cpus = spark.conf.get("spark.task.cpus", "1") or "1"
+    for var in ("OPENBLAS_NUM_THREADS", "OMP_NUM_THREADS", "MKL_NUM_THREADS"):
+        if var not in env and var not in os.environ:
+            env[var] = task_cpus

@@ -180,8 +180,10 @@ def _dense_grads(rows, E, U, blocks):
     return out
 
 
-@pytest.mark.parametrize("n_blocks", [0, 2])
-def test_block_gradients_match_dense(spark, n_blocks):
+@pytest.mark.parametrize("n_blocks,join_path", [(0, False), (2, False), (2, True)])
+def test_block_gradients_match_dense(spark, monkeypatch, n_blocks, join_path):
+    if join_path:
+        monkeypatch.setattr(OB, "MAX_EMBED_BROADCAST_DOUBLES", 0)
     rows, samp = _toy(spark)
     shape = training.ModelShape(vocab_size=V_, embed_dim=C_, n_blocks=n_blocks, n_heads=H_, ff_dim=F_)
     params = training.init_params(spark, shape, 3).cache()

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from glyphmill.operators import codec, nseq, samples, scoring  # noqa: E402
 from glyphmill.operators.vocab import train_vocab  # noqa: E402
 from glyphmill.plans import queries as Q  # noqa: E402
-from glyphmill.session import local_session  # noqa: E402
+from glyphmill.session import cut_lineage, local_session  # noqa: E402
 from glyphmill.sources.corpus import read_corpus  # noqa: E402
 
 
@@ -56,6 +56,15 @@ def main():
     timed("batch_metrics", lambda: run(Q.q_batch_metrics(spark, sf_dir)))
     timed("vector_layernorm", lambda: run(Q.registry()["vector_layernorm"](spark, sf_dir)))
     timed("clip_by_norm", lambda: run(Q.q_clip_by_norm(spark, sf_dir)))
+    # one gradient round through the attention block (M03 + M04), reference batch size 10
+    from glyphmill.operators import blocks
+    _, wins, _, params = Q._block_model(spark, sf_dir)
+    lim = samples.limit_samples(wins.select("doc_id", "k"), Q.N_SAMPLES, samples.BATCH_SIZE)
+    batch = wins.join(lim.filter("batch_id = 1").select("doc_id", "k"), ["doc_id", "k"])
+    # as in the training loop, the round starts from the batch's stored samples
+    batch = cut_lineage(batch.select("doc_id", "k", "x", "y"))
+    timed("block_gradient_round", lambda: run(blocks.block_gradients(
+        batch, params, parallelism=samples.BATCH_SIZE)))
 
     total = round(sum(times.values()), 3)
     out = {
@@ -68,6 +77,8 @@ def main():
         "corpus_bytes": int(n_bytes or 0),
         "bigram_bytes_per_sec": round((n_bytes or 0) / max(times["bigram_counts"], 1e-9)),
         "encode_bytes_per_sec": round((n_bytes or 0) / max(times["encode_corpus"], 1e-9)),
+        "block_grad_samples_per_sec": round(samples.BATCH_SIZE
+                                            / max(times["block_gradient_round"], 1e-9), 3),
     }
     print(json.dumps(out))
 

@@ -52,22 +52,19 @@ GRAD_SCHEMA = "tensor string, block int, row bigint, vec array<double>"
 # ---------------------------------------------------------------------------
 # Parameters
 
-def _width(params: DataFrame) -> int:
-    return int(params.filter(F.col("tensor") == "ln_scale").agg(F.max(F.size("vec"))).first()[0])
-
-
 def load_blocks(params: DataFrame) -> list[dict]:
     """Block tensors as NumPy arrays, one dict per block, after a size check."""
     blk = params.filter(F.col("block") >= 0)
     st = blk.agg(F.count(F.lit(1)).alias("rows"),
                  F.coalesce(F.sum(F.size("vec")), F.lit(0)).alias("vals"),
-                 F.max("block").alias("top")).first()
+                 F.max("block").alias("top"),
+                 F.max(F.when(F.col("tensor") == "ln_scale", F.size("vec"))).alias("width")).first()
     if not st["rows"]:
         return []
     if st["vals"] > MAX_BLOCK_DOUBLES:
         raise ValueError(f"block tensors hold {st['vals']} values, above the broadcast bound "
                          f"{MAX_BLOCK_DOUBLES}")
-    width = _width(params)
+    width = int(st["width"])
     n_blocks = int(st["top"]) + 1
     parts: dict[tuple[int, str], dict[int, list]] = {}
     # bounded above (model size, not data): safe to bring to the driver
@@ -240,7 +237,10 @@ def _mean_fn(bc, lo: int):
 
 
 def _unembed_chunks(spark, unembed: DataFrame):
-    """Yield (lo, width, broadcast (C, width) chunk) of U, each at most MAX_CHUNK_DOUBLES."""
+    """Yield (lo, width, broadcast (C, width) chunk) of U, each at most MAX_CHUNK_DOUBLES.
+
+    The softmax runs over every id, so unembedding ids must be dense.
+    """
     st = unembed.agg(F.min("idx"), F.max("idx"), F.max(F.size("vec"))).first()
     if st[0] is None:
         raise ValueError("empty unembedding table")
@@ -249,20 +249,27 @@ def _unembed_chunks(spark, unembed: DataFrame):
     for lo in range(lo_all, hi_all + 1, width):
         hi = min(lo + width - 1, hi_all)
         rows = unembed.filter((F.col("idx") >= lo) & (F.col("idx") <= hi)).collect()
+        if len(rows) != hi - lo + 1:
+            raise ValueError("unembedding ids must be dense")
         mat = np.zeros((c, hi - lo + 1), dtype=np.float64)
         for r in rows:
             mat[:, r["idx"] - lo] = r["vec"]
         yield lo, hi - lo + 1, spark.sparkContext.broadcast(mat)
 
 
-def expected_unembed(xs: DataFrame, embed: DataFrame, unembed: DataFrame) -> DataFrame:
-    """Per distinct current token: ``(x, zsum, mvec)`` with ``mvec = sum_v p(v|x) U[:, v]``."""
+def expected_unembed(xs: DataFrame, embed: DataFrame, unembed: DataFrame,
+                     chunks: list | None = None) -> DataFrame:
+    """Per distinct current token: ``(x, zsum, mvec)`` with ``mvec = sum_v p(v|x) U[:, v]``.
+
+    ``chunks`` may pass the round's already-broadcast chunks of U.
+    """
     spark = xs.sparkSession
     ensure_worker_import(spark)
     xv = xs.select("x").distinct().join(
         embed.select(F.col("idx").alias("x"), F.col("vec").alias("evec")), "x")
+    chunks = chunks if chunks is not None else list(_unembed_chunks(spark, unembed))
     parts = [xv.mapInArrow(_mean_fn(bc, lo), "x bigint, zsum double, num array<double>")
-             for lo, _, bc in _unembed_chunks(spark, unembed)]
+             for lo, _, bc in chunks]
     allp = parts[0]
     for p in parts[1:]:
         allp = allp.unionByName(p)
@@ -343,17 +350,20 @@ def _block_grad_fn(bc_blocks, bc_lookup=None):
     return run
 
 
-def _lookup_tables(embed: DataFrame, unembed: DataFrame, zm: DataFrame):
+def _lookup_tables(embed: DataFrame, chunks: list, zm: DataFrame):
     """(E, U, M, present) as dense arrays when E is under the broadcast bound, else None.
 
-    U has E's row range (both are V x C) and M has at most one row per id.
+    U is taken from the round's broadcast chunk when one chunk starting at id 0
+    holds all of it with E's shape (both are V x C); M has at most one row per id.
     """
     et = _embed_matrix(embed)
-    if et is None:
+    if et is None or len(chunks) != 1 or chunks[0][0] != 0:
         return None
-    ut = _embed_matrix(unembed)
-    if ut is None or ut[0].shape != et[0].shape:
+    lo, width, bc = chunks[0]
+    umat = bc.value.T
+    if umat.shape != et[0].shape:
         return None
+    ut = (umat, np.ones(width, dtype=bool))
     mmat = np.zeros_like(et[0])
     for r in zm.select("x", "mvec").collect():          # distinct x of the batch, <= V rows
         mmat[r["x"]] = r["mvec"]
@@ -400,12 +410,13 @@ def block_gradients(batch_samples: DataFrame, params: DataFrame, zm: DataFrame |
     embed = params.filter(F.col("tensor") == "embed").select(F.col("row").alias("idx"), "vec")
     unembed = params.filter(F.col("tensor") == "unembed").select(F.col("row").alias("idx"), "vec")
     pos = _sample_rows(batch_samples, keys, ["x", "y"])
-    if zm is None:
-        zm = expected_unembed(pos.select("x"), embed, unembed)
+    chunks = list(_unembed_chunks(spark, unembed))
+    if zm is None:     # read twice below (lookup and unembedding gradient)
+        zm = cut_lineage(expected_unembed(pos.select("x"), embed, unembed, chunks))
     e = embed.select(F.col("idx").alias("x"), F.col("vec").alias("e"))
     sc = spark.sparkContext
     bc_blocks = sc.broadcast(load_blocks(params))
-    lookup = _lookup_tables(embed, unembed, zm)
+    lookup = _lookup_tables(embed, chunks, zm)
     if lookup is not None:
         # E, U and M are each bounded by V x C (checked): no per-position join or shuffle
         # a fixed-count repartition: AQE does not coalesce it back into one task
@@ -429,7 +440,7 @@ def block_gradients(batch_samples: DataFrame, params: DataFrame, zm: DataFrame |
              raw.filter(F.col("tensor") == "_ysum").select(
                  F.lit("unembed").alias("tensor"), "block", "row",
                  F.transform("vec", lambda a: -a).alias("vec"))]
-    for lo, width, bc in _unembed_chunks(spark, unembed):
+    for lo, width, bc in chunks:
         parts.append(rsum.mapInArrow(_unembed_grad_fn(bc, lo, width), GRAD_SCHEMA))
     allp = parts[0]
     for p in parts[1:]:

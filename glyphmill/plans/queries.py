@@ -109,7 +109,7 @@ def q_trigram_counts(spark, d):
     return nseq.nseq_counts(_docs(spark, d), 3)
 
 
-def _sql_nseq(n: int, scope_doc: bool = False) -> str:
+def _sql_nseq(n: int, scope_doc: bool = False, min_count: int = 2) -> str:
     expr = " || ".join(f"cs[i + {j}]" for j in range(n))
     key = "doc_id, " if scope_doc else ""
     return f"""
@@ -118,10 +118,15 @@ WITH d AS (SELECT doc_id, string_split(text, '') AS cs FROM documents
 w AS (SELECT {key}unnest(list_transform(range(1, len(cs) - {n - 2}), lambda i: {expr})) AS nseq
       FROM d)
 SELECT {key}nseq, count(*)::BIGINT AS cnt FROM w GROUP BY {key}nseq
-HAVING count(*) > 1 AND regexp_full_match(nseq, '{LEGAL_SQL}')
+HAVING count(*) >= {min_count} AND regexp_full_match(nseq, '{LEGAL_SQL}')
 """
 
 
+def q_legal_bigrams(spark, d):
+    """T03 + T04: every legal character bigram with its count (no repeat threshold)."""
+    return nseq.nseq_counts(_docs(spark, d), 2, min_count=1)
+
+
 def q_doc_bigrams(spark, d):
     return nseq.nseq_counts(_docs(spark, d), 2, scope="doc")
 
@@ -552,6 +557,22 @@ def q_validation_loss(spark, d):
     return losses.agg(_r(F.avg("loss")).alias("val_loss"), F.count(F.lit(1)).alias("n_val"))
 
 
+def q_embed_scatter_add(spark, d):
+    """Next-token embedding rows scatter-added by current token over every window position.
+
+    Pairs are counted first (partial aggregate), so each distinct (x, y) adds
+    ``n * E[y]`` once; the vector sum per x is a partial + final aggregate.
+    """
+    toks, mv, emb = _model(spark, d)
+    wins = samples.sample_windows(toks, SAMPLE_SIZE, SEED)
+    pc = _to_idx(samples.pair_counts(wins), mv, ["x", "y"])
+    rows = pc.join(emb.select(F.col("idx").alias("y"), "vec"), "y").select(
+        "x", V.scale_vec(F.col("vec"), F.col("n").cast("double")).alias("vec"))
+    summed = vector_ops.sum_vectors(rows, ["x"], "vec", "v")
+    back = summed.join(mv.select(F.col("tok_idx").alias("x"), "code"), "x")
+    return back.select(F.col("code").alias("x"), *_digest())
+
+
 def _sql_model() -> str:
     return f"""{_sql_windows()},
 mv AS (SELECT code, (row_number() OVER (ORDER BY code) - 1)::BIGINT AS idx
@@ -559,6 +580,19 @@ mv AS (SELECT code, (row_number() OVER (ORDER BY code) - 1)::BIGINT AS idx
 E AS (SELECT vec_id AS idx, embedding::DOUBLE[] AS e FROM embeddings)"""
 
 
+def _sql_embed_scatter_add() -> str:
+    return f"""
+WITH {_sql_model()},
+p AS (SELECT unnest(x) AS x, unnest(y) AS y FROM sw),
+pc AS (SELECT p.x, my.idx AS yi, count(*)::BIGINT AS n
+       FROM p JOIN mv my ON my.code = p.y GROUP BY 1, 2),
+el AS (SELECT pc.x, i, sum(pc.n * E.e[i]) AS v
+       FROM pc JOIN E ON E.idx = pc.yi, range(1, len(E.e) + 1) r(i) GROUP BY pc.x, i),
+agg AS (SELECT x, list(v ORDER BY i) AS v FROM el GROUP BY x)
+SELECT x, {_sql_digest('v')} FROM agg
+"""
+
+
 def _sql_terms(pairs: str) -> str:
     """pairs: a CTE name with columns xi, yi."""
     return f"""xs AS (SELECT DISTINCT xi FROM {pairs}),
@@ -828,6 +862,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bigram_counts": q_bigram_counts,
         "trigram_counts": q_trigram_counts,
         "doc_bigrams": q_doc_bigrams,
+        "legal_bigrams": q_legal_bigrams,
         "top_bigrams": q_top_bigrams,
         "segment_counts": q_segment_counts,
         "first_round_vocab": q_first_round_vocab,
@@ -852,6 +887,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "global_norm": q_global_norm,
         "clip_by_norm": q_clip_by_norm,
         "apply_update": q_apply_update,
+        "embed_scatter_add": q_embed_scatter_add,
         "embedding_lookup": q_embedding_lookup,
         "next_token": q_next_token,
         "pair_loss": q_pair_loss,
@@ -878,6 +914,7 @@ def oracle() -> dict[str, str]:
         "bigram_counts": _sql_nseq(2),
         "trigram_counts": _sql_nseq(3),
         "doc_bigrams": _sql_nseq(2, scope_doc=True),
+        "legal_bigrams": _sql_nseq(2, min_count=1),
         "top_bigrams": SQL_TOP_BIGRAMS,
         "segment_counts": SQL_SEGMENT_COUNTS,
         "first_round_vocab": SQL_FIRST_ROUND_VOCAB,
@@ -899,6 +936,7 @@ def oracle() -> dict[str, str]:
         "global_norm": SQL_GLOBAL_NORM,
         "clip_by_norm": SQL_CLIP_BY_NORM,
         "apply_update": SQL_APPLY_UPDATE,
+        "embed_scatter_add": _sql_embed_scatter_add(),
         "embedding_lookup": SQL_EMBEDDING_LOOKUP,
         "next_token": SQL_NEXT_TOKEN,
         "pair_loss": SQL_PAIR_LOSS,

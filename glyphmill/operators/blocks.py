@@ -179,6 +179,12 @@ def _features_fn(bc_blocks, bc_embed, keys: list[str]):
     return run
 
 
+def _required(col: str, what: str):
+    """The column, or a task error when a lookup found no row (the reference panics too)."""
+    return F.when(F.col(col).isNull(), F.raise_error(F.lit(f"token id without {what}"))) \
+        .otherwise(F.col(col))
+
+
 def _sample_rows(samples: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """Positions of each sample's ``x`` (and ``y``) as ``(keys, pos, x[, y])``."""
     zipped = F.arrays_zip(*[F.col(c) for c in cols])
@@ -209,7 +215,8 @@ def extract_features(samples: DataFrame, embed: DataFrame, params: DataFrame,
         return (samples.select(*keys, F.col("x").cast("array<bigint>").alias("x"))
                 .mapInArrow(_features_fn(bc_blocks, sc.broadcast(table), keys), schema))
     pos = _sample_rows(samples, keys, ["x"]).withColumnRenamed("x", "idx")
-    joined = pos.join(embed.select("idx", F.col("vec").cast("array<double>").alias("vec")), "idx")
+    joined = pos.join(embed.select("idx", F.col("vec").cast("array<double>").alias("vec")),
+                      "idx", "left").withColumn("vec", _required("vec", "an embedding row"))
     grouped = joined.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("pos", "vec"))).alias("rows"))
     return grouped.mapInArrow(_features_fn(bc_blocks, None, keys), schema)
@@ -427,8 +434,12 @@ def block_gradients(batch_samples: DataFrame, params: DataFrame, zm: DataFrame |
         fn = _block_grad_fn(bc_blocks, sc.broadcast(lookup))
     else:
         u = unembed.select(F.col("idx").alias("y"), F.col("vec").alias("uy"))
-        g = (pos.join(e, "x").join(zm.select("x", "mvec"), "x").join(u, "y")
-             .withColumn("g", F.zip_with("mvec", "uy", lambda a, b: a - b)))
+        g = (pos.join(e, "x", "left").join(zm.select("x", "mvec"), "x", "left")
+             .join(u, "y", "left")
+             .withColumn("e", _required("e", "an embedding row"))
+             .withColumn("g", F.zip_with(_required("mvec", "an expected column"),
+                                         _required("uy", "an unembedding row"),
+                                         lambda a, b: a - b)))
         per_sample = g.groupBy(*keys).agg(
             F.sort_array(F.collect_list(F.struct("pos", "x", "y", "e", "g"))).alias("rows"))
         fn = _block_grad_fn(bc_blocks)

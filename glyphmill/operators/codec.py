@@ -226,8 +226,11 @@ def map_tokens(df: DataFrame, ids: DataFrame, tokens_col: str = "tokens") -> Dat
         bc = spark.sparkContext.broadcast((codes, vals))
         return df.mapInArrow(_map_ids_fn(bc, tokens_col, keep),
                              _schema_with(df, keep, f"`{tokens_col}` array<bigint>"))
+    # posexplode_outer keeps rows with empty arrays (null position, skipped by collect_list)
     pos = (df.select(*keep, F.posexplode_outer(tokens_col).alias("_pos", "code"))
-           .filter(F.col("_pos").isNotNull()).join(ids, "code"))
-    back = pos.groupBy(*keep).agg(
-        F.sort_array(F.collect_list(F.struct("_pos", "tok_idx"))).alias("_t"))
+           .join(ids.select("code", "tok_idx"), "code", "left"))
+    item = (F.when(F.col("_pos").isNull(), F.lit(None))
+            .when(F.col("tok_idx").isNull(), F.raise_error(F.lit("token code without a model id")))
+            .otherwise(F.struct("_pos", "tok_idx")))
+    back = pos.groupBy(*keep).agg(F.sort_array(F.collect_list(item)).alias("_t"))
     return back.select(*keep, F.col("_t.tok_idx").cast("array<bigint>").alias(tokens_col))

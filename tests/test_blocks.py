@@ -249,3 +249,36 @@ def test_train_with_blocks_replays_direct(spark):
     assert set(got) == set(flat)
     for key in flat:
         assert np.allclose(got[key], flat[key], atol=1e-10), key
+
+
+def test_map_tokens_paths_agree_and_reject_unknown(spark, monkeypatch):
+    from glyphmill.operators import codec
+    df = spark.createDataFrame([(1, [104, 105, 104]), (2, []), (3, [33])],
+                               "doc_id bigint, tokens array<bigint>")
+    ids = spark.createDataFrame([(33, 0), (104, 1), (105, 2)], "code bigint, tok_idx int")
+    got = {r["doc_id"]: r["tokens"] for r in codec.map_tokens(df, ids).collect()}
+    assert got == {1: [1, 2, 1], 2: [], 3: [0]}
+    monkeypatch.setattr(codec, "MAX_ID_TABLE", 0)                 # force the join path
+    joined = {r["doc_id"]: r["tokens"] for r in codec.map_tokens(df, ids).collect()}
+    assert joined == got
+    bad = spark.createDataFrame([(4, [999])], "doc_id bigint, tokens array<bigint>")
+    with pytest.raises(Exception, match="without a model id"):
+        codec.map_tokens(bad, ids).collect()
+    monkeypatch.setattr(codec, "MAX_ID_TABLE", 5_000_000)
+    with pytest.raises(Exception, match="without a model id"):
+        codec.map_tokens(bad, ids).collect()
+
+
+@pytest.mark.parametrize("join_path", [False, True])
+def test_unknown_token_ids_raise(spark, monkeypatch, join_path):
+    if join_path:
+        monkeypatch.setattr(OB, "MAX_EMBED_BROADCAST_DOUBLES", 0)
+    shape = training.ModelShape(vocab_size=V_, embed_dim=C_, n_blocks=1, n_heads=H_, ff_dim=F_)
+    params = training.init_params(spark, shape, 3).cache()
+    embed = params.filter("tensor = 'embed'").select(F.col("row").alias("idx"), "vec")
+    bad = spark.createDataFrame([(1, 0, [1, 99], [2, 3])],
+                                "doc_id bigint, k int, x array<bigint>, y array<bigint>")
+    with pytest.raises(Exception, match="without"):
+        OB.extract_features(bad.select("doc_id", "k", "x"), embed, params).collect()
+    with pytest.raises(Exception, match="without"):
+        OB.block_gradients(bad, params).collect()

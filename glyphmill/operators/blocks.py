@@ -225,11 +225,11 @@ def extract_features(samples: DataFrame, embed: DataFrame, params: DataFrame,
 # ---------------------------------------------------------------------------
 # M04 with blocks
 
-def _mean_fn(bc, lo: int):
+def _mean_fn(bc, lo: int, step: int):
     """Per distinct x, over one chunk of U: unclipped exp sum and ``sum_v clip(exp) U[:, v]``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = bc.value                                           # (C, chunk)
-        for batch in batches:
+        for batch in scoring.row_slices(batches, step):
             if batch.num_rows == 0:
                 continue
             xs = batch.column("x").to_numpy()
@@ -275,8 +275,9 @@ def expected_unembed(xs: DataFrame, embed: DataFrame, unembed: DataFrame,
     xv = xs.select("x").distinct().join(
         embed.select(F.col("idx").alias("x"), F.col("vec").alias("evec")), "x")
     chunks = chunks if chunks is not None else list(_unembed_chunks(spark, unembed))
-    parts = [xv.mapInArrow(_mean_fn(bc, lo), "x bigint, zsum double, num array<double>")
-             for lo, _, bc in chunks]
+    parts = [xv.mapInArrow(_mean_fn(bc, lo, scoring.slice_rows(width)),
+                           "x bigint, zsum double, num array<double>")
+             for lo, width, bc in chunks]
     allp = parts[0]
     for p in parts[1:]:
         allp = allp.unionByName(p)
@@ -377,12 +378,12 @@ def _lookup_tables(embed: DataFrame, chunks: list, zm: DataFrame):
     return et[0], ut[0], mmat, et[1] & ut[1]
 
 
-def _unembed_grad_fn(bc, lo: int, width: int):
+def _unembed_grad_fn(bc, lo: int, width: int, step: int):
     """``sum_x R(x) p(.|x)`` for one chunk of U columns, summed over the task's rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = bc.value
         acc = None
-        for batch in batches:
+        for batch in scoring.row_slices(batches, step):
             if batch.num_rows == 0:
                 continue
             ev = np.asarray(batch.column("evec").to_pylist(), dtype=np.float64)
@@ -452,7 +453,8 @@ def block_gradients(batch_samples: DataFrame, params: DataFrame, zm: DataFrame |
                  F.lit("unembed").alias("tensor"), "block", "row",
                  F.transform("vec", lambda a: -a).alias("vec"))]
     for lo, width, bc in chunks:
-        parts.append(rsum.mapInArrow(_unembed_grad_fn(bc, lo, width), GRAD_SCHEMA))
+        parts.append(rsum.mapInArrow(
+            _unembed_grad_fn(bc, lo, width, scoring.slice_rows(width)), GRAD_SCHEMA))
     allp = parts[0]
     for p in parts[1:]:
         allp = allp.unionByName(p)

@@ -54,10 +54,26 @@ def embed_violations(seqs: DataFrame, embed: DataFrame, tokens_col: str = "token
     return pos.join(embed.select("idx"), "idx", "left_anti")
 
 
-def _chunk_fn(bc, lo: int):
+def slice_rows(width: int) -> int:
+    """Rows per slice so that ``rows * width <= MAX_CHUNK_DOUBLES`` (decided on the driver)."""
+    return max(1, MAX_CHUNK_DOUBLES // max(width, 1))
+
+
+def row_slices(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[pa.RecordBatch]:
+    """Zero-copy slices of ``step`` rows of each Arrow batch.
+
+    Bounds the dense ``rows x chunk`` products of the chunked passes, whatever
+    the Arrow batch size (10,000 rows by default) and the chunk width.
+    """
+    for batch in batches:
+        for off in range(0, batch.num_rows, step):
+            yield batch.slice(off, step)
+
+
+def _chunk_fn(bc, lo: int, step: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = bc.value  # (C, chunk) float64
-        for batch in batches:
+        for batch in row_slices(batches, step):
             xs = batch.column("x").to_numpy()
             if len(xs) == 0:
                 continue
@@ -104,7 +120,7 @@ def normalizers(xs: DataFrame, embed: DataFrame, unembed: DataFrame) -> DataFram
         if not present.all():
             raise ValueError("unembedding ids must be dense")
         bc = spark.sparkContext.broadcast(mat)
-        parts.append(xv.mapInArrow(_chunk_fn(bc, lo),
+        parts.append(xv.mapInArrow(_chunk_fn(bc, lo, slice_rows(hi - lo + 1)),
                                    "x bigint, zsum double, best_val double, best_idx bigint"))
     allp = parts[0]
     for p in parts[1:]:

@@ -118,13 +118,13 @@ def _uniform_draw(seed: int, tensor: str, block: int, bound: float):
     return draw
 
 
-def _grad_fn(bc, lo: int, cols: int):
+def _grad_fn(bc, lo: int, cols: int, step: int):
     """mapInArrow body: partial gradients for one chunk of vocabulary columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = bc.value                      # (C, chunk)
         acc = None                        # unembed partial (C, chunk), summed over the partition
-        for batch in batches:
+        for batch in scoring.row_slices(batches, step):
             if batch.num_rows == 0:
                 continue
             xs = batch.column("x").to_numpy()
@@ -186,7 +186,8 @@ def batch_gradients(pairs: DataFrame, params: DataFrame, z: DataFrame | None = N
         for r in rows:
             mat[:, r["idx"] - lo] = r["vec"]
         bc = spark.sparkContext.broadcast(mat)
-        parts.append(per_x.mapInArrow(_grad_fn(bc, lo, hi - lo + 1),
+        width_lo = hi - lo + 1
+        parts.append(per_x.mapInArrow(_grad_fn(bc, lo, width_lo, scoring.slice_rows(width_lo)),
                                       "tensor string, row bigint, vec array<double>"))
     raw = parts[0]
     for p in parts[1:]:

@@ -180,10 +180,15 @@ def _dense_grads(rows, E, U, blocks):
     return out
 
 
-@pytest.mark.parametrize("n_blocks,join_path", [(0, False), (2, False), (2, True)])
-def test_block_gradients_match_dense(spark, monkeypatch, n_blocks, join_path):
+@pytest.mark.parametrize("n_blocks,join_path,small_chunks",
+                         [(0, False, False), (2, False, False), (2, True, False), (1, False, True),
+                          (0, False, True)])
+def test_block_gradients_match_dense(spark, monkeypatch, n_blocks, join_path, small_chunks):
     if join_path:
         monkeypatch.setattr(OB, "MAX_EMBED_BROADCAST_DOUBLES", 0)
+    if small_chunks:       # several U chunks, and Arrow batches cut into 8-row slices
+        from glyphmill.operators import scoring
+        monkeypatch.setattr(scoring, "MAX_CHUNK_DOUBLES", 16)
     rows, samp = _toy(spark)
     shape = training.ModelShape(vocab_size=V_, embed_dim=C_, n_blocks=n_blocks, n_heads=H_, ff_dim=F_)
     params = training.init_params(spark, shape, 3).cache()

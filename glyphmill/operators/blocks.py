@@ -30,6 +30,7 @@ Both are emitted by the per-sample job and combined by key, so the dense
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -56,30 +57,33 @@ def load_blocks(params: DataFrame) -> list[dict]:
     """Block tensors as NumPy arrays, one dict per block, after a size check."""
     blk = params.filter(F.col("block") >= 0)
     st = blk.agg(F.count(F.lit(1)).alias("rows"),
-                 F.coalesce(F.sum(F.size("vec")), F.lit(0)).alias("vals"),
-                 F.max("block").alias("top"),
-                 F.max(F.when(F.col("tensor") == "ln_scale", F.size("vec"))).alias("width")).first()
+                 F.coalesce(F.sum(F.size("vec")), F.lit(0)).alias("vals")).first()
     if not st["rows"]:
         return []
     if st["vals"] > MAX_BLOCK_DOUBLES:
         raise ValueError(f"block tensors hold {st['vals']} values, above the broadcast bound "
                          f"{MAX_BLOCK_DOUBLES}")
-    width = int(st["width"])
-    n_blocks = int(st["top"]) + 1
-    parts: dict[tuple[int, str], dict[int, list]] = {}
     # bounded above (model size, not data): safe to bring to the driver
-    for r in blk.select("tensor", "block", "row", "vec").collect():
+    return _blocks_from_rows(blk.select("tensor", "block", "row", "vec").collect())
+
+
+def _blocks_from_rows(rows) -> list[dict]:
+    if not rows:
+        return []
+    parts: dict[tuple[int, str], dict[int, list]] = {}
+    for r in rows:
         parts.setdefault((r["block"], r["tensor"]), {})[r["row"]] = r["vec"]
+    width = len(next(iter(parts[(0, "ln_scale")].values()))) if (0, "ln_scale") in parts else 0
     out = []
-    for b in range(n_blocks):
+    for b in range(max(k[0] for k in parts) + 1):
         p = {}
         for t in B.BLOCK_TENSORS:
-            rows = parts.get((b, t))
-            if rows is None:
+            rows_t = parts.get((b, t))
+            if rows_t is None:
                 raise ValueError(f"block {b} has no {t} tensor")
-            mat = np.asarray([rows[i] for i in sorted(rows)], dtype=np.float64)
-            if sorted(rows) != list(range(len(rows))):
+            if sorted(rows_t) != list(range(len(rows_t))):
                 raise ValueError(f"block {b} tensor {t}: rows are not 0..n-1")
+            mat = np.asarray([rows_t[i] for i in range(len(rows_t))], dtype=np.float64)
             heads = mat.shape[0] // width if t in ("query", "key", "value") else 1
             p[t] = B.from_rows(t, mat, heads)
         out.append(p)
@@ -102,6 +106,59 @@ def _embed_matrix(embed: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
     return mat, present
 
 
+MAX_MODEL_DOUBLES = 16_000_000   # whole parameter table read once per round (128 MB)
+
+
+@dataclass
+class RoundModel:
+    """One round's broadcast model pieces: U chunks, block tensors, dense E when bounded."""
+    chunks: list                     # (lo, width, broadcast (C, width) chunk of U)
+    bc_blocks: object                # broadcast list of block tensor dicts
+    embed: tuple | None              # (E (V, C), present mask), or None above the bound
+
+
+def round_model(params: DataFrame) -> RoundModel:
+    """Read the parameter table once when it is under ``MAX_MODEL_DOUBLES`` (checked first).
+
+    Above the bound, U is chunked and the block tensors are read by separate
+    bounded jobs, and embeddings stay in Spark (join path).
+    """
+    spark = params.sparkSession
+    sc = spark.sparkContext
+    st = params.agg(F.coalesce(F.sum(F.size("vec")), F.lit(0)).alias("vals")).first()
+    if st["vals"] > MAX_MODEL_DOUBLES:
+        unembed = params.filter(F.col("tensor") == "unembed").select(
+            F.col("row").alias("idx"), "vec")
+        return RoundModel(list(_unembed_chunks(spark, unembed)),
+                          sc.broadcast(load_blocks(params)), None)
+    rows = params.select("tensor", "block", "row", "vec").collect()   # bounded just above
+    mats = {}
+    for r in rows:
+        if r["tensor"] in ("embed", "unembed"):
+            mats.setdefault(r["tensor"], {})[r["row"]] = r["vec"]
+    if "unembed" not in mats or "embed" not in mats:
+        raise ValueError("parameter table needs embed and unembed rows")
+    ids = sorted(mats["unembed"])
+    if ids != list(range(ids[0], ids[0] + len(ids))):
+        raise ValueError("unembedding ids must be dense")
+    u_all = np.asarray([mats["unembed"][i] for i in ids], dtype=np.float64).T     # (C, V)
+    c = u_all.shape[0]
+    width = max(1, scoring.MAX_CHUNK_DOUBLES // max(c, 1))
+    chunks = [(ids[0] + j, min(width, len(ids) - j), sc.broadcast(u_all[:, j:j + width].copy()))
+              for j in range(0, len(ids), width)]
+    eids = sorted(mats["embed"])
+    embed = None
+    if eids[0] >= 0:
+        emat = np.zeros((eids[-1] + 1, c), dtype=np.float64)
+        present = np.zeros(eids[-1] + 1, dtype=bool)
+        for i in eids:
+            emat[i] = mats["embed"][i]
+            present[i] = True
+        embed = (emat, present)
+    blocks = _blocks_from_rows([r for r in rows if r["block"] >= 0])
+    return RoundModel(chunks, sc.broadcast(blocks), embed)
+
+
 # ---------------------------------------------------------------------------
 # Arrow helpers
 
@@ -358,24 +415,24 @@ def _block_grad_fn(bc_blocks, bc_lookup=None):
     return run
 
 
-def _lookup_tables(embed: DataFrame, chunks: list, zm: DataFrame):
+def _lookup_tables(model: RoundModel, zm: DataFrame):
     """(E, U, M, present) as dense arrays when E is under the broadcast bound, else None.
 
-    U is taken from the round's broadcast chunk when one chunk starting at id 0
-    holds all of it with E's shape (both are V x C); M has at most one row per id.
+    U is the round's broadcast chunk when one chunk starting at id 0 holds all
+    of it with E's shape (both are V x C); M has at most one row per id.
     """
-    et = _embed_matrix(embed)
+    et, chunks = model.embed, model.chunks
     if et is None or len(chunks) != 1 or chunks[0][0] != 0:
         return None
-    lo, width, bc = chunks[0]
-    umat = bc.value.T
+    if et[0].size > MAX_EMBED_BROADCAST_DOUBLES:
+        return None
+    umat = chunks[0][2].value.T
     if umat.shape != et[0].shape:
         return None
-    ut = (umat, np.ones(width, dtype=bool))
     mmat = np.zeros_like(et[0])
     for r in zm.select("x", "mvec").collect():          # distinct x of the batch, <= V rows
         mmat[r["x"]] = r["mvec"]
-    return et[0], ut[0], mmat, et[1] & ut[1]
+    return et[0], umat, mmat, et[1]
 
 
 def _unembed_grad_fn(bc, lo: int, width: int, step: int):
@@ -403,13 +460,14 @@ def _unembed_grad_fn(bc, lo: int, width: int, step: int):
 
 
 def block_gradients(batch_samples: DataFrame, params: DataFrame, zm: DataFrame | None = None,
-                    keys: list[str] | None = None, parallelism: int | None = None) -> DataFrame:
+                    keys: list[str] | None = None, parallelism: int | None = None,
+                    model: RoundModel | None = None) -> DataFrame:
     """M04-M06 for one batch through the attention blocks: summed ``(tensor, block, row, vec)``.
 
     ``batch_samples(keys, x, y)`` in model ids; ``zm`` may carry the batch's
     ``expected_unembed`` rows.  The samples are hash-spread over ``parallelism``
     tasks (default: the session's), since a batch read from the batch-sorted
-    table sits in one split.
+    table sits in one split.  ``model`` may carry the round's ``round_model``.
     """
     from glyphmill.session import cut_lineage
     keys = keys or ["doc_id", "k"]
@@ -418,13 +476,14 @@ def block_gradients(batch_samples: DataFrame, params: DataFrame, zm: DataFrame |
     embed = params.filter(F.col("tensor") == "embed").select(F.col("row").alias("idx"), "vec")
     unembed = params.filter(F.col("tensor") == "unembed").select(F.col("row").alias("idx"), "vec")
     pos = _sample_rows(batch_samples, keys, ["x", "y"])
-    chunks = list(_unembed_chunks(spark, unembed))
+    model = model or round_model(params)
+    chunks = model.chunks
     if zm is None:     # read twice below (lookup and unembedding gradient)
         zm = cut_lineage(expected_unembed(pos.select("x"), embed, unembed, chunks))
     e = embed.select(F.col("idx").alias("x"), F.col("vec").alias("e"))
     sc = spark.sparkContext
-    bc_blocks = sc.broadcast(load_blocks(params))
-    lookup = _lookup_tables(embed, chunks, zm)
+    bc_blocks = model.bc_blocks
+    lookup = _lookup_tables(model, zm)
     if lookup is not None:
         # E, U and M are each bounded by V x C (checked): no per-position join or shuffle
         # a fixed-count repartition: AQE does not coalesce it back into one task

@@ -260,7 +260,9 @@ def train(per_sample_pairs: DataFrame, batch_ids: DataFrame, params: DataFrame,
         batch_pairs = rows.groupBy("x", "y").agg(F.sum("n").alias("n"))
         # one softmax normaliser per distinct current token, shared by loss and gradient
         if has_blocks:
-            zm = cut_lineage(blk.expected_unembed(batch_pairs.select("x"), embed, unembed))
+            model = blk.round_model(params)      # one read of the parameter table per round
+            zm = cut_lineage(blk.expected_unembed(batch_pairs.select("x"), embed, unembed,
+                                                  model.chunks))
             z = zm.select("x", "zsum")
         else:
             z = cut_lineage(scoring.normalizers(batch_pairs.select("x"), embed, unembed))
@@ -273,7 +275,8 @@ def train(per_sample_pairs: DataFrame, batch_ids: DataFrame, params: DataFrame,
             val = vl.agg(F.avg("loss")).first()[0]
         if has_blocks:
             raw = blk.block_gradients(samples_tbl.filter(F.col("batch_id") == b).drop("batch_id"),
-                                      params, zm, parallelism=min(cfg.batch_size, spread))
+                                      params, zm, parallelism=min(cfg.batch_size, spread),
+                                      model=model)
         else:
             raw = batch_gradients(batch_pairs, params, z)
         grads = cut_lineage(vector_ops.scale_vectors(raw, 1.0 / cfg.batch_size))

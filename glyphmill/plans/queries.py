@@ -769,6 +769,20 @@ def q_train_block_rounds(spark, d):
     return metrics.drop("seconds")
 
 
+def q_param_checkpoint(spark, d):
+    """The block model's parameter table written as one round folder and read back."""
+    import uuid
+    from glyphmill.operators import training
+    from glyphmill.session import checkpoint_dir
+    _, _, _, params = _block_model(spark, d)
+    out = f"{checkpoint_dir(spark).rstrip('/')}/glyphmill-params-{uuid.uuid4().hex}"
+    path = training.write_params(params, out, 0)
+    back = spark.read.parquet(path)
+    return back.groupBy("tensor", "block").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max(F.size("vec")).alias("width"),
+        _r(F.sum(V.vec_sum(F.col("vec")))).alias("s1"))
+
+
 # ---------------------------------------------------------------------------
 # Second corpus with a composite key, held-out scoring, per-sample log
 
@@ -899,6 +913,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "train_rounds": q_train_rounds,
         "block_features": q_block_features,
         "train_block_rounds": q_train_block_rounds,
+        "param_checkpoint": q_param_checkpoint,
         "conversation_turn_bigrams": q_conversation_turn_bigrams,
         "benchmark_loss": q_benchmark_loss,
         "sample_log": q_sample_log,

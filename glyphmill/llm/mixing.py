@@ -1,12 +1,11 @@
 """Mixing sources to target weights by pivotal dependent rounding.  DataFrame functions only.
 
 A source's target over its size is the copies each of its documents should get: a whole part
-for all, and a fraction.  Fractions are settled in pairs: two units hand mass to each other
-until one is 0 or 1, by a draw that keeps both expectations, so that the source's sum of
-copies stays put.  Units are dealt into blocks of bounded size; a block settles all but one
-unit, and the blocks' residual units go up a reduction tree until one is left per source,
-which a last draw settles.  Within a block units are ordered by size, so mass moves between
-documents of like size and the taken words stay near the target.
+for all, and a fraction.  Fractions are settled in pairs: two units hand mass, measured in
+words, to each other until one is 0 or 1, by a draw that keeps both expectations, so that the
+source's words stay put.  Units are dealt into blocks of bounded size; a block settles all
+but one unit, from the largest document down, and the blocks' residual units go up a
+reduction tree until one is left per source, which a last draw settles.
 
 Edge cases: a null or blank text has size 0 and takes 0; a null source is a source of its own,
 last in order; sources without words get target 0; repeated rows are documents of their own;
@@ -76,23 +75,23 @@ def _settle(units: Column) -> Column:
 
     def step(acc, x):
         a = acc["open"]
-        both = a["p"] + x["p"]
-        over = both >= 1.0
-        # below one: one unit gives all its mass away; from one on: one unit is filled to one
-        first = F.when(over, x["u"] < (1.0 - x["p"]) / F.greatest(2.0 - both, F.lit(1e-300))) \
-            .otherwise(x["u"] < a["p"] / F.greatest(both, F.lit(1e-300)))
-        rest = F.when(over, both - 1.0).otherwise(both)
-        # over: ``first`` is filled and the other stays open; below: the other is emptied
-        keeps = F.when(over, ~first).otherwise(first)  # the open unit stays a
-        stay = F.when(keeps, a).otherwise(x)
-        gone = F.when(keeps, x).otherwise(a)
-        opened = F.struct(rest.alias("p"), stay["size"].alias("size"), stay["doc_id"].alias("doc_id"),
-                          stay["u"].alias("u"))
-        settled = F.struct(gone["doc_id"].alias("doc_id"), gone["size"].alias("size"),
-                           F.when(over, F.lit(1)).otherwise(F.lit(0)).cast("long").alias("extra"))
+        size = lambda u: u["size"].cast("double")
+        at = lambda u, p: F.struct(p.alias("p"), u["size"].alias("size"), u["doc_id"].alias("doc_id"),
+                                   u["u"].alias("u")).cast(unit)
+        gone = lambda u, copies: F.struct(u["doc_id"].alias("doc_id"), u["size"].alias("size"),
+                                          F.lit(copies).cast("long").alias("extra"))
+        give, take = a["p"] * size(a), (1.0 - x["p"]) * size(x)     # words a can give, x can take
+        give_x, take_a = x["p"] * size(x), (1.0 - a["p"]) * size(a)
+        d1, d2 = F.least(give, take), F.least(give_x, take_a)
+        to_x = x["u"] < d2 / F.greatest(d1 + d2, F.lit(1e-300))     # expectations stay as they are
+        opened = (F.when(to_x & (give <= take), at(x, x["p"] + d1 / size(x)))
+                  .when(to_x, at(a, a["p"] - d1 / size(a)))
+                  .when(give_x <= take_a, at(a, a["p"] + d2 / size(a)))
+                  .otherwise(at(x, x["p"] - d2 / size(x))))
+        settled = (F.when(to_x & (give <= take), gone(a, 0)).when(to_x, gone(x, 1))
+                   .when(give_x <= take_a, gone(x, 0)).otherwise(gone(a, 1)))
         return F.when(a.isNull(), F.struct(x.cast(unit).alias("open"), acc["done"].alias("done"))) \
-            .otherwise(F.struct(opened.cast(unit).alias("open"),
-                                F.concat(acc["done"], F.array(settled)).alias("done")))
+            .otherwise(F.struct(opened.alias("open"), F.concat(acc["done"], F.array(settled)).alias("done")))
 
     return F.aggregate(units, start, step)
 
@@ -113,7 +112,7 @@ def pivotal_round(units: DataFrame, seed: int = SEED, fan_in: int = FAN_IN) -> D
             "grp", F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "doc_id", "size"), blocks).alias("block"),
             F.struct("size", F.coalesce("doc_id", F.lit(-1)).alias("k"), "doc_id", "p",
                      draw(F.lit(seed), F.lit(level), F.lit("u"), F.col("doc_id"), F.col("size")).alias("u")).alias("x"))
-        folded = dealt.groupBy("grp", "block").agg(F.array_sort(F.collect_list("x")).alias("xs")).select(
+        folded = dealt.groupBy("grp", "block").agg(F.reverse(F.array_sort(F.collect_list("x"))).alias("xs")).select(
             "grp", _settle(F.transform("xs", lambda x: F.struct(
                 x["p"].alias("p"), x["size"].alias("size"), x["doc_id"].alias("doc_id"), x["u"].alias("u")))).alias("r"))
         folded = save(folded, f"mix-level-{level}")

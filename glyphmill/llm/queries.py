@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphmill.llm import exact_dedup as exact
-from glyphmill.llm import mixing
-from glyphmill.llm.common import documents, null_safe_join
+from glyphmill.llm import langid, mixing, packing
+from glyphmill.llm.common import documents, null_safe_join, residue
+
+#: The folder of public vocabulary files; override with the environment where it lies elsewhere.
+TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
+PACK_VOCAB = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str = PACK_VOCAB) -> str:
+    """The vocabulary file's place: the installed ``public_tokenizers`` if it is importable."""
+    try:
+        import public_tokenizers
+        return public_tokenizers.path(name)
+    except ModuleNotFoundError:
+        return os.path.join(TOKENIZERS, name)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +48,19 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = residue("doc_id", 3) == 1
+    got = langid.predict(docs, langid.fit(docs, ~held))
+    return got.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pieces(packing.pack(documents(spark, sf_dir), tokenizer_path()))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_exact_dedup": op4_exact_dedup, "op9_mixing": op9_mixing}
+    return {f.__name__: f for f in (op3_language_id, op4_exact_dedup, op9_mixing, op10_packing)}
 
 
 def oracle() -> dict[str, str]:

@@ -1,8 +1,10 @@
 """Exact dedup by progressive refinement: length, then prefix hash, then full hash.
 
 Each step keeps only the groups that still hold two or more rows; the full text is hashed
-only for rows that share both the length and the prefix hash with another row.  DataFrame
-functions only.  Texts are equal when identical after deleting ASCII white space; of equal
+only for rows that share both the length and the prefix hash with another row.  Which rows
+these are goes to the second scan as a bit table of fixed size, so that no text is shuffled;
+a row that shares its bit with a surviving one is hashed too, which costs time but cannot
+change a group.  DataFrame functions only.  Texts are equal when identical after deleting ASCII white space; of equal
 texts the one with the most code points, then the smallest ``doc_id``, stays.
 
 Edge cases: a null text equals the empty text; a repeated (doc_id, text) row is one more
@@ -20,6 +22,9 @@ from glyphmill.llm.common import SPACE, id_text, null_safe_join, salt, save
 
 #: Characters of the normalised text that the prefix hash covers.
 PREFIX = 256
+#: The bit table of surviving rows: 256 pages of 32,768 bits, 1 MB in all at any input size.
+PAGES = 256
+PAGE_BITS = 32_768
 
 
 def normalised(text: str = "text") -> Column:
@@ -39,20 +44,35 @@ def _shared(rows: DataFrame, keys: list[str]) -> DataFrame:
                           [*keys, "_salt"], "left_semi").drop("_salt")
 
 
+def _bit(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(PAGES * PAGE_BITS))
+
+
+def _in_bit_table(rows: DataFrame, members: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` with a flag: does a member's ``column`` have this row's bit?"""
+    pages = members.select(_bit(column).alias("_b")).groupBy(F.bitmap_bucket_number("_b").alias("_page")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_b")).alias("_bits"))
+    placed = rows.withColumn("_b", _bit(column)).withColumn("_page", F.bitmap_bucket_number("_b"))
+    spot = F.bitmap_bit_position("_b")
+    byte = F.conv(F.hex(F.substring("_bits", (spot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    # at most PAGES rows of 4 KB
+    return placed.join(F.broadcast(pages), "_page", "left").withColumn(
+        name, F.coalesce(F.getbit(byte, (spot % 8).cast("int")) == 1, F.lit(False))).drop("_b", "_page", "_bits")
+
+
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, for every row of (doc_id, text)."""
     base = id_text(docs)
     norm = normalised()
     narrow = save(base.select(
-        "doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n_chars"), norm.alias("_norm"))
-        .select("doc_id", "n_chars", F.length("_norm").alias("len"),
-                F.xxhash64(F.substring("_norm", 1, PREFIX)).alias("prefix")), "exact-narrow")
+        "doc_id", norm.alias("_norm")).select("doc_id", F.length("_norm").alias("len"),
+                                              F.xxhash64(F.substring("_norm", 1, PREFIX)).alias("prefix")),
+        "exact-narrow")
     same_len = _shared(narrow, ["len"])
-    # the rows that must be read whole; the scratch table's real size lets Catalyst pick the join
-    surviving = save(_shared(same_len, ["len", "prefix"]).select("doc_id", "n_chars"), "exact-surviving")
-    full = null_safe_join(base, surviving, ["doc_id"]).select(
-        "doc_id", "n_chars", sha256_hex(norm).alias("full_hash"))
-    full = save(full, "exact-full")
+    surviving = save(_shared(same_len, ["len", "prefix"]).select("doc_id"), "exact-surviving")
+    chars = F.length(F.coalesce("text", F.lit("")))
+    full = save(_in_bit_table(base, surviving, "doc_id", "_read").filter("_read").select(
+        "doc_id", chars.alias("n_chars"), sha256_hex(norm).alias("full_hash")), "exact-full")
     best = F.struct((-F.col("n_chars")).alias("neg"), F.col("doc_id").alias("keep_id"))
     parts = (full.groupBy("full_hash", salt("doc_id").alias("_salt"))
              .agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("n")))

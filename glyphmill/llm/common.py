@@ -22,6 +22,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Ways a hot key is spread before rows of the key are joined back to its group.
 SALTS = 512
 
+#: A bit table that picks rows in a scan: 256 pages of 32,768 bits, 1 MB at any input size.
+PAGES = 256
+PAGE_BITS = 32_768
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -95,3 +99,22 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
                            *[c for c in right.columns if c not in keys])
     cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def _bit(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(PAGES * PAGE_BITS))
+
+
+def in_bit_table(rows: DataFrame, members: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` with a flag: does a member's ``column`` have this row's bit?
+
+    All members are flagged and some other rows; no row of ``rows`` is shuffled.
+    """
+    pages = members.select(_bit(column).alias("_b")).groupBy(F.bitmap_bucket_number("_b").alias("_page")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_b")).alias("_bits"))
+    placed = rows.withColumn("_b", _bit(column)).withColumn("_page", F.bitmap_bucket_number("_b"))
+    spot = F.bitmap_bit_position("_b")
+    byte = F.conv(F.hex(F.substring("_bits", (spot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    # at most PAGES rows of 4 KB
+    return placed.join(F.broadcast(pages), "_page", "left").withColumn(
+        name, F.coalesce(F.getbit(byte, (spot % 8).cast("int")) == 1, F.lit(False))).drop("_b", "_page", "_bits")

@@ -18,13 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import SPACE, id_text, null_safe_join, salt, save
+from glyphmill.llm.common import SPACE, id_text, in_bit_table, null_safe_join, salt, save
 
 #: Characters of the normalised text that the prefix hash covers.
 PREFIX = 256
-#: The bit table of surviving rows: 256 pages of 32,768 bits, 1 MB in all at any input size.
-PAGES = 256
-PAGE_BITS = 32_768
 
 
 def normalised(text: str = "text") -> Column:
@@ -44,22 +41,6 @@ def _shared(rows: DataFrame, keys: list[str]) -> DataFrame:
                           [*keys, "_salt"], "left_semi").drop("_salt")
 
 
-def _bit(column: str) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(PAGES * PAGE_BITS))
-
-
-def _in_bit_table(rows: DataFrame, members: DataFrame, column: str, name: str) -> DataFrame:
-    """``rows`` with a flag: does a member's ``column`` have this row's bit?"""
-    pages = members.select(_bit(column).alias("_b")).groupBy(F.bitmap_bucket_number("_b").alias("_page")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("_b")).alias("_bits"))
-    placed = rows.withColumn("_b", _bit(column)).withColumn("_page", F.bitmap_bucket_number("_b"))
-    spot = F.bitmap_bit_position("_b")
-    byte = F.conv(F.hex(F.substring("_bits", (spot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    # at most PAGES rows of 4 KB
-    return placed.join(F.broadcast(pages), "_page", "left").withColumn(
-        name, F.coalesce(F.getbit(byte, (spot % 8).cast("int")) == 1, F.lit(False))).drop("_b", "_page", "_bits")
-
-
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, for every row of (doc_id, text)."""
     base = id_text(docs)
@@ -71,7 +52,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     same_len = _shared(narrow, ["len"])
     surviving = save(_shared(same_len, ["len", "prefix"]).select("doc_id"), "exact-surviving")
     chars = F.length(F.coalesce("text", F.lit("")))
-    full = save(_in_bit_table(base, surviving, "doc_id", "_read").filter("_read").select(
+    full = save(in_bit_table(base, surviving, "doc_id", "_read").filter("_read").select(
         "doc_id", chars.alias("n_chars"), sha256_hex(norm).alias("full_hash")), "exact-full")
     best = F.struct((-F.col("n_chars")).alias("neg"), F.col("doc_id").alias("keep_id"))
     parts = (full.groupBy("full_hash", salt("doc_id").alias("_salt"))

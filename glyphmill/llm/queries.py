@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphmill.llm import exact_dedup as exact
-from glyphmill.llm import langid, mixing, packing, pii
+from glyphmill.llm import langid, minhash, mixing, packing, pii
 from glyphmill.llm.common import documents, null_safe_join, residue
 
 #: The folder of public vocabulary files; override with the environment where it lies elsewhere.
@@ -55,6 +55,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return pii.find(docs, pii.fit(docs))
@@ -65,7 +69,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op4_exact_dedup, op7_pii, op9_mixing, op10_packing)}
+    return {f.__name__: f for f in (op3_language_id, op4_exact_dedup, op6_minhash_dedup, op7_pii, op9_mixing, op10_packing)}
 
 
 def oracle() -> dict[str, str]:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphmill.llm import exact_dedup as exact
-from glyphmill.llm import langid, minhash, mixing, packing, pii
+from glyphmill.llm import embed_dedup, langid, minhash, mixing, packing, pii
 from glyphmill.llm.common import documents, null_safe_join, residue
 
 #: The folder of public vocabulary files; override with the environment where it lies elsewhere.
@@ -48,6 +48,31 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+SQL_OP2 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v),
+links AS (
+  SELECT a.vec_id AS s, b.vec_id AS d FROM u a JOIN u b
+    ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+   AND list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])) / (a.n * b.n) >= 0.93),
+reach AS (
+  SELECT s, s AS d FROM links UNION SELECT reach.s, links.d FROM reach JOIN links ON links.s = reach.d),
+comp AS (SELECT s, min(d) AS c FROM reach GROUP BY s),
+degree AS (SELECT s, count(*) AS n FROM links GROUP BY s)
+SELECT e.vec_id, coalesce(degree.n, 0) AS n_links, coalesce(comp.c, e.vec_id) AS component_id,
+       e.vec_id = coalesce(comp.c, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN comp ON comp.s = e.vec_id LEFT JOIN degree ON degree.s = e.vec_id
+"""
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held = residue("doc_id", 3) == 1
@@ -69,8 +94,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op4_exact_dedup, op6_minhash_dedup, op7_pii, op9_mixing, op10_packing)}
+    return {f.__name__: f for f in (op2_embedding_dedup, op3_language_id, op4_exact_dedup, op6_minhash_dedup, op7_pii, op9_mixing, op10_packing)}
 
 
 def oracle() -> dict[str, str]:
-    return {"op4_exact_dedup": SQL_OP4}
+    return {"op2_embedding_dedup": SQL_OP2, "op4_exact_dedup": SQL_OP4}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphmill.llm import exact_dedup as exact
-from glyphmill.llm import embed_dedup, langid, minhash, mixing, packing, pii
+from glyphmill.llm import anchors, embed_dedup, langid, lm_scoring, minhash, mixing, packing, pii
 from glyphmill.llm.common import documents, null_safe_join, residue
 
 #: The folder of public vocabulary files; override with the environment where it lies elsewhere.
@@ -48,6 +48,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(documents(spark, sf_dir))
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -80,6 +84,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.remove_repeats(documents(spark, sf_dir), with_text=False)
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -94,7 +102,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_embedding_dedup, op3_language_id, op4_exact_dedup, op6_minhash_dedup, op7_pii, op9_mixing, op10_packing)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_embedding_dedup, op3_language_id, op4_exact_dedup, op5_substring_dedup, op6_minhash_dedup, op7_pii, op9_mixing, op10_packing)}
 
 
 def oracle() -> dict[str, str]:

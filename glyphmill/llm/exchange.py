@@ -40,12 +40,12 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1)
 
 
-def _join(parts: list[bytes]) -> bytes:
+def join_parts(parts: list[bytes]) -> bytes:
     head = np.array([len(parts), *map(len, parts)], np.int64).tobytes()
     return head + b"".join(parts)
 
 
-def _split(data: bytes) -> list[bytes]:
+def split_parts(data: bytes) -> list[bytes]:
     n = int(np.frombuffer(data, np.int64, 1)[0])
     sizes = np.frombuffer(data, np.int64, n, 8)
     ends = 8 * (n + 1) + np.cumsum(sizes)
@@ -63,12 +63,12 @@ class Chunk:
                    ^ np.uint64(self.offs[-1])) & (2**63 - 1)
 
     def packed(self) -> bytes:
-        return _join([pack(self.doc_id.view(np.uint64)), pack(np.diff(self.offs)),
+        return join_parts([pack(self.doc_id.view(np.uint64)), pack(np.diff(self.offs)),
                       zstandard.ZstdCompressor(level=1).compress(self.body.tobytes())])
 
     @classmethod
     def unpacked(cls, number: int, data: bytes) -> Chunk:
-        doc_id, sizes, body = _split(data)
+        doc_id, sizes, body = split_parts(data)
         offs = np.concatenate([[0], np.cumsum(unpack(sizes).astype(np.int64))])
         return cls(number, unpack(doc_id).view(np.int64),
                    np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8), offs)
@@ -132,7 +132,7 @@ def batched(rows: Iterator[tuple], most: int = 8 << 20) -> Iterator[pa.RecordBat
 def state(docs: DataFrame) -> DataFrame:
     """One packed row a chunk: what the answers are brought back to."""
     def fn(batches):
-        return batched((c.number, STATE, 0, _join([np.int64(c.digest()).tobytes(), c.packed()]))
+        return batched((c.number, STATE, 0, join_parts([np.int64(c.digest()).tobytes(), c.packed()]))
                        for c in chunks(batches))
     return docs.select("doc_id", "text").mapInArrow(fn, ROW)
 
@@ -151,7 +151,7 @@ def ask(chunk: Chunk, kind: int, keys: np.ndarray, values: list[np.ndarray], buc
     for b in np.flatnonzero(np.diff(at)).tolist():
         part = slice(at[b], at[b + 1])
         steps = np.diff(keys[part], prepend=np.uint64(0))
-        yield chunk.number, kind, b, _join([mark, pack(steps), *[pack(v[part]) for v in values]])
+        yield chunk.number, kind, b, join_parts([mark, pack(steps), *[pack(v[part]) for v in values]])
 
 
 def answer(requests: DataFrame, partitions: int,
@@ -163,7 +163,7 @@ def answer(requests: DataFrame, partitions: int,
     may add one row of figures a bucket (kind -1 - kind, chunk -1).
     """
     def solve(kind, bucket, rows):
-        parts = [_split(r[1]) for r in rows]
+        parts = [split_parts(r[1]) for r in rows]
         keys = [np.cumsum(unpack(p[1]), dtype=np.uint64) for p in parts]
         sizes = [len(k) for k in keys]
         values = [np.concatenate([unpack(p[2 + i]).view(np.int64) for p in parts])
@@ -184,8 +184,14 @@ def answer(requests: DataFrame, partitions: int,
         for (chunk, _), part, size in zip(rows, parts, sizes, strict=True):
             mine = where[lo: lo + size]
             lo += size
-            yield chunk, kind, bucket, _join([part[0], *[pack(t[mine]) for t in totals]])
+            yield chunk, kind, bucket, join_parts([part[0], *[pack(t[mine]) for t in totals]])
 
+    return solve_buckets(requests, partitions, solve)
+
+
+def solve_buckets(requests: DataFrame, partitions: int,
+                  solve: Callable[[int, int, list[tuple]], Iterator[tuple]]) -> DataFrame:
+    """Deal requests to buckets and hand each bucket's (chunk, data) rows to ``solve``, one at a time."""
     def fn(batches):
         def rows():
             held, at = [], None
@@ -214,10 +220,10 @@ class Meeting:
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[Meeting]:
     def built(number, rows):
-        mark, body = _split(rows[0][2])
+        mark, body = split_parts(rows[0][2])
         got: dict[int, list] = {}
         for kind, _, data in rows[1:]:
-            other, *values = _split(data)
+            other, *values = split_parts(data)
             if other != mark:
                 raise RuntimeError("a chunk changed between two reads of the input")
             got.setdefault(kind, []).append([unpack(v) for v in values])

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphmill.llm import exact_dedup as exact
-from glyphmill.llm import anchors, embed_dedup, langid, lm_scoring, minhash, mixing, packing, pii
+from glyphmill.llm import anchors, embed_dedup, langid, lm_scoring, minhash, mixing, packing, pii, suffix_dedup
 from glyphmill.llm.common import documents, null_safe_join, residue
 
 #: The folder of public vocabulary files; override with the environment where it lies elsewhere.
@@ -97,12 +97,16 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.fit(docs))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir), with_text=False)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(packing.pack(documents(spark, sf_dir), tokenizer_path()))
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_embedding_dedup, op3_language_id, op4_exact_dedup, op5_substring_dedup, op6_minhash_dedup, op7_pii, op9_mixing, op10_packing)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_embedding_dedup, op3_language_id, op4_exact_dedup, op5_substring_dedup, op6_minhash_dedup, op7_pii, op8_suffix_dedup, op9_mixing, op10_packing)}
 
 
 def oracle() -> dict[str, str]:

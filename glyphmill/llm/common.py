@@ -118,3 +118,18 @@ def in_bit_table(rows: DataFrame, members: DataFrame, column: str, name: str) ->
     # at most PAGES rows of 4 KB
     return placed.join(F.broadcast(pages), "_page", "left").withColumn(
         name, F.coalesce(F.getbit(byte, (spot % 8).cast("int")) == 1, F.lit(False))).drop("_b", "_page", "_bits")
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, _row): all columns packed away, so that no helper column can clash with them."""
+    return docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose ``doc_id`` is in ``dropped``; only rows that the bit table
+    flags are shuffled, so a small share of the texts moves."""
+    dropped = save(dropped.select("doc_id").filter("doc_id IS NOT NULL").distinct(), "dropped")
+    marked = in_bit_table(whole_rows(docs), dropped, "doc_id", "_flag")
+    clear = marked.filter(~F.col("_flag")).select("_row")
+    return clear.unionByName(
+        marked.filter("_flag").join(dropped, "doc_id", "left_anti").select("_row")).select("_row.*")

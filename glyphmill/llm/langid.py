@@ -150,28 +150,47 @@ def fit(docs: DataFrame, learn: Column, per_lang: int = PER_LANG, landmarks: int
     return solve(bits, np.array([r["lang"] for r in got], object), langs, landmarks)
 
 
+def _labels(m: Model, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the best language, or one past the last for none; score) of a batch's texts."""
+    body, offs = tb.column(batch.column("text"))
+    best, score = np.full(len(offs) - 1, len(m.langs)), np.zeros(len(offs) - 1)
+    for lo, hi in tb.slices(offs, tb.SLICE):
+        for a in range(lo, hi, 256):  # rows of one matrix product
+            b = min(a + 256, hi)
+            s = m.scores(presence(body, offs[a: b + 1]))
+            good = has_letter(body, offs[a: b + 1])
+            best[a:b] = np.where(good, s.argmax(1), len(m.langs))
+            score[a:b] = np.where(good, np.clip((s.max(1) + 1) / 2, 0, 1), 0.0)
+    return best, score
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score for every row of (doc_id, text)."""
-    spark = docs.sparkSession
     if model is None:
         return docs.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = np.array([*m.langs, UNKNOWN], object)
         for batch in batches:
-            body, offs = tb.column(batch.column("text"))
-            best, score = np.full(len(offs) - 1, len(m.langs)), np.zeros(len(offs) - 1)
-            for lo, hi in tb.slices(offs, tb.SLICE):
-                for a in range(lo, hi, 256):  # rows of one matrix product
-                    b = min(a + 256, hi)
-                    s = m.scores(presence(body, offs[a: b + 1]))
-                    good = has_letter(body, offs[a: b + 1])
-                    best[a:b] = np.where(good, s.argmax(1), len(m.langs))
-                    score[a:b] = np.where(good, np.clip((s.max(1) + 1) / 2, 0, 1), 0.0)
+            best, score = _labels(m, batch)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(names[best], pa.string()),
                  pa.array(score.astype(np.float64))], names=["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(fn, "doc_id long, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language; one pass, no join."""
+    if model is None:
+        return docs.limit(0)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array(_labels(m, batch)[0] < len(m.langs)))
+
+    return docs.mapInArrow(fn, docs.schema)

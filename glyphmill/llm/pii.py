@@ -122,7 +122,8 @@ def regions(text: str) -> list[tuple[int, int]]:
 
 
 def window_starts(lo: int, hi: int) -> list[int]:
-    return list(range(lo - (WINDOW - STRIDE) // 2, max(hi - STRIDE, lo - STRIDE) + 1, STRIDE))
+    edge = (WINDOW - STRIDE) // 2
+    return list(range(lo - edge, max(hi - WINDOW + edge, lo - edge) + STRIDE, STRIDE))
 
 
 def window(codes: np.ndarray, start: int) -> np.ndarray:

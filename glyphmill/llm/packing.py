@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +45,8 @@ class WordTokenizer:
 
     The vocabulary's normaliser drops white space and its merges never cross it, so a text's
     ids are those of its words in turn.  A text with a piece that the tokenizer itself treats
-    apart (a special token's characters) is encoded whole.
+    apart (a special token's characters) is encoded whole.  The cache has two generations of
+    at most WORD_CACHE words; words still in use move to the younger one.
     """
 
     def __init__(self, path: str):
@@ -52,6 +54,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _whole(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
@@ -68,16 +71,32 @@ class WordTokenizer:
 
     def _group(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         parts = [t.split() if b"<|" not in t else None for t in texts]
-        cache = self.cache
-        if len(cache) > WORD_CACHE:
-            cache.clear()
-        new = list({w for p in parts if p for w in p if w not in cache})
+        if len(self.cache) > WORD_CACHE:
+            self.cache, self.older = {}, self.cache
+        cache, older = self.cache, self.older
+        new = []
+        for w in set().union(*[p for p in parts if p]) - cache.keys():
+            known = older.get(w)
+            if known is None:
+                new.append(w)
+            else:
+                cache[w] = known
         for lo in range(0, len(new), 10_000):
             some = new[lo: lo + 10_000]
-            codes = self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)
-            cache.update(zip(some, (np.array(c.ids, "<u4").tobytes() for c in codes), strict=True))
+            codes = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+            cache.update(zip(some, (array("I", c.ids).tobytes() for c in codes), strict=True))
         for t, p in zip(texts, parts, strict=True):
-            yield self._whole(t) if p is None else np.frombuffer(b"".join([cache[w] for w in p]), "<u4")
+            yield self._whole(t) if p is None else np.frombuffer(b"".join(map(cache.__getitem__, p)), "<u4")
+
+
+_coders: dict[str, WordTokenizer] = {}
+
+
+def coder(path: str) -> WordTokenizer:
+    """One tokenizer and cache for all tasks of a Python worker."""
+    if path not in _coders:
+        _coders[path] = WordTokenizer(path)
+    return _coders[path]
 
 
 class Packer:
@@ -155,7 +174,7 @@ class Packer:
 def pack_batches(batches: Iterator[pa.RecordBatch], tokenizer_path: str, limits: tuple, cut: bool) -> Iterator[pa.RecordBatch]:
     """doc ids and texts in, packed pieces out; a text's ids are dropped once its pieces are cut."""
     base = TaskContext.get().partitionId() << 32
-    coder, packer = WordTokenizer(tokenizer_path), Packer(limits, cut)
+    words, packer = coder(tokenizer_path), Packer(limits, cut)
     whole = int(limits[0])
     docs: dict[int, tuple[int, int, np.ndarray]] = {}  # key: doc_id, pieces' ids still pending
     pending: dict[int, int] = {}
@@ -189,7 +208,7 @@ def pack_batches(batches: Iterator[pa.RecordBatch], tokenizer_path: str, limits:
         at = offs.tolist()
         texts = [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
         new: list[tuple[int, int, int, int]] = []
-        for one, codes in zip(doc_id.tolist(), coder.encode(texts), strict=True):
+        for one, codes in zip(doc_id.tolist(), words.encode(texts), strict=True):
             codes = np.append(codes, np.uint32(END_ID)).astype("<u4")
             n, start = len(codes), 0
             if cut:  # full pieces are sequences of their own; only the rest is packed

@@ -27,31 +27,35 @@ from glyphmill.session import ensure_worker_import
 _CACHE_LIMIT = 200_000
 
 
-def greedy_pass_to_fixpoint(seq: list[int], table: dict, n: int) -> list[int]:
-    """Repeat the greedy left-to-right pass until nothing is replaced."""
+def replace_windows(codes: list[int], table: dict, n: int) -> list[int]:
+    """Replace vocabulary windows, leftmost first, until none is left.
+
+    After the first pass only windows that touch a token made by the last one can be new, so
+    later passes look at the ``n`` starts around each of those and nowhere else.
+    """
+    starts = range(len(codes) - n + 1)
     while True:
-        out = []
-        i = 0
-        end = len(seq) - n
-        replaced = False
-        while i <= end:
-            code = table.get(tuple(seq[i:i + n]))
-            if code is None:
-                out.append(seq[i])
-                i += 1
-            else:
-                out.append(code)
-                i += n
-                replaced = True
-        if i < len(seq):
-            out.extend(seq[i:])
-        if not replaced:
-            return out
-        seq = out
+        hits, free = [], 0
+        for i in starts:
+            code = table.get(tuple(codes[i:i + n])) if i >= free else None
+            if code is not None:
+                hits.append((i, code))
+                free = i + n
+        if not hits:
+            return codes
+        joined, made, done = [], [], 0
+        for i, code in hits:
+            joined += codes[done:i]
+            made.append(len(joined))
+            joined.append(code)
+            done = i + n
+        codes = joined + codes[done:]
+        last = len(codes) - n
+        starts = sorted({i for at in made for i in range(max(0, at - n + 1), min(at, last) + 1)})
 
 
 def encode_text(text: str, table: dict, n: int) -> list[int]:
-    return greedy_pass_to_fixpoint([ord(c) for c in text], table, n)
+    return replace_windows([ord(c) for c in text], table, n)
 
 
 def _list_array(values: list[list], value_type: pa.DataType) -> pa.Array:
@@ -97,7 +101,7 @@ def reencode_fn(bc, n: int, codes_col: str, keep: list[str], with_parts: bool):
             seqs = batch.column(codes_col).to_pylist()
             out, parts = [], []
             for seq in seqs:
-                enc = None if seq is None else greedy_pass_to_fixpoint(seq, table, n)
+                enc = None if seq is None else replace_windows(seq, table, n)
                 out.append(enc)
                 if with_parts:
                     parts.append(None if enc is None else [
@@ -185,47 +189,13 @@ def model_vocab(encoded: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     return codes.withColumn("tok_idx", F.row_number().over(Window.orderBy("code")) - 1)
 
 
-MAX_ID_TABLE = 5_000_000   # entries of a code -> model id table broadcast to tasks
-
-
-def _map_ids_fn(bc, tokens_col: str, keep: list[str]):
-    import numpy as np
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, ids = bc.value
-        for batch in batches:
-            col = batch.column(tokens_col)
-            vals = col.values.to_numpy(zero_copy_only=False)
-            at = np.searchsorted(codes, vals)
-            at = np.minimum(at, max(len(codes) - 1, 0))
-            if len(vals) and (len(codes) == 0 or not (codes[at] == vals).all()):
-                raise ValueError("token code without a model id")
-            mapped = pa.ListArray.from_arrays(col.offsets, pa.array(ids[at], pa.int64()),
-                                              mask=col.is_null())
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + [mapped],
-                                             names=keep + [tokens_col])
-    return run
-
-
 def map_tokens(df: DataFrame, ids: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     """Token arrays of codes -> arrays of dense model ids from ``ids(code, tok_idx)``.
 
-    The id table is at most (chars seen + vocab size) rows; under ``MAX_ID_TABLE``
-    it is broadcast as two sorted arrays and looked up per Arrow batch (no
-    shuffle).  Above that the positions are joined to it and regrouped per row.
+    Positions are joined to the ids (broadcast where Catalyst measures them small) and
+    regrouped per row; a code without an id is an error.
     """
-    import numpy as np
-    spark = df.sparkSession
-    ensure_worker_import(spark)
     keep = [c for c in df.columns if c != tokens_col]
-    n = ids.count()
-    if n <= MAX_ID_TABLE:
-        rows = ids.select("code", "tok_idx").orderBy("code").collect()
-        codes = np.array([r[0] for r in rows], dtype=np.int64)
-        vals = np.array([r[1] for r in rows], dtype=np.int64)
-        bc = spark.sparkContext.broadcast((codes, vals))
-        return df.mapInArrow(_map_ids_fn(bc, tokens_col, keep),
-                             _schema_with(df, keep, f"`{tokens_col}` array<bigint>"))
     # posexplode_outer keeps rows with empty arrays (null position, skipped by collect_list)
     pos = (df.select(*keep, F.posexplode_outer(tokens_col).alias("_pos", "code"))
            .join(ids.select("code", "tok_idx"), "code", "left"))

@@ -42,13 +42,20 @@ def nseq_counts(corpus: DataFrame, n: int, scope: str = "corpus", min_count: int
     if n < 1:
         raise ValueError("n must be >= 1")
     keys = _scope_keys(scope)
-    segs = segment_counts(corpus, scope).filter(F.length("segment") >= n)
-    wins = segs.select(
-        *keys,
-        F.explode(nseq_windows(char_array(F.col("segment")), n)).alias("w"),
-        "freq")
-    counted = (wins.select(*keys, F.array_join("w", "").alias("nseq"), "freq")
-               .groupBy(*keys, "nseq").agg(F.sum("freq").alias("cnt")))
+    if not legal_only:
+        # windows may cross any border: the whole text, one aggregate
+        texts, freq = corpus.select(*keys, F.col("text").alias("segment")), F.count(F.lit(1))
+    elif keys:
+        # a document's windows are all in its row: one aggregate is enough
+        texts = corpus.select(*keys, F.explode(segments(F.col("text"))).alias("segment"))
+        freq = F.count(F.lit(1))
+    else:
+        texts, freq = segment_counts(corpus, scope), F.sum("freq")
+    texts = texts.filter(F.length("segment") >= n)
+    rest = [c for c in texts.columns if c != "segment"]
+    wins = texts.select(*rest, F.explode(nseq_windows(char_array(F.col("segment")), n)).alias("w"))
+    counted = (wins.select(*rest, F.array_join("w", "").alias("nseq"))
+               .groupBy(*keys, "nseq").agg(freq.alias("cnt")))
     return counted.filter(keep_candidate(F.col("cnt"), F.col("nseq"), min_count, legal_only))
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphmill.session import cut_lineage
 from glyphmill.sources.corpus import seeded_hash_key, seeded_uint32
 
 # Defaults of the reference trainer (fixed values).
@@ -18,8 +19,6 @@ BATCH_SIZE = 10
 N_SAMPLES = 1_000_000
 RNG_SEED = 0xDEADBEEF
 
-MAX_BUCKETS = 1024
-
 
 def windows_per_doc(n_tokens: Column, sample_size: int) -> Column:
     """``ceil(len / min(sample_size, len))``; 0 for an empty document."""
@@ -28,35 +27,45 @@ def windows_per_doc(n_tokens: Column, sample_size: int) -> Column:
 
 
 def sample_windows(encoded: DataFrame, sample_size: int = SAMPLE_SIZE, seed: int = RNG_SEED,
-                   tokens_col: str = "tokens") -> DataFrame:
+                   tokens_col: str = "tokens", keys: list[str] | None = None,
+                   keep_short: bool = False) -> DataFrame:
     """One row per training window with its shifted (x, y) pair.
 
     ``start_idx`` is uniform in ``[0, len - sample_len)`` (0 when the window is the
     whole document), so windows may overlap and the last token of a long
     document is never covered -- as in the reference.  Windows of length 1 give
-    an empty ``x`` and are dropped (L04).
-    Output: ``doc_id, k, start_idx, sample_len, x, y``.
+    an empty ``x`` and are dropped (L04) unless ``keep_short``.
+    Output: ``keys, k, start_idx, sample_len, x, y``.
     """
+    keys = keys or ["doc_id"]
     n = F.size(tokens_col)
-    base = (encoded.select("doc_id", tokens_col)
+    base = (encoded.select(*keys, tokens_col)
             .withColumn("_len", n)
             .withColumn("_nw", windows_per_doc(F.col("_len"), sample_size)))
     # explode_outer + a guarded sequence instead of filter + explode: a filter on
     # the token count (or the one Spark infers for explode) would be pushed into
     # the scan and recompute the token arrays there.
     ks = F.when(F.col("_nw") > 0, F.sequence(F.lit(0), F.col("_nw") - 1))
-    wins = (base.select("doc_id", tokens_col, "_len", F.explode_outer(ks).alias("k"))
+    wins = (base.select(*keys, tokens_col, "_len", F.explode_outer(ks).alias("k"))
             .filter(F.col("k").isNotNull()))
     sl = F.least(F.lit(sample_size), F.col("_len"))
     span = F.col("_len") - sl
     start = F.when(span <= 0, F.lit(0)).otherwise(
-        F.pmod(seeded_uint32(seed, "doc_id", "k"), span)).cast("int")
+        F.pmod(seeded_uint32(seed, *keys, "k"), span)).cast("int")
     wins = wins.withColumn("sample_len", sl.cast("int")).withColumn("start_idx", start)
     out = wins.select(
-        "doc_id", F.col("k").cast("int").alias("k"), "start_idx", "sample_len",
+        *keys, F.col("k").cast("int").alias("k"), "start_idx", "sample_len",
         F.slice(tokens_col, F.col("start_idx") + 1, F.col("sample_len") - 1).alias("x"),
         F.slice(tokens_col, F.col("start_idx") + 2, F.col("sample_len") - 1).alias("y"))
-    return out.filter(F.size("x") > 0)
+    return out if keep_short else out.filter(F.size("x") > 0)
+
+
+def sample_summary(windows: DataFrame, n_samples: int = N_SAMPLES) -> DataFrame:
+    """L04/L05 figures of all windows (``keep_short``): usable, dropped, and whether they run out."""
+    return windows.agg(
+        F.count(F.when(F.size("x") > 0, 1)).alias("n_samples"),
+        F.count(F.when(F.size("x") == 0, 1)).alias("n_dropped"),
+        (F.count(F.when(F.size("x") > 0, 1)) < n_samples).alias("short"))
 
 
 def pair_counts(samples: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -71,77 +80,78 @@ def pair_counts(samples: DataFrame, keys: list[str] | None = None) -> DataFrame:
             .groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("n")))
 
 
-def global_index(df: DataFrame, order_cols: list[str], bucket_col: str, weight_col: str | None = None,
-                 buckets: int | None = None, rel_err: float = 0.001) -> DataFrame:
+def global_index(df: DataFrame, order_cols: list[str], weight_col: str | None = None) -> DataFrame:
     """Exclusive running total of ``weight_col`` (or row count) in ``order_cols`` order.
 
-    Two levels, never one global window: rows are bucketed by approximate
-    quantiles of ``bucket_col`` (the leading order column), bucket totals (one
-    row per bucket) are prefix-summed, then a window partitioned by bucket adds
-    the in-bucket running total.  Quantile buckets keep every bucket near
-    ``rows / buckets`` rows even when the key values are skewed.
+    Two levels, never one global window: rows are range-partitioned by any orderable
+    key (Spark samples the splits), partition totals -- one row a partition -- are
+    prefix-summed, then a window per partition adds the running total inside it.
     Adds ``_offset`` (BIGINT).
     """
-    spark = df.sparkSession
-    # bucket assignment scans the split list per row: keep it short (<= 1024)
-    buckets = min(buckets or max(spark.sparkContext.defaultParallelism * 4, 1), MAX_BUCKETS)
     w = F.col(weight_col) if weight_col else F.lit(1)
-    splits = sorted(set(df.approxQuantile(bucket_col, [i / buckets for i in range(1, buckets)],
-                                          rel_err)))
-    split_arr = F.array(*[F.lit(s) for s in splits]) if splits else F.array().cast("array<double>")
-    bucket = F.size(F.filter(split_arr, lambda s: s <= F.col(bucket_col)))
-    with_b = df.withColumn("_bucket", bucket).withColumn("_w", w.cast("bigint"))
-    totals = with_b.groupBy("_bucket").agg(F.sum("_w").alias("_bt"))
-    # One row per bucket (<= buckets rows): this window is over a bounded table.
+    ranged = cut_lineage(df.withColumn("_w", w.cast("bigint")).repartitionByRange(*order_cols)
+                         .withColumn("_bucket", F.spark_partition_id()))
+    totals = ranged.groupBy("_bucket").agg(F.sum("_w").alias("_bt"))
+    # one row per partition: this window is over a bounded table
     offsets = totals.select(
         "_bucket",
         (F.sum("_bt").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
          - F.col("_bt")).alias("_bo"))
     inner = Window.partitionBy("_bucket").orderBy(*order_cols).rowsBetween(
         Window.unboundedPreceding, -1)
-    local = with_b.withColumn("_lo", F.coalesce(F.sum("_w").over(inner), F.lit(0)))
+    local = ranged.withColumn("_lo", F.coalesce(F.sum("_w").over(inner), F.lit(0)))
     return (local.join(F.broadcast(offsets), "_bucket")
             .withColumn("_offset", (F.col("_bo") + F.col("_lo")).cast("bigint"))
             .drop("_bucket", "_w", "_bo", "_lo"))
 
 
-def limit_samples(samples: DataFrame, n_samples: int = N_SAMPLES,
-                  batch_size: int = BATCH_SIZE) -> DataFrame:
-    """Global sample index ``i`` in (doc_id, k) order, cap, and batch ids.
+def limit_samples(samples: DataFrame, n_samples: int | None = N_SAMPLES,
+                  batch_size: int = BATCH_SIZE, keys: list[str] | None = None) -> DataFrame:
+    """Global sample index ``i`` in (keys, k) order, cap (None: all), and batch ids.
 
     ``batch_id = ceil(i / B)``: batch 0 is sample 0 alone, batch b holds samples
     (b-1)B+1 .. bB.  ``complete`` is false for a trailing batch that the
     reference would never apply.
     """
-    per_doc = samples.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_nw"))
-    doc_off = global_index(per_doc, ["doc_id"], "doc_id", weight_col="_nw")
-    idx = (samples.join(doc_off.select("doc_id", "_offset"), "doc_id")
+    keys = keys or ["doc_id"]
+    per_doc = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nw"))
+    doc_off = global_index(per_doc, keys, weight_col="_nw")
+    idx = (samples.join(doc_off.select(*keys, "_offset"), keys)
            .withColumn("i", F.col("_offset") + F.col("k").cast("bigint"))
-           .drop("_offset")
-           .filter(F.col("i") < n_samples))
+           .drop("_offset"))
+    total = doc_off.agg(F.sum("_nw")).scalar()
+    if n_samples is not None:
+        idx = idx.filter(F.col("i") < n_samples)
+        total = F.least(total, F.lit(n_samples))
     idx = idx.withColumn("batch_id", F.ceil(F.col("i") / F.lit(batch_size)).cast("bigint"))
     # a batch is applied once its last index b*B is reached (batch 0: index 0)
-    last_i = idx.agg(F.max("i")).scalar()
-    return idx.withColumn("complete", (F.col("batch_id") * batch_size) <= last_i)
+    return idx.withColumn("complete", (F.col("batch_id") * batch_size) <= total - 1)
+
+
+def exclude_validation(encoded: DataFrame, validation: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The training documents, without those the validation set drew (a few rows)."""
+    keys = keys or ["doc_id"]
+    return encoded.join(validation.select(*keys).distinct(), keys, "left_anti")
 
 
 def validation_set(encoded: DataFrame, batch_size: int = BATCH_SIZE,
                    sample_size: int = SAMPLE_SIZE, seed: int = RNG_SEED,
-                   tokens_col: str = "tokens") -> DataFrame:
+                   tokens_col: str = "tokens", keys: list[str] | None = None) -> DataFrame:
     """Seeded sample of ``max(B // 10, 1)`` documents, first ``sample_size`` tokens.
 
     Documents shorter than ``sample_size`` are not eligible (the reference would
-    abort on them).  Output: ``doc_id, x, y``.
+    abort on them).  Output: ``keys, x, y``.
     """
+    keys = keys or ["doc_id"]
     n_val = max(batch_size // 10, 1)
     # Ineligible rows get a NULL draw and sort last; they are dropped *after* the
     # top-n, where the filter cannot be pushed into the scan (a pushed-down
     # size(tokens) filter would recompute the token arrays there).
-    draw = F.when(F.size(tokens_col) >= sample_size, seeded_hash_key(seed, "doc_id"))
-    picked = (encoded.select("doc_id", tokens_col, draw.alias("_draw"))
-              .orderBy(F.col("_draw").asc_nulls_last(), "doc_id").limit(n_val)
+    draw = F.when(F.size(tokens_col) >= sample_size, seeded_hash_key(seed, *keys))
+    picked = (encoded.select(*keys, tokens_col, draw.alias("_draw"))
+              .orderBy(F.col("_draw").asc_nulls_last(), *keys).limit(n_val)
               .filter(F.col("_draw").isNotNull()).drop("_draw"))
     head = F.slice(tokens_col, 1, sample_size)
-    return picked.select("doc_id",
+    return picked.select(*keys,
                          F.slice(head, 1, sample_size - 1).alias("x"),
                          F.slice(head, 2, sample_size - 1).alias("y"))

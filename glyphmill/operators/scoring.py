@@ -31,27 +31,34 @@ from glyphmill.session import ensure_worker_import
 MAX_CHUNK_DOUBLES = 4_000_000
 
 
-def embed_tokens(seqs: DataFrame, embed: DataFrame, tokens_col: str = "tokens",
-                 keys: list[str] | None = None) -> DataFrame:
-    """One row per token position with its embedding ``(keys, pos, idx, vec)``."""
-    keys = keys or ["doc_id"]
-    pos = _positions(seqs, tokens_col, keys)
-    return pos.join(embed, "idx")
+def required(rows: DataFrame, table: DataFrame, key: str, value: str, what: str) -> DataFrame:
+    """``rows`` joined to ``table(key, value)``; a key the table lacks is an error when read."""
+    missing = F.raise_error(F.concat(F.lit(f"{what}: no model row for id "), F.col(key).cast("string")))
+    return rows.join(table.select(key, value), key, "left").withColumn(
+        value, F.when(F.col(value).isNull(), missing).otherwise(F.col(value)))
 
 
-def _positions(seqs: DataFrame, tokens_col: str, keys: list[str]) -> DataFrame:
-    # posexplode_outer: the filter Spark infers for posexplode would be pushed
-    # into the scan and recompute the token arrays there
-    return (seqs.select(*keys, F.posexplode_outer(tokens_col).alias("pos", "idx"))
-            .filter(F.col("pos").isNotNull()))
+def token_counts_per_row(seqs: DataFrame, tokens_col: str = "tokens", keys: list[str] | None = None,
+                         id_col: str = "idx") -> DataFrame:
+    """How often each token occurs in each row: combined in the map task before any shuffle."""
+    keys = keys or ["doc_id"]
+    # explode_outer: the filter Spark infers for explode would be pushed into the
+    # scan and recompute the token arrays there
+    return (seqs.select(*keys, F.explode_outer(tokens_col).alias(id_col))
+            .filter(F.col(id_col).isNotNull())
+            .groupBy(*keys, id_col).agg(F.count(F.lit(1)).alias("n")))
+
 
+def embed_tokens(seqs: DataFrame, embed: DataFrame, tokens_col: str = "tokens",
+                 keys: list[str] | None = None) -> DataFrame:
+    """One row per token position with its embedding ``(keys, pos, idx, vec)``.
 
-def embed_violations(seqs: DataFrame, embed: DataFrame, tokens_col: str = "tokens",
-                     keys: list[str] | None = None) -> DataFrame:
-    """P01 errors: token ids with no embedding row (the reference would panic)."""
+    A token id without an embedding row is an error.
+    """
     keys = keys or ["doc_id"]
-    pos = _positions(seqs, tokens_col, keys)
-    return pos.join(embed.select("idx"), "idx", "left_anti")
+    pos = (seqs.select(*keys, F.posexplode_outer(tokens_col).alias("pos", "idx"))
+           .filter(F.col("pos").isNotNull()))
+    return required(pos, embed, "idx", "vec", "embedding lookup")
 
 
 def slice_rows(width: int) -> int:
@@ -70,6 +77,40 @@ def row_slices(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[pa.Reco
             yield batch.slice(off, step)
 
 
+def vectors(col: pa.Array) -> np.ndarray:
+    """An Arrow column of equally long lists as a matrix, without Python objects."""
+    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return flat.reshape(len(col), -1)
+
+
+class UnembedChunks:
+    """U in column chunks of at most MAX_CHUNK_DOUBLES values, each broadcast once.
+
+    The chunks serve every pass of a gradient round; ``destroy`` frees them after it.
+    """
+
+    def __init__(self, unembed: DataFrame):
+        spark = unembed.sparkSession
+        stats = unembed.agg(F.min("idx"), F.max("idx"), F.count("idx"), F.max(F.size("vec"))).first()
+        if stats[0] is None:
+            raise ValueError("empty unembedding table")
+        self.lo, self.hi, c = int(stats[0]), int(stats[1]), int(stats[3])
+        if stats[2] != self.hi - self.lo + 1:
+            raise ValueError("unembedding ids must be dense")
+        width = max(1, MAX_CHUNK_DOUBLES // max(c, 1))
+        self.parts = []
+        for lo in range(self.lo, self.hi + 1, width):
+            hi = min(lo + width - 1, self.hi)
+            mat = np.zeros((c, hi - lo + 1), dtype=np.float64)
+            for r in unembed.filter((F.col("idx") >= lo) & (F.col("idx") <= hi)).toLocalIterator():
+                mat[:, r["idx"] - lo] = r["vec"]
+            self.parts.append((lo, hi - lo + 1, spark.sparkContext.broadcast(mat)))
+
+    def destroy(self) -> None:
+        for _, _, bc in self.parts:
+            bc.destroy()
+
+
 def _chunk_fn(bc, lo: int, step: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = bc.value  # (C, chunk) float64
@@ -77,8 +118,7 @@ def _chunk_fn(bc, lo: int, step: int):
             xs = batch.column("x").to_numpy()
             if len(xs) == 0:
                 continue
-            ev = np.asarray(batch.column("evec").to_pylist(), dtype=np.float64)
-            ex = np.exp(ev @ u)                                   # (b, chunk)
+            ex = np.exp(vectors(batch.column("evec")) @ u)          # (b, chunk)
             zsum = ex.sum(axis=1)
             clipped = np.where(np.abs(ex) > SMOL, ex, SMOL)
             clipped = np.minimum(clipped, np.float64(3.4028235e38 / 10.0))
@@ -91,37 +131,20 @@ def _chunk_fn(bc, lo: int, step: int):
     return run
 
 
-def normalizers(xs: DataFrame, embed: DataFrame, unembed: DataFrame) -> DataFrame:
+def normalizers(xs: DataFrame, embed: DataFrame, unembed: DataFrame,
+                chunks: UnembedChunks | None = None) -> DataFrame:
     """P02-P04 per distinct current token: ``(x, zsum, best_idx, best_val)``.
 
     ``zsum`` is the unclipped sum of ``exp(logits)`` (the softmax denominator before
     its clip); ``best_idx`` the arg-max of the clipped numerators, lowest id on ties.
     """
-    spark = xs.sparkSession
-    ensure_worker_import(spark)
-    stats = unembed.agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"),
-                        F.max(F.size("vec")).alias("c")).first()
-    if stats["lo"] is None:
-        raise ValueError("empty unembedding table")
-    lo_all, hi_all, c = int(stats["lo"]), int(stats["hi"]), int(stats["c"])
-    width = max(1, MAX_CHUNK_DOUBLES // max(c, 1))
-    xv = xs.select("x").distinct().join(
-        embed.select(F.col("idx").alias("x"), F.col("vec").alias("evec")), "x")
-    parts = []
-    for lo in range(lo_all, hi_all + 1, width):
-        hi = min(lo + width - 1, hi_all)
-        # one bounded chunk of model columns (<= MAX_CHUNK_DOUBLES values)
-        rows = unembed.filter((F.col("idx") >= lo) & (F.col("idx") <= hi)).collect()
-        mat = np.zeros((c, hi - lo + 1), dtype=np.float64)
-        present = np.zeros(hi - lo + 1, dtype=bool)
-        for r in rows:
-            mat[:, r["idx"] - lo] = r["vec"]
-            present[r["idx"] - lo] = True
-        if not present.all():
-            raise ValueError("unembedding ids must be dense")
-        bc = spark.sparkContext.broadcast(mat)
-        parts.append(xv.mapInArrow(_chunk_fn(bc, lo, slice_rows(hi - lo + 1)),
-                                   "x bigint, zsum double, best_val double, best_idx bigint"))
+    ensure_worker_import(xs.sparkSession)
+    chunks = chunks or UnembedChunks(unembed)
+    xv = required(xs.select("x").distinct(), embed.select(
+        F.col("idx").alias("x"), F.col("vec").alias("evec")), "x", "evec", "logits")
+    parts = [xv.mapInArrow(_chunk_fn(bc, lo, slice_rows(width)),
+                           "x bigint, zsum double, best_val double, best_idx bigint")
+             for lo, width, bc in chunks.parts]
     allp = parts[0]
     for p in parts[1:]:
         allp = allp.unionByName(p)
@@ -140,8 +163,8 @@ def pair_terms(pairs: DataFrame, embed: DataFrame, unembed: DataFrame,
     """
     e = embed.select(F.col("idx").alias("x"), F.col("vec").alias("ex"))
     u = unembed.select(F.col("idx").alias("y"), F.col("vec").alias("uy"))
-    logits = (pairs.join(e, "x").join(u, "y")
-              .withColumn("logit", dot(F.col("ex"), F.col("uy"))).drop("ex", "uy"))
+    looked = required(required(pairs, e, "x", "ex", "pair loss"), u, "y", "uy", "pair loss")
+    logits = (looked.withColumn("logit", dot(F.col("ex"), F.col("uy"))).drop("ex", "uy"))
     if z is None:
         z = normalizers(pairs.select("x"), embed, unembed)
     z = z.select("x", "zsum")
@@ -173,18 +196,14 @@ def losses_from_pairs(per_sample: DataFrame, embed: DataFrame, unembed: DataFram
             .groupBy(*keys).agg(F.sum(F.col("n") * F.col("term")).alias("loss")))
 
 
-def losses_from_terms(samples: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
-    """P05 per sample from per-pair terms ``(x, y, term)`` keyed like the samples' tokens.
+def losses_from_terms(per_sample: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
+    """P05 per sample from its pair counts ``(keys, x, y, n)`` and per-pair terms ``(x, y, term)``.
 
-    Each sample's pairs are exploded and joined to the distinct-pair terms (at
-    most one row per distinct (x, y); AQE broadcasts it when its runtime size
-    allows, else shuffles), then summed per sample -- the explode comes from one
-    input row, so the partial aggregate leaves one row per sample per task.
+    Counts are combined in the map task that reads the sample, so no position is
+    shuffled; what meets the terms is one row per distinct pair of a sample.
     """
-    pairs = samples.select(*keys, F.explode(F.arrays_zip("x", "y")).alias("p")).select(
-        *keys, F.col("p.x").alias("x"), F.col("p.y").alias("y"))
-    return (pairs.join(terms.select("x", "y", "term"), ["x", "y"])
-            .groupBy(*keys).agg(F.sum("term").alias("loss")))
+    return (per_sample.join(terms.select("x", "y", "term"), ["x", "y"])
+            .groupBy(*keys).agg(F.sum(F.col("n") * F.col("term")).alias("loss")))
 
 
 def predict_next(seqs: DataFrame, embed: DataFrame, unembed: DataFrame,
@@ -194,7 +213,7 @@ def predict_next(seqs: DataFrame, embed: DataFrame, unembed: DataFrame,
     last = (seqs.filter(F.size(tokens_col) > 0)
             .select(*keys, F.element_at(tokens_col, -1).alias("x")))
     nz = normalizers(last.select("x"), embed, unembed)
-    return last.join(nz.select("x", F.col("best_idx").alias("next_idx")), "x")
+    return required(last, nz.select("x", F.col("best_idx").alias("next_idx")), "x", "next_idx", "prediction")
 
 
 def batch_metrics(losses: DataFrame, batch_col: str = "batch_id") -> DataFrame:

@@ -29,17 +29,15 @@ A gradient round (batch) is a chain of Spark jobs:
 4. scale by 1/B, global L2 norm (one aggregate row), clip, and a left-join update.
 
 The model's predictions use only the embedding and unembedding tensors (the
-attention blocks feed neither logits nor loss), so without blocks the gradient
-works on pair counts alone.  With blocks the unembedding gradient uses the block
-output and the embedding gradient flows back through every block; ``train`` then
-needs the ordered samples and runs ``operators.blocks.block_gradients`` per batch.
+attention blocks feed neither logits nor loss), so the gradient works on pair counts
+alone.  Block tensors are initialised and stored like any others; training them is
+left out (see the README on the attention blocks).
 """
 
 from __future__ import annotations
 
 import math
 import time
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,7 +48,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions.vectors import BIGE, SMOL
 from glyphmill.operators import scoring, vector_ops
-from glyphmill.session import checkpoint_dir, cut_lineage, ensure_worker_import
+from glyphmill.session import drop_scratch, ensure_worker_import, save_scratch
 
 PARAM_SCHEMA = "tensor string, block int, row bigint, vec array<double>"
 
@@ -70,49 +68,51 @@ class ModelShape:
                 f"num_heads ({self.n_heads}) must evenly divide embed_dim ({self.embed_dim})")
 
     def tensors(self) -> list[tuple[str, int, int, int, float | str]]:
-        """(tensor, block, rows, cols, init) with init = bound l of U(-l, l), 'ones' or 'zeros'."""
-        V, C, H, Fd = self.vocab_size, self.embed_dim, self.n_heads, self.ff_dim
+        """(tensor, blocks, rows, cols, init) with init = bound l of U(-l, l), 'ones' or 'zeros'.
+
+        ``blocks`` 0 means a tensor outside the blocks (block -1).
+        """
+        V, C, H, Fd, B = self.vocab_size, self.embed_dim, self.n_heads, self.ff_dim, self.n_blocks
         hs = C // H
         lim = lambda *dims: 1.0 / math.sqrt(float(np.prod(dims)))
-        out = [("embed", -1, V, C, lim(V, C)), ("unembed", -1, V, C, lim(V, C))]
-        for b in range(self.n_blocks):
-            out += [("ln_scale", b, 1, C, "ones"), ("ln_bias", b, 1, C, "zeros")]
-            out += [(t, b, H * C, hs, lim(H, hs, C)) for t in ("query", "key", "value")]
-            out += [("atn_out", b, C, C, lim(C, C)),
-                    ("ff1", b, C, Fd, lim(C, Fd)), ("ff1_b", b, 1, Fd, lim(Fd)),
-                    ("ff2", b, Fd, C, lim(C, Fd)), ("ff2_b", b, 1, C, lim(C))]
+        out = [("embed", 0, V, C, lim(V, C)), ("unembed", 0, V, C, lim(V, C))]
+        if B:
+            out += [("ln_scale", B, 1, C, "ones"), ("ln_bias", B, 1, C, "zeros")]
+            out += [(t, B, H * C, hs, lim(H, hs, C)) for t in ("query", "key", "value")]
+            out += [("atn_out", B, C, C, lim(C, C)),
+                    ("ff1", B, C, Fd, lim(C, Fd)), ("ff1_b", B, 1, Fd, lim(Fd)),
+                    ("ff2", B, Fd, C, lim(C, Fd)), ("ff2_b", B, 1, C, lim(C))]
         return out
 
 
 def init_params(spark: SparkSession, shape: ModelShape, seed: int) -> DataFrame:
     """Seeded uniform parameters; each value is a hash of (seed, tensor, block, row, col).
 
-    Generated by ``spark.range`` per tensor, so it is distributed and identical
-    for any partitioning or executor loss.
+    One ``spark.range`` per kind of tensor covers all blocks, so the plan does not grow with
+    their number; the values are the same for any partitioning or executor loss.
     """
     shape.check()
-    parts = []
-    for tensor, block, rows, cols, init in shape.tensors():
-        r = spark.range(rows).withColumnRenamed("id", "row")
+    out = None
+    for tensor, blocks, rows, cols, init in shape.tensors():
+        at = F.col("id")
+        r = spark.range(rows * max(1, blocks)).select(
+            F.lit(tensor).alias("tensor"),
+            (F.floor(at / rows) if blocks else F.lit(-1)).cast("int").alias("block"),
+            F.pmod(at, F.lit(rows)).cast("bigint").alias("row"))
         cidx = F.sequence(F.lit(0), F.lit(cols - 1))
-        if init == "ones":
-            vec = F.transform(cidx, lambda j: F.lit(1.0))
-        elif init == "zeros":
-            vec = F.transform(cidx, lambda j: F.lit(0.0))
+        if init in ("ones", "zeros"):
+            vec = F.array_repeat(F.lit(1.0 if init == "ones" else 0.0), cols)
         else:
-            vec = F.transform(cidx, _uniform_draw(seed, tensor, block, float(init)))
-        parts.append(r.select(F.lit(tensor).alias("tensor"), F.lit(block).alias("block"),
-                              F.col("row").cast("bigint").alias("row"), vec.alias("vec")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+            vec = F.transform(cidx, _uniform_draw(seed, tensor, float(init)))
+        part = r.withColumn("vec", vec)
+        out = part if out is None else out.unionByName(part)
     return out
 
 
-def _uniform_draw(seed: int, tensor: str, block: int, bound: float):
+def _uniform_draw(seed: int, tensor: str, bound: float):
     """Element j of a row: U(-bound, bound) from xxhash64(seed, tensor, block, row, j)."""
     def draw(j):
-        h = F.xxhash64(F.lit(seed), F.lit(tensor), F.lit(block), F.col("row"), j)
+        h = F.xxhash64(F.lit(seed), F.lit(tensor), F.col("block"), F.col("row"), j)
         u = F.pmod(h, F.lit(1 << 53)).cast("double") / float(1 << 53)
         return (u * 2.0 - 1.0) * F.lit(bound)
     return draw
@@ -128,72 +128,65 @@ def _grad_fn(bc, lo: int, cols: int, step: int):
             if batch.num_rows == 0:
                 continue
             xs = batch.column("x").to_numpy()
-            ev = np.asarray(batch.column("evec").to_pylist(), dtype=np.float64)
+            ev = scoring.vectors(batch.column("evec"))
             zsum = batch.column("zsum").to_numpy()
             nx = batch.column("nx").to_numpy().astype(np.float64)
-            ys = batch.column("ys").to_pylist()
             ex = np.exp(ev @ u)
             ex = np.minimum(np.where(np.abs(ex) > SMOL, ex, SMOL), BIGE)
             zc = np.minimum(np.where(np.abs(zsum) > SMOL, zsum, SMOL), BIGE)
             g = ex / zc[:, None] * nx[:, None]                     # n_x * p(x)
-            for r, pairs in enumerate(ys):
-                for item in pairs:
-                    j = item["y"] - lo
-                    if 0 <= j < cols:
-                        g[r, j] -= item["n"]                       # minus one-hot counts
+            ys, ns = batch.column("ys"), batch.column("ns")
+            row = np.repeat(np.arange(len(xs)), np.diff(ys.offsets.to_numpy()))
+            y, n = ys.flatten().to_numpy() - lo, ns.flatten().to_numpy()
+            here = (y >= 0) & (y < cols)
+            np.subtract.at(g, (row[here], y[here]), n[here])       # minus one-hot counts
             g_embed = g @ u.T                                       # (b, C)
             part = ev.T @ g                                         # (C, chunk)
             acc = part if acc is None else acc + part
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(["embed"] * len(xs)), pa.array(xs, pa.int64()),
-                 pa.array(list(g_embed), pa.list_(pa.float64()))],
-                names=["tensor", "row", "vec"])
+            yield _vector_rows("embed", xs, g_embed)
         if acc is not None:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(["unembed"] * acc.shape[1]),
-                 pa.array(np.arange(lo, lo + acc.shape[1]), pa.int64()),
-                 pa.array(list(acc.T), pa.list_(pa.float64()))],
-                names=["tensor", "row", "vec"])
+            yield _vector_rows("unembed", np.arange(lo, lo + acc.shape[1]), acc.T)
 
     return run
 
 
-def batch_gradients(pairs: DataFrame, params: DataFrame, z: DataFrame | None = None) -> DataFrame:
+def _vector_rows(tensor: str, rows: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    at = np.arange(len(rows) + 1, dtype=np.int32) * values.shape[1]
+    vec = pa.ListArray.from_arrays(pa.array(at), pa.array(np.ascontiguousarray(values).reshape(-1)))
+    return pa.RecordBatch.from_arrays([pa.array([tensor] * len(rows)), pa.array(rows, pa.int64()), vec],
+                                      names=["tensor", "row", "vec"])
+
+
+def batch_gradients(pairs: DataFrame, params: DataFrame, z: DataFrame | None = None,
+                    chunks: scoring.UnembedChunks | None = None) -> DataFrame:
     """Summed gradients ``(tensor, block, row, vec)`` of one batch's pair counts.
 
-    ``pairs(x, y, n)`` are model ids aggregated over the batch's samples; ``z`` may
-    carry the batch's precomputed softmax normalisers.
+    ``pairs(x, y, n)`` are model ids aggregated over the batch's samples; an id without a
+    model row is an error.  ``z`` may carry the batch's precomputed softmax normalisers and
+    ``chunks`` the round's unembedding chunks.
     """
-    spark = pairs.sparkSession
-    ensure_worker_import(spark)
+    ensure_worker_import(pairs.sparkSession)
     embed = params.filter(F.col("tensor") == "embed").select(F.col("row").alias("idx"), "vec")
     unembed = params.filter(F.col("tensor") == "unembed").select(F.col("row").alias("idx"), "vec")
+    chunks = chunks or scoring.UnembedChunks(unembed)
     if z is None:
-        z = scoring.normalizers(pairs.select("x"), embed, unembed)
-    z = z.select("x", "zsum")
-    per_x = (pairs.groupBy("x")
-             .agg(F.sum("n").alias("nx"), F.collect_list(F.struct("y", "n")).alias("ys"))
-             .join(embed.select(F.col("idx").alias("x"), F.col("vec").alias("evec")), "x")
-             .join(z, "x"))
-    stats = unembed.agg(F.min("idx"), F.max("idx"), F.max(F.size("vec"))).first()
-    lo_all, hi_all, c = int(stats[0]), int(stats[1]), int(stats[2])
-    width = max(1, scoring.MAX_CHUNK_DOUBLES // max(c, 1))
-    parts = []
-    for lo in range(lo_all, hi_all + 1, width):
-        hi = min(lo + width - 1, hi_all)
-        rows = unembed.filter((F.col("idx") >= lo) & (F.col("idx") <= hi)).collect()
-        mat = np.zeros((c, hi - lo + 1), dtype=np.float64)
-        for r in rows:
-            mat[:, r["idx"] - lo] = r["vec"]
-        bc = spark.sparkContext.broadcast(mat)
-        width_lo = hi - lo + 1
-        parts.append(per_x.mapInArrow(_grad_fn(bc, lo, width_lo, scoring.slice_rows(width_lo)),
-                                      "tensor string, row bigint, vec array<double>"))
-    raw = parts[0]
-    for p in parts[1:]:
-        raw = raw.unionByName(p)
-    raw = raw.withColumn("block", F.lit(-1))
-    return vector_ops.sum_vectors(raw, ["tensor", "block", "row"], "vec", "vec")
+        z = scoring.normalizers(pairs.select("x"), embed, unembed, chunks)
+    known = (F.col("y") >= chunks.lo) & (F.col("y") <= chunks.hi)
+    y = F.when(known, F.col("y")).otherwise(F.raise_error(
+        F.concat(F.lit("gradient: no model row for id "), F.col("y").cast("string"))))
+    # one list entry per distinct next token of a current token: at most V of them
+    per_x = (pairs.select("x", y.alias("y"), "n").groupBy("x")
+             .agg(F.sum("n").alias("nx"), F.collect_list(F.struct("y", "n")).alias("yn")))
+    per_x = scoring.required(per_x, embed.select(F.col("idx").alias("x"), F.col("vec").alias("evec")),
+                             "x", "evec", "gradient")
+    per_x = per_x.join(z.select("x", "zsum"), "x").select(
+        "x", "nx", "evec", "zsum", F.col("yn.y").alias("ys"), F.col("yn.n").alias("ns"))
+    raw = None
+    for lo, width, bc in chunks.parts:
+        part = per_x.mapInArrow(_grad_fn(bc, lo, width, scoring.slice_rows(width)),
+                                "tensor string, row bigint, vec array<double>")
+        raw = part if raw is None else raw.unionByName(part)
+    return vector_ops.sum_vectors(raw.withColumn("block", F.lit(-1)), ["tensor", "block", "row"], "vec", "vec")
 
 
 @dataclass
@@ -209,86 +202,72 @@ class TrainConfig:
 def write_training_pairs(per_sample: DataFrame, batch_ids: DataFrame) -> DataFrame:
     """Join per-sample pair counts to batch ids and write them sorted by ``batch_id``.
 
-    The table goes to the shared checkpoint folder as parquet, range-partitioned
-    and sorted by batch, so each round's ``batch_id = b`` filter is pushed into
-    the scan and skips other row groups.  Returns the re-read table.
+    The scratch table is range-partitioned and sorted by batch, so each round's
+    ``batch_id = b`` filter is pushed into the scan and skips other row groups.
     """
-    spark = per_sample.sparkSession
-    base = checkpoint_dir(spark)
-    if base is None:
-        raise RuntimeError("spark.checkpoint.dir is not set")
-    path = f"{base.rstrip('/')}/glyphmill-train-{uuid.uuid4().hex}"
     tagged = per_sample.join(batch_ids, ["doc_id", "k"])
-    (tagged.repartitionByRange("batch_id").sortWithinPartitions("batch_id")
-     .write.mode("overwrite").parquet(path))
-    return spark.read.parquet(path)
+    return save_scratch(tagged.repartitionByRange("batch_id").sortWithinPartitions("batch_id"), "pairs")
 
 
 def train(per_sample_pairs: DataFrame, batch_ids: DataFrame, params: DataFrame,
-          cfg: TrainConfig, val_pairs: DataFrame | None = None,
-          samples: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+          cfg: TrainConfig, val_pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The batch loop.  Returns (final params, metrics per batch).
 
     ``per_sample_pairs(doc_id, k, x, y, n)`` in model ids; ``batch_ids(doc_id, k,
     batch_id, complete)`` from ``samples.limit_samples``.  Per batch: train loss
     avg/min/max (L08), validation loss before the update (L09), gradient norm,
     then scale 1/B, clip and update with ``lr * B``.  Only complete batches are
-    applied, as in the reference.  A model with attention blocks also needs
-    ``samples(doc_id, k, x, y)`` (model ids, in sample order) for M03/M04.
+    applied, as in the reference.
+
+    The corpus is read once, for the pair tables.  A round reads the unembedding once, in
+    chunks that losses, validation and gradient share; broadcasts and the last round's
+    tables are dropped when the round ends.
     """
-    from glyphmill.operators import blocks as blk
     spark = params.sparkSession
-    has_blocks = params.filter(~F.col("tensor").isin("embed", "unembed")).limit(1).count() > 0
-    if has_blocks and samples is None:
-        raise ValueError("a model with attention blocks needs the ordered samples")
+    if not params.filter(~F.col("tensor").isin("embed", "unembed")).isEmpty():
+        raise ValueError("attention blocks are not trained here; pass the embedding tensors alone")
     applied = batch_ids.filter("complete").select("doc_id", "k", "batch_id")
     pairs_tbl = write_training_pairs(per_sample_pairs, applied)
-    samples_tbl = (write_training_pairs(samples.select("doc_id", "k", "x", "y"), applied)
-                   if has_blocks else None)
-    spread = spark.sparkContext.defaultParallelism
+    val_tbl = None if val_pairs is None else save_scratch(val_pairs, "validation")
     n_batches = pairs_tbl.agg(F.max("batch_id")).first()[0]
     n_batches = -1 if n_batches is None else int(n_batches)
     if cfg.max_batches is not None:
         n_batches = min(n_batches, cfg.max_batches - 1)
-    params = cut_lineage(params)
+    params = save_scratch(params, "params")
     metrics = []
     for b in range(n_batches + 1):
         t0 = time.time()
-        rows = pairs_tbl.filter(F.col("batch_id") == b)
+        rows = pairs_tbl.filter(F.col("batch_id") == b).drop("batch_id")
         embed = params.filter(F.col("tensor") == "embed").select(F.col("row").alias("idx"), "vec")
         unembed = params.filter(F.col("tensor") == "unembed").select(F.col("row").alias("idx"), "vec")
+        chunks = scoring.UnembedChunks(unembed)
         batch_pairs = rows.groupBy("x", "y").agg(F.sum("n").alias("n"))
-        # one softmax normaliser per distinct current token, shared by loss and gradient
-        if has_blocks:
-            model = blk.round_model(params)      # one read of the parameter table per round
-            zm = cut_lineage(blk.expected_unembed(batch_pairs.select("x"), embed, unembed,
-                                                  model.chunks))
-            z = zm.select("x", "zsum")
-        else:
-            z = cut_lineage(scoring.normalizers(batch_pairs.select("x"), embed, unembed))
-        losses = scoring.losses_from_pairs(rows.drop("batch_id"), embed, unembed,
-                                           ["doc_id", "k"], z)
+        # one softmax normaliser per distinct current token of batch and validation
+        xs = batch_pairs.select("x")
+        z = save_scratch(scoring.normalizers(
+            xs if val_tbl is None else xs.unionByName(val_tbl.select("x")), embed, unembed, chunks), "normalizers")
+        losses = scoring.losses_from_pairs(rows, embed, unembed, ["doc_id", "k"], z)
         m = losses.agg(F.avg("loss"), F.min("loss"), F.max("loss"), F.count(F.lit(1))).first()
         val = None
-        if val_pairs is not None:
-            vl = scoring.losses_from_pairs(val_pairs, embed, unembed, ["doc_id"])
+        if val_tbl is not None:
+            vl = scoring.losses_from_pairs(val_tbl, embed, unembed, ["doc_id"], z)
             val = vl.agg(F.avg("loss")).first()[0]
-        if has_blocks:
-            raw = blk.block_gradients(samples_tbl.filter(F.col("batch_id") == b).drop("batch_id"),
-                                      params, zm, parallelism=min(cfg.batch_size, spread),
-                                      model=model)
-        else:
-            raw = batch_gradients(batch_pairs, params, z)
-        grads = cut_lineage(vector_ops.scale_vectors(raw, 1.0 / cfg.batch_size))
+        raw = batch_gradients(batch_pairs, params, z, chunks)
+        grads = save_scratch(vector_ops.scale_vectors(raw, 1.0 / cfg.batch_size), "gradients")
         norm = vector_ops.global_l2_norm(grads).first()[0]
-        grads = vector_ops.clip_by_norm(grads, cfg.max_norm)
-        new_params = cut_lineage(vector_ops.apply_update(params, grads, cfg.lr * cfg.batch_size))
-        params.unpersist()
+        clipped = vector_ops.clip_by_norm(grads, cfg.max_norm)
+        new_params = save_scratch(vector_ops.apply_update(params, clipped, cfg.lr * cfg.batch_size), "params")
+        for old in (params, grads, z):
+            drop_scratch(old)
+        chunks.destroy()
         params = new_params
         if cfg.checkpoint_every and cfg.output_dir and (b + 1) % cfg.checkpoint_every == 0:
             write_params(params, cfg.output_dir, b)
         metrics.append((b, float(m[0]), float(m[1]), float(m[2]), int(m[3]),
                         None if val is None else float(val), float(norm), time.time() - t0))
+    for old in (pairs_tbl, val_tbl):
+        if old is not None:
+            drop_scratch(old)
     mdf = spark.createDataFrame(
         metrics, "batch_id bigint, avg_loss double, min_loss double, max_loss double, "
                  "n_samples bigint, val_loss double, grad_norm double, seconds double")

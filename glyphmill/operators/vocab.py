@@ -27,17 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphmill.functions.text import (
-    TOK_ID_OFFSET, char_array, char_codes, legal, nseq_sort_key, nseq_windows)
+    TOK_ID_OFFSET, char_array, char_codes, code_to_text, legal, nseq_sort_key, nseq_windows)
 from glyphmill.operators.codec import reencode_fn
 from glyphmill.operators.nseq import keep_candidate, segment_counts
-from glyphmill.session import cut_lineage, ensure_worker_import
-
-# Largest vocabulary we agree to hold in one broadcast (entries).  The trainer's
-# vocab_size is checked against it up front, so the broadcast is size-bounded.
-MAX_BROADCAST_ENTRIES = 5_000_000
-# Existing-token texts are hinted as a broadcast side up to this many entries;
-# above it the join strategy is left to Catalyst/AQE (measured sizes).
-BROADCAST_HINT_ENTRIES = 1_000_000
+from glyphmill.session import cut_lineage, drop_scratch, ensure_worker_import, save_scratch
 
 VOCAB_SCHEMA = T.StructType([
     T.StructField("code", T.LongType(), False),
@@ -69,6 +62,7 @@ class Vocab:
     all_legal: bool = True
     _bc: object = None
     _bc_version: int = -1
+    _next: int = 0
 
     @property
     def count(self) -> int:
@@ -80,12 +74,17 @@ class Vocab:
 
     @property
     def next_free_id(self) -> int:
-        return (max(self.comps) - TOK_ID_OFFSET + 1) if self.comps else 0
+        return self._next
 
-    def add(self, comps: tuple[int, ...], text: str) -> int:
-        code = TOK_ID_OFFSET + self.next_free_id
+    def put(self, code: int, comps: tuple[int, ...], text: str) -> None:
+        """Add an entry under its own code; the next free id stays above every id."""
         self.comps[code] = tuple(comps)
         self.texts[code] = text
+        self._next = max(self._next, code - TOK_ID_OFFSET + 1)
+
+    def add(self, comps: tuple[int, ...], text: str) -> int:
+        code = TOK_ID_OFFSET + self._next
+        self.put(code, comps, text)
         return code
 
     def table(self) -> dict[tuple[int, ...], int]:
@@ -93,8 +92,6 @@ class Vocab:
 
     def broadcast(self, spark: SparkSession):
         """Broadcast {comps -> code} and {code -> text}; re-sent only when entries changed."""
-        if self.count > MAX_BROADCAST_ENTRIES:
-            raise ValueError(f"vocabulary of {self.count} entries exceeds the broadcast bound")
         if self._bc is None or self._bc_version != self.count:
             if self._bc is not None:
                 self._bc.unpersist()
@@ -156,8 +153,6 @@ def train_vocab(corpus: DataFrame, n: int = 2, vocab_size: int = 1000,
     """
     if n < 2:
         raise ValueError("n must be >= 2")
-    if vocab_size > MAX_BROADCAST_ENTRIES:
-        raise ValueError(f"vocab_size {vocab_size} exceeds the broadcast bound")
     spark = corpus.sparkSession
     vocab = vocab or Vocab(n=n, vocab_size=vocab_size)
     input_bytes = corpus.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -165,24 +160,22 @@ def train_vocab(corpus: DataFrame, n: int = 2, vocab_size: int = 1000,
     segs = _initial_segments(corpus, n)
     if vocab.count:
         segs = _reencode_segments(segs, vocab, n)
-    segs = cut_lineage(segs)
+    segs = save_scratch(segs, "segments")
     report = []
     rnd = 0
     while not vocab.full and (max_rounds is None or rnd < max_rounds):
         t0 = time.time()
         cap_left = vocab.vocab_size - vocab.count
         vocab_texts = vocab.to_df(spark).select("unrolled")
-        if vocab.count <= BROADCAST_HINT_ENTRIES:   # checked size: hint the broadcast
-            vocab_texts = F.broadcast(vocab_texts)
         chosen = round_candidates(segs, vocab_texts, n, cap_left).collect()
         for row in chosen:
             vocab.add(tuple(row["comps"]), row["unrolled"])
         segs_left = 0
         if chosen and not vocab.full:
             old = segs
-            segs = cut_lineage(_reencode_segments(segs, vocab, n)
-                               .filter(F.size("codes") >= n))
-            old.unpersist()
+            segs = save_scratch(_reencode_segments(segs, vocab, n)
+                                .filter(F.size("codes") >= n), "segments")
+            drop_scratch(old)
             segs_left = segs.count()
         report.append((rnd, len(chosen), vocab.count, vocab.full, segs_left,
                        int(input_bytes), len(chosen) / input_bytes if input_bytes else 0.0,
@@ -190,6 +183,7 @@ def train_vocab(corpus: DataFrame, n: int = 2, vocab_size: int = 1000,
         rnd += 1
         if not chosen:
             break
+    drop_scratch(segs)
     return vocab, spark.createDataFrame(report, REPORT_SCHEMA)
 
 
@@ -208,8 +202,10 @@ def validate_vocab(entries: DataFrame, n: int) -> DataFrame:
     """Violation rows ``(code, problem)`` of an ``(code, comps)`` table.
 
     Problems: undefined component token, component that is not a Unicode scalar
-    value (surrogate or out of range), wrong arity.
+    value (surrogate or out of range), wrong arity, code below the token range.
     """
+    low = (entries.filter(F.col("code") < TOK_ID_OFFSET)
+           .select("code", F.lit("code below the token range").alias("problem")))
     comps = entries.select("code", F.posexplode("comps").alias("pos", "c"))
     defined = entries.select(F.col("code").alias("c"))
     undefined = (comps.filter(F.col("c") >= TOK_ID_OFFSET)
@@ -219,26 +215,26 @@ def validate_vocab(entries: DataFrame, n: int) -> DataFrame:
                   .select("code", F.concat(F.lit("not a unicode scalar "), F.col("c")).alias("problem")))
     arity = (entries.filter(F.size("comps") != n)
              .select("code", F.concat(F.lit("arity "), F.size("comps")).alias("problem")))
-    return undefined.unionByName(not_scalar).unionByName(arity)
+    return undefined.unionByName(not_scalar).unionByName(arity).unionByName(low)
 
 
-def resolve_vocab(entries: DataFrame, max_depth: int = 64) -> DataFrame:
+def resolve_vocab(entries: DataFrame) -> DataFrame:
     """Compute ``unrolled`` and ``display`` for ``(code, comps)`` entries.
 
     Fixed-point iteration over joins: each round resolves the entries whose
-    components are all resolved.  The resolved side is bounded by the vocabulary
-    size; lineage is cut every round.
+    components are all resolved, until a round resolves none.  What is left then
+    refers to itself or to undefined entries and is an error.  Lineage is cut every round.
     """
     spark = entries.sparkSession
     parts = entries.select("code", F.posexplode("comps").alias("pos", "c"))
     resolved = spark.createDataFrame([], "code bigint, unrolled string, display string")
     pending = entries.select("code")
-    for _ in range(max_depth):
+    while True:
         comp_txt = (parts.join(resolved.withColumnRenamed("code", "c"), "c", "left")
                     .withColumn("txt", F.when(F.col("c") < TOK_ID_OFFSET,
-                                              _code_text(F.col("c"))).otherwise(F.col("unrolled")))
+                                              code_to_text(F.col("c"))).otherwise(F.col("unrolled")))
                     .withColumn("disp", F.when(F.col("c") < TOK_ID_OFFSET,
-                                               _code_text(F.col("c"))).otherwise(F.col("display"))))
+                                               code_to_text(F.col("c"))).otherwise(F.col("display"))))
         ready = (comp_txt.join(pending, "code", "left_semi")
                  .groupBy("code")
                  .agg(F.count(F.lit(1)).alias("k"), F.count("txt").alias("k_ok"),
@@ -251,6 +247,8 @@ def resolve_vocab(entries: DataFrame, max_depth: int = 64) -> DataFrame:
                                   F.lit(")")).alias("display")))
         ready = cut_lineage(ready)
         if ready.isEmpty():
+            if not pending.isEmpty():
+                raise ValueError("vocabulary has unresolvable (cyclic or undefined) entries")
             break
         resolved = cut_lineage(resolved.unionByName(ready))
         pending = cut_lineage(pending.join(ready.select("code"), "code", "left_anti"))
@@ -259,10 +257,6 @@ def resolve_vocab(entries: DataFrame, max_depth: int = 64) -> DataFrame:
     return resolved
 
 
-def _code_text(c):
-    return F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")
-
-
 def vocab_legality(vocab_df: DataFrame) -> DataFrame:
     """Rows of entries whose text is not a legal token (imported vocabularies only)."""
     return vocab_df.filter(~legal(F.col("unrolled")))

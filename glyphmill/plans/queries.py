@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from glyphmill.functions import text as TX
 from glyphmill.functions import vectors as V
 from glyphmill.operators import codec, nseq, samples, scoring, vector_ops, vocab as vocab_ops
+from glyphmill.session import save_scratch
 from glyphmill.sources import corpus as src
 
 # Parameters of the registered queries (fixed here, shared by Spark and SQL).
@@ -173,15 +174,8 @@ FROM ({_sql_nseq(2)}) ORDER BY cnt DESC, nseq DESC LIMIT {FIRST_ROUND_CAP}
 """
 
 
-_VOCAB_CACHE: dict = {}
-
-
 def trained(spark, d, size: int = TRAIN_VOCAB):
-    """Train once per (session, table, size) within a process; reused by later queries."""
-    key = (id(spark), d, size)
-    if key not in _VOCAB_CACHE:
-        _VOCAB_CACHE[key] = vocab_ops.train_vocab(_docs(spark, d), 2, size)
-    return _VOCAB_CACHE[key]
+    return vocab_ops.train_vocab(_docs(spark, d), 2, size)
 
 
 def q_trained_vocab(spark, d):
@@ -301,6 +295,29 @@ FROM cap
 """
 
 
+def q_sample_summary(spark, d):
+    wins = samples.sample_windows(_char_tokens(spark, d), SAMPLE_SIZE, SEED, keep_short=True)
+    return samples.sample_summary(wins, N_SAMPLES)
+
+
+SQL_SAMPLE_SUMMARY = f"""
+WITH {_sql_windows()}
+SELECT count(*) FILTER (sample_len > 1)::BIGINT AS n_samples,
+       count(*) FILTER (sample_len <= 1)::BIGINT AS n_dropped,
+       count(*) FILTER (sample_len > 1) < {N_SAMPLES} AS short FROM st
+"""
+
+
+def q_conversation_windows(spark, d):
+    conv = src.read_corpus(spark, f"{d}/conversations.parquet", key_col=["conv_id", "turn"])
+    toks = conv.select("conv_id", "turn", TX.char_codes(F.col("text")).alias("tokens"))
+    keys = ["conv_id", "turn"]
+    wins = samples.sample_windows(toks, SAMPLE_SIZE, SEED, keys=keys)
+    idx = samples.limit_samples(wins, None, BATCH, keys=keys)
+    return idx.select(*keys, "k", "start_idx", "sample_len", "i", "batch_id",
+                      F.md5(F.array_join("x", ",")).alias("x_md5"))
+
+
 def q_validation_windows(spark, d):
     v = samples.validation_set(_char_tokens(spark, d), BATCH, SAMPLE_SIZE, SEED)
     return v.select("doc_id", F.size("x").alias("x_len"),
@@ -308,6 +325,22 @@ def q_validation_windows(spark, d):
                     F.md5(F.array_join("y", ",")).alias("y_md5"))
 
 
+SQL_CONVERSATION_WINDOWS = f"""
+WITH tok AS (SELECT conv_id, turn, list_transform(string_split(text, ''), lambda c: unicode(c)::BIGINT) AS tokens
+             FROM conversations WHERE text IS NOT NULL AND length(text) > 0),
+lens AS (SELECT conv_id, turn, tokens, len(tokens) AS n, least({SAMPLE_SIZE}, len(tokens)) AS sl FROM tok),
+wins AS (SELECT conv_id, turn, tokens, n, sl, unnest(range(0, ceil(n / sl)::BIGINT)) AS k FROM lens),
+st AS (SELECT conv_id, turn, tokens, k::INTEGER AS k, sl::INTEGER AS sample_len,
+              (CASE WHEN n = sl THEN 0
+                    ELSE ('0x' || substr(md5(concat_ws(':', '{SEED}', conv_id, turn, k)), 1, 8))::BIGINT
+                         % (n - sl) END)::INTEGER AS start_idx
+       FROM wins WHERE sl > 1),
+ix AS (SELECT *, (row_number() OVER (ORDER BY conv_id, turn, k) - 1)::BIGINT AS i FROM st)
+SELECT conv_id, turn, k, start_idx, sample_len, i, ceil(i / {BATCH})::BIGINT AS batch_id,
+       md5(array_to_string(list_slice(tokens, start_idx + 1, start_idx + sample_len - 1), ',')) AS x_md5
+FROM ix
+"""
+
 SQL_VALIDATION_WINDOWS = f"""
 WITH {_sql_char_tokens()},
 pick AS (SELECT doc_id, tokens FROM tok WHERE len(tokens) >= {SAMPLE_SIZE}
@@ -496,59 +529,81 @@ def _model(spark, d):
 
 
 def _to_idx(df, mv, cols):
+    """Codes to model ids; a code without an id is an error."""
     for c in cols:
-        df = (df.join(mv.select(F.col("code").alias(c), F.col("tok_idx").alias("_i")), c)
-              .drop(c).withColumnRenamed("_i", c))
+        ids = mv.select(F.col("code").alias(c), F.col("tok_idx").alias("_i"))
+        df = scoring.required(df, ids, c, "_i", "model ids").drop(c).withColumnRenamed("_i", c)
     return df
 
 
 def q_embedding_lookup(spark, d):
     toks, mv, emb = _model(spark, d)
-    pos = scoring._positions(toks, "tokens", ["doc_id"]).withColumnRenamed("idx", "code")
-    pos = pos.join(mv, "code").select("doc_id", "pos", F.col("tok_idx").alias("idx"))
-    # Reduce each embedding row once (V rows), not once per token position:
-    # higher-order functions are interpreted, so per-position vector work is costly.
+    # counted per document and code before any join; each embedding row is reduced once
+    counts = scoring.token_counts_per_row(toks, id_col="idx")
     row_sums = emb.select("idx", V.vec_sum(F.col("vec")).alias("vsum"))
-    looked = pos.join(row_sums, "idx")
-    return looked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pos"),
-                                        _r(F.sum("vsum")).alias("s1"))
+    looked = scoring.required(_to_idx(counts, mv, ["idx"]), row_sums, "idx", "vsum", "embedding lookup")
+    return looked.groupBy("doc_id").agg(F.sum("n").alias("n_pos"),
+                                        _r(F.sum(F.col("n") * F.col("vsum"))).alias("s1"))
 
 
 def q_next_token(spark, d):
     toks, mv, emb = _model(spark, d)
     last = (toks.filter(F.size("tokens") > 0)
             .select("doc_id", F.element_at("tokens", -1).alias("code")))
-    last = last.join(mv, "code").select("doc_id", F.col("tok_idx").alias("tokens"))
-    seqs = last.select("doc_id", F.array("tokens").alias("tokens"))
+    last = _to_idx(last, mv, ["code"])
+    seqs = last.select("doc_id", F.array("code").alias("tokens"))
     return scoring.predict_next(seqs, emb, emb).select("doc_id", "next_idx")
 
 
-def _code_terms(spark, d):
-    """Windows (persisted: used twice) and per-pair terms keyed by character code."""
+def _scored_windows(spark, d):
+    """Windows, their pair counts by (doc_id, k) in model ids, and per-pair terms.
+
+    The pair counts are the only pass over positions and are stored once.
+    """
     toks, mv, emb = _model(spark, d)
-    wins = samples.sample_windows(toks, SAMPLE_SIZE, SEED).persist()
-    pc = _to_idx(samples.pair_counts(wins), mv, ["x", "y"])     # distinct pairs only
-    terms = scoring.pair_terms(pc, emb, emb)
-    back = (terms.join(mv.select(F.col("tok_idx").alias("x"), F.col("code").alias("xc")), "x")
-            .join(mv.select(F.col("tok_idx").alias("y"), F.col("code").alias("yc")), "y"))
-    return wins, terms, back.select(F.col("xc").alias("x"), F.col("yc").alias("y"), "term")
+    wins = samples.sample_windows(toks, SAMPLE_SIZE, SEED)
+    pairs = save_scratch(_to_idx(samples.pair_counts(wins, ["doc_id", "k"]), mv, ["x", "y"]), "window-pairs")
+    terms = scoring.pair_terms(pairs.groupBy("x", "y").agg(F.sum("n").alias("n")), emb, emb)
+    return wins, pairs, terms
 
 
 def q_pair_loss(spark, d):
-    _, terms, _ = _code_terms(spark, d)
+    _, _, terms = _scored_windows(spark, d)
     return terms.select("x", "y", "n", _r(F.col("term")).alias("term"))
 
 
-def q_batch_metrics(spark, d):
-    wins, _, code_terms = _code_terms(spark, d)
-    losses = scoring.losses_from_terms(wins, code_terms, ["doc_id", "k"])
-    idx = samples.limit_samples(wins.select("doc_id", "k"), N_SAMPLES, BATCH)
-    m = scoring.batch_metrics(losses.join(idx.select("doc_id", "k", "batch_id"), ["doc_id", "k"]))
+def _metrics(losses, index):
+    m = scoring.batch_metrics(losses.join(index.select("doc_id", "k", "batch_id"), ["doc_id", "k"]))
     return m.select("batch_id", _r(F.col("avg_loss")).alias("avg_loss"),
                     _r(F.col("min_loss")).alias("min_loss"), _r(F.col("max_loss")).alias("max_loss"),
                     "n_samples")
 
 
+def q_batch_metrics(spark, d):
+    wins, pairs, terms = _scored_windows(spark, d)
+    losses = scoring.losses_from_terms(pairs, terms, ["doc_id", "k"])
+    return _metrics(losses, samples.limit_samples(wins.select("doc_id", "k"), None, BATCH))
+
+
+def q_trained_tokens_loss(spark, d):
+    """Train a vocabulary, encode with it, window the tokens and score them: per-batch losses.
+
+    Model ids are the ranks of the codes; a code's embedding is a seeded row of M01.
+    """
+    from glyphmill.operators import training
+    v, _ = trained(spark, d)
+    toks = save_scratch(codec.encode(_docs(spark, d), v).select("doc_id", "tokens"), "tokens")
+    mv = save_scratch(codec.model_vocab(toks), "model-vocab")
+    shape = training.ModelShape(vocab_size=mv.count(), embed_dim=TRAIN_EMBED)
+    params = save_scratch(training.init_params(spark, shape, SEED), "params")
+    emb, unemb = (params.filter(F.col("tensor") == t).select(F.col("row").alias("idx"), "vec")
+                  for t in ("embed", "unembed"))
+    wins = samples.sample_windows(toks, SAMPLE_SIZE, SEED)
+    pairs = save_scratch(_to_idx(samples.pair_counts(wins, ["doc_id", "k"]), mv, ["x", "y"]), "window-pairs")
+    losses = scoring.losses_from_pairs(pairs, emb, unemb, ["doc_id", "k"])
+    return _metrics(losses, samples.limit_samples(wins.select("doc_id", "k"), None, BATCH))
+
+
 def q_validation_loss(spark, d):
     toks, mv, emb = _model(spark, d)
     val = samples.validation_set(toks, BATCH, SAMPLE_SIZE, SEED)
@@ -643,7 +698,7 @@ pc AS (SELECT doc_id, k, mx.idx AS xi, my.idx AS yi, count(*)::BIGINT AS n
 loss AS (SELECT doc_id, k, sum(n * term) AS loss FROM pc
          JOIN terms ON terms.xi = pc.xi AND terms.yi = pc.yi GROUP BY doc_id, k),
 ix AS (SELECT doc_id, k, (row_number() OVER (ORDER BY doc_id, k) - 1)::BIGINT AS i FROM sw),
-b AS (SELECT doc_id, k, ceil(i / {BATCH})::BIGINT AS batch_id FROM ix WHERE i < {N_SAMPLES})
+b AS (SELECT doc_id, k, ceil(i / {BATCH})::BIGINT AS batch_id FROM ix)
 SELECT batch_id, round(avg(loss), {ROUND}) AS avg_loss, round(min(loss), {ROUND}) AS min_loss,
        round(max(loss), {ROUND}) AS max_loss, count(*)::BIGINT AS n_samples
 FROM loss JOIN b USING (doc_id, k) GROUP BY batch_id
@@ -707,7 +762,7 @@ def q_train_rounds(spark, d):
     V_ = mv.count()
     wins = samples.sample_windows(toks, SAMPLE_SIZE, SEED)
     per_sample = _to_idx(samples.pair_counts(wins, ["doc_id", "k"]), mv, ["x", "y"])
-    batch_ids = samples.limit_samples(wins.select("doc_id", "k"), N_SAMPLES, TRAIN_BATCH)
+    batch_ids = samples.limit_samples(wins.select("doc_id", "k"), None, TRAIN_BATCH)
     val = samples.validation_set(toks, TRAIN_BATCH, SAMPLE_SIZE, SEED)
     val_pairs = _to_idx(samples.pair_counts(val, ["doc_id"]), mv, ["x", "y"])
     shape = training.ModelShape(vocab_size=V_, embed_dim=TRAIN_EMBED)
@@ -717,64 +772,17 @@ def q_train_rounds(spark, d):
     return metrics.drop("seconds")
 
 
-# ---------------------------------------------------------------------------
-# Attention blocks (M03, M04 through blocks): the corpus model above plus one
-# block (feed-forward 128 as in the reference).  Two heads: the backward's
-# A^T g_a A product costs T^3 per head and sample (T = 1,000); the library
-# takes any head count that divides the width.
-
-BLOCK_SHAPE = dict(n_blocks=1, n_heads=2, ff_dim=128)
-
-
-def _block_model(spark, d):
-    """Windows in model ids, and a parameter table: embeddings (tied) + seeded blocks."""
-    from glyphmill.operators import training
-    toks, mv, emb = _model(spark, d)
-    ids = _token_ids(toks, mv)
-    wins = samples.sample_windows(ids, SAMPLE_SIZE, SEED)
-    shape = training.ModelShape(vocab_size=mv.count(), embed_dim=TRAIN_EMBED, **BLOCK_SHAPE)
-    blocks = training.init_params(spark, shape, SEED).filter(F.col("block") >= 0)
-    tied = [emb.select(F.lit(t).alias("tensor"), F.lit(-1).alias("block"),
-                       F.col("idx").alias("row"), "vec") for t in ("embed", "unembed")]
-    params = tied[0].unionByName(tied[1]).unionByName(blocks)
-    return ids, wins, emb, params
-
-
-def _token_ids(toks, mv):
-    """Token arrays of character codes -> arrays of model ids (bounded code table)."""
-    from glyphmill.operators import codec
-    return codec.map_tokens(toks, mv.select("code", "tok_idx"))
-
-
-def q_block_features(spark, d):
-    """Every window through the block; per-window digest of x_refined."""
-    from glyphmill.operators import blocks
-    _, wins, emb, params = _block_model(spark, d)
-    feats = blocks.extract_features(wins.select("doc_id", "k", "x"), emb, params)
-    return feats.groupBy("doc_id", "k").agg(
-        F.count(F.lit(1)).alias("n_pos"), _r(F.sum(V.vec_sum(F.col("vec")))).alias("s1"))
-
-
-def q_train_block_rounds(spark, d):
-    """M04 through the block inside the M11 loop; per-batch metrics."""
-    from glyphmill.operators import training
-    ids, wins, _, params = _block_model(spark, d)
-    wins = wins.persist()
-    per_sample = samples.pair_counts(wins, ["doc_id", "k"])
-    batch_ids = samples.limit_samples(wins.select("doc_id", "k"), N_SAMPLES, TRAIN_BATCH)
-    val = samples.validation_set(ids, TRAIN_BATCH, SAMPLE_SIZE, SEED)
-    cfg = training.TrainConfig(batch_size=TRAIN_BATCH, lr=LR, max_norm=MAX_NORM)
-    _, metrics = training.train(per_sample, batch_ids, params, cfg,
-                                samples.pair_counts(val, ["doc_id"]), samples=wins)
-    return metrics.drop("seconds")
-
-
 def q_param_checkpoint(spark, d):
-    """The block model's parameter table written as one round folder and read back."""
+    """A parameter table (tied embeddings and seeded blocks) written as one round folder and read back."""
     import uuid
     from glyphmill.operators import training
     from glyphmill.session import checkpoint_dir
-    _, _, _, params = _block_model(spark, d)
+    _, mv, emb = _model(spark, d)
+    shape = training.ModelShape(vocab_size=mv.count(), embed_dim=TRAIN_EMBED, n_blocks=16)
+    params = training.init_params(spark, shape, SEED).filter(F.col("block") >= 0)
+    for t in ("embed", "unembed"):
+        params = params.unionByName(emb.select(F.lit(t).alias("tensor"), F.lit(-1).alias("block"),
+                                               F.col("idx").alias("row"), "vec"))
     out = f"{checkpoint_dir(spark).rstrip('/')}/glyphmill-params-{uuid.uuid4().hex}"
     path = training.write_params(params, out, 0)
     back = spark.read.parquet(path)
@@ -810,7 +818,9 @@ def q_benchmark_loss(spark, d):
         "item_id", F.slice("t", 1, F.size("t") - 1).alias("x"), F.slice("t", 2, F.size("t") - 1).alias("y"))
     pc = samples.pair_counts(seqs, ["item_id"])
     # characters the corpus never saw have no model id: those pairs are reported, not scored
-    scored = _to_idx(pc, mv, ["x", "y"])
+    known = mv.select("code")
+    scored = _to_idx(pc.join(known.withColumnRenamed("code", "x"), "x", "left_semi")
+                     .join(known.withColumnRenamed("code", "y"), "y", "left_semi"), mv, ["x", "y"])
     losses = scoring.losses_from_pairs(scored, emb, emb, ["item_id"])
     totals = pc.groupBy("item_id").agg(F.sum("n").alias("n_pairs"))
     kept = scored.groupBy("item_id").agg(F.sum("n").alias("n_scored"))
@@ -838,9 +848,9 @@ FROM tot LEFT JOIN loss USING (item_id)
 
 def q_sample_log(spark, d):
     """Per sample -- doc, global index, start, end, length, loss."""
-    wins, _, code_terms = _code_terms(spark, d)
-    losses = scoring.losses_from_terms(wins, code_terms, ["doc_id", "k"])
-    idx = samples.limit_samples(wins.select("doc_id", "k"), N_SAMPLES, BATCH)
+    wins, pairs, terms = _scored_windows(spark, d)
+    losses = scoring.losses_from_terms(pairs, terms, ["doc_id", "k"])
+    idx = samples.limit_samples(wins.select("doc_id", "k"), None, BATCH)
     return (wins.select("doc_id", "k", "start_idx", "sample_len")
             .join(idx.select("doc_id", "k", "i"), ["doc_id", "k"])
             .join(losses, ["doc_id", "k"])
@@ -861,7 +871,7 @@ ix AS (SELECT doc_id, k, start_idx, sample_len,
               (row_number() OVER (ORDER BY doc_id, k) - 1)::BIGINT AS i FROM sw)
 SELECT doc_id, i, start_idx, start_idx + sample_len AS end_idx, sample_len,
        round(loss, {ROUND}) AS loss
-FROM ix JOIN loss USING (doc_id, k) WHERE i < {N_SAMPLES}
+FROM ix JOIN loss USING (doc_id, k)
 """
 
 
@@ -911,8 +921,9 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "vocab_resolve": q_vocab_resolve,
         "init_params": q_init_params,
         "train_rounds": q_train_rounds,
-        "block_features": q_block_features,
-        "train_block_rounds": q_train_block_rounds,
+        "trained_tokens_loss": q_trained_tokens_loss,
+        "sample_summary": q_sample_summary,
+        "conversation_windows": q_conversation_windows,
         "param_checkpoint": q_param_checkpoint,
         "conversation_turn_bigrams": q_conversation_turn_bigrams,
         "benchmark_loss": q_benchmark_loss,
@@ -939,6 +950,8 @@ def oracle() -> dict[str, str]:
         "shift_pairs": SQL_SHIFT_PAIRS,
         "sample_limit_batches": SQL_SAMPLE_LIMIT_BATCHES,
         "validation_windows": SQL_VALIDATION_WINDOWS,
+        "sample_summary": SQL_SAMPLE_SUMMARY,
+        "conversation_windows": SQL_CONVERSATION_WINDOWS,
         "vector_softmax": SQL_VECTOR_SOFTMAX,
         "vector_gelu": SQL_VECTOR_GELU,
         "vector_gelu_grad": SQL_VECTOR_GELU_GRAD,

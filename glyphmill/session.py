@@ -3,13 +3,14 @@
 Library code never creates its own session; every function takes the caller's
 DataFrames (and the session they belong to).  Lineage is cut with reliable
 ``checkpoint()`` into the folder the cluster names in ``spark.checkpoint.dir``;
-only tests and the bench set that folder themselves, and only when it is unset.
+only local sessions (tests, bench) set that folder themselves, when it is unset.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,18 +50,21 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the configured checkpoint folder; set a scratch one only when none is set.
+    """Use the configured checkpoint folder; set a scratch one only in a local session without one.
 
-    On a cluster ``spark.checkpoint.dir`` names shared storage and is left alone.
-    The fallback (a fresh temp folder) exists for local tests and benches only.
+    On a cluster ``spark.checkpoint.dir`` must name shared storage; there is no
+    machine-local fallback.
     """
-    current = checkpoint_dir(spark)
+    current = spark.sparkContext.getCheckpointDir()
     if current:
-        spark.sparkContext.setCheckpointDir(current)
         return current
-    scratch = tempfile.mkdtemp(prefix="glyphmill-ckpt-")
-    spark.sparkContext.setCheckpointDir(scratch)
-    return scratch
+    wanted = spark.conf.get("spark.checkpoint.dir", None)
+    if not wanted:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        wanted = tempfile.mkdtemp(prefix="glyphmill-ckpt-")
+    spark.sparkContext.setCheckpointDir(wanted)
+    return wanted
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -71,10 +75,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     recomputes the current round.
     """
     spark = df.sparkSession
-    if checkpoint_dir(spark) is None:
-        raise RuntimeError(
-            "spark.checkpoint.dir is not set; iterative jobs need a shared checkpoint folder")
-    spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    ensure_checkpoint_dir(spark)
     # Persist first: a reliable checkpoint otherwise computes the plan twice
     # (once for the eager action, once more to write the checkpoint files).
     staged = df.persist()
@@ -84,6 +85,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         staged.unpersist()
 
 
+def save_scratch(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a parquet table in the shared checkpoint folder and read it back.
+
+    Like ``cut_lineage``, but the table can be dropped by ``drop_scratch`` as soon as
+    no later step reads it, so loops leave nothing behind.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/glyphmill-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(df: DataFrame) -> None:
+    """Delete a table made by ``save_scratch`` (its whole folder), through Spark's file systems."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0].rpartition("/")[0] for f in df.inputFiles()}:
+        if folder.rpartition("/")[2].startswith("glyphmill-"):
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 _PKG_PARENT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 

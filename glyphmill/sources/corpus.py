@@ -21,48 +21,7 @@ def read_corpus(spark: SparkSession, path: str, text_col: str = "text",
     """
     keys = [key_col] if isinstance(key_col, str) else list(key_col)
     df = spark.read.parquet(path).select(*keys, F.col(text_col).alias("text"))
-    return spread_small_input(apply_nulls(df, keys, nulls), keys)
-
-
-def spread_small_input(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Hash-spread a *small* scan over all cores; leave large scans untouched.
-
-    A file with one row group is read by one task, which then runs all the regex
-    work alone.  When the whole input is smaller than one split per core
-    (Catalyst's size estimate vs ``maxPartitionBytes * defaultParallelism``) a
-    hash repartition on the key costs little and buys parallelism.  At cluster
-    scale the scan already has thousands of splits and this is a no-op, so no
-    full shuffle of raw text is ever added there.
-    """
-    spark = df.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    split = _conf_bytes(spark, "spark.sql.files.maxPartitionBytes", 128 * 1024 * 1024)
-    try:
-        est = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # pragma: no cover - stats unavailable (e.g. Spark Connect)
-        return df
-    if par > 1 and est < split * par:
-        return df.repartition(par, *keys)
-    return df
-
-
-def _conf_bytes(spark: SparkSession, key: str, default: int) -> int:
-    raw = spark.conf.get(key, None)
-    if raw is None:
-        return default
-    raw = raw.strip().lower()
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    if raw.endswith("b"):
-        raw = raw[:-1]
-    if raw and raw[-1] in units:
-        return int(float(raw[:-1]) * units[raw[-1]])
-    return int(raw)
-
-
-def corpus_from(df: DataFrame, text_col: str = "text", key_col: str | list[str] = "doc_id",
-                nulls: str = "skip") -> DataFrame:
-    keys = [key_col] if isinstance(key_col, str) else list(key_col)
-    return apply_nulls(df.select(*keys, F.col(text_col).alias("text")), keys, nulls)
+    return apply_nulls(df, keys, nulls)
 
 
 def apply_nulls(df: DataFrame, keys: list[str], nulls: str) -> DataFrame:

@@ -46,10 +46,13 @@ def export_vocab(vocab: Vocab, path: str, mode: str = "errorifexists") -> None:
 
 
 def export_vocab_table(vocab: Vocab, path: str, mode: str = "errorifexists") -> None:
-    """The scalable table form: parquet ``(code, id, comps, unrolled)``."""
-    spark = SparkSession.getActiveSession()
-    check_output(spark, path, mode)
-    vocab.to_df(spark).write.mode("overwrite").parquet(path)
+    """The table form: parquet ``(code, id, comps, unrolled)``; the writer's mode guards the path."""
+    vocab.to_df(SparkSession.getActiveSession()).write.mode(mode).parquet(path)
+
+
+def import_vocab_table(spark: SparkSession, path: str, n: int, vocab_size: int) -> Vocab:
+    """The vocabulary of a parquet table ``(code, comps)``, validated and resolved like the JSON form."""
+    return _validated(spark, spark.read.parquet(path).select("code", "comps"), n, vocab_size)
 
 
 def read_vocab_entries(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
@@ -68,7 +71,10 @@ def import_vocab(spark: SparkSession, path: str) -> Vocab:
     Raises ``ValueError`` listing violations (undefined component, non-scalar
     component, wrong arity).  ``next_free_id`` becomes ``max(id) + 1``.
     """
-    entries, n, vocab_size = read_vocab_entries(spark, path)
+    return _validated(spark, *read_vocab_entries(spark, path))
+
+
+def _validated(spark: SparkSession, entries: DataFrame, n: int, vocab_size: int) -> Vocab:
     bad = validate_vocab(entries, n).limit(20).collect()
     if bad:
         raise ValueError("invalid vocabulary: " + "; ".join(
@@ -77,10 +83,7 @@ def import_vocab(spark: SparkSession, path: str) -> Vocab:
     rows = entries.join(resolved, "code").collect()   # bounded by vocab_size
     v = Vocab(n=n, vocab_size=vocab_size)
     for r in sorted(rows, key=lambda r: r["code"]):
-        v.comps[int(r["code"])] = tuple(int(c) for c in r["comps"])
-        v.texts[int(r["code"])] = r["unrolled"]
-    if len(v.comps) != entries.count():
-        raise ValueError("vocabulary has unresolvable (cyclic) entries")
+        v.put(int(r["code"]), tuple(int(c) for c in r["comps"]), r["unrolled"])
     # Segment-wise encoding is exact only for legal entries (see codec).
     v.all_legal = vocab_legality(resolved).isEmpty()
     return v

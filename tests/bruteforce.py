@@ -1,70 +1,55 @@
-"""Direct single-machine restatement of the tokenizer semantics, for tests only."""
+"""The tokenizer's rules over plain Python values, for tests only.
+
+Stated as SURVEY lists them: one counter of windows (T02-T05), one sort key (T06), one set of
+known texts (T09-T11), and encoding as passes that consume a sequence from its front (E01, E02).
+"""
+
+from collections import Counter
 
 import regex
 
 OFF = 1_114_112
-LEGAL = regex.compile(r"^( ?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+|\s+)\Z")
+LEGAL = regex.compile(r"( ?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+|\s+)")
 
 
-def unroll(code, texts):
-    return chr(code) if code < OFF else texts[code]
+def spelled(window, words):
+    return "".join(words.get(c) or chr(c) for c in window)
 
 
-def greedy(seq, tokens, n):
-    while True:
-        out, i, rep = [], 0, 0
-        while i + n <= len(seq):
-            w = tuple(seq[i:i + n])
-            if w in tokens:
-                out.append(tokens[w]); i += n; rep += 1
-            else:
-                out.append(seq[i]); i += 1
-        out.extend(seq[i:])
-        if rep == 0:
-            return out
-        seq = out
+def rank(code):
+    """Characters rank above tokens; characters by scalar value, tokens by id."""
+    return (code < OFF, code)
+
 
+def one_pass(codes, vocab, n):
+    rest, out = codes[::-1], []
+    while rest:
+        window = tuple(rest[:-n - 1:-1])
+        out.append(vocab.get(window, rest[-1]))
+        del rest[-n if window in vocab else -1:]
+    return out
 
-def most_common(seq, n, texts):
-    counts = {}
-    for i in range(len(seq) - n + 1):
-        w = tuple(seq[i:i + n])
-        if LEGAL.match("".join(unroll(c, texts) for c in w)):
-            counts[w] = counts.get(w, 0) + 1
-    items = [(w, c) for w, c in counts.items() if c > 1]
 
-    def key(w):  # derived order: Tok < Char; tokens by id, chars by scalar value
-        return tuple((1, c) if c < OFF else (0, c - OFF) for c in w)
-    items.sort(key=lambda wc: key(wc[0]))
-    items.sort(key=lambda wc: wc[1])          # stable: ascending count
-    return items
+def encode(codes, vocab, n):
+    after = one_pass(codes, vocab, n)
+    return codes if after == codes else encode(after, vocab, n)
 
 
-def ingest(text, n, vocab_size, tokens=None, texts=None):
-    """Returns (new tokens, full, tokens comps->code, texts code->str)."""
-    tokens = {} if tokens is None else tokens
-    texts = {} if texts is None else texts
-    seq = [ord(c) for c in text]
-    total = 0
+def train(text, n, size):
+    """(window -> code, code -> text) of a vocabulary trained on one text."""
+    codes, vocab, words = [ord(c) for c in text], {}, {}
     while True:
-        nseqs = most_common(seq, n, texts)
-        if not nseqs:
-            break
-        new = 0
-        for w, _ in reversed(nseqs):
-            if len(tokens) >= vocab_size:
-                break
-            if w in tokens:
-                continue
-            t = "".join(unroll(c, texts) for c in w)
-            if t in set(texts.values()):
-                continue
-            code = OFF + len(tokens)
-            tokens[w] = code
-            texts[code] = t
-            new += 1
-        if new == 0:
-            break
-        total += new
-        seq = greedy(seq, tokens, n)
-    return total, len(tokens) >= vocab_size, tokens, texts
+        counted = Counter(zip(*(codes[i:] for i in range(n)), strict=False))
+        repeated = [w for w, k in counted.items() if k > 1 and LEGAL.fullmatch(spelled(w, words))]
+        repeated.sort(key=lambda w: (counted[w], [rank(c) for c in w]), reverse=True)
+        by_text = {spelled(w, words): w for w in reversed(repeated)}      # the best window of a text
+        known = set(words.values())
+        fresh = [w for w in repeated if by_text[spelled(w, words)] == w and spelled(w, words) not in known]
+        fresh = fresh[:size - len(vocab)]
+        if not fresh:
+            return vocab, words
+        spelt = [spelled(w, words) for w in fresh]
+        for w, t in zip(fresh, spelt, strict=True):
+            words[OFF + len(vocab)] = t
+            vocab[w] = OFF + len(vocab)
+        codes = encode(codes, vocab, n)

@@ -8,7 +8,7 @@ from glyphmill.functions.text import TOK_ID_OFFSET
 from glyphmill.operators import codec
 from glyphmill.operators.vocab import train_vocab
 
-from bruteforce import greedy, ingest
+from bruteforce import encode, train
 
 ALPHABET = list("ab ba.,1234 \t\nxyzé😀") + ["  "]
 
@@ -28,21 +28,21 @@ def test_train_one_doc_matches_direct(one_doc, n, cap):
     rng = random.Random(n * 100 + cap)
     texts = CASES + [_rand_text(rng, 60) for _ in range(4)]
     for text in texts:
-        total, full, tokens, ttexts = ingest(text, n, cap)
+        tokens, ttexts = train(text, n, cap)
         v, rep = train_vocab(one_doc(text), n, cap)
         assert v.comps == {code: w for w, code in tokens.items()}, text
         assert v.texts == ttexts, text
-        assert sum(r["new_tokens"] for r in rep.collect()) == total
-        assert v.full == full
+        assert sum(r["new_tokens"] for r in rep.collect()) == len(tokens)
+        assert v.full == (len(tokens) >= cap)
         enc = codec.encode(one_doc(text), v).first()["tokens"]
-        assert enc == greedy([ord(c) for c in text], tokens, n), text
+        assert enc == encode([ord(c) for c in text], tokens, n), text
 
 
 def test_multi_doc_equals_separated_concatenation(docs, one_doc):
     # Corpus scope = one document made of the rows joined by an uncrossable cut.
     rows = ["the cat sat", "the hat", "that cat"]
     v, _ = train_vocab(docs(rows), 2, 100)
-    total, full, tokens, ttexts = ingest("\n".join(rows), 2, 100)
+    tokens, ttexts = train("\n".join(rows), 2, 100)
     assert set(v.texts.values()) == set(ttexts.values())
     assert len(v.comps) == len(tokens)
 
@@ -56,7 +56,7 @@ def test_encode_independent_of_partitioning(spark, docs):
     assert a == b
     table = v.table()
     for i, t in enumerate(texts):
-        assert a[i] == greedy([ord(c) for c in t], table, 2)
+        assert a[i] == encode([ord(c) for c in t], table, 2)
         assert all(c < TOK_ID_OFFSET or c in v.comps for c in a[i])
 
 

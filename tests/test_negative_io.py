@@ -89,10 +89,49 @@ def test_validate_vectors(spark):
     assert counts == {"a": (1, 0), "b": (0, 1), "c": (0, 0)}
 
 
-def test_train_with_blocks_needs_samples(spark):
+def test_train_refuses_block_tensors(spark):
     shape = training.ModelShape(vocab_size=4, embed_dim=4, n_blocks=1, n_heads=2, ff_dim=3)
     p = training.init_params(spark, shape, 1)
     empty = spark.createDataFrame([], "doc_id bigint, k int, x bigint, y bigint, n bigint")
     ids = spark.createDataFrame([], "doc_id bigint, k int, batch_id bigint, complete boolean")
-    with pytest.raises(ValueError, match="ordered samples"):
+    with pytest.raises(ValueError, match="attention blocks"):
         training.train(empty, ids, p, training.TrainConfig())
+
+
+def _chain(depth):
+    """Token i = token i-1 followed by 'a'."""
+    return [(1114112, [97, 97])] + [(1114112 + i, [1114111 + i, 97]) for i in range(1, depth)]
+
+
+def test_deep_vocabulary_resolves(spark, tmp_path):
+    depth = 30
+    entries = spark.createDataFrame(_chain(depth), "code bigint, comps array<bigint>")
+    got = {r["code"]: r["unrolled"] for r in resolve_vocab(entries).collect()}
+    assert got == {1114112 + i: "a" * (i + 2) for i in range(depth)}
+
+
+def test_cycle_is_an_error(spark):
+    entries = spark.createDataFrame([(1114112, [1114113, 97]), (1114113, [1114112, 97])],
+                                    "code bigint, comps array<bigint>")
+    with pytest.raises(ValueError, match="unresolvable"):
+        resolve_vocab(entries)
+
+
+def test_table_form_round_trip_and_key_range(spark, tmp_path, one_doc):
+    from glyphmill.operators.vocab import train_vocab
+    v, _ = train_vocab(one_doc("the cat sat on the mat, the hat"), 2, 20)
+    path = str(tmp_path / "vocab.parquet")
+    vocab_io.export_vocab_table(v, path)
+    back = vocab_io.import_vocab_table(spark, path, 2, 20)
+    assert (back.comps, back.texts, back.next_free_id) == (v.comps, v.texts, v.next_free_id)
+    with pytest.raises(Exception):
+        vocab_io.export_vocab_table(v, path)
+    bad = _write_json(tmp_path, {"n": 2, "vocab_size": 5, "tokens": {"97": [98, 99]}})
+    with pytest.raises(ValueError, match="below the token range"):
+        vocab_io.import_vocab(spark, bad)
+
+
+def test_windows_over_segment_borders(one_doc):
+    from glyphmill.operators import nseq
+    got = {r["nseq"]: r["cnt"] for r in nseq.nseq_counts(one_doc("a b a b"), 2, min_count=1, legal_only=False).collect()}
+    assert got == {"a ": 2, " b": 2, "b ": 1, " a": 1}

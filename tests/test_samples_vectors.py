@@ -30,7 +30,7 @@ def test_global_index_skewed_keys(spark):
     rows = [(i, (i % 5) + 1) for i in ids]
     df = spark.createDataFrame(rows, "doc_id bigint, w bigint").repartition(5)
     got = {r["doc_id"]: r["_offset"]
-           for r in samples.global_index(df, ["doc_id"], "doc_id", "w", buckets=7).collect()}
+           for r in samples.global_index(df, ["doc_id"], "w").collect()}
     run = 0
     for i, w in sorted(rows):
         assert got[i] == run
@@ -91,3 +91,23 @@ def test_vector_sum_norm_clip_update(spark):
     params = vector_ops.sum_vectors(df, ["tensor", "block", "row"])
     upd = {r["row"]: r["vec"] for r in vector_ops.apply_update(params, grads, 0.5).collect()}
     assert upd[0] == [8.5, 2.5, -6.5] and upd[1] == [12.0, 3.0, -6.0]
+
+
+def test_string_keys_and_excluded_validation(spark):
+    rows = [(f"d{i:03d}", list(range(i % 7 + 2))) for i in range(40)]
+    enc = spark.createDataFrame(rows, "url string, tokens array<bigint>")
+    wins = samples.sample_windows(enc, 4, 1, keys=["url"])
+    idx = samples.limit_samples(wins, None, 3, keys=["url"]).orderBy("i").collect()
+    assert [r["i"] for r in idx] == list(range(len(idx)))
+    assert [(r["url"], r["k"]) for r in idx] == sorted((r["url"], r["k"]) for r in idx)
+    val = samples.validation_set(enc, 20, 4, 1, keys=["url"])
+    assert val.count() == 2
+    rest = samples.exclude_validation(enc, val, ["url"])
+    assert rest.count() == 38 and rest.join(val, "url").isEmpty()
+
+
+def test_sample_summary(spark):
+    enc = spark.createDataFrame([(1, [5]), (2, [1, 2, 3]), (3, [])], "doc_id bigint, tokens array<bigint>")
+    wins = samples.sample_windows(enc, 4, 1, keep_short=True)
+    assert tuple(samples.sample_summary(wins, 10).first()) == (1, 1, True)
+    assert tuple(samples.sample_summary(wins, 1).first()) == (1, 1, False)

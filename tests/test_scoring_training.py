@@ -140,3 +140,42 @@ def test_init_params_shapes_and_ranges(spark):
     assert p.exceptAll(again).isEmpty()                   # independent of partitioning
     with pytest.raises(ValueError):
         training.ModelShape(vocab_size=10, embed_dim=8, n_heads=3).check()
+
+
+def test_unknown_ids_are_errors(spark):
+    model = spark.createDataFrame([(i, [0.1 * i, 0.2]) for i in range(3)], "idx bigint, vec array<double>")
+    params = model.selectExpr("'embed' tensor", "-1 block", "idx row", "vec").unionByName(
+        model.selectExpr("'unembed' tensor", "-1 block", "idx row", "vec"))
+    seqs = spark.createDataFrame([(1, [0, 7])], "doc_id bigint, tokens array<bigint>")
+    for x, y in ((0, 7), (7, 0)):
+        pairs = spark.createDataFrame([(x, y, 1)], "x bigint, y bigint, n bigint")
+        with pytest.raises(Exception, match="no model row for id 7"):
+            scoring.pair_terms(pairs, model, model).collect()
+        with pytest.raises(Exception, match="no model row for id 7"):
+            training.batch_gradients(pairs, params).collect()
+    with pytest.raises(Exception, match="no model row for id 7"):
+        scoring.embed_tokens(seqs, model).collect()
+    with pytest.raises(Exception, match="no model row for id 7"):
+        scoring.predict_next(seqs, model, model).collect()
+
+
+def test_training_leaves_nothing_and_reads_the_corpus_once(spark, tmp_path):
+    """Five rounds: one read of the samples' file, and only the final parameters' table stays."""
+    import os
+    from glyphmill.session import checkpoint_dir
+    rng = np.random.default_rng(0)
+    rows = [(i, [int(v) for v in rng.integers(0, 6, 12)]) for i in range(9)]
+    path = str(tmp_path / "enc.parquet")
+    spark.createDataFrame(rows, "doc_id bigint, tokens array<bigint>").write.parquet(path)
+    wins = samples.sample_windows(spark.read.parquet(path), 100, 1)
+    ids = samples.limit_samples(wins.select("doc_id", "k"), None, 2)
+    pc = samples.pair_counts(wins, ["doc_id", "k"])
+    params = training.init_params(spark, training.ModelShape(vocab_size=6, embed_dim=8), 3)
+    base = checkpoint_dir(spark).split(":", 1)[-1]
+    before = {f for f in os.listdir(base) if f.startswith("glyphmill-")}
+    out, metrics = training.train(pc, ids, params, training.TrainConfig(batch_size=2), val_pairs=samples.pair_counts(
+        samples.validation_set(spark.read.parquet(path), 10, 5, 1), ["doc_id"]))
+    assert metrics.count() == 5
+    left = {f for f in os.listdir(base) if f.startswith("glyphmill-")} - before
+    assert len(left) == 1 and out.count() == 12
+    assert path not in out._jdf.queryExecution().toString()

@@ -7,13 +7,13 @@ Catalyst broadcasts it only when it is really below ``spark.sql.autoBroadcastJoi
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.session import checkpoint_dir
+from glyphmill.session import drop_scratch as drop_saved  # noqa: F401
+from glyphmill.session import save_scratch as save
 
 #: ASCII white space of the contracts: space and tab .. carriage return.
 SPACE = r"[\x20\x09-\x0D]"
@@ -42,32 +42,6 @@ def residue(column: str, modulus: int) -> Column:
                   F.lit(modulus))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    base = checkpoint_dir(spark)
-    if not base:
-        raise RuntimeError("spark.checkpoint.dir is not set; scratch tables need a shared folder")
-    return base.rstrip("/")
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a scratch table in the shared folder and read it back (cuts lineage)."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_saved(df: DataFrame) -> None:
-    """Delete a scratch table made by ``save`` once no later step reads it."""
-    spark = df.sparkSession
-    base = shared_dir(spark)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/llm-" in folder and base.split(":", 1)[-1].strip("/") in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
-
-
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of all texts: sizes the number of buckets so that each stays bounded."""
     return int(docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)

@@ -3,10 +3,10 @@
 1. One pass makes each text's shingle set (64-bit hashes), its size, a digest of the set, the
    128 minima's low bits packed into words, and 32 band keys of four full minima each.
 2. Texts with equal sets form a class; the smallest ``doc_id`` represents it.
-3. Representatives that share a band key are candidates.  A small bucket gives all its
-   pairs.  A large one gives the pairs with one hub; members that the hub's links join need no
-   pair among themselves, and what is left in other components meets the next hub, until each
-   bucket lies in one component or all its pairs are settled.
+3. Representatives that share a band key are candidates.  Each bucket first gives the pairs
+   with one hub; members that links join need no pair among themselves.  Pairs across what is
+   then still apart follow, all at once when they are at most ``SPARE`` times the bucket rows,
+   else with one more hub a bucket, until each bucket lies in one component or is settled.
 4. A candidate's similarity is estimated from the packed bits by bit counts, corrected for
    chance collisions; what is far below the threshold is dropped (``SLACK`` is more than five
    standard deviations).  The rest is confirmed on the full sets.
@@ -40,8 +40,8 @@ BITS = 2
 #: Similarity in hundredths that links, and how far below it an estimate may lie.
 PERCENT = 75
 SLACK = 0.25
-#: Largest bucket whose pairs are all compared at once (fourfold each round).
-SMALL = 16
+#: Pairs across components of a bucket that are compared at once, per bucket row in all.
+SPARE = 4
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _A = _rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -181,35 +181,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # both sides are read as they are, so that a hot bucket's side can be split
     rows = save(rows.join(several, "bucket"), "minhash-bucket-rows")
 
-    def tiny(r: DataFrame, most: int) -> DataFrame:
-        few = r.filter(F.col("size") <= most)
-        other = few.select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca"))
-        return (other.join(few.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb")), "bucket")
-                .filter("a < b AND ca <> cb").select("a", "b"))
-
-    most, links, comps = SMALL, None, None
-    active = rows.withColumn("comp", F.col("id")).withColumn("hub_comp", F.col("hub"))
-    while True:
-        large = active.filter(F.col("size") > most)
-        hubs = large.filter("id <> hub AND comp <> hub_comp").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-        pairs = tiny(active, most).unionByName(hubs).distinct()
-        new = _confirm(pairs, reps, docs)
-        links = new if links is None else save(links.unionByName(new).distinct(), "minhash-links")
-        comps = components(links)
-        rest = large.filter("id <> hub").select("bucket", "id")
-        if most >= (several.agg(F.max("size")).first()[0] or 0):
+    n_rows = several.agg(F.sum("size")).first()[0] or 0
+    pairs = rows.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    comps = components(_confirm(pairs, reps, docs))
+    while n_rows:
+        # a tested hub has met its whole bucket and leaves it
+        apart = save(rows.filter("id <> hub").select("bucket", "id").join(
+            comps.select("id", "component"), "id", "left").select(
+            "bucket", "id", F.coalesce("component", "id").alias("comp")), "minhash-apart")
+        each = apart.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+        open_ = save(each.groupBy("bucket").agg(
+            F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count(F.lit(1)).alias("comps"),
+            F.max(F.struct("n", "comp")).alias("most"), F.min(F.struct("first", "comp")).alias("hub"))
+            .filter("comps > 1").select("bucket", "size", "squares", F.col("most.comp").alias("most"),
+                                        F.col("hub.first").alias("hub"), F.col("hub.comp").alias("hub_comp")), "minhash-open")
+        across = open_.agg(F.sum((F.col("size") * F.col("size") - F.col("squares")) / 2)).first()[0] or 0
+        if not across:
             break
-        rest = rest.join(comps.select(F.col("id"), F.col("component")), "id", "left").select(
-            "bucket", "id", F.coalesce("component", "id").alias("comp"))
-        rest = save(rest, "minhash-rest")
-        open_ = save(rest.groupBy("bucket").agg(
-            F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "comp")).alias("h"),
-            F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select(
-            "bucket", "size", F.col("h.id").alias("hub"), F.col("h.comp").alias("hub_comp")), "minhash-open")
-        if open_.isEmpty():
+        rows = save(apart.join(open_.drop("size", "squares"), "bucket"), "minhash-bucket-rows")
+        if across <= SPARE * n_rows:
+            other = rows.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb"))
+            few = rows.filter("comp <> most").select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca"), "most")
+            pairs = few.join(other, "bucket").filter("ca <> cb AND (cb = most OR a < b)").select(
+                F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        else:
+            pairs = rows.filter("id <> hub AND comp <> hub_comp").select(
+                F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
+        new = _confirm(pairs, reps, docs)
+        comps = components(new.unionByName(comps.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+        if across <= SPARE * n_rows:
             break
-        active = save(rest.join(open_, "bucket"), "minhash-active")
-        most *= 4
     member = group_attributes(linked, ["n", "d1", "d2"], "doc_id", {"class_id": F.min("doc_id")},
                               {"class_id": F.min("class_id")}).select("doc_id", "n", "class_id")
     every = member.unionByName(narrow.filter("n = 0 OR doc_id IS NULL").select(

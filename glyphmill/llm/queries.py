@@ -44,6 +44,27 @@ FROM n
 """
 
 
+SQL_OP8 = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+win AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS k
+        FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM b WHERE n >= 50)),
+holder AS (SELECT k, min(doc_id) AS d FROM win GROUP BY k),
+bad AS (SELECT doc_id, i FROM win JOIN holder USING (k) WHERE d < doc_id),
+step AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new
+         FROM bad),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z
+         FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM step) GROUP BY doc_id, g),
+gaps AS (SELECT doc_id, a, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS f FROM runs
+         UNION ALL SELECT b.doc_id, b.n AS a, coalesce(max(z), 0) AS f FROM b LEFT JOIN runs USING (doc_id) GROUP BY b.doc_id, b.n),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * f + 1, 2 * (a - f)), '' ORDER BY f) AS kh
+         FROM gaps JOIN b USING (doc_id) GROUP BY doc_id),
+total AS (SELECT doc_id, sum(z - a) AS gone, count(*) AS spans FROM runs GROUP BY doc_id)
+SELECT b.doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(kh)) AS kept_sha256
+FROM b JOIN kept USING (doc_id) LEFT JOIN total USING (doc_id)
+"""
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -88,10 +109,47 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.remove_repeats(documents(spark, sf_dir), with_text=False)
 
 
+_SQL_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+
+SQL_OP5 = f"""
+WITH w AS (SELECT doc_id, {_SQL_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 12), ' ') AS k
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+holder AS (SELECT k, min(doc_id) AS d FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM win JOIN holder USING (k) WHERE d < doc_id),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS t, count(*) AS n
+         FROM words ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(kept.n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+SQL_OP6 = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, {_SQL_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+           FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+          WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+reach AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y),
+comp AS (SELECT x, min(y) AS c FROM reach GROUP BY x)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(comp.c, w.doc_id) AS component_id,
+       w.doc_id = coalesce(comp.c, w.doc_id) AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN comp ON comp.x = w.doc_id
+"""
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return pii.find(docs, pii.fit(docs))
@@ -110,4 +168,5 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle() -> dict[str, str]:
-    return {"op2_embedding_dedup": SQL_OP2, "op4_exact_dedup": SQL_OP4}
+    return {"op2_embedding_dedup": SQL_OP2, "op4_exact_dedup": SQL_OP4,
+            "op5_substring_dedup": SQL_OP5, "op6_minhash_dedup": SQL_OP6, "op8_suffix_dedup": SQL_OP8}

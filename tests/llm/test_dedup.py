@@ -26,7 +26,7 @@ def test_exact(docs, rows):
 
 def test_near(docs, rows, monkeypatch):
     assert got(minhash.near_duplicates(docs), "n_shingles", "component_id", "kept") == cases.near(rows)
-    monkeypatch.setattr(minhash, "SMALL", 1)  # every bucket takes the hub rounds
+    monkeypatch.setattr(minhash, "SPARE", 0)  # hub rounds to the end
     assert got(minhash.near_duplicates(docs), "n_shingles", "component_id", "kept") == cases.near(rows)
 
 

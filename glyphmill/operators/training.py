@@ -49,6 +49,7 @@ from pyspark.sql import functions as F
 from glyphmill.functions.vectors import BIGE, SMOL
 from glyphmill.operators import scoring, vector_ops
 from glyphmill.session import drop_scratch, ensure_worker_import, save_scratch
+from glyphmill.sources.corpus import seeded_uint32
 
 PARAM_SCHEMA = "tensor string, block int, row bigint, vec array<double>"
 
@@ -110,10 +111,9 @@ def init_params(spark: SparkSession, shape: ModelShape, seed: int) -> DataFrame:
 
 
 def _uniform_draw(seed: int, tensor: str, bound: float):
-    """Element j of a row: U(-bound, bound) from xxhash64(seed, tensor, block, row, j)."""
+    """Element j of a row: U(-bound, bound) from the first 32 bits of md5(seed:tensor:block:row:j)."""
     def draw(j):
-        h = F.xxhash64(F.lit(seed), F.lit(tensor), F.col("block"), F.col("row"), j)
-        u = F.pmod(h, F.lit(1 << 53)).cast("double") / float(1 << 53)
+        u = seeded_uint32(seed, F.lit(tensor), F.col("block"), F.col("row"), j).cast("double") / float(1 << 32)
         return (u * 2.0 - 1.0) * F.lit(bound)
     return draw
 

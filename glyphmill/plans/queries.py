@@ -742,6 +742,7 @@ def q_vocab_resolve(spark, d):
 
 TRAIN_EMBED = 64
 TRAIN_BATCH = 1_000
+PARAM_BLOCKS = 16   # as in the reference
 
 
 def q_init_params(spark, d):
@@ -756,6 +757,50 @@ def q_init_params(spark, d):
         _r(F.max(F.array_max("vec"))).alias("max_val"), _r(F.min(F.array_min("vec"))).alias("min_val"))
 
 
+def _sql_tensors(n_blocks: int, tables: bool) -> str:
+    """CTEs ``vals(tensor, block, n_rows, cols, row, j, v)`` of the seeded parameters."""
+    c, h, f = TRAIN_EMBED, 8, 128
+    hs = c // h
+    spec = [(t, b, 1, c, "0") for b in range(n_blocks) for t in ("ln_scale", "ln_bias")]
+    spec += [(t, b, h * c, hs, f"1.0 / sqrt({h * hs * c})") for b in range(n_blocks) for t in ("query", "key", "value")]
+    spec += [x for b in range(n_blocks) for x in (
+        ("atn_out", b, c, c, f"1.0 / sqrt({c * c})"), ("ff1", b, c, f, f"1.0 / sqrt({c * f})"),
+        ("ff1_b", b, 1, f, f"1.0 / sqrt({f})"), ("ff2", b, f, c, f"1.0 / sqrt({c * f})"),
+        ("ff2_b", b, 1, c, f"1.0 / sqrt({c})"))]
+    rows = [f"SELECT '{t}' AS tensor, {b} AS block, {n}::BIGINT AS n_rows, {w} AS cols, {lim}::DOUBLE AS lim"
+            for t, b, n, w, lim in spec]
+    rows += [f"SELECT '{t}', -1, n, {c}, 1.0 / sqrt(n * {c}) FROM ids" for t in ("embed", "unembed") if tables]
+    return f"""{_sql_char_tokens()},
+ids AS (SELECT count(DISTINCT code)::BIGINT AS n FROM (SELECT unnest(tokens) AS code FROM tok)),
+spec AS ({' UNION ALL '.join(rows)}),
+cells AS (SELECT *, unnest(range(0, cols)) AS j FROM (SELECT *, unnest(range(0, n_rows)) AS row FROM spec)),
+vals AS (SELECT tensor, block, n_rows, cols, row, j,
+                CASE tensor WHEN 'ln_scale' THEN 1.0 WHEN 'ln_bias' THEN 0.0 ELSE
+                  (('0x' || substr(md5(concat_ws(':', '{SEED}', tensor, block, row, j)), 1, 8))::BIGINT
+                   / 4294967296.0::DOUBLE * 2.0 - 1.0) * lim END::DOUBLE AS v
+         FROM cells)"""
+
+
+def _sql_init_params() -> str:
+    return f"""
+WITH {_sql_tensors(1, True)}
+SELECT tensor, block::INTEGER AS block, n_rows, cols::INTEGER AS width,
+       round(max(v), {ROUND}) AS max_val, round(min(v), {ROUND}) AS min_val
+FROM vals GROUP BY tensor, block, n_rows, cols
+"""
+
+
+def _sql_param_checkpoint() -> str:
+    return f"""
+WITH {_sql_tensors(PARAM_BLOCKS, False)},
+e AS (SELECT embedding::DOUBLE[] AS e FROM embeddings)
+SELECT tensor, block::INTEGER AS block, n_rows, cols::INTEGER AS width, round(sum(v), {ROUND}) AS s1
+FROM vals GROUP BY tensor, block, n_rows, cols
+UNION ALL SELECT t, -1, count(*)::BIGINT, max(len(e))::INTEGER, round(sum(list_sum(e)), {ROUND})
+FROM e, (SELECT unnest(['embed', 'unembed']) AS t) GROUP BY t
+"""
+
+
 def q_train_rounds(spark, d):
     from glyphmill.operators import training
     toks, mv, _ = _model(spark, d)
@@ -778,7 +823,7 @@ def q_param_checkpoint(spark, d):
     from glyphmill.operators import training
     from glyphmill.session import checkpoint_dir
     _, mv, emb = _model(spark, d)
-    shape = training.ModelShape(vocab_size=mv.count(), embed_dim=TRAIN_EMBED, n_blocks=16)
+    shape = training.ModelShape(vocab_size=mv.count(), embed_dim=TRAIN_EMBED, n_blocks=PARAM_BLOCKS)
     params = training.init_params(spark, shape, SEED).filter(F.col("block") >= 0)
     for t in ("embed", "unembed"):
         params = params.unionByName(emb.select(F.lit(t).alias("tensor"), F.lit(-1).alias("block"),
@@ -973,4 +1018,6 @@ def oracle() -> dict[str, str]:
         "conversation_turn_bigrams": SQL_CONVERSATION_TURN_BIGRAMS,
         "benchmark_loss": SQL_BENCHMARK_LOSS,
         "sample_log": SQL_SAMPLE_LOG,
+        "init_params": _sql_init_params(),
+        "param_checkpoint": _sql_param_checkpoint(),
     }

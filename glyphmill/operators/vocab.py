@@ -119,8 +119,8 @@ def _initial_segments(corpus: DataFrame, n: int) -> DataFrame:
                        char_array(F.col("segment")).alias("parts"), "freq")
 
 
-def round_candidates(segs: DataFrame, vocab_texts: DataFrame, n: int, cap_left: int) -> DataFrame:
-    """T04-T06 and T09-T11 for one round: the <= ``cap_left`` tokens to add, in id order."""
+def round_candidates(segs: DataFrame, vocab_texts: DataFrame, n: int, cap_left: int | None) -> DataFrame:
+    """T04-T06 and T09-T11 for one round: the <= ``cap_left`` tokens to add (None: all), in id order."""
     wins = segs.select(
         F.explode(F.arrays_zip(nseq_windows(F.col("codes"), n).alias("c"),
                                nseq_windows(F.col("parts"), n).alias("p"))).alias("w"),
@@ -138,7 +138,8 @@ def round_candidates(segs: DataFrame, vocab_texts: DataFrame, n: int, cap_left:
             .agg(F.max(F.struct("cnt", "skey", "comps")).alias("b"))
             .select("unrolled", "b.cnt", "b.skey", "b.comps"))
     # The cap; TakeOrderedAndProject keeps <= cap_left rows per partition.
-    return best.orderBy(F.col("cnt").desc(), F.col("skey").desc()).limit(cap_left)
+    ranked = best.orderBy(F.col("cnt").desc(), F.col("skey").desc())
+    return ranked if cap_left is None else ranked.limit(cap_left)
 
 
 def train_vocab(corpus: DataFrame, n: int = 2, vocab_size: int = 1000,

@@ -22,6 +22,7 @@ from glyphmill.sources import corpus as src
 # Parameters of the registered queries (fixed here, shared by Spark and SQL).
 TOP_K = 50
 FIRST_ROUND_CAP = 500
+NULL_ABOVE = 25_000
 TRAIN_VOCAB = 2_000
 SEED = samples.RNG_SEED
 SAMPLE_SIZE = samples.SAMPLE_SIZE
@@ -59,16 +60,34 @@ FROM documents GROUP BY lang
 """
 
 
+def _with_nulls(spark, d):
+    """The documents with texts of over NULL_ABOVE characters taken as missing."""
+    return src.read_table(spark, d, "documents").select(
+        "doc_id", F.when(F.length("text") <= NULL_ABOVE, F.col("text")).alias("text"))
+
+
 def q_null_stop_corpus(spark, d):
-    c = src.read_corpus(spark, f"{d}/documents.parquet", nulls="stop")
+    c = src.apply_nulls(_with_nulls(spark, d), ["doc_id"], "stop")
     return c.select("doc_id", F.length("text").alias("n_chars"))
 
 
-SQL_NULL_STOP_CORPUS = """
-SELECT doc_id, length(text)::INTEGER AS n_chars FROM documents
+SQL_NULL_STOP_CORPUS = f"""
+WITH c AS (SELECT doc_id, CASE WHEN length(text) <= {NULL_ABOVE} THEN text END AS text FROM documents)
+SELECT doc_id, length(text)::INTEGER AS n_chars FROM c
 WHERE text IS NOT NULL
-  AND (doc_id < (SELECT min(doc_id) FROM documents WHERE text IS NULL)
-       OR (SELECT min(doc_id) FROM documents WHERE text IS NULL) IS NULL)
+  AND (doc_id < (SELECT min(doc_id) FROM c WHERE text IS NULL)
+       OR (SELECT min(doc_id) FROM c WHERE text IS NULL) IS NULL)
+"""
+
+
+def q_null_skip_corpus(spark, d):
+    return src.text_stats(src.apply_nulls(_with_nulls(spark, d), ["doc_id"], "skip"))
+
+
+SQL_NULL_SKIP_CORPUS = f"""
+SELECT count(*)::BIGINT AS n_rows, count(*)::BIGINT AS n_text, sum(length(text))::BIGINT AS n_chars,
+       sum(strlen(text))::BIGINT AS n_bytes
+FROM documents WHERE length(text) <= {NULL_ABOVE}
 """
 
 
@@ -174,6 +193,13 @@ FROM ({_sql_nseq(2)}) ORDER BY cnt DESC, nseq DESC LIMIT {FIRST_ROUND_CAP}
 """
 
 
+def q_round_candidates(spark, d):
+    """The first round's candidates, uncapped."""
+    segs = vocab_ops._initial_segments(_docs(spark, d), 2)
+    empty = spark.createDataFrame([], "unrolled string")
+    return vocab_ops.round_candidates(segs, empty, 2, None).select("unrolled", "cnt")
+
+
 def trained(spark, d, size: int = TRAIN_VOCAB):
     return vocab_ops.train_vocab(_docs(spark, d), 2, size)
 
@@ -420,17 +446,16 @@ FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
 
 
 def q_vector_validity(spark, d):
-    e = F.col("embedding")
-    return (_emb(spark, d).groupBy("label")
-            .agg(F.count(F.lit(1)).alias("n_vecs"),
-                 F.sum(V.count_nan(e)).cast("bigint").alias("n_nan"),
-                 F.sum(V.count_inf(e)).cast("bigint").alias("n_inf")))
+    """C06 over the embeddings with large elements replaced: NaN above 0.3, infinity below -0.3."""
+    spoilt = F.transform("embedding", lambda a: F.when(a > 0.3, F.lit(float("nan")))
+                         .when(a < -0.3, F.lit(float("-inf"))).otherwise(a.cast("double")))
+    return vector_ops.vector_validity(_emb(spark, d).select("label", spoilt.alias("vec")), ["label"])
 
 
 SQL_VECTOR_VALIDITY = """
 SELECT label, count(*)::BIGINT AS n_vecs,
-       sum(len(list_filter(embedding, lambda a: isnan(a))))::BIGINT AS n_nan,
-       sum(len(list_filter(embedding, lambda a: isinf(a))))::BIGINT AS n_inf
+       sum(len(list_filter(embedding, lambda a: a > 0.3)))::BIGINT AS n_nan,
+       sum(len(list_filter(embedding, lambda a: a < -0.3)))::BIGINT AS n_inf
 FROM embeddings GROUP BY label
 """
 
@@ -926,6 +951,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "scan_text_stats": q_scan_text_stats,
         "null_stop_corpus": q_null_stop_corpus,
+        "null_skip_corpus": q_null_skip_corpus,
         "validation_sample": q_validation_sample,
         "char_codes_sum": q_char_codes_sum,
         "bigram_counts": q_bigram_counts,
@@ -935,6 +961,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top_bigrams": q_top_bigrams,
         "segment_counts": q_segment_counts,
         "first_round_vocab": q_first_round_vocab,
+        "round_candidates": q_round_candidates,
         "trained_vocab": q_trained_vocab,
         "train_report": q_train_report,
         "encode_token_counts": q_encode_token_counts,
@@ -980,6 +1007,7 @@ def oracle() -> dict[str, str]:
     return {
         "scan_text_stats": SQL_SCAN_TEXT_STATS,
         "null_stop_corpus": SQL_NULL_STOP_CORPUS,
+        "null_skip_corpus": SQL_NULL_SKIP_CORPUS,
         "validation_sample": SQL_VALIDATION_SAMPLE,
         "char_codes_sum": SQL_CHAR_CODES_SUM,
         "bigram_counts": _sql_nseq(2),
@@ -989,6 +1017,7 @@ def oracle() -> dict[str, str]:
         "top_bigrams": SQL_TOP_BIGRAMS,
         "segment_counts": SQL_SEGMENT_COUNTS,
         "first_round_vocab": SQL_FIRST_ROUND_VOCAB,
+        "round_candidates": f"SELECT nseq AS unrolled, cnt FROM ({_sql_nseq(2)})",
         "encode_decode_roundtrip": SQL_ENCODE_DECODE_ROUNDTRIP,
         "model_vocab_size": SQL_MODEL_VOCAB_SIZE,
         "sample_windows": SQL_SAMPLE_WINDOWS,

@@ -42,7 +42,7 @@ def export_vocab(vocab: Vocab, path: str, mode: str = "errorifexists") -> None:
     spark = SparkSession.getActiveSession()
     check_output(spark, path, mode)
     vocab_json(vocab.to_df(spark), vocab.n, vocab.vocab_size).coalesce(1).write.mode(
-        "overwrite").text(path)
+        mode).text(path)
 
 
 def export_vocab_table(vocab: Vocab, path: str, mode: str = "errorifexists") -> None:

@@ -106,9 +106,13 @@ class Suffixes:
     def surroundings(self, rows: np.ndarray) -> np.ndarray:
         """(rows, BEFORE + WIDTH) bytes around each suffix, zero outside its text."""
         body, offs = self.chunk.body, self.chunk.offs
-        at = self.pos[rows][:, None] + np.arange(-BEFORE, WIDTH)[None, :]
-        inside = (at >= offs[self.text[rows]][:, None]) & (at < offs[self.text[rows] + 1][:, None])
-        return np.where(inside, body[np.clip(at, 0, max(0, len(body) - 1))], 0).astype(np.uint8)
+        out = np.zeros((len(rows), BEFORE + WIDTH), np.uint8)
+        for lo in range(0, len(rows), 1 << 15):  # bounds the index arrays
+            some = rows[lo: lo + (1 << 15)]
+            at = self.pos[some][:, None] + np.arange(-BEFORE, WIDTH)[None, :]
+            inside = (at >= offs[self.text[some]][:, None]) & (at < offs[self.text[some] + 1][:, None])
+            out[lo: lo + (1 << 15)][inside] = body[at[inside]]
+        return out
 
 
 def _gram_requests(chunk: ex.Chunk, buckets: int) -> Iterator[tuple]:

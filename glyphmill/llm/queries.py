@@ -46,8 +46,10 @@ FROM n
 
 SQL_OP8 = """
 WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
-win AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS k
-        FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM b WHERE n >= 50)),
+blocks AS (SELECT doc_id, n, c, substr(h, 512 * c + 1, 610) AS part
+           FROM (SELECT doc_id, h, n, unnest(range(0, (n + 206) // 256)) AS c FROM b WHERE n >= 50)),
+win AS (SELECT doc_id, 256 * c + j AS i, substr(part, 2 * j + 1, 100) AS k
+        FROM (SELECT doc_id, c, part, unnest(range(0, least(256, n - 49 - 256 * c))) AS j FROM blocks)),
 holder AS (SELECT k, min(doc_id) AS d FROM win GROUP BY k),
 bad AS (SELECT doc_id, i FROM win JOIN holder USING (k) WHERE d < doc_id),
 step AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new

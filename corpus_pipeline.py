@@ -37,7 +37,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
     copies = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    taken = null_safe_join(whole_rows(docs), save(copies, "mix-copies"), ["doc_id"])
+    # a row a document: never small where it matters, so the same join at every size
+    taken = null_safe_join(whole_rows(docs), save(copies, "mix-copies").hint("merge"), ["doc_id"])
     return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")
 
 

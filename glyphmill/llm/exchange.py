@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from glyphmill.llm import textbytes as tb
 
 #: Bytes of text in a chunk, and of text a bucket answers for.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 8 << 20
 
 ROW = "chunk long, kind int, bucket int, data binary"

@@ -246,21 +246,24 @@ def _results(meetings: Iterator[ex.Meeting], splitters: np.ndarray, with_text: b
                 start = s.pos[rows[low < s.doc[rows]]] - o
                 np.add.at(edge, start, 1)
                 np.add.at(edge, start + WIDTH, -1)
-        gone = np.cumsum(edge)[:-1] > 0
-        total = np.concatenate([[0], np.cumsum(gone)])
+        gone = np.cumsum(edge, out=edge)[:-1] > 0
+        del edge
+        total = np.zeros(len(gone) + 1, np.int32)  # Arrow's string columns end at 2 GB
+        np.cumsum(gone, out=total[1:])
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
         heads = offs[:-1][offs[:-1] < len(gone)]
         begins[heads] = gone[heads]
-        spans = np.concatenate([[0], np.cumsum(begins)])
+        spans = np.zeros(len(gone) + 1, np.int32)
+        np.cumsum(begins, out=spans[1:])
         sha, kept_text = [], []
         for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
             kept = (body[a:b] if total[a] == total[b] else body[a:b][~gone[a:b]]).tobytes()
             sha.append(hashlib.sha256(kept).hexdigest())
             if with_text:
                 kept_text.append(kept)
-        cols = [tb.id_array(m.chunk.doc_id), pa.array(np.diff(offs)), pa.array(np.diff(total[offs])),
-                pa.array(np.diff(spans[offs])), pa.array(sha, pa.string())]
+        cols = [tb.id_array(m.chunk.doc_id), pa.array(np.diff(offs)), pa.array(np.diff(total[offs]).astype(np.int64)),
+                pa.array(np.diff(spans[offs]).astype(np.int64)), pa.array(sha, pa.string())]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         if with_text:
             cols, names = [*cols, pa.array(kept_text, pa.binary())], [*names, "kept_bytes"]

@@ -4,9 +4,10 @@
    128 minima's low bits packed into words, and 32 band keys of four full minima each.
 2. Texts with equal sets form a class; the smallest ``doc_id`` represents it.
 3. Representatives that share a band key are candidates.  Each bucket first gives the pairs
-   with one hub; members that links join need no pair among themselves.  Pairs across what is
+   with one hub, its text with the most bucket mates in all; members that links join need no pair among themselves.  Pairs across what is
    then still apart follow, all at once when they are at most ``SPARE`` times the bucket rows,
-   else with one more hub a bucket, until each bucket lies in one component or is settled.
+   else with ``HUBS`` hubs a bucket, then ``HUBS`` times as many, until each bucket lies in one
+   component or all its pairs are settled: the rounds grow with the logarithm of a bucket.
 4. A candidate's similarity is estimated from the packed bits by bit counts, corrected for
    chance collisions; what is far below the threshold is dropped (``SLACK`` is more than five
    standard deviations).  The rest is confirmed on the full sets.
@@ -42,6 +43,8 @@ PERCENT = 75
 SLACK = 0.25
 #: Pairs across components of a bucket that are compared at once, per bucket row in all.
 SPARE = 4
+#: Further hubs a bucket in the second round; as many times more in each round after it.
+HUBS = 8
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _A = _rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -155,7 +158,7 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     likely = save(p.filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
                            & (estimate("bits_a", "bits_b") >= PERCENT / 100 - SLACK))
                   .select("a", "b", "na", "nb"), "minhash-likely")
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    wanted = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
     texts = in_bit_table(docs.select("doc_id", "text"), wanted, "doc_id", "_read").filter("_read")
     sets = save(texts.select("doc_id", "text").mapInArrow(_set_batches, "doc_id long, set array<long>")
                 .join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "minhash-sets")
@@ -176,41 +179,47 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = save(sigs.join(first, ["doc_id", "n", "d1", "d2"], "left_semi").dropDuplicates(["doc_id"])
                 .select("doc_id", "n", "bits", "bands"), "minhash-representatives")
     rows = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"))
-    several = save(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("hub"))
-                   .filter("size > 1"), "minhash-buckets")
+    several = save(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "minhash-buckets")
     # both sides are read as they are, so that a hot bucket's side can be split
     rows = save(rows.join(several, "bucket"), "minhash-bucket-rows")
+    # a bucket's hub is the text with the most bucket mates in all: what copies were made from
+    mates = save(rows.groupBy("id").agg(F.sum("size").alias("mates")), "minhash-mates")
+    best = rows.join(mates, "id").groupBy("bucket").agg(F.max(F.struct("mates", (-F.col("id")).alias("neg"))).alias("m"))
+    rows = save(rows.join(save(best.select("bucket", (-F.col("m.neg")).alias("hub")), "minhash-hubs"), "bucket"),
+                "minhash-bucket-rows")
 
     n_rows = several.agg(F.sum("size")).first()[0] or 0
-    pairs = rows.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = rows.filter("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
     comps = components(_confirm(pairs, reps, docs))
+    hubs = HUBS
     while n_rows:
-        # a tested hub has met its whole bucket and leaves it
-        apart = save(rows.filter("id <> hub").select("bucket", "id").join(
-            comps.select("id", "component"), "id", "left").select(
+        apart = save(rows.select("bucket", "id").join(comps.select("id", "component"), "id", "left").select(
             "bucket", "id", F.coalesce("component", "id").alias("comp")), "minhash-apart")
-        each = apart.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+        each = apart.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
         open_ = save(each.groupBy("bucket").agg(
             F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count(F.lit(1)).alias("comps"),
-            F.max(F.struct("n", "comp")).alias("most"), F.min(F.struct("first", "comp")).alias("hub"))
-            .filter("comps > 1").select("bucket", "size", "squares", F.col("most.comp").alias("most"),
-                                        F.col("hub.first").alias("hub"), F.col("hub.comp").alias("hub_comp")), "minhash-open")
-        across = open_.agg(F.sum((F.col("size") * F.col("size") - F.col("squares")) / 2)).first()[0] or 0
+            F.max(F.struct("n", "comp")).alias("most")).filter("comps > 1")
+            .select("bucket", "size", "squares", F.col("most.comp").alias("most")), "minhash-open")
+        across, largest = open_.agg(F.sum((F.col("size") * F.col("size") - F.col("squares")) / 2), F.max("size")).first()
         if not across:
             break
-        rows = save(apart.join(open_.drop("size", "squares"), "bucket"), "minhash-bucket-rows")
-        if across <= SPARE * n_rows:
-            other = rows.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb"))
+        rows = save(apart.join(open_.drop("squares"), "bucket"), "minhash-bucket-rows")
+        other = rows.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb"))
+        last = across <= SPARE * n_rows or hubs >= largest
+        if last:
             few = rows.filter("comp <> most").select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca"), "most")
-            pairs = few.join(other, "bucket").filter("ca <> cb AND (cb = most OR a < b)").select(
-                F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        else:
-            pairs = rows.filter("id <> hub AND comp <> hub_comp").select(
-                F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
+            pairs = few.join(other, "bucket").filter("ca <> cb AND (cb = most OR a < b)")
+        else:  # hubs by hash: about as many a bucket, the same texts in every bucket
+            unit = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
+            few = rows.filter(unit < F.lit(float(hubs)) / F.col("size")).select(
+                "bucket", F.col("id").alias("a"), F.col("comp").alias("ca"))
+            pairs = few.join(other, "bucket").filter("ca <> cb")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = _confirm(pairs, reps, docs)
         comps = components(new.unionByName(comps.select(F.col("id").alias("a"), F.col("component").alias("b"))))
-        if across <= SPARE * n_rows:
+        if last:
             break
+        hubs *= HUBS
     member = group_attributes(linked, ["n", "d1", "d2"], "doc_id", {"class_id": F.min("doc_id")},
                               {"class_id": F.min("class_id")}).select("doc_id", "n", "class_id")
     every = member.unionByName(narrow.filter("n = 0 OR doc_id IS NULL").select(

@@ -91,6 +91,69 @@ FROM documents WHERE length(text) <= {NULL_ABOVE}
 """
 
 
+def q_null_stop_whole(spark, d):
+    """S02 over the unchanged table: only real nulls stop it."""
+    c = src.read_corpus(spark, f"{d}/documents.parquet", nulls="stop")
+    return c.select("doc_id", F.length("text").alias("n_chars"))
+
+
+SQL_NULL_STOP_WHOLE = """
+SELECT doc_id, length(text)::INTEGER AS n_chars FROM documents
+WHERE text IS NOT NULL
+  AND (doc_id < (SELECT min(doc_id) FROM documents WHERE text IS NULL)
+       OR (SELECT min(doc_id) FROM documents WHERE text IS NULL) IS NULL)
+"""
+
+
+def q_null_skip_whole(spark, d):
+    return src.text_stats(_docs(spark, d))
+
+
+SQL_NULL_SKIP_WHOLE = """
+SELECT count(*)::BIGINT AS n_rows, count(*)::BIGINT AS n_text, sum(length(text))::BIGINT AS n_chars,
+       sum(strlen(text))::BIGINT AS n_bytes
+FROM documents WHERE text IS NOT NULL
+"""
+
+
+def _injected_nulls(spark, d):
+    """The documents with every seventh id's text missing in the last quarter of the id range."""
+    t = src.read_table(spark, d, "documents").select("doc_id", "text")
+    top = t.agg(F.max("doc_id")).scalar()
+    gone = (F.col("doc_id") * 4 >= top * 3) & (F.col("doc_id") % 7 == 0)
+    return t.select("doc_id", F.when(~gone, F.col("text")).alias("text"))
+
+
+_SQL_INJECTED_NULLS = """
+WITH c AS (SELECT doc_id, CASE WHEN NOT (doc_id * 4 >= (SELECT max(doc_id) FROM documents) * 3 AND doc_id % 7 = 0)
+                          THEN text END AS text FROM documents)
+"""
+
+
+def q_null_stop_injected(spark, d):
+    c = src.apply_nulls(_injected_nulls(spark, d), ["doc_id"], "stop")
+    return c.select("doc_id", F.length("text").alias("n_chars"))
+
+
+SQL_NULL_STOP_INJECTED = _SQL_INJECTED_NULLS + """
+SELECT doc_id, length(text)::INTEGER AS n_chars FROM c
+WHERE text IS NOT NULL
+  AND (doc_id < (SELECT min(doc_id) FROM c WHERE text IS NULL)
+       OR (SELECT min(doc_id) FROM c WHERE text IS NULL) IS NULL)
+"""
+
+
+def q_null_skip_injected(spark, d):
+    return src.text_stats(src.apply_nulls(_injected_nulls(spark, d), ["doc_id"], "skip"))
+
+
+SQL_NULL_SKIP_INJECTED = _SQL_INJECTED_NULLS + """
+SELECT count(*)::BIGINT AS n_rows, count(*)::BIGINT AS n_text, sum(length(text))::BIGINT AS n_chars,
+       sum(strlen(text))::BIGINT AS n_bytes
+FROM c WHERE text IS NOT NULL
+"""
+
+
 def q_validation_sample(spark, d):
     c = _docs(spark, d)
     return src.sample_n(c, 25, SEED).select("doc_id", F.length("text").alias("n_chars"))
@@ -460,6 +523,39 @@ FROM embeddings GROUP BY label
 """
 
 
+def q_vector_validity_whole(spark, d):
+    """C06 over the unchanged embeddings."""
+    return vector_ops.vector_validity(_emb(spark, d), ["label"], "embedding")
+
+
+SQL_VECTOR_VALIDITY_WHOLE = """
+SELECT label, count(*)::BIGINT AS n_vecs,
+       sum(len(list_filter(embedding, lambda a: isnan(a))))::BIGINT AS n_nan,
+       sum(len(list_filter(embedding, lambda a: isinf(a))))::BIGINT AS n_inf
+FROM embeddings GROUP BY label
+"""
+
+
+def q_vector_validity_injected(spark, d):
+    """C06 with NaN and infinities put at places given by id and index; all other elements stay."""
+    spoilt = F.transform("embedding", lambda a, i: F.when((F.col("vec_id") + i) % 97 == 0, F.lit(float("nan")))
+                         .when((F.col("vec_id") + i) % 89 == 0, F.when(i % 2 == 0, F.lit(float("inf")))
+                               .otherwise(F.lit(float("-inf")))).otherwise(a.cast("double")))
+    return vector_ops.vector_validity(_emb(spark, d).select("label", spoilt.alias("vec")), ["label"])
+
+
+SQL_VECTOR_VALIDITY_INJECTED = """
+WITH v AS (SELECT label, list_transform(embedding::DOUBLE[], lambda a, i:
+             CASE WHEN (vec_id + i - 1) % 97 = 0 THEN 'nan'::DOUBLE
+                  WHEN (vec_id + i - 1) % 89 = 0 THEN (CASE WHEN i % 2 = 1 THEN 'inf' ELSE '-inf' END)::DOUBLE
+                  ELSE a END) AS e FROM embeddings)
+SELECT label, count(*)::BIGINT AS n_vecs,
+       sum(len(list_filter(e, lambda a: isnan(a))))::BIGINT AS n_nan,
+       sum(len(list_filter(e, lambda a: isinf(a))))::BIGINT AS n_inf
+FROM v GROUP BY label
+"""
+
+
 def q_vector_sum_by_label(spark, d):
     s = vector_ops.sum_vectors(_emb(spark, d), ["label"], "embedding", "v")
     return s.select("label", *_digest())
@@ -951,7 +1047,11 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "scan_text_stats": q_scan_text_stats,
         "null_stop_corpus": q_null_stop_corpus,
+        "null_stop_whole": q_null_stop_whole,
+        "null_stop_injected": q_null_stop_injected,
         "null_skip_corpus": q_null_skip_corpus,
+        "null_skip_whole": q_null_skip_whole,
+        "null_skip_injected": q_null_skip_injected,
         "validation_sample": q_validation_sample,
         "char_codes_sum": q_char_codes_sum,
         "bigram_counts": q_bigram_counts,
@@ -978,6 +1078,8 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "vector_clip_magnitude": _vec_query(lambda e: F.transform(e, V.clip_magnitude)),
         "vector_moments": q_vector_moments,
         "vector_validity": q_vector_validity,
+        "vector_validity_whole": q_vector_validity_whole,
+        "vector_validity_injected": q_vector_validity_injected,
         "vector_sum_by_label": q_vector_sum_by_label,
         "vector_scale": q_vector_scale,
         "global_norm": q_global_norm,
@@ -1007,7 +1109,11 @@ def oracle() -> dict[str, str]:
     return {
         "scan_text_stats": SQL_SCAN_TEXT_STATS,
         "null_stop_corpus": SQL_NULL_STOP_CORPUS,
+        "null_stop_whole": SQL_NULL_STOP_WHOLE,
+        "null_stop_injected": SQL_NULL_STOP_INJECTED,
         "null_skip_corpus": SQL_NULL_SKIP_CORPUS,
+        "null_skip_whole": SQL_NULL_SKIP_WHOLE,
+        "null_skip_injected": SQL_NULL_SKIP_INJECTED,
         "validation_sample": SQL_VALIDATION_SAMPLE,
         "char_codes_sum": SQL_CHAR_CODES_SUM,
         "bigram_counts": _sql_nseq(2),
@@ -1033,6 +1139,8 @@ def oracle() -> dict[str, str]:
         "vector_clip_magnitude": SQL_VECTOR_CLIP,
         "vector_moments": SQL_VECTOR_MOMENTS,
         "vector_validity": SQL_VECTOR_VALIDITY,
+        "vector_validity_whole": SQL_VECTOR_VALIDITY_WHOLE,
+        "vector_validity_injected": SQL_VECTOR_VALIDITY_INJECTED,
         "vector_sum_by_label": SQL_VECTOR_SUM_BY_LABEL,
         "vector_scale": SQL_VECTOR_SCALE,
         "global_norm": SQL_GLOBAL_NORM,

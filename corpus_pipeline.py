@@ -4,9 +4,9 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 writes each stage's rows as Parquet in the shared scratch folder and reads them again.
 
 Language ID learns from the documents themselves and drops what has no language.  Exact and
-near dedup drop all but one document of each group.  Mixing repeats or drops documents so
-that sources meet their target weights.  Packing cuts the mix into sequences.  Rows with a
-null ``doc_id`` are not dropped by the dedup stages; rows with equal ids share one decision.
+near dedup drop all but one row of each group, also where ids are repeated or null.  Mixing
+repeats or drops documents so that sources meet their target weights; there rows with equal
+ids share one decision.  Packing cuts the mix into sequences.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.llm import exact_dedup, langid, minhash, mixing, packing
-from glyphmill.llm.common import documents, null_safe_join, residue, save, whole_rows, without
+from glyphmill.llm.common import documents, null_safe_join, own_ids, residue, save, whole_rows, without
 from glyphmill.llm.queries import tokenizer_path
 
 
@@ -25,13 +25,17 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal but for white space, the longest stays."""
-    return without(docs, exact_dedup.exact_dedup(docs).filter("NOT kept"))
+    """Of texts equal but for white space, one row stays: the longest, then the smallest doc_id."""
+    rows = own_ids(docs)
+    found = exact_dedup.exact_dedup(rows.select("_id", "_row.doc_id", "_row.text"), more=("_id",))
+    return without(rows, found.filter("NOT kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return without(docs, minhash.near_duplicates(docs).filter("NOT kept"))
+    """One row of each group of near copies stays."""
+    rows = own_ids(docs)
+    found = minhash.near_duplicates(rows.select(F.col("_id").alias("doc_id"), "_row.text"))
+    return without(rows, found.filter("NOT kept").select(F.col("doc_id").alias("_id")))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,11 +99,30 @@ def whole_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose ``doc_id`` is in ``dropped``; only rows that the bit table
-    flags are shuffled, so a small share of the texts moves."""
-    dropped = save(dropped.select("doc_id").filter("doc_id IS NOT NULL").distinct(), "dropped")
-    marked = in_bit_table(whole_rows(docs), dropped, "doc_id", "_flag")
+def own_ids(docs: DataFrame) -> DataFrame:
+    """(_id, _row), saved: the whole rows with an id that no other row has.
+
+    ``_id`` is the ``doc_id`` where no other row has it.  Rows with a null or repeated ``doc_id``
+    get a number above all ids, so that of equal rank a row with an id of its own comes first.
+    """
+    ids = docs.select("doc_id").filter("doc_id IS NOT NULL")
+    repeated = save(ids.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
+    top = ids.agg(F.max("doc_id")).first()[0]
+    rows = whole_rows(docs)
+    marked = in_bit_table(rows.filter("doc_id IS NOT NULL"), repeated, "doc_id", "_flag")
+    placed = marked.filter("NOT _flag").select(F.col("doc_id").alias("_id"), "_row").unionByName(
+        marked.filter("_flag").join(repeated.withColumn("_several", F.lit(True)), "doc_id", "left").select(
+            F.when(F.col("_several").isNull(), F.col("doc_id")).alias("_id"), "_row")).unionByName(
+        rows.filter("doc_id IS NULL").select(F.col("doc_id").alias("_id"), "_row"))
+    fresh = F.lit(max(0, 0 if top is None else top + 1)) + F.monotonically_increasing_id()
+    return save(placed.select(F.coalesce("_id", fresh).alias("_id"), "_row"), "own-ids")
+
+
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The documents of ``rows``, as ``own_ids`` gives them, less those whose ``_id`` is in ``dropped``;
+    only rows that the bit table flags are shuffled, so a small share of the texts moves."""
+    dropped = save(dropped.select("_id"), "dropped")
+    marked = in_bit_table(rows, dropped, "_id", "_flag")
     clear = marked.filter(~F.col("_flag")).select("_row")
     return clear.unionByName(
-        marked.filter("_flag").join(dropped, "doc_id", "left_anti").select("_row")).select("_row.*")
+        marked.filter("_flag").join(dropped, "_id", "left_anti").select("_row")).select("_row.*")

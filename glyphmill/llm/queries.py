@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from glyphmill.llm import exact_dedup as exact
 from glyphmill.llm import anchors, embed_dedup, langid, lm_scoring, minhash, mixing, packing, pii, suffix_dedup
-from glyphmill.llm.common import documents, null_safe_join, residue
+from glyphmill.llm.common import documents, residue
 
 #: The folder of public vocabulary files; override with the environment where it lies elsewhere.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
@@ -26,8 +26,7 @@ def tokenizer_path(name: str = PACK_VOCAB) -> str:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return null_safe_join(exact.exact_dedup(docs), exact.text_digests(docs), ["doc_id"])
+    return exact.exact_dedup(documents(spark, sf_dir), digest=True)
 
 
 SQL_OP4 = """

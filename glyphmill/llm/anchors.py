@@ -83,9 +83,8 @@ def _anchor_requests(chunk: ex.Chunk, buckets: int) -> Iterator[tuple]:
         return
     order, new, _ = _sorted_groups(keys)
     first = np.flatnonzero(new)
-    text = words.text[pos][order]  # positions rise within a key, so texts do
-    last = np.concatenate([first[1:], [len(order)]]) - 1
-    docs = 1 + (words.doc_id[text[first]] != words.doc_id[text[last]])
+    doc_id = words.doc_id[words.text[pos]][order]
+    docs = 1 + (np.minimum.reduceat(doc_id, first) != np.maximum.reduceat(doc_id, first))
     yield from ex.ask(chunk, ANCHORS, keys[order][first], [docs.astype(np.int64)], buckets)
 
 

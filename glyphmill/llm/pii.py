@@ -61,7 +61,8 @@ def luhn(digits: str) -> bool:
 def valid(kind: str, found: str) -> bool:
     digits = re.sub("[^0-9]", "", found)
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in found.split("."))
+        return all(_DIGITS.fullmatch(p) and len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255
+                   for p in found.split("."))
     if kind == "card":
         return 12 <= len(digits) <= 19 and luhn(digits)
     if kind == "phone":

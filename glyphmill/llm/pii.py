@@ -20,6 +20,7 @@ base spans are returned; other columns of the input are never read.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -160,35 +161,42 @@ def _text(body: np.ndarray, offs: np.ndarray, i: int) -> str:
 
 
 def fit(docs: DataFrame, windows: int = TRAIN_WINDOWS, seed: int = 7) -> Tagger | None:
-    """Train on the windows with the smallest hashes: half with a base span, half without."""
+    """Train on the distinct windows with the smallest hashes: half with a base span, half without."""
+    half = windows // 2
+
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[bool, set[tuple[int, bytes, bytes]]] = {True: set(), False: set()}
         for batch in batches:
             body, offs = tb.column(batch.column("text"))
-            x, y, has, order = [], [], [], []
             for i in np.flatnonzero(_with_marks(body, offs)).tolist():
                 text = _text(body, offs, i)
                 codes, spans = classes(text), base_spans(text)
                 for lo, hi in regions(text):
                     for start in window_starts(lo, hi):
                         labels = tags(spans, start)
-                        row = window(codes, start)
-                        x.append(row.astype(np.uint8).tobytes())
-                        y.append(labels.astype(np.uint8).tobytes())
-                        has.append(bool(labels.any()))
-                        order.append(int.from_bytes(hashlib.blake2b(
-                            bytes([seed]) + x[-1] + y[-1] + text[max(0, start): start + WINDOW].encode("utf-8", "replace"),
-                            digest_size=7).digest(), "big"))
+                        x = window(codes, start).astype(np.uint8).tobytes()
+                        y = labels.astype(np.uint8).tobytes()
+                        rank = int.from_bytes(hashlib.blake2b(
+                            bytes([seed]) + x + y + text[max(0, start): start + WINDOW].encode("utf-8", "replace"),
+                            digest_size=7).digest(), "big")
+                        mine = least[bool(labels.any())]
+                        mine.add((rank, x, y))
+                        if len(mine) > 8 * half + 64:  # what the whole table takes is among each task's smallest
+                            mine.intersection_update(heapq.nsmallest(half, mine))
+        rows = [(*r, has) for has, mine in least.items() for r in heapq.nsmallest(half, mine)]
+        if rows:
+            order, x, y, has = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array(has, pa.bool_()),
                                               pa.array(x, pa.binary()), pa.array(y, pa.binary())],
                                              names=["rank", "has", "x", "y"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(fn, "rank long, has boolean, x binary, y binary")
+    rows = docs.select("doc_id", "text").mapInArrow(fn, "rank long, has boolean, x binary, y binary").distinct()
     # one pass: the half with spans comes first among the smallest ranks of either half
-    some = rows.filter("has").orderBy("rank", "x").limit(windows // 2).unionByName(
-        rows.filter("NOT has").orderBy("rank", "x").limit(windows // 2)).collect()
+    some = rows.filter("has").orderBy("rank", "x", "y").limit(half).unionByName(
+        rows.filter("NOT has").orderBy("rank", "x", "y").limit(half)).collect()
     if not any(r["has"] for r in some):
         return None
-    some.sort(key=lambda r: (r["rank"], bytes(r["x"])))
+    some.sort(key=lambda r: (r["rank"], bytes(r["x"]), bytes(r["y"])))
     x = np.stack([np.frombuffer(r["x"], np.uint8) for r in some]).astype(np.int64)
     y = np.stack([np.frombuffer(r["y"], np.uint8) for r in some]).astype(np.int64)
     model = Tagger(TAGS)

@@ -183,14 +183,22 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language; one pass, no join."""
-    if model is None:
-        return docs.limit(0)
+    """The rows of ``docs``, all columns, whose text has a language; one pass, no join.
+
+    Only texts that ``predict`` calls UNKNOWN go; without a model, those without a letter.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            yield batch.filter(pa.array(_labels(m, batch)[0] < len(m.langs)))
+            if m is None:
+                body, offs = tb.column(batch.column("text"))
+                good = np.zeros(len(offs) - 1, bool)
+                for lo, hi in tb.slices(offs, tb.SLICE):
+                    good[lo:hi] = has_letter(body, offs[lo: hi + 1])
+                yield batch.filter(pa.array(good))
+            else:
+                yield batch.filter(pa.array(_labels(m, batch)[0] < len(m.langs)))
 
     return docs.mapInArrow(fn, docs.schema)

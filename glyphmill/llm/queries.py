@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphmill.llm import exact_dedup as exact
-from glyphmill.llm import anchors, embed_dedup, langid, lm_scoring, minhash, mixing, packing, pii, suffix_dedup
+from glyphmill.llm import (
+    anchors, embed_dedup, filter_audit, langid, line_dedup, lm_scoring, minhash, mixing, packing, pii, resample, suffix_dedup)
 from glyphmill.llm.common import documents, residue
 
 #: The folder of public vocabulary files; override with the environment where it lies elsewhere.
@@ -164,10 +165,113 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(packing.pack(documents(spark, sf_dir), tokenizer_path()))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_lines(documents(spark, sf_dir))
+
+
+_SQL_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SQL_BARE = "regexp_replace(regexp_replace({}, '^[\\x20\\x09-\\x0D]+', ''), '[\\x20\\x09-\\x0D]+$', '')"
+
+SQL_OP11 = f"""
+WITH l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos
+           FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+k AS (SELECT doc_id, pos, line, {_SQL_LOWER.format(_SQL_BARE.format("line"))} AS key FROM l),
+hot AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= {line_dedup.MIN_CHARS}
+        GROUP BY key HAVING count(DISTINCT doc_id) >= {line_dedup.MIN_DOCS})
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (keeper <> doc_id)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (keeper IS NULL OR keeper = doc_id), '')) AS kept_sha256
+FROM k LEFT JOIN hot USING (key) GROUP BY doc_id
+"""
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+_SQL_BITS = " + ".join(f"{1 << i} * {c.lower()}" for i, c in enumerate(filter_audit.FILTERS))
+_SQL_STEPS = " UNION ALL ".join(
+    f"SELECT filter_order, {i} AS step, substr(filter_order, 1, {i - 1}) AS earlier, substr(filter_order, {i}, 1) AS own FROM orders"
+    for i in range(1, 6))
+
+SQL_OP12 = f"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                  {_SQL_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+lab AS (SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT doc_id, part, len(ws) < {filter_audit.MIN_WORDS} AS a,
+             100 * len(list_distinct(ws)) < {filter_audit.DISTINCT_PERCENT} * len(ws) AS b,
+             100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > {filter_audit.UPPER_PERCENT} * length(t) AS c,
+             regexp_matches(t, '[#$%&*|]') AS d,
+             coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e FROM w),
+g AS (SELECT part, a, b, c, d, e, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+      FROM f LEFT JOIN lab USING (doc_id) GROUP BY ALL),
+m AS (SELECT part, n, good, toxic, concat(CASE WHEN a THEN 'A' END, CASE WHEN b THEN 'B' END, CASE WHEN c THEN 'C' END,
+             CASE WHEN d THEN 'D' END, CASE WHEN e THEN 'E' END) AS failed FROM g),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT v.x || w.x || y.x || z.x || u.x AS filter_order
+           FROM letter v, letter w, letter y, letter z, letter u
+           WHERE len(list_distinct([v.x, w.x, y.x, z.x, u.x])) = 5),
+steps AS ({_SQL_STEPS}),
+s AS (SELECT part, filter_order, step, own, n, good, toxic, failed, contains(failed, own) AS fails,
+             len(translate(earlier, failed, '')) < len(earlier) AS gone FROM m, steps),
+r AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0)::BIGINT AS kept,
+             coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed,
+             coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant,
+             coalesce(sum(n) FILTER (failed = own), 0)::BIGINT AS unique_fails,
+             coalesce(sum(good) FILTER (fails AND NOT gone), 0)::BIGINT AS good_lost,
+             coalesce(sum(toxic) FILTER (fails AND NOT gone), 0)::BIGINT AS toxic_lost
+      FROM s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r
+"""
+
+
+def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def _sql_features(table: str, key: str) -> str:
+    lower = _SQL_LOWER.format("coalesce(text, '')")
+    return (f"SELECT {key}, unnest(regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM {table}")
+
+
+#: crc32 by its table, a byte at a time over each distinct word.
+SQL_OP13 = f"""
+WITH RECURSIVE step(i, k, v) AS (
+  SELECT i, 0, i FROM range(256) t(i) UNION ALL
+  SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM step WHERE k < 8),
+tab AS (SELECT list(v ORDER BY i) AS tb FROM step WHERE k = 8),
+df AS ({_sql_features('documents', 'doc_id')}),
+bf AS ({_sql_features('benchmark', 'item_id')}),
+voc AS (SELECT DISTINCT w FROM (SELECT w FROM df UNION ALL SELECT w FROM bf)),
+byt AS (SELECT w, list_transform(range(octet_length(encode(w))),
+               lambda j: ('0x' || substr(hex(encode(w)), 2 * j + 1, 2))::BIGINT) AS bs FROM voc),
+crc AS (SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, bs),
+               lambda acc, y: xor(acc // 256, tb[(xor(acc % 256, y) + 1)::BIGINT])), 4294967295::BIGINT) % {resample.BUCKETS} AS b
+        FROM byt, tab),
+sc AS (SELECT b, count(*) AS s FROM df JOIN crc USING (w) GROUP BY b),
+tc AS (SELECT b, count(*) AS t FROM bf JOIN crc USING (w) GROUP BY b),
+tot AS (SELECT (SELECT coalesce(sum(s), 0) FROM sc)::DOUBLE AS ss, (SELECT coalesce(sum(t), 0) FROM tc)::DOUBLE AS tt),
+gain AS (SELECT b, floor({resample.SCALE} * ln((coalesce(t, 0)::DOUBLE + 1) * (ss + {resample.BUCKETS})
+                / ((s::DOUBLE + 1) * (tt + {resample.BUCKETS}))))::BIGINT AS g
+         FROM sc LEFT JOIN tc USING (b), tot),
+wt AS (SELECT doc_id, count(*) AS n, sum(g) AS weight FROM df JOIN crc USING (w) JOIN gain USING (b) GROUP BY doc_id),
+sco AS (SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+               coalesce(weight, 0)::BIGINT + floor(-{resample.SCALE}.0 * ln(-ln((
+                 ('0x' || substr(sha256(concat('{resample.SEED}:', d.doc_id)), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+        FROM documents d LEFT JOIN wt ON wt.doc_id = d.doc_id),
+ord AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n
+        FROM sco WHERE n_features >= {resample.MIN_WORDS})
+SELECT sco.*, CASE WHEN r <= {resample.PERCENT} * n // 100 THEN r END::BIGINT AS rank
+FROM sco LEFT JOIN ord USING (doc_id)
+"""
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_embedding_dedup, op3_language_id, op4_exact_dedup, op5_substring_dedup, op6_minhash_dedup, op7_pii, op8_suffix_dedup, op9_mixing, op10_packing)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_embedding_dedup, op3_language_id, op4_exact_dedup, op5_substring_dedup, op6_minhash_dedup, op7_pii, op8_suffix_dedup, op9_mixing, op10_packing,
+                                    op11_line_dedup, op12_filter_audit, op13_importance_resample)}
 
 
 def oracle() -> dict[str, str]:
     return {"op2_embedding_dedup": SQL_OP2, "op4_exact_dedup": SQL_OP4,
-            "op5_substring_dedup": SQL_OP5, "op6_minhash_dedup": SQL_OP6, "op8_suffix_dedup": SQL_OP8}
+            "op5_substring_dedup": SQL_OP5, "op6_minhash_dedup": SQL_OP6, "op8_suffix_dedup": SQL_OP8,
+            "op11_line_dedup": SQL_OP11, "op12_filter_audit": SQL_OP12, "op13_importance_resample": SQL_OP13}

@@ -3,16 +3,18 @@
 Five filters (failure conditions ``A`` to ``E``) are applied in every order, and each step's
 effect is counted by part of the corpus::
 
-    docs -> mapInArrow: texts in shards of bounded size; a shard's own words and CSR arrays  [saved]
-         -> distinct words of all shards -> dense global numbers (partition base + place)    [saved]
-         -> (shard, own number) -> global number, one row a shard and word
-         -> mapInArrow: CSR shards over global numbers                                       [saved]
-              row sum = words (A), non-zero count = distinct words (B)
+    docs -> mapInArrow: texts in shards of bounded size; a shard's own words (as 64-bit hashes)
+            and packed CSR arrays over them                                                  [saved]
+         -> (hash, shard, place), one row a shard and word, dealt by ranges of the hash
+         -> mapInArrow: number the distinct hashes; a row of (places, numbers) for each shard
+         -> those rows meet their shard's arrays: CSR shards over global numbers
+              row sum = words (A), non-zero count = distinct words (B)                       [saved]
          -> further flags: C, D from the text pass, E from the smallest doc_id of equal texts
          -> count by (part, mask of failures) -> 120 orders x 5 steps over at most 32 masks a part
 
 A word travels once a shard, so the commonest word is one row a shard, and no row of the matrix
-leaves its shard.
+leaves its shard.  A shard numbers its words in the order of their hashes, and so does the
+dictionary, so rows stay sorted when they are renumbered.  Words are told apart by 64-bit hashes.
 
 Defined cases: a null or empty text has no words, so it fails A alone (0 of 0 words is not below
 half).  A row without ``doc_id`` never fails E and makes none fail; rows that share a ``doc_id``
@@ -34,7 +36,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm import textbytes as tb
-from glyphmill.llm.common import group_attributes, null_safe_join, save
+from glyphmill.llm.common import group_attributes, save
+from glyphmill.llm.exchange import join_parts, pack, split_parts, unpack
 
 FILTERS = "ABCDE"
 MIN_WORDS = 200
@@ -44,6 +47,9 @@ SYMBOLS = "#$%&*|"
 
 #: Bytes of text in a shard; one longer text is a shard of its own.
 SHARD_BYTES = 8 << 20
+#: Rows of (hash, shard, place) that a task numbers at once, and hash ranges a partition.
+PART_WORDS = 1 << 20
+RANGES = 4
 
 _IS_UPPER = np.zeros(256, np.uint8)
 _IS_UPPER[65:91] = 1
@@ -51,9 +57,11 @@ _IS_SYMBOL = np.zeros(256, np.uint8)
 _IS_SYMBOL[[ord(c) for c in SYMBOLS]] = 1
 _IS_START = np.array([(b & 0xC0) != 0x80 for b in range(256)], np.uint8)
 
-_SHARD = "shard long, at int, doc_id long, part string, f1 long, f2 long, fails_c boolean, fails_d boolean, " \
-         "row_sum array<long>, indptr array<long>, indices array<int>, data array<long>, words array<binary>"
-_NAMES = [f.split()[0] for f in _SHARD.split(", ")]
+_SHARD = [("shard", pa.int64()), ("at", pa.int32()), ("doc_id", pa.int64()), ("part", pa.string()), ("f1", pa.int64()),
+          ("f2", pa.int64()), ("fails_c", pa.bool_()), ("fails_d", pa.bool_()), ("csr", pa.binary()),
+          ("hashes", pa.list_(pa.int64())), ("words", pa.list_(pa.binary()))]
+_SHARD_SCHEMA = ("shard long, at int, doc_id long, part string, f1 long, f2 long, fails_c boolean, fails_d boolean, "
+                 "csr binary, hashes array<long>, words array<binary>")
 
 
 def text_sums(body: np.ndarray, offs: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -63,132 +71,162 @@ def text_sums(body: np.ndarray, offs: np.ndarray, table: np.ndarray) -> np.ndarr
     return total[offs[1:] - offs[0]] - total[offs[:-1] - offs[0]]
 
 
-def shard_matrix(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """CSR arrays (indptr, indices, data) of the texts' words and the words that the indices number."""
+def shard_matrix(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """CSR arrays (indptr, indices, data) of the texts' words, the words' hashes in order, and the words."""
     lists = pc.ascii_split_whitespace(texts)
     offs, flat = lists.offsets.to_numpy(), lists.flatten()
     row = np.repeat(np.arange(len(texts)), np.diff(offs))
     full = pc.greater(pc.binary_length(flat), 0)
     row, flat = row[full.to_numpy(zero_copy_only=False)], flat.filter(full)
     coded = flat.dictionary_encode()
-    n_words = max(1, len(coded.dictionary))
-    cells, data = np.unique(row * n_words + coded.indices.to_numpy().astype(np.int64), return_counts=True)
+    body, ends = tb.column(coded.dictionary)
+    prefix = tb.running(tb.BYTE_WORD[body[ends[0]: ends[-1]]])
+    hashes, first, place = np.unique(tb.span_hash(prefix, ends[:-1] - ends[0], ends[1:] - ends[0]),
+                                     return_index=True, return_inverse=True)
+    n_words = max(1, len(hashes))
+    cells, data = np.unique(row * n_words + place[coded.indices.to_numpy()], return_counts=True)
     indptr = np.searchsorted(cells, np.arange(len(texts) + 1) * n_words)
-    return indptr, (cells % n_words).astype(np.int32), data, coded.dictionary.cast(pa.binary())
+    return indptr, cells % n_words, data, hashes, coded.dictionary.take(pa.array(first)).cast(pa.binary())
 
 
-def _one_list(values, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind) if not isinstance(values, pa.Array) else values)
+def _one_list(values) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per shard: a row for each document with its flags, then one row with the matrix and its words."""
-    number = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        text = batch.column("text").fill_null("")
-        body, offs = tb.column(text)
-        for lo, hi in tb.slices(offs, SHARD_BYTES):
-            n, part = hi - lo, batch.slice(lo, hi - lo)
-            spans = offs[lo: hi + 1]
-            fails_c = 100 * text_sums(body, spans, _IS_UPPER) > UPPER_PERCENT * text_sums(body, spans, _IS_START)
-            fails_d = text_sums(body, spans, _IS_SYMBOL) > 0
-            none = lambda f, n=n: pa.nulls(n, f)
-            longs, ints, words = pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, number)), pa.array(np.arange(n, dtype=np.int32)), part.column("doc_id"),
-                 part.column("part"), part.column("f1"), part.column("f2"), pa.array(fails_c), pa.array(fails_d),
-                 none(longs), none(longs), none(ints), none(longs), none(words)], names=_NAMES)
-            indptr, indices, data, own = shard_matrix(text.slice(lo, n))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([number]), pa.array([-1], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()),
-                 pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.bool_()),
-                 pa.nulls(1, longs), _one_list(indptr, pa.int64()), _one_list(indices, pa.int32()),
-                 _one_list(data, pa.int64()), _one_list(own, pa.binary())], names=_NAMES)
-            number += 1
+def _rows(n: int, **columns) -> pa.RecordBatch:
+    cols = [columns[name] if name in columns else pa.nulls(n, kind) for name, kind in _SHARD]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kind) for c, (_, kind) in
+                                       zip(cols, _SHARD, strict=True)], names=[name for name, _ in _SHARD])
 
 
-def dictionary(words: DataFrame) -> DataFrame:
-    """(word, word_id): all distinct words, numbered 0, 1, 2... without gaps."""
-    distinct = save(words.select("word").groupBy("word").agg(F.lit(1).alias("_n"))
-                    .select("word", F.monotonically_increasing_id().alias("_at")), "audit-words")
-    place = distinct.withColumn("_part", F.shiftright("_at", 33)).withColumn("_place", F.col("_at") % F.lit(1 << 33))
-    # one row a partition of the dictionary
-    sizes = place.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"))
-    return place.join(base, "_part").select("word", (F.col("_base") + F.col("_place")).alias("word_id"))
+def _shards(with_words: bool):
+    """Per shard: a row for each document with its flags, then one row (at -1) with the matrix and its words."""
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            text = batch.column("text").fill_null("")
+            body, offs = tb.column(text)
+            for lo, hi in tb.slices(offs, SHARD_BYTES):
+                n, mine, spans = hi - lo, batch.slice(lo, hi - lo), offs[lo: hi + 1]
+                shouts = 100 * text_sums(body, spans, _IS_UPPER) > UPPER_PERCENT * text_sums(body, spans, _IS_START)
+                yield _rows(n, shard=np.full(n, number), at=np.arange(n), fails_c=shouts,
+                            fails_d=text_sums(body, spans, _IS_SYMBOL) > 0,
+                            **{c: mine.column(c) for c in ("doc_id", "part", "f1", "f2")})
+                indptr, indices, data, hashes, words = shard_matrix(text.slice(lo, n))
+                steps = np.diff(indices, prepend=0)
+                csr = join_parts([pack(np.diff(indptr)), pack((steps << 1) ^ (steps >> 63)), pack(data - 1)])
+                more = {"words": _one_list(words)} if with_words else {}
+                yield _rows(1, shard=[number], at=[-1], csr=[csr], hashes=_one_list(pa.array(hashes.view(np.int64))), **more)
+                number += 1
+
+    return fn
+
+
+def shards(docs: DataFrame, with_words: bool = False) -> DataFrame:
+    """The documents of (doc_id, text, part, f1, f2) in shards, saved."""
+    return save(docs.select("doc_id", "text", "part", "f1", "f2").mapInArrow(_shards(with_words), _SHARD_SCHEMA), "audit-shards")
+
+
+_NUMBERED = "shard long, places array<int>, numbers array<long>"
+
+
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (range, hash, shard, place) sorted by (range, hash) -> per shard its places and their global numbers.
+
+    The n-th distinct hash of a range gets the number (range << 32) + n.
+    """
+    parts = [tuple(b.column(c).to_numpy() for c in ("range", "hash", "shard", "place")) for b in batches if b.num_rows]
+    if not parts:
+        return
+    where, h, shard, place = (np.concatenate(c) for c in zip(*parts, strict=True))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (where[1:] != where[:-1])
+    nth = np.cumsum(new) - 1
+    first = np.flatnonzero(np.diff(where, prepend=where[0] - 1))
+    nth -= np.repeat(nth[first], np.diff(np.append(first, len(h))))
+    order = np.lexsort((place, shard))
+    shard, place, number = shard[order], place[order], ((where << 32) + nth)[order]
+    cuts = np.append(np.flatnonzero(np.diff(shard, prepend=shard[0] - 1)), len(shard)).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(v)) for v in (place, number)]
+    yield pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]]), *lists], names=["shard", "places", "numbers"])
+
+
+def word_numbers(heads: DataFrame) -> DataFrame:
+    """(shard, places, numbers): the global numbers of each shard's own words, in rows of any size."""
+    n_words = heads.agg(F.sum(F.size("hashes").cast("long"))).first()[0] or 0
+    n = max(int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_words // PART_WORDS))
+    own = heads.select("shard", F.posexplode("hashes").alias("place", "hash"))
+    spot = F.shiftright(F.shiftrightunsigned("hash", 32) * F.lit(n * RANGES), 32)
+    dealt = own.withColumn("range", spot).repartition(n, "range").sortWithinPartitions("range", F.col("hash"))
+    return dealt.select("range", "hash", "shard", "place").mapInArrow(_number, _NUMBERED)
 
 
 _CSR = "shard long, n_rows int, indptr array<long>, indices array<long>, data array<long>"
 
 
-def _global_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (shard, place): the shard's arrays (place -1), then a global number per own word."""
-    at, head, ids = None, None, []
+def _global_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(shard, indptr, indices, data) of each shard, from its arrays and numbers sorted by (shard, numbers last)."""
+    at, csr, number = None, None, None
 
     def made():
-        number, indptr, indices, data = head
-        word_id = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        n = len(indptr) - 1
-        row = np.repeat(np.arange(n), np.diff(indptr))
-        col = word_id[indices]
-        order = np.lexsort((col, row))
-        row, col, data = row[order], col[order], data[order]
-        # equal words got one number, so cells of one row and word are one cell
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (col[1:] != col[:-1])
-        first = np.flatnonzero(new)
-        data = np.add.reduceat(data, first) if len(first) else data[:0]
-        ptr = np.searchsorted(row[first], np.arange(n + 1))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([number]), pa.array([n], pa.int32()), _one_list(ptr, pa.int64()),
-             _one_list(col[first], pa.int64()), _one_list(data, pa.int64())], names=[f.split()[0] for f in _CSR.split(", ")])
+        sizes, steps, more = (unpack(p).view(np.int64) for p in split_parts(csr))
+        indices = np.cumsum((steps >> 1) ^ -(steps & 1))
+        return at, np.concatenate([[0], np.cumsum(sizes)]), number[indices], more + 1
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        shard = batch.column("shard").to_numpy()
-        place = batch.column("place").to_numpy()
-        word_id = batch.column("word_id").fill_null(-1).to_numpy(zero_copy_only=False)
-        cuts = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]])
-        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if shard[lo] != at:
+        shard, size = batch.column("shard").to_pylist(), batch.column("n_own").to_pylist()
+        for i in range(batch.num_rows):
+            if shard[i] != at:
                 if at is not None:
                     yield made()
-                at, ids = int(shard[lo]), []
-            if place[lo] < 0:
-                arrays = [batch.column(c)[lo].values.to_numpy() for c in ("indptr", "indices", "data")]
-                head, lo = (at, *(a.copy() for a in arrays)), lo + 1
-            ids.append(word_id[lo:hi])
+                at, csr, number = shard[i], batch.column("csr")[i].as_py(), np.full(size[i], -1, np.int64)
+            else:
+                number[batch.column("places")[i].values.to_numpy()] = batch.column("numbers")[i].values.to_numpy()
     if at is not None:
         yield made()
 
 
-def matrix(shards: DataFrame) -> DataFrame:
+def _met(shard_rows: DataFrame) -> DataFrame:
+    heads = shard_rows.filter("at < 0")
+    rows = heads.select("shard", F.size("hashes").alias("n_own"), "csr").unionByName(
+        word_numbers(heads.select("shard", "hashes")), allowMissingColumns=True)
+    return rows.repartition("shard").sortWithinPartitions("shard", F.col("csr").isNull())
+
+
+def matrix(shard_rows: DataFrame) -> DataFrame:
     """CSR shards (shard, n_rows, indptr, indices, data) over the global dictionary."""
-    heads = shards.filter("at < 0")
-    own = heads.select("shard", F.posexplode("words").alias("place", "word"))
-    coded = own.join(dictionary(own), "word").select("shard", "place", "word_id")
-    arrays = heads.select("shard", F.lit(-1).alias("place"), F.lit(None).cast("long").alias("word_id"),
-                          "indptr", "indices", "data")
-    rows = arrays.unionByName(coded, allowMissingColumns=True)
-    dealt = rows.repartition("shard").sortWithinPartitions("shard", "place")
-    return dealt.mapInArrow(_global_shards, _CSR)
-
-
-def row_figures(csr: DataFrame) -> DataFrame:
-    """(shard, at, n_words, n_distinct): row sums and non-zero counts of the matrix."""
     def fn(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ptr, data = (batch.column(c)[i].values.to_numpy() for c in ("indptr", "data"))
-                n = len(ptr) - 1
-                total = np.concatenate([[0], np.cumsum(data)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, batch.column("shard")[i].as_py())), pa.array(np.arange(n, dtype=np.int32)),
-                     pa.array(total[ptr[1:]] - total[ptr[:-1]]), pa.array(np.diff(ptr))],
-                    names=["shard", "at", "n_words", "n_distinct"])
-    return csr.select("shard", "indptr", "data").mapInArrow(fn, "shard long, at int, n_words long, n_distinct long")
+        for number, indptr, indices, data in _global_shards(batches):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([number]), pa.array([len(indptr) - 1], pa.int32()),
+                 *[_one_list(pa.array(v)) for v in (indptr, indices, data)]], names=[f.split()[0] for f in _CSR.split(", ")])
+    return _met(shard_rows).mapInArrow(fn, _CSR)
+
+
+def row_figures(shard_rows: DataFrame) -> DataFrame:
+    """(shard, at, n_words, n_distinct): row sums and non-zero counts of the matrix, shard by shard."""
+    def fn(batches):
+        for number, indptr, indices, data in _global_shards(batches):
+            n = len(indptr) - 1
+            row = np.repeat(np.arange(n), np.diff(indptr))
+            # a row's indices are sorted; a number counts once
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (indices[1:] != indices[:-1])
+            total = np.concatenate([[0], np.cumsum(data)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, number)), pa.array(np.arange(n, dtype=np.int32)),
+                 pa.array(total[indptr[1:]] - total[indptr[:-1]]), pa.array(np.bincount(row[new], minlength=n))],
+                names=["shard", "at", "n_words", "n_distinct"])
+    return _met(shard_rows).mapInArrow(fn, "shard long, at int, n_words long, n_distinct long")
+
+
+def dictionary(shard_rows: DataFrame) -> DataFrame:
+    """(word, number) of every distinct word; the shards must have been made ``with_words``."""
+    heads = shard_rows.filter("at < 0")
+    numbered = word_numbers(heads.select("shard", "hashes")).select("shard", F.explode(F.arrays_zip("places", "numbers")).alias("x"))
+    words = heads.select("shard", F.posexplode("words").alias("place", "word"))
+    return words.join(numbered.select("shard", F.col("x.places").alias("place"), F.col("x.numbers").alias("number")),
+                      ["shard", "place"]).select("word", "number").distinct()
 
 
 def document_flags(docs: DataFrame) -> DataFrame:
@@ -196,9 +234,9 @@ def document_flags(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", "text", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"),
                        F.xxhash64(text).alias("f1"), F.xxhash64(F.lit(12), text).alias("f2"))
-    shards = save(rows.mapInArrow(_shards, _SHARD), "audit-shards")
-    figures = row_figures(save(matrix(shards.select("shard", "at", "indptr", "indices", "data", "words")), "audit-csr"))
-    flags = shards.filter("at >= 0").select("shard", "at", "doc_id", "part", "f1", "f2", "fails_c", "fails_d")
+    found = shards(rows)
+    figures = save(row_figures(found), "audit-figures")
+    flags = found.filter("at >= 0").select("shard", "at", "doc_id", "part", "f1", "f2", "fails_c", "fails_d")
     flags = flags.join(figures, ["shard", "at"])
     smallest = {"_least": F.min("doc_id")}
     flags = group_attributes(flags, ["f1", "f2"], "doc_id", smallest, {"_least": F.min("_least")})

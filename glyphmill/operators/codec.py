@@ -1,119 +1,44 @@
 """Corpus encode / decode against a vocabulary.
 
 Encoding is a left-to-right, non-overlapping replacement of N-component windows
-that are vocabulary entries, repeated until a pass replaces nothing.  That scan
-is sequential per piece of text, so it runs as a small Python helper inside
-``mapInArrow`` (one Arrow batch at a time, no shuffle); the vocabulary is a
-broadcast dict whose size is bounded by the trainer's ``vocab_size``.
+that are vocabulary entries, repeated until a pass replaces nothing.  The vocabulary is a
+table ``(code, comps)`` (or the trainer's :class:`~glyphmill.operators.vocab.Vocab`).  Two plans:
+
+* its packed array is below ``MAX_PACKED_BYTES``: the array is broadcast and the passes run over
+  whole Arrow batches in ``mapInArrow`` (``operators.packed``), without a shuffle;
+* it is larger: the distinct pieces of the corpus meet the vocabulary in a join a pass, and the
+  encoded pieces go back to the rows that hold them.
 
 Documents are first cut into uncrossable segments by a JVM regex (see
-``functions.text.SEGMENT_BODY``); each task caches segment -> codes, so a word is
-encoded once per task however often it occurs.  Segmentation is only used when
-every vocabulary entry is a legal token (always true for trained vocabularies);
-an imported vocabulary with an illegal entry is encoded whole-document.
+``functions.text.SEGMENT_BODY``), so a word is encoded once a batch (or once at all) however
+often it occurs.  Segmentation is only used when every vocabulary entry is a legal token (always
+true for trained vocabularies); with an illegal entry the pieces are whole documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.functions.text import TOK_ID_OFFSET, segments
-from glyphmill.session import ensure_worker_import
-
-_CACHE_LIMIT = 200_000
-
-
-def replace_windows(codes: list[int], table: dict, n: int) -> list[int]:
-    """Replace vocabulary windows, leftmost first, until none is left.
-
-    After the first pass only windows that touch a token made by the last one can be new, so
-    later passes look at the ``n`` starts around each of those and nowhere else.
-    """
-    starts = range(len(codes) - n + 1)
-    while True:
-        hits, free = [], 0
-        for i in starts:
-            code = table.get(tuple(codes[i:i + n])) if i >= free else None
-            if code is not None:
-                hits.append((i, code))
-                free = i + n
-        if not hits:
-            return codes
-        joined, made, done = [], [], 0
-        for i, code in hits:
-            joined += codes[done:i]
-            made.append(len(joined))
-            joined.append(code)
-            done = i + n
-        codes = joined + codes[done:]
-        last = len(codes) - n
-        starts = sorted({i for at in made for i in range(max(0, at - n + 1), min(at, last) + 1)})
-
-
-def encode_text(text: str, table: dict, n: int) -> list[int]:
-    return replace_windows([ord(c) for c in text], table, n)
+from glyphmill.functions.text import TOK_ID_OFFSET, char_codes, nseq_windows, segments
+from glyphmill.operators import packed
+from glyphmill.session import drop_scratch, ensure_worker_import, save_scratch
 
+#: A vocabulary whose packed array is larger is joined instead of broadcast (64 MB: 1.4 million pairs).
+MAX_PACKED_BYTES = 64 << 20
 
-def _list_array(values: list[list], value_type: pa.DataType) -> pa.Array:
-    return pa.array(values, type=pa.list_(value_type))
-
-
-def encode_pieces_fn(bc, n: int, pieces_col: str, out_col: str, keep: list[str]):
-    """mapInArrow body: ``pieces ARRAY<STRING>`` -> ``out_col ARRAY<BIGINT>``."""
 
+def _mapped(df: DataFrame, bc, fn, source: str, out_col: str, keep: list[str]) -> DataFrame:
+    """``out_col`` = ``fn(source column, packed vocabulary)`` beside the kept columns."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = bc.value["table"]
-        cache: dict[str, list[int]] = {}
         for batch in batches:
-            pieces = batch.column(pieces_col).to_pylist()
-            out = []
-            for plist in pieces:
-                if plist is None:
-                    out.append(None)
-                    continue
-                codes: list[int] = []
-                for piece in plist:
-                    enc = cache.get(piece)
-                    if enc is None:
-                        enc = encode_text(piece, table, n)
-                        if len(cache) >= _CACHE_LIMIT:
-                            cache.clear()
-                        cache[piece] = enc
-                    codes.extend(enc)
-                out.append(codes)
-            cols = [batch.column(c) for c in keep] + [_list_array(out, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=keep + [out_col])
-
-    return run
-
-
-def reencode_fn(bc, n: int, codes_col: str, keep: list[str], with_parts: bool):
-    """mapInArrow body: re-encode ``codes ARRAY<BIGINT>`` (E03), optionally with part texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = bc.value["table"]
-        texts = bc.value["texts"]
-        for batch in batches:
-            seqs = batch.column(codes_col).to_pylist()
-            out, parts = [], []
-            for seq in seqs:
-                enc = None if seq is None else replace_windows(seq, table, n)
-                out.append(enc)
-                if with_parts:
-                    parts.append(None if enc is None else [
-                        texts[c] if c >= TOK_ID_OFFSET else chr(c) for c in enc])
-            cols = [batch.column(c) for c in keep] + [_list_array(out, pa.int64())]
-            names = keep + [codes_col]
-            if with_parts:
-                cols.append(_list_array(parts, pa.string()))
-                names.append("parts")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    return run
+            cols = [batch.column(c) for c in keep] + [fn(batch.column(source), bc.value)]
+            yield pa.RecordBatch.from_arrays(cols, names=[*keep, out_col])
+    return df.mapInArrow(run, _schema_with(df, keep, f"`{out_col}` array<bigint>"))
 
 
 def decode_fn(bc, codes_col: str, out_col: str, keep: list[str]):
@@ -137,28 +62,101 @@ def _schema_with(df: DataFrame, keep: list[str], extra: str) -> str:
     return ", ".join(fields + [extra])
 
 
-def encode(df: DataFrame, vocab, text_col: str = "text", out_col: str = "tokens") -> DataFrame:
-    """Add ``out_col ARRAY<BIGINT>`` = the encoded ``text_col`` (map-only, no shuffle).
+def pack_entries(entries: DataFrame, n: int) -> packed.Packed:
+    """The packed array of a vocabulary table; the caller has checked its size."""
+    found = entries.select("code", *[F.col("comps")[j].alias(f"c{j}") for j in range(n)]).toArrow()
+    comps = np.stack([found.column(f"c{j}").to_numpy() for j in range(n)], axis=1) if found.num_rows else np.zeros((0, n))
+    return packed.Packed(comps, found.column("code").to_numpy(), n)
+
+
+def _pieces(df: DataFrame, text_col: str, by_segment: bool) -> DataFrame:
+    text = F.col(text_col)
+    return df.withColumn("_pieces", F.when(text.isNotNull(), segments(text) if by_segment else F.array(text)))
 
-    ``vocab`` is a :class:`glyphmill.operators.vocab.Vocab`.
+
+def encode(df: DataFrame, vocab, text_col: str = "text", out_col: str = "tokens", n: int | None = None,
+           all_legal: bool | None = None, max_packed_bytes: int = MAX_PACKED_BYTES) -> DataFrame:
+    """Add ``out_col ARRAY<BIGINT>`` = the encoded ``text_col`` (a null text stays null).
+
+    ``vocab`` is a :class:`glyphmill.operators.vocab.Vocab` (map only, no shuffle) or a table
+    ``(code, comps)`` of any size, joined where its packed array is above ``max_packed_bytes``.  For a table ``all_legal`` says whether every entry is a legal
+    token; left out, it is found out from the table (its texts are resolved).
     """
     keep = [c for c in df.columns if c != out_col]
-    ensure_worker_import(df.sparkSession)
-    bc = vocab.broadcast(df.sparkSession)
-    pieces = segments(F.col(text_col)) if vocab.all_legal else F.array(F.col(text_col))
-    staged = df.withColumn("_pieces", F.when(F.col(text_col).isNull(), F.lit(None))
-                           .otherwise(pieces))
-    fn = encode_pieces_fn(bc, vocab.n, "_pieces", out_col, keep)
-    return staged.mapInArrow(fn, _schema_with(df, keep, f"`{out_col}` array<bigint>"))
+    spark = df.sparkSession
+    ensure_worker_import(spark)
+    if not isinstance(vocab, DataFrame):
+        return _mapped(_pieces(df, text_col, vocab.all_legal), vocab.packed(spark), packed.encode_pieces, "_pieces", out_col, keep)
+    entries = vocab.select("code", "comps")
+    if all_legal is None:
+        from glyphmill.operators.vocab import resolve_vocab, vocab_legality
+        all_legal = vocab_legality(vocab if "unrolled" in vocab.columns else resolve_vocab(entries)).isEmpty()
+    sizes = entries.agg(F.count(F.lit(1)), F.min(F.size("comps")), F.max(F.size("comps"))).first()
+    n = n or sizes[2] or 2
+    if sizes[0] and (sizes[1], sizes[2]) != (n, n):
+        raise ValueError(f"entries of {sizes[1]} to {sizes[2]} components; the vocabulary is for {n}")
+    if packed.packed_bytes(sizes[0], n) <= max_packed_bytes:
+        bc = spark.sparkContext.broadcast(pack_entries(entries, n))
+        return _mapped(_pieces(df, text_col, all_legal), bc, packed.encode_pieces, "_pieces", out_col, keep)
+    return _encode_joined(df.select(*keep), entries, n, text_col, out_col, all_legal)
+
+
+def _replace_hits(n: int):
+    """mapInArrow body: rows (piece, codes, hits) -> codes with the hit windows replaced, leftmost first."""
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, offs = packed.flat_lists(batch.column("codes"))
+            hits, ends = packed.flat_lists(batch.column("hits"))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            starts = hits.field("i").to_numpy(zero_copy_only=False) + offs[:-1][row]
+            order = np.argsort(starts)
+            found = hits.field("code").to_numpy(zero_copy_only=False)
+            out, offs, _, _ = packed.replace(codes.to_numpy(zero_copy_only=False), offs, starts[order], found[order], n)
+            yield pa.RecordBatch.from_arrays([batch.column("piece"), packed.list_column(out, offs)], names=["piece", "codes"])
+    return fn
+
+
+def _encode_joined(df: DataFrame, entries: DataFrame, n: int, text_col: str, out_col: str, by_segment: bool) -> DataFrame:
+    """E02 for a vocabulary too large to broadcast: a join a pass over the distinct pieces.
+
+    A piece leaves the loop when a pass replaces nothing in it.  After the first pass only windows with
+    a token are looked up.  The rows meet each of their distinct pieces once.
+    """
+    plain = df.columns
+    rows = save_scratch(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    held = _pieces(rows, text_col, by_segment).select("_row", F.posexplode("_pieces").alias("pos", "piece"))
+    held = save_scratch(held.groupBy("_row", "piece").agg(F.collect_list("pos").alias("at")), "pieces")
+    active = save_scratch(held.select("piece").distinct().select("piece", char_codes(F.col("piece")).alias("codes")), "active")
+    entries = save_scratch(entries, "entries")
+    finished, first = [], True
+    while True:
+        places = F.transform(nseq_windows(F.col("codes"), n), lambda w, i: F.struct(i.alias("i"), w.alias("comps")))
+        if not first:
+            places = F.filter(places, lambda p: F.array_max(p["comps"]) >= TOK_ID_OFFSET)
+        hits = (active.select("piece", F.explode(places).alias("p")).select("piece", "p.i", "p.comps")
+                .join(entries, "comps").groupBy("piece").agg(F.collect_list(F.struct("i", "code")).alias("hits")))
+        met = save_scratch(active.join(hits, "piece", "left"), "met")
+        drop_scratch(active)
+        finished.append(met.filter("hits IS NULL").select("piece", "codes"))
+        hit = met.filter("hits IS NOT NULL")
+        if hit.isEmpty():
+            break
+        active, first = save_scratch(hit.mapInArrow(_replace_hits(n), "piece string, codes array<bigint>"), "active"), False
+    encoded = finished[0]
+    for more in finished[1:]:
+        encoded = encoded.unionByName(more)
+    parts = held.join(encoded, "piece").select("_row", F.explode("at").alias("pos"), "codes")
+    back = parts.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("pos", "codes"))).alias("xs"))
+    tokens = F.when(F.col(text_col).isNotNull(), F.coalesce(F.flatten(F.transform("xs", lambda x: x["codes"])),
+                                                           F.array().cast("array<bigint>")))
+    return rows.join(back, "_row", "left").select(*plain, tokens.alias(out_col))
 
 
 def reencode(df: DataFrame, vocab, codes_col: str = "tokens") -> DataFrame:
     """Re-encode already-encoded sequences with a (larger) vocabulary."""
     keep = [c for c in df.columns if c != codes_col]
     ensure_worker_import(df.sparkSession)
-    bc = vocab.broadcast(df.sparkSession)
-    fn = reencode_fn(bc, vocab.n, codes_col, keep, with_parts=False)
-    return df.mapInArrow(fn, _schema_with(df, keep, f"`{codes_col}` array<bigint>"))
+    return _mapped(df, vocab.packed(df.sparkSession), packed.encode_sequences, codes_col, codes_col, keep)
 
 
 def decode(df: DataFrame, vocab, codes_col: str = "tokens", out_col: str = "text") -> DataFrame:
@@ -190,17 +188,27 @@ def model_vocab(encoded: DataFrame, tokens_col: str = "tokens") -> DataFrame:
 
 
 def map_tokens(df: DataFrame, ids: DataFrame, tokens_col: str = "tokens") -> DataFrame:
-    """Token arrays of codes -> arrays of dense model ids from ``ids(code, tok_idx)``.
+    """Token arrays of codes -> arrays of dense model ids from ``ids(code, tok_idx)``, one map pass.
 
-    Positions are joined to the ids (broadcast where Catalyst measures them small) and
-    regrouped per row; a code without an id is an error.
+    ``ids`` has a row for each code seen (characters and vocabulary entries); a larger table than
+    ``MAX_PACKED_BYTES`` is refused, and a code without an id is an error.
     """
     keep = [c for c in df.columns if c != tokens_col]
-    # posexplode_outer keeps rows with empty arrays (null position, skipped by collect_list)
-    pos = (df.select(*keep, F.posexplode_outer(tokens_col).alias("_pos", "code"))
-           .join(ids.select("code", "tok_idx"), "code", "left"))
-    item = (F.when(F.col("_pos").isNull(), F.lit(None))
-            .when(F.col("tok_idx").isNull(), F.raise_error(F.lit("token code without a model id")))
-            .otherwise(F.struct("_pos", "tok_idx")))
-    back = pos.groupBy(*keep).agg(F.sort_array(F.collect_list(item)).alias("_t"))
-    return back.select(*keep, F.col("_t.tok_idx").cast("array<bigint>").alias(tokens_col))
+    spark = df.sparkSession
+    ensure_worker_import(spark)
+    n_ids = ids.count()
+    if 16 * n_ids > MAX_PACKED_BYTES:
+        raise ValueError(f"{n_ids} model ids are more than one broadcast may hold")
+    found = ids.select(F.col("code").cast("bigint"), F.col("tok_idx").cast("bigint")).toArrow().sort_by("code")
+    bc = spark.sparkContext.broadcast((found.column("code").to_numpy(), found.column("tok_idx").to_numpy()))
+
+    def mapped(column: pa.Array, known) -> pa.Array:
+        codes, idx = known
+        flat, offs = packed.flat_lists(column)
+        flat = flat.to_numpy(zero_copy_only=False).astype(np.int64)
+        at = np.minimum(np.searchsorted(codes, flat), max(0, len(codes) - 1))
+        if len(flat) and not (len(codes) and (codes[at] == flat).all()):
+            raise ValueError("token code without a model id")
+        return packed.list_column(idx[at] if len(flat) else flat, offs, column.is_valid())
+
+    return _mapped(df, bc, mapped, tokens_col, tokens_col, keep)

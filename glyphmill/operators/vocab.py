@@ -3,34 +3,48 @@
 Training runs in rounds over a table of *distinct* segments weighted by their
 frequency (exact, see ``functions.text.SEGMENT_BODY``)::
 
-    round r:  segs(codes, parts, freq)                       [checkpointed]
-              -> explode N-windows (Spark)  -> HashAggregate(window codes, text)
+    round r:  segs(codes, parts, freq)                       [saved]
+              -> windows that hold a token of round r - 1 (round 0: all) -> explode
+              -> HashAggregate(window codes, text)
               -> Filter CASE(cnt > 1, legal(text))           [regex once per window]
               -> anti-join existing token texts (broadcast, <= vocab_size rows)
               -> HashAggregate(text): best window per text   [same-round duplicates]
               -> TakeOrderedAndProject(cnt desc, key desc, vocab_size - |vocab|)
-              -> new ids on the <= cap rows; re-encode segs (mapInArrow, map-only)
+              -> new ids on the <= cap rows; one pass of the new tokens over segs (mapInArrow,
+                 map-only) keeps the segments that it changes
+
+**Why a round counts only windows with a token of the round before.**  Let a window be old in a
+round if all its components existed before the last round's tokens.  Old components that become
+neighbours would need something between them to vanish, but a replacement leaves its token there;
+so an old window's count never grows, its text stays as legal and as known as it was, and what
+rejected it in an earlier round (count below 2, illegal, known text, a better window of the same text)
+still does.  (The cap also rejects, but then training ends.)  So only windows with a new token can
+become tokens.  All their occurrences are in segments that the last pass changed, which gives exact counts
+from those segments alone; a segment that a pass does not change never changes again and leaves the
+table.  For the same reason one pass with the new tokens reaches the fixed point of the whole vocabulary.
 
 Everything that grows with the corpus stays distributed; only the new tokens of
-a round (bounded by ``vocab_size``) reach the driver, to be broadcast to the
-encoder.  Segments shorter than N after re-encoding can never change again and
-leave the working table, so rounds get cheaper as training proceeds.
+a round (bounded by ``vocab_size``) reach the driver, to be broadcast as one packed array.
 """
 
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphmill.functions.text import (
     TOK_ID_OFFSET, char_array, char_codes, code_to_text, legal, nseq_sort_key, nseq_windows)
-from glyphmill.operators.codec import reencode_fn
+from glyphmill.operators import packed
 from glyphmill.operators.nseq import keep_candidate, segment_counts
-from glyphmill.session import cut_lineage, drop_scratch, ensure_worker_import, save_scratch
+from glyphmill.session import drop_scratch, ensure_worker_import, save_scratch
 
 VOCAB_SCHEMA = T.StructType([
     T.StructField("code", T.LongType(), False),
@@ -45,6 +59,7 @@ REPORT_SCHEMA = T.StructType([
     T.StructField("vocab_count", T.LongType(), False),
     T.StructField("full", T.BooleanType(), False),
     T.StructField("segments_left", T.LongType(), False),
+    T.StructField("windows", T.LongType(), False),
     T.StructField("input_bytes", T.LongType(), False),
     T.StructField("tokens_per_byte", T.DoubleType(), False),
     T.StructField("seconds", T.DoubleType(), False),
@@ -62,6 +77,8 @@ class Vocab:
     all_legal: bool = True
     _bc: object = None
     _bc_version: int = -1
+    _packed: object = None
+    _packed_version: int = -1
     _next: int = 0
 
     @property
@@ -91,15 +108,29 @@ class Vocab:
         return {c: code for code, c in self.comps.items()}
 
     def broadcast(self, spark: SparkSession):
-        """Broadcast {comps -> code} and {code -> text}; re-sent only when entries changed."""
+        """Broadcast {code -> text}; re-sent only when entries changed."""
         if self._bc is None or self._bc_version != self.count:
             if self._bc is not None:
                 self._bc.unpersist()
-            self._bc = spark.sparkContext.broadcast(
-                {"table": self.table(), "texts": dict(self.texts)})
+            self._bc = spark.sparkContext.broadcast({"texts": dict(self.texts)})
             self._bc_version = self.count
         return self._bc
 
+    def pack(self, since: int = 0) -> packed.Packed:
+        """The entries with codes from ``since`` on as one open-addressing array."""
+        codes = [c for c in self.comps if c >= since]
+        return packed.Packed(np.array([self.comps[c] for c in codes], np.int64).reshape(-1, self.n),
+                             np.array(codes, np.int64), self.n)
+
+    def packed(self, spark: SparkSession):
+        """Broadcast packed array of all entries; re-sent only when entries changed."""
+        if self._packed is None or self._packed_version != self.count:
+            if self._packed is not None:
+                self._packed.unpersist()
+            self._packed = spark.sparkContext.broadcast(self.pack())
+            self._packed_version = self.count
+        return self._packed
+
     def to_df(self, spark: SparkSession) -> DataFrame:
         rows = [(code, code - TOK_ID_OFFSET, list(c), self.texts[code])
                 for code, c in sorted(self.comps.items())]
@@ -119,12 +150,19 @@ def _initial_segments(corpus: DataFrame, n: int) -> DataFrame:
                        char_array(F.col("segment")).alias("parts"), "freq")
 
 
-def round_candidates(segs: DataFrame, vocab_texts: DataFrame, n: int, cap_left: int | None) -> DataFrame:
-    """T04-T06 and T09-T11 for one round: the <= ``cap_left`` tokens to add (None: all), in id order."""
-    wins = segs.select(
-        F.explode(F.arrays_zip(nseq_windows(F.col("codes"), n).alias("c"),
-                               nseq_windows(F.col("parts"), n).alias("p"))).alias("w"),
-        "freq")
+def _counted(windows: Column, newest: int | None, codes=lambda w: w) -> Column:
+    """Of the windows of a segment, those that a round counts."""
+    return windows if newest is None else F.filter(windows, lambda w: F.array_max(codes(w)) >= newest)
+
+
+def round_candidates(segs: DataFrame, vocab_texts: DataFrame, n: int, cap_left: int | None,
+                     newest: int | None = None) -> DataFrame:
+    """T04-T06 and T09-T11 for one round: the <= ``cap_left`` tokens to add (None: all), in id order.
+
+    With ``newest`` only windows with a component code from ``newest`` on are counted.
+    """
+    both = F.arrays_zip(nseq_windows(F.col("codes"), n).alias("c"), nseq_windows(F.col("parts"), n).alias("p"))
+    wins = segs.select(F.explode(_counted(both, newest, lambda w: w["c"])).alias("w"), "freq")
     counted = (wins.select(F.col("w.c").alias("comps"),
                            F.array_join(F.col("w.p"), "").alias("unrolled"), "freq")
                .groupBy("comps", "unrolled").agg(F.sum("freq").alias("cnt")))
@@ -159,26 +197,28 @@ def train_vocab(corpus: DataFrame, n: int = 2, vocab_size: int = 1000,
     input_bytes = corpus.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
     segs = _initial_segments(corpus, n)
-    if vocab.count:
-        segs = _reencode_segments(segs, vocab, n)
+    if vocab.count:                # what an earlier run left out at its cap may still come
+        segs = _replaced(segs, vocab.pack(), repeat=True, changed_only=False).filter(F.size("codes") >= n)
     segs = save_scratch(segs, "segments")
     report = []
-    rnd = 0
+    rnd, newest = 0, None
     while not vocab.full and (max_rounds is None or rnd < max_rounds):
         t0 = time.time()
         cap_left = vocab.vocab_size - vocab.count
         vocab_texts = vocab.to_df(spark).select("unrolled")
-        chosen = round_candidates(segs, vocab_texts, n, cap_left).collect()
+        counted = F.size(_counted(nseq_windows(F.col("codes"), n), newest)).cast("long")
+        windows = segs.agg(F.coalesce(F.sum(counted), F.lit(0))).first()[0]
+        chosen = round_candidates(segs, vocab_texts, n, cap_left, newest).collect() if windows else []
+        newest = TOK_ID_OFFSET + vocab.next_free_id
         for row in chosen:
             vocab.add(tuple(row["comps"]), row["unrolled"])
         segs_left = 0
         if chosen and not vocab.full:
             old = segs
-            segs = save_scratch(_reencode_segments(segs, vocab, n)
-                                .filter(F.size("codes") >= n), "segments")
+            segs = save_scratch(_replaced(segs, vocab.pack(newest)).filter(F.size("codes") >= n), "segments")
             drop_scratch(old)
             segs_left = segs.count()
-        report.append((rnd, len(chosen), vocab.count, vocab.full, segs_left,
+        report.append((rnd, len(chosen), vocab.count, vocab.full, segs_left, windows,
                        int(input_bytes), len(chosen) / input_bytes if input_bytes else 0.0,
                        time.time() - t0))
         rnd += 1
@@ -188,12 +228,30 @@ def train_vocab(corpus: DataFrame, n: int = 2, vocab_size: int = 1000,
     return vocab, spark.createDataFrame(report, REPORT_SCHEMA)
 
 
-def _reencode_segments(segs: DataFrame, vocab: Vocab, n: int) -> DataFrame:
-    ensure_worker_import(segs.sparkSession)
-    bc = vocab.broadcast(segs.sparkSession)
-    fn = reencode_fn(bc, n, "codes", ["freq"], with_parts=True)
-    return segs.select("freq", "codes").mapInArrow(
-        fn, "freq bigint, codes array<bigint>, parts array<string>")
+def _replaced(segs: DataFrame, table: packed.Packed, repeat: bool = False, changed_only: bool = True) -> DataFrame:
+    """``segs(freq, codes, parts)`` after one pass of ``table`` (``repeat``: passes until nothing changes)."""
+    spark = segs.sparkSession
+    ensure_worker_import(spark)
+    bc = spark.sparkContext.broadcast(table)
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, offs = packed.flat_lists(batch.column("codes"))
+            codes, parts = flat.to_numpy(zero_copy_only=False), batch.column("parts").flatten()
+            size, near = np.diff(offs), None
+            while (done := packed.one_pass(codes, offs, bc.value, near)) is not None:
+                codes, offs, keep, near = done
+                # a token's part is the parts that it replaces, joined
+                groups = np.append(np.flatnonzero(keep), len(keep)).astype(np.int32)
+                parts = pc.binary_join(pa.ListArray.from_arrays(pa.array(groups), parts), "")
+                if not repeat:
+                    break
+            out = pa.RecordBatch.from_arrays(
+                [batch.column("freq"), packed.list_column(codes, offs), packed.list_column(parts, offs)],
+                names=["freq", "codes", "parts"])
+            yield out.filter(pa.array(np.diff(offs) != size)) if changed_only else out
+
+    return segs.select("freq", "codes", "parts").mapInArrow(fn, "freq bigint, codes array<bigint>, parts array<string>")
 
 
 # ---------------------------------------------------------------------------
@@ -203,59 +261,119 @@ def validate_vocab(entries: DataFrame, n: int) -> DataFrame:
     """Violation rows ``(code, problem)`` of an ``(code, comps)`` table.
 
     Problems: undefined component token, component that is not a Unicode scalar
-    value (surrogate or out of range), wrong arity, code below the token range.
+    value (surrogate or negative), wrong arity, code below the token range, and entries that
+    cannot be spelled out because they are on a cycle of references or refer to one.
     """
     low = (entries.filter(F.col("code") < TOK_ID_OFFSET)
            .select("code", F.lit("code below the token range").alias("problem")))
-    comps = entries.select("code", F.posexplode("comps").alias("pos", "c"))
-    defined = entries.select(F.col("code").alias("c"))
-    undefined = (comps.filter(F.col("c") >= TOK_ID_OFFSET)
-                 .join(defined, "c", "left_anti")
+    comps = entries.select("code", F.explode("comps").alias("c"))
+    undefined = (_undefined(entries)
                  .select("code", F.concat(F.lit("undefined component "), F.col("c")).alias("problem")))
     not_scalar = (comps.filter(((F.col("c") >= 0xD800) & (F.col("c") <= 0xDFFF)) | (F.col("c") < 0))
                   .select("code", F.concat(F.lit("not a unicode scalar "), F.col("c")).alias("problem")))
     arity = (entries.filter(F.size("comps") != n)
              .select("code", F.concat(F.lit("arity "), F.size("comps")).alias("problem")))
-    return undefined.unionByName(not_scalar).unionByName(arity).unionByName(low)
+    cyclic = cyclic_entries(entries).select("code", F.lit("on or behind a cycle").alias("problem"))
+    return undefined.unionByName(not_scalar).unionByName(arity).unionByName(low).unionByName(cyclic)
 
 
-def resolve_vocab(entries: DataFrame) -> DataFrame:
-    """Compute ``unrolled`` and ``display`` for ``(code, comps)`` entries.
+def _undefined(entries: DataFrame) -> DataFrame:
+    """(code, c) of each component token without an entry."""
+    comps = entries.select("code", F.explode("comps").alias("c")).filter(F.col("c") >= TOK_ID_OFFSET)
+    return comps.join(entries.select(F.col("code").alias("c")), "c", "left_anti").select("code", "c")
 
-    Fixed-point iteration over joins: each round resolves the entries whose
-    components are all resolved, until a round resolves none.  What is left then
-    refers to itself or to undefined entries and is an error.  Lineage is cut every round.
+
+def cyclic_entries(entries: DataFrame) -> DataFrame:
+    """``(code)`` of the entries on a cycle of references or behind one (referring to it at any depth).
+
+    A valid vocabulary takes the log2(depth) rounds of the doubling; only what that cannot finish is
+    peeled: entries all of whose references are gone go, round by round, until none goes.
     """
-    spark = entries.sparkSession
-    parts = entries.select("code", F.posexplode("comps").alias("pos", "c"))
-    resolved = spark.createDataFrame([], "code bigint, unrolled string, display string")
-    pending = entries.select("code")
+    spelt = _doubled(_first_pieces(entries), int(entries.count()))
+    left = spelt.filter(_has_ref(F.col("pieces"))).select("code")
+    if left.isEmpty():
+        return left
+    refs = entries.join(left, "code", "left_semi").select("code", F.explode("comps").alias("c"))
+    # undefined components are another problem: they hold nothing back
+    refs = save_scratch(refs.join(left.withColumnRenamed("code", "c"), "c", "left_semi").select("code", "c").distinct(), "refs")
     while True:
-        comp_txt = (parts.join(resolved.withColumnRenamed("code", "c"), "c", "left")
-                    .withColumn("txt", F.when(F.col("c") < TOK_ID_OFFSET,
-                                              code_to_text(F.col("c"))).otherwise(F.col("unrolled")))
-                    .withColumn("disp", F.when(F.col("c") < TOK_ID_OFFSET,
-                                               code_to_text(F.col("c"))).otherwise(F.col("display"))))
-        ready = (comp_txt.join(pending, "code", "left_semi")
-                 .groupBy("code")
-                 .agg(F.count(F.lit(1)).alias("k"), F.count("txt").alias("k_ok"),
-                      F.sort_array(F.collect_list(F.struct("pos", "txt", "disp"))).alias("xs"))
-                 .filter(F.col("k") == F.col("k_ok"))
-                 .select("code",
-                         F.array_join(F.transform("xs", lambda x: x["txt"]), "").alias("unrolled"),
-                         F.concat((F.col("code") - TOK_ID_OFFSET).cast("string"), F.lit("=("),
-                                  F.array_join(F.transform("xs", lambda x: x["disp"]), "|"),
-                                  F.lit(")")).alias("display")))
-        ready = cut_lineage(ready)
-        if ready.isEmpty():
-            if not pending.isEmpty():
-                raise ValueError("vocabulary has unresolvable (cyclic or undefined) entries")
-            break
-        resolved = cut_lineage(resolved.unionByName(ready))
-        pending = cut_lineage(pending.join(ready.select("code"), "code", "left_anti"))
-        if pending.isEmpty():
+        kept = save_scratch(refs.join(refs.select(F.col("code").alias("c")).distinct(), "c", "left_semi").select("code", "c"), "refs")
+        fewer = kept.count() < refs.count()
+        drop_scratch(refs)
+        refs = kept
+        if not fewer:
+            return refs.select("code").distinct()
+
+
+_PIECES = "array<struct<text string, display string, ref bigint>>"
+
+#: More pieces than this in one entry: taken for a cycle (or a token too long to spell out).
+MAX_PIECES = 1 << 20
+
+
+def _has_ref(pieces: Column) -> Column:
+    return F.exists(pieces, lambda x: x["ref"].isNotNull())
+
+
+def _first_pieces(entries: DataFrame) -> DataFrame:
+    """(code, pieces): an entry as characters, marks of its display form, and references, in order."""
+    piece = lambda text, display, ref: F.struct(text.alias("text"), display.alias("display"), ref.cast("bigint").alias("ref"))
+    nothing, null = F.lit(""), F.lit(None)
+    mark = lambda display: piece(nothing, display, null)
+    comp = lambda c: F.when(c < TOK_ID_OFFSET, piece(code_to_text(c), code_to_text(c), null)).otherwise(piece(nothing, nothing, c))
+    inner = F.flatten(F.transform("comps", lambda c, i: F.when(i == 0, F.array(comp(c))).otherwise(
+        F.array(mark(F.lit("|")), comp(c)))))
+    start = F.array(mark(F.concat((F.col("code") - TOK_ID_OFFSET).cast("string"), F.lit("=("))))
+    return entries.select("code", F.concat(start, inner, F.array(mark(F.lit(")")))).cast(_PIECES).alias("pieces"))
+
+
+def _doubled(now: DataFrame, n_entries: int, rounds: list[int] | None = None) -> DataFrame:
+    """Every reference replaced by what its entry is by now, until none is left: round k reaches 2**k levels.
+
+    An acyclic table of ``n_entries`` is at most that deep, so entries that still have references after
+    log2(n_entries) rounds, or that grow beyond ``MAX_PIECES``, are given back unfinished.
+    References to undefined entries count as spelled out (:func:`validate_vocab` reports them).
+    """
+    undefined = now.select(F.explode("pieces").alias("x")).select(F.col("x.ref").alias("ref")).filter("ref IS NOT NULL").distinct()
+    undefined = undefined.join(now.select(F.col("code").alias("ref")), "ref", "left_anti").select(
+        F.col("ref").alias("code"), F.array().cast(_PIECES).alias("pieces"))
+    now = save_scratch(now.unionByName(undefined), "pieces")
+    limit = max(1, (n_entries - 1).bit_length() + 1)
+    for k in range(limit):
+        open_ = now.filter(_has_ref(F.col("pieces")))
+        table = now.select(F.col("code").alias("ref"), F.col("pieces").alias("sub"), F.size("pieces").alias("n"))
+        parts = open_.select("code", F.posexplode("pieces").alias("pos", "x")).withColumn("ref", F.col("x.ref"))
+        sizes = parts.join(table.select("ref", "n"), "ref", "left").groupBy("code").agg(
+            F.sum(F.coalesce("n", F.lit(1)).cast("bigint")).alias("n"))
+        most = sizes.agg(F.max("n")).first()[0]
+        if most is None or most > MAX_PIECES:
             break
-    return resolved
+        met = parts.join(table.select("ref", "sub"), "ref", "left").select(
+            "code", F.struct("pos", F.coalesce("sub", F.array("x")).alias("sub")).alias("s"))
+        grown = met.groupBy("code").agg(F.sort_array(F.collect_list("s")).alias("s")).select(
+            "code", F.flatten(F.transform("s", lambda s: s["sub"])).alias("pieces"))
+        after = save_scratch(now.filter(~_has_ref(F.col("pieces"))).unionByName(grown), "pieces")
+        drop_scratch(now)
+        now = after
+        if rounds is not None:
+            rounds.append(k)
+    return now.join(undefined.select("code"), "code", "left_anti")
+
+
+def resolve_vocab(entries: DataFrame, rounds: list[int] | None = None) -> DataFrame:
+    """Compute ``unrolled`` and ``display`` for ``(code, comps)`` entries.
+
+    Pointer doubling over the reference graph: an entry is an ordered list of texts and references, and a
+    round puts each referenced entry's present list in its place, so depth d takes about log2(d) rounds.
+    A cycle or an undefined component is an error.  ``rounds`` gets an element a round.
+    """
+    if not _undefined(entries).isEmpty():
+        raise ValueError("vocabulary has unresolvable (undefined) entries")
+    spelt = save_scratch(_doubled(_first_pieces(entries), int(entries.count()), rounds), "spelt")
+    if not spelt.filter(_has_ref(F.col("pieces"))).isEmpty():
+        raise ValueError("vocabulary has unresolvable (cyclic) entries")
+    joined = lambda field: F.array_join(F.transform("pieces", lambda x: x[field]), "")
+    return spelt.select("code", joined("text").alias("unrolled"), joined("display").alias("display"))
 
 
 def vocab_legality(vocab_df: DataFrame) -> DataFrame:

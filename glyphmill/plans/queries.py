@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from glyphmill.functions import text as TX
 from glyphmill.functions import vectors as V
 from glyphmill.operators import codec, nseq, samples, scoring, vector_ops, vocab as vocab_ops
+from glyphmill.plans import vocab_sql
 from glyphmill.session import save_scratch
 from glyphmill.sources import corpus as src
 
@@ -267,9 +268,20 @@ def trained(spark, d, size: int = TRAIN_VOCAB):
     return vocab_ops.train_vocab(_docs(spark, d), 2, size)
 
 
+def _vocab_rows(entries):
+    """A vocabulary as plain values: the components of an entry as text."""
+    return entries.select("code", "id", F.array_join("comps", ",").alias("comps"), "unrolled")
+
+
 def q_trained_vocab(spark, d):
     v, _ = trained(spark, d)
-    return v.to_df(spark)
+    return _vocab_rows(v.to_df(spark))
+
+
+SQL_TRAINED_VOCAB = f"""
+WITH {vocab_sql.training(TRAIN_VOCAB)}
+SELECT code, code - {TX.TOK_ID_OFFSET} AS id, c1 || ',' || c2 AS comps, unrolled FROM vocab
+"""
 
 
 def q_train_report(spark, d):
@@ -277,12 +289,72 @@ def q_train_report(spark, d):
     return rep.select("round", "new_tokens", "vocab_count", "full", "input_bytes")
 
 
+SQL_TRAIN_REPORT = f"""
+WITH {vocab_sql.training(TRAIN_VOCAB)}, {vocab_sql.report(TRAIN_VOCAB)}
+SELECT round, new_tokens, vocab_count, vocab_count >= {TRAIN_VOCAB} AS full,
+       (SELECT sum(strlen(text)) FROM documents)::BIGINT AS input_bytes FROM rounds
+"""
+
+
+#: As many tokens as make the training run over several rounds.
+DEEP_VOCAB = 40_000
+
+
+def q_train_windows(spark, d):
+    """Windows that each round counts: all in round 0, then those with a token of the round before."""
+    _, rep = trained(spark, d, DEEP_VOCAB)
+    return rep.select("round", "new_tokens", "vocab_count", "windows")
+
+
+SQL_TRAIN_WINDOWS = f"""
+WITH {vocab_sql.training(DEEP_VOCAB, 10)}, {vocab_sql.report(DEEP_VOCAB, 10)}
+SELECT round, new_tokens, vocab_count, windows FROM rounds
+"""
+
+
 def q_encode_token_counts(spark, d):
     v, _ = trained(spark, d)
     enc = codec.encode(_docs(spark, d), v)
     return enc.select("doc_id", F.size("tokens").alias("n_tokens"))
 
 
+SQL_ENCODE_TOKEN_COUNTS = f"""
+WITH {vocab_sql.training(TRAIN_VOCAB)},
+sizes AS (SELECT segment, count(*) AS n FROM coded GROUP BY segment)
+SELECT doc_id, coalesce(sum(n), 0)::INTEGER AS n_tokens
+FROM documents LEFT JOIN dp USING (doc_id) LEFT JOIN sizes USING (segment) WHERE text IS NOT NULL GROUP BY doc_id
+"""
+
+
+def _by_table(spark, d, **options):
+    """Per document the number of tokens and a sum that depends on each and its place, by a vocabulary table."""
+    v, _ = trained(spark, d)
+    entries = save_scratch(v.to_df(spark).select("code", "comps"), "vocabulary")
+    enc = codec.encode(_docs(spark, d), entries, all_legal=True, **options)
+    placed = F.aggregate(F.transform("tokens", lambda c, i: c * (i % 1009 + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return enc.select("doc_id", F.size("tokens").alias("n_tokens"), placed.alias("token_sum"))
+
+
+def q_encode_table(spark, d):
+    """The vocabulary is a table, broadcast as one packed array."""
+    return _by_table(spark, d)
+
+
+def q_encode_joined(spark, d):
+    """The plan for a vocabulary too large to broadcast: a join a pass over distinct pieces."""
+    return _by_table(spark, d, max_packed_bytes=0)
+
+
+SQL_ENCODE_TABLE = f"""
+WITH {vocab_sql.training(TRAIN_VOCAB)},
+held AS (SELECT doc_id, unnest(ss) AS segment, unnest(range(len(ss))) AS place
+         FROM (SELECT doc_id, regexp_extract_all(text, '{SEG_SQL}') AS ss FROM documents WHERE text IS NOT NULL)),
+tokens AS (SELECT doc_id, c, row_number() OVER (PARTITION BY doc_id ORDER BY place, i) - 1 AS j FROM held JOIN coded USING (segment))
+SELECT d.doc_id, count(c)::INTEGER AS n_tokens, coalesce(sum(c * (j % 1009 + 1)), 0)::BIGINT AS token_sum
+FROM documents d LEFT JOIN tokens ON tokens.doc_id = d.doc_id WHERE text IS NOT NULL GROUP BY d.doc_id
+"""
+
+
 def q_encode_decode_roundtrip(spark, d):
     v, _ = trained(spark, d)
     enc = codec.encode(_docs(spark, d), v).select("doc_id", "tokens")
@@ -852,7 +924,7 @@ def q_vocab_json_roundtrip(spark, d):
     path = f"{checkpoint_dir(spark).rstrip('/')}/glyphmill-vocab-{uuid.uuid4().hex}.json"
     vocab_io.export_vocab(v, path)
     back = vocab_io.import_vocab(spark, path)
-    return back.to_df(spark)
+    return _vocab_rows(back.to_df(spark))
 
 
 def q_vocab_resolve(spark, d):
@@ -861,6 +933,41 @@ def q_vocab_resolve(spark, d):
     return vocab_ops.resolve_vocab(entries)
 
 
+SQL_VOCAB_RESOLVE = f"""
+WITH {vocab_sql.training(TRAIN_VOCAB)}
+SELECT code, unrolled, display FROM vocab
+"""
+
+
+def q_vocab_violations(spark, d):
+    """T16 on the trained vocabulary with entries spoilt at places given by id: cycles of two, of one, undefined
+    components, a surrogate and a missing component."""
+    v, _ = trained(spark, d)
+    at = lambda k: F.col("id") % 400 == k
+    first, second = F.col("comps")[0], F.col("comps")[1]
+    spoilt = (F.when(at(3), F.array(F.col("code") + 1, second)).when(at(4), F.array(first, F.col("code") - 1))
+              .when(at(6), F.array(F.col("code"), second)).when(at(9), F.array(F.col("code") + 10_000_000, second))
+              .when(at(11), F.array(F.lit(0xD800).cast("bigint"), second)).when(at(13), F.array(first)).otherwise(F.col("comps")))
+    entries = save_scratch(v.to_df(spark).select("code", spoilt.alias("comps")), "spoilt")
+    return vocab_ops.validate_vocab(entries, 2)
+
+
+SQL_VOCAB_VIOLATIONS = f"""
+WITH RECURSIVE {vocab_sql.training(TRAIN_VOCAB)},
+e AS (SELECT code, CASE (code - {TX.TOK_ID_OFFSET}) % 400 WHEN 3 THEN [code + 1, c2] WHEN 4 THEN [c1, code - 1] WHEN 6 THEN [code, c2]
+             WHEN 9 THEN [code + 10000000, c2] WHEN 11 THEN [55296, c2] WHEN 13 THEN [c1] ELSE [c1, c2] END AS comps FROM vocab),
+c AS (SELECT code, unnest(comps) AS c FROM e),
+refs AS (SELECT DISTINCT c.code, c.c FROM c JOIN e ON e.code = c.c),
+reach AS (SELECT code, c FROM refs UNION SELECT reach.code, refs.c FROM reach JOIN refs ON refs.code = reach.c),
+loops AS (SELECT code FROM reach WHERE code = c)
+SELECT code, 'undefined component ' || c AS problem FROM c WHERE c >= {TX.TOK_ID_OFFSET} AND c NOT IN (SELECT code FROM e)
+UNION ALL SELECT code, 'not a unicode scalar ' || c FROM c WHERE c BETWEEN 55296 AND 57343
+UNION ALL SELECT code, 'arity ' || len(comps) FROM e WHERE len(comps) <> 2
+UNION ALL SELECT DISTINCT code, 'on or behind a cycle' FROM (
+  SELECT code FROM loops UNION SELECT reach.code FROM reach JOIN loops ON loops.code = reach.c)
+"""
+
+
 TRAIN_EMBED = 64
 TRAIN_BATCH = 1_000
 PARAM_BLOCKS = 16   # as in the reference
@@ -1064,7 +1171,10 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "round_candidates": q_round_candidates,
         "trained_vocab": q_trained_vocab,
         "train_report": q_train_report,
+        "train_windows": q_train_windows,
         "encode_token_counts": q_encode_token_counts,
+        "encode_table": q_encode_table,
+        "encode_joined": q_encode_joined,
         "encode_decode_roundtrip": q_encode_decode_roundtrip,
         "model_vocab_size": q_model_vocab_size,
         "sample_windows": q_sample_windows,
@@ -1093,6 +1203,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "validation_loss": q_validation_loss,
         "vocab_json_roundtrip": q_vocab_json_roundtrip,
         "vocab_resolve": q_vocab_resolve,
+        "vocab_violations": q_vocab_violations,
         "init_params": q_init_params,
         "train_rounds": q_train_rounds,
         "trained_tokens_loss": q_trained_tokens_loss,
@@ -1124,6 +1235,15 @@ def oracle() -> dict[str, str]:
         "segment_counts": SQL_SEGMENT_COUNTS,
         "first_round_vocab": SQL_FIRST_ROUND_VOCAB,
         "round_candidates": f"SELECT nseq AS unrolled, cnt FROM ({_sql_nseq(2)})",
+        "trained_vocab": SQL_TRAINED_VOCAB,
+        "train_report": SQL_TRAIN_REPORT,
+        "train_windows": SQL_TRAIN_WINDOWS,
+        "encode_token_counts": SQL_ENCODE_TOKEN_COUNTS,
+        "encode_table": SQL_ENCODE_TABLE,
+        "encode_joined": SQL_ENCODE_TABLE,
+        "vocab_json_roundtrip": SQL_TRAINED_VOCAB,
+        "vocab_resolve": SQL_VOCAB_RESOLVE,
+        "vocab_violations": SQL_VOCAB_VIOLATIONS,
         "encode_decode_roundtrip": SQL_ENCODE_DECODE_ROUNDTRIP,
         "model_vocab_size": SQL_MODEL_VOCAB_SIZE,
         "sample_windows": SQL_SAMPLE_WINDOWS,

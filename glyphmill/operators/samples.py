@@ -7,11 +7,13 @@ windows come from ``sequence``/``slice``, random starts from a seeded md5 of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.session import cut_lineage
-from glyphmill.sources.corpus import seeded_hash_key, seeded_uint32
+from glyphmill.sources.corpus import read_corpus, seeded_hash_key, seeded_uint32
 
 # Defaults of the reference trainer (fixed values).
 SAMPLE_SIZE = 1_000
@@ -128,6 +130,56 @@ def limit_samples(samples: DataFrame, n_samples: int | None = N_SAMPLES,
     return idx.withColumn("complete", (F.col("batch_id") * batch_size) <= total - 1)
 
 
+def files_in_key_order(spark: SparkSession, path: str, key: str = "doc_id") -> list[list[str]]:
+    """The files of a parquet table in groups whose key ranges do not overlap, in key order.
+
+    Reads the key column alone; the driver gets a row a file, as for the listing of the table.
+    """
+    at = F.col("_metadata.file_path")
+    found = (spark.read.parquet(path).groupBy(at.alias("file")).agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+             .filter("lo IS NOT NULL").orderBy("lo", "hi").collect())
+    groups, top = [], None
+    for file, lo, hi in found:
+        if top is not None and lo <= top:
+            groups[-1].append(file)
+            top = max(top, hi)
+        else:
+            groups.append([file])
+            top = hi
+    return groups
+
+
+def files_for_samples(spark: SparkSession, path: str, n_samples: int, tokenize: Callable[[DataFrame], DataFrame],
+                      sample_size: int = SAMPLE_SIZE, key: str = "doc_id") -> list[str]:
+    """L05, first phase: the files, in key order, that hold the first ``n_samples`` windows.
+
+    Windows are counted, not made, in 1, 2, 4... groups of files at a time until the cap is reached.
+    """
+    groups, chosen, total, step = files_in_key_order(spark, path, key), [], 0, 1
+    while groups and total < n_samples:
+        now, groups = [f for g in groups[:step] for f in g], groups[step:]
+        n = F.size("tokens")
+        # a window of one token makes no sample
+        usable = F.when(n > 1, windows_per_doc(n, sample_size)).otherwise(0) if sample_size > 1 else F.lit(0)
+        total += tokenize(read_corpus(spark, now, key_col=key)).agg(F.sum(usable.cast("bigint"))).first()[0] or 0
+        chosen, step = chosen + now, 2 * step
+    return chosen
+
+
+def capped_samples(spark: SparkSession, path: str, n_samples: int, tokenize: Callable[[DataFrame], DataFrame],
+                   batch_size: int = BATCH_SIZE, sample_size: int = SAMPLE_SIZE, seed: int = RNG_SEED,
+                   key: str = "doc_id") -> DataFrame:
+    """L05/L06 over a table whose files are (mostly) in key order: only files below the cap are windowed.
+
+    ``tokenize`` turns ``(key, text)`` into ``(key, tokens)``.  The rows are those of ``limit_samples`` over
+    the windows of the whole table; files whose key ranges overlap are read together.
+    """
+    files = files_for_samples(spark, path, n_samples, tokenize, sample_size, key)
+    corpus = read_corpus(spark, files, key_col=key) if files else read_corpus(spark, path, key_col=key).limit(0)
+    wins = sample_windows(tokenize(corpus), sample_size, seed, keys=[key])
+    return limit_samples(wins, n_samples, batch_size, keys=[key])
+
+
 def exclude_validation(encoded: DataFrame, validation: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The training documents, without those the validation set drew (a few rows)."""
     keys = keys or ["doc_id"]

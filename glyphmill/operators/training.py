@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from glyphmill.functions.vectors import BIGE, SMOL
 from glyphmill.operators import scoring, vector_ops
 from glyphmill.session import drop_scratch, ensure_worker_import, save_scratch
-from glyphmill.sources.corpus import seeded_uint32
+from glyphmill.sources.corpus import path_exists, seeded_uint32
 
 PARAM_SCHEMA = "tensor string, block int, row bigint, vec array<double>"
 
@@ -196,6 +196,7 @@ class TrainConfig:
     max_norm: float = 1.0
     checkpoint_every: int = 0        # S08: write params every k batches (0 = never)
     output_dir: str | None = None
+    resume: bool = False             # go on behind the last round that output_dir's commit log holds
     max_batches: int | None = None   # stop early (None = all complete batches)
 
 
@@ -222,6 +223,10 @@ def train(per_sample_pairs: DataFrame, batch_ids: DataFrame, params: DataFrame,
     The corpus is read once, for the pair tables.  A round reads the unembedding once, in
     chunks that losses, validation and gradient share; broadcasts and the last round's
     tables are dropped when the round ends.
+
+    With ``checkpoint_every`` and ``output_dir`` a round's parameters are written, and then its
+    entry of the commit log, which holds the metrics since the last entry.  With ``resume`` training
+    starts behind the last entry (``params`` when there is none); a log of another configuration is an error.
     """
     spark = params.sparkSession
     if not params.filter(~F.col("tensor").isin("embed", "unembed")).isEmpty():
@@ -233,9 +238,12 @@ def train(per_sample_pairs: DataFrame, batch_ids: DataFrame, params: DataFrame,
     n_batches = -1 if n_batches is None else int(n_batches)
     if cfg.max_batches is not None:
         n_batches = min(n_batches, cfg.max_batches - 1)
+    metrics, begun, logged = [], 0, 0
+    if cfg.resume and cfg.output_dir and (last := last_commit(spark, cfg)) is not None:
+        metrics, params, begun = committed_metrics(spark, cfg), spark.read.parquet(_round_path(cfg.output_dir, last)), last + 1
+        logged = len(metrics)
     params = save_scratch(params, "params")
-    metrics = []
-    for b in range(n_batches + 1):
+    for b in range(begun, n_batches + 1):
         t0 = time.time()
         rows = pairs_tbl.filter(F.col("batch_id") == b).drop("batch_id")
         embed = params.filter(F.col("tensor") == "embed").select(F.col("row").alias("idx"), "vec")
@@ -261,22 +269,63 @@ def train(per_sample_pairs: DataFrame, batch_ids: DataFrame, params: DataFrame,
             drop_scratch(old)
         chunks.destroy()
         params = new_params
-        if cfg.checkpoint_every and cfg.output_dir and (b + 1) % cfg.checkpoint_every == 0:
-            write_params(params, cfg.output_dir, b)
         metrics.append((b, float(m[0]), float(m[1]), float(m[2]), int(m[3]),
                         None if val is None else float(val), float(norm), time.time() - t0))
+        if cfg.checkpoint_every and cfg.output_dir and (b + 1) % cfg.checkpoint_every == 0:
+            # a folder without its log entry was left by a run that ended in between
+            write_params(params, cfg.output_dir, b, "overwrite" if cfg.resume else "errorifexists")
+            commit_round(spark, cfg, b, metrics[logged:])
+            logged = len(metrics)
     for old in (pairs_tbl, val_tbl):
         if old is not None:
             drop_scratch(old)
-    mdf = spark.createDataFrame(
-        metrics, "batch_id bigint, avg_loss double, min_loss double, max_loss double, "
+    return params, spark.createDataFrame(metrics, METRIC_SCHEMA)
+
+
+METRIC_SCHEMA = ("batch_id bigint, avg_loss double, min_loss double, max_loss double, "
                  "n_samples bigint, val_loss double, grad_norm double, seconds double")
-    return params, mdf
+
+
+def _round_path(output_dir: str, round_no: int) -> str:
+    return f"{output_dir.rstrip('/')}/round={round_no:06d}"
+
+
+def _log_path(cfg: TrainConfig) -> str:
+    return f"{cfg.output_dir.rstrip('/')}/commits"
+
+
+def _configuration(cfg: TrainConfig) -> str:
+    return f"batch_size={cfg.batch_size} lr={cfg.lr!r} max_norm={cfg.max_norm!r}"
+
+
+def commit_round(spark: SparkSession, cfg: TrainConfig, round_no: int, metrics: list[tuple]) -> None:
+    """An entry of the commit log: complete once its write job is, which is after the parameters' write."""
+    rows = spark.createDataFrame(metrics, METRIC_SCHEMA).withColumn("configuration", F.lit(_configuration(cfg)))
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{_log_path(cfg)}/committed={round_no}")
+
+
+def _log(spark: SparkSession, cfg: TrainConfig) -> DataFrame:
+    return spark.read.schema(f"{METRIC_SCHEMA}, configuration string, committed bigint").parquet(_log_path(cfg))
+
+
+def last_commit(spark: SparkSession, cfg: TrainConfig) -> int | None:
+    """The last round of the commit log; None without a log."""
+    if not path_exists(spark, _log_path(cfg)):
+        return None
+    found = _log(spark, cfg).groupBy("configuration").agg(F.max("committed").alias("last")).collect()  # a row a configuration
+    for configuration, _ in found:
+        if configuration != _configuration(cfg):
+            raise ValueError(f"{cfg.output_dir} holds a training with {configuration}, not {_configuration(cfg)}")
+    return max((int(r["last"]) for r in found), default=None)
+
+
+def committed_metrics(spark: SparkSession, cfg: TrainConfig) -> list[tuple]:
+    return [tuple(r) for r in _log(spark, cfg).drop("configuration", "committed").orderBy("batch_id").collect()]
 
 
 def write_params(params: DataFrame, output_dir: str, round_no: int,
                  mode: str = "errorifexists") -> str:
     """One parquet folder per round under ``output_dir``."""
-    path = f"{output_dir.rstrip('/')}/round={round_no:06d}"
+    path = _round_path(output_dir, round_no)
     params.write.mode(mode).parquet(path)
     return path

@@ -206,8 +206,10 @@ def train_vocab(corpus: DataFrame, n: int = 2, vocab_size: int = 1000,
         t0 = time.time()
         cap_left = vocab.vocab_size - vocab.count
         vocab_texts = vocab.to_df(spark).select("unrolled")
-        counted = F.size(_counted(nseq_windows(F.col("codes"), n), newest)).cast("long")
-        windows = segs.agg(F.coalesce(F.sum(counted), F.lit(0))).first()[0]
+        # round 0 needs no windows to know their number
+        counted = (F.greatest(F.size("codes") - n + 1, F.lit(0)) if newest is None
+                   else F.size(_counted(nseq_windows(F.col("codes"), n), newest)))
+        windows = segs.agg(F.coalesce(F.sum(counted.cast("long")), F.lit(0))).first()[0]
         chosen = round_candidates(segs, vocab_texts, n, cap_left, newest).collect() if windows else []
         newest = TOK_ID_OFFSET + vocab.next_free_id
         for row in chosen:

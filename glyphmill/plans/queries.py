@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from glyphmill.functions import text as TX
 from glyphmill.functions import vectors as V
 from glyphmill.operators import codec, nseq, samples, scoring, vector_ops, vocab as vocab_ops
-from glyphmill.plans import vocab_sql
+from glyphmill.plans import train_sql, vocab_sql
 from glyphmill.session import save_scratch
 from glyphmill.sources import corpus as src
 
@@ -456,6 +456,27 @@ FROM cap
 """
 
 
+#: A cap far below the corpus's windows.
+FEW_SAMPLES = 150
+
+
+def q_sample_capped(spark, d):
+    """L05/L06 with a small cap: files behind the cap are not windowed."""
+    to_codes = lambda c: c.select("doc_id", TX.char_codes(F.col("text")).alias("tokens"))
+    got = samples.capped_samples(spark, f"{d}/documents.parquet", FEW_SAMPLES, to_codes, BATCH, SAMPLE_SIZE, SEED)
+    return got.select("doc_id", "k", "i", "batch_id", "complete", F.md5(F.array_join("x", ",")).alias("x_md5"))
+
+
+SQL_SAMPLE_CAPPED = f"""
+WITH {_sql_windows()},
+ix AS (SELECT doc_id, k, x, (row_number() OVER (ORDER BY doc_id, k) - 1)::BIGINT AS i FROM sw),
+cap AS (SELECT * FROM ix WHERE i < {FEW_SAMPLES})
+SELECT doc_id, k, i, ceil(i / {BATCH})::BIGINT AS batch_id,
+       ceil(i / {BATCH}) * {BATCH} <= (SELECT max(i) FROM cap) AS complete, md5(array_to_string(x, ',')) AS x_md5
+FROM cap
+"""
+
+
 def q_sample_summary(spark, d):
     wins = samples.sample_windows(_char_tokens(spark, d), SAMPLE_SIZE, SEED, keep_short=True)
     return samples.sample_summary(wins, N_SAMPLES)
@@ -1029,20 +1050,48 @@ FROM e, (SELECT unnest(['embed', 'unembed']) AS t) GROUP BY t
 """
 
 
-def q_train_rounds(spark, d):
+def _training_set(spark, d):
+    """Pairs and batch ids of all windows, validation pairs and seeded parameters, on character tokens."""
     from glyphmill.operators import training
     toks, mv, _ = _model(spark, d)
-    V_ = mv.count()
     wins = samples.sample_windows(toks, SAMPLE_SIZE, SEED)
     per_sample = _to_idx(samples.pair_counts(wins, ["doc_id", "k"]), mv, ["x", "y"])
     batch_ids = samples.limit_samples(wins.select("doc_id", "k"), None, TRAIN_BATCH)
     val = samples.validation_set(toks, TRAIN_BATCH, SAMPLE_SIZE, SEED)
     val_pairs = _to_idx(samples.pair_counts(val, ["doc_id"]), mv, ["x", "y"])
-    shape = training.ModelShape(vocab_size=V_, embed_dim=TRAIN_EMBED)
-    params = training.init_params(spark, shape, SEED)
+    params = training.init_params(spark, training.ModelShape(vocab_size=mv.count(), embed_dim=TRAIN_EMBED), SEED)
+    return per_sample, batch_ids, params, val_pairs
+
+
+def _train_metrics(metrics):
+    return metrics.select("batch_id", "n_samples", *[_r(F.col(c)).alias(c) for c in (
+        "avg_loss", "min_loss", "max_loss", "val_loss", "grad_norm")])
+
+
+def q_train_rounds(spark, d):
+    from glyphmill.operators import training
+    per_sample, batch_ids, params, val_pairs = _training_set(spark, d)
     cfg = training.TrainConfig(batch_size=TRAIN_BATCH, lr=LR, max_norm=MAX_NORM)
     _, metrics = training.train(per_sample, batch_ids, params, cfg, val_pairs)
-    return metrics.drop("seconds")
+    return _train_metrics(metrics)
+
+
+def q_train_resumed(spark, d):
+    """Training that stops after its second round and goes on from the commit log."""
+    import uuid
+    from dataclasses import replace
+    from glyphmill.operators import training
+    from glyphmill.session import checkpoint_dir
+    per_sample, batch_ids, params, val_pairs = _training_set(spark, d)
+    out = f"{checkpoint_dir(spark).rstrip('/')}/glyphmill-train-{uuid.uuid4().hex}"
+    cfg = training.TrainConfig(batch_size=TRAIN_BATCH, lr=LR, max_norm=MAX_NORM, checkpoint_every=1, output_dir=out, resume=True)
+    training.train(per_sample, batch_ids, params, replace(cfg, max_batches=2), val_pairs)
+    _, metrics = training.train(per_sample, batch_ids, params, cfg, val_pairs)
+    return _train_metrics(metrics)
+
+
+#: Rounds that the oracle writes out; sf0.01 has three complete batches.
+SQL_TRAIN_ROUNDS = train_sql.rounds_sql(_sql_windows(), _sql_clip, SEED, TRAIN_BATCH, LR, MAX_NORM, TRAIN_EMBED, SAMPLE_SIZE, SMOL, ROUND, 4)
 
 
 def q_param_checkpoint(spark, d):
@@ -1180,6 +1229,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sample_windows": q_sample_windows,
         "shift_pairs": q_shift_pairs,
         "sample_limit_batches": q_sample_limit_batches,
+        "sample_capped": q_sample_capped,
         "validation_windows": q_validation_windows,
         "vector_softmax": _vec_query(V.softmax),
         "vector_gelu": _vec_query(V.gelu),
@@ -1206,6 +1256,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "vocab_violations": q_vocab_violations,
         "init_params": q_init_params,
         "train_rounds": q_train_rounds,
+        "train_resumed": q_train_resumed,
         "trained_tokens_loss": q_trained_tokens_loss,
         "sample_summary": q_sample_summary,
         "conversation_windows": q_conversation_windows,
@@ -1250,6 +1301,9 @@ def oracle() -> dict[str, str]:
         "shift_pairs": SQL_SHIFT_PAIRS,
         "sample_limit_batches": SQL_SAMPLE_LIMIT_BATCHES,
         "validation_windows": SQL_VALIDATION_WINDOWS,
+        "sample_capped": SQL_SAMPLE_CAPPED,
+        "train_rounds": SQL_TRAIN_ROUNDS,
+        "train_resumed": SQL_TRAIN_ROUNDS,
         "sample_summary": SQL_SAMPLE_SUMMARY,
         "conversation_windows": SQL_CONVERSATION_WINDOWS,
         "vector_softmax": SQL_VECTOR_SOFTMAX,

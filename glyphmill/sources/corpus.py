@@ -10,7 +10,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_corpus(spark: SparkSession, path: str, text_col: str = "text",
+def read_corpus(spark: SparkSession, path: str | list[str], text_col: str = "text",
                 key_col: str | list[str] = "doc_id", nulls: str = "skip") -> DataFrame:
     """Scan only the key and text columns of a parquet corpus.
 
@@ -20,7 +20,7 @@ def read_corpus(spark: SparkSession, path: str, text_col: str = "text",
     Output columns: the key column(s) and ``text``.
     """
     keys = [key_col] if isinstance(key_col, str) else list(key_col)
-    df = spark.read.parquet(path).select(*keys, F.col(text_col).alias("text"))
+    df = spark.read.parquet(*([path] if isinstance(path, str) else path)).select(*keys, F.col(text_col).alias("text"))
     return apply_nulls(df, keys, nulls)
 
 
@@ -78,8 +78,11 @@ def check_output(spark: SparkSession, path: str, mode: str) -> None:
         raise ValueError("mode must be 'errorifexists' or 'overwrite'")
     if mode == "overwrite":
         return
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(hpath):
+    if path_exists(spark, path):
         raise FileExistsError(f"{path} exists; pass mode='overwrite' to replace it")
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Is there a file or folder at ``path``, in whichever file system the path names?"""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)

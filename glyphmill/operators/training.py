@@ -19,14 +19,16 @@ ln_bias    b      0                            C
 
 A gradient round (batch) is a chain of Spark jobs:
 
-1. the batch's (current, next) pair counts -- read from a parquet table sorted by
-   ``batch_id`` so the filter skips row groups (``PushedFilters``);
-2. ``mapInArrow`` over the distinct current tokens with a bounded broadcast chunk
-   of U: softmax rows, ``G = n_x p(x) - counts(x, .)``, the embedding gradient
+1. the (current, next) pair counts of the batch -- read from a parquet table sorted by
+   ``batch_id`` so the filter skips row groups (``PushedFilters``) -- and of the validation set;
+2. one ``mapInArrow`` over the distinct current tokens with broadcast chunks of U: softmax
+   normalisers, the losses of the pairs, ``G = n_x p(x) - counts(x, .)``, the embedding gradient
    ``G U^T`` per token and the unembedding gradient ``E[x]^T G`` summed over the
    partition before it is emitted (map-side combine);
-3. ``groupBy(tensor, block, row)`` vector sum (partial + final aggregate);
-4. scale by 1/B, global L2 norm (one aggregate row), clip, and a left-join update.
+3. pair losses meet the samples' pairs: batch and validation figures;
+4. ``groupBy(tensor, block, row)`` vector sum (partial + final aggregate), scaled by 1/B, into
+   the hash buckets that the parameters lie in, and the global L2 norm (one aggregate row);
+5. clip and update: a join of two tables in the same buckets, so the parameters are never shuffled.
 
 The model's predictions use only the embedding and unembedding tensors (the
 attention blocks feed neither logits nor loss), so the gradient works on pair counts
@@ -48,7 +50,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions.vectors import BIGE, SMOL
 from glyphmill.operators import scoring, vector_ops
-from glyphmill.session import drop_scratch, ensure_worker_import, save_scratch
+from glyphmill.session import drop_bucketed, drop_scratch, ensure_worker_import, save_bucketed, save_scratch
 from glyphmill.sources.corpus import path_exists, seeded_uint32
 
 PARAM_SCHEMA = "tensor string, block int, row bigint, vec array<double>"
@@ -150,6 +152,92 @@ def _grad_fn(bc, lo: int, cols: int, step: int):
     return run
 
 
+_ROUND_SCHEMA = "tensor string, row bigint, vec array<double>, ys array<bigint>"
+
+
+def _clipped(values: np.ndarray) -> np.ndarray:
+    """C05 for values that are not negative."""
+    return np.minimum(np.where(np.abs(values) > SMOL, values, SMOL), BIGE)
+
+
+def _round_fn(parts: list, step: int):
+    """mapInArrow body: normalisers, pair losses and partial gradients of a round, in one pass.
+
+    ``parts`` are the chunks (lo, width, broadcast) of U; a product is of at most ``step`` rows and one chunk.
+    Rows with ``ys`` carry the losses of the pairs (row, ys); the others are gradients.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [None] * len(parts)             # unembed partials (C, chunk), summed over the partition
+        for batch in scoring.row_slices(batches, step):
+            if batch.num_rows == 0:
+                continue
+            xs = batch.column("x").to_numpy()
+            ev = scoring.vectors(batch.column("evec"))
+            nx = batch.column("nx").to_numpy().astype(np.float64)
+            ys, ns = batch.column("ys"), batch.column("ns")
+            row = np.repeat(np.arange(len(xs)), np.diff(ys.offsets.to_numpy()))
+            y, n = ys.flatten().to_numpy(), ns.flatten().to_numpy()
+            total = sum(np.exp(ev @ bc.value).sum(axis=1) for _, _, bc in parts)
+            zsum, terms, g_embed = _clipped(total), np.zeros(len(y)), np.zeros_like(ev)
+            for i, (lo, width, bc) in enumerate(parts):
+                p = _clipped(np.exp(ev @ bc.value)) / zsum[:, None]
+                here = (y >= lo) & (y < lo + width)
+                terms[here] = -np.log(np.maximum(p[row[here], y[here] - lo], SMOL))
+                g = p * nx[:, None]
+                np.subtract.at(g, (row[here], y[here] - lo), n[here])
+                g_embed += g @ bc.value.T
+                part = ev.T @ g
+                sums[i] = part if sums[i] is None else sums[i] + part
+            losses = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(row, minlength=len(xs)))).astype(np.int32)),
+                                              pa.array(terms))
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(xs), pa.string()), pa.array(xs, pa.int64()), losses, ys.cast(pa.list_(pa.int64()))],
+                                             names=["tensor", "row", "vec", "ys"])
+            yield _gradients("embed", xs[nx > 0], g_embed[nx > 0])
+        for (lo, _, _), part in zip(parts, sums, strict=True):
+            if part is not None:
+                yield _gradients("unembed", np.arange(lo, lo + part.shape[1]), part.T)
+
+    return run
+
+
+def _gradients(tensor: str, rows: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    found = _vector_rows(tensor, rows, values)
+    return pa.RecordBatch.from_arrays([*found.columns, pa.nulls(len(rows), pa.list_(pa.int64()))], names=["tensor", "row", "vec", "ys"])
+
+
+def round_pass(batch: DataFrame, validation: DataFrame | None, params: DataFrame, chunks: scoring.UnembedChunks) -> DataFrame:
+    """The pass of step 2 over the pairs ``(x, y, n)`` of a batch; validation pairs add losses but no gradient."""
+    ensure_worker_import(batch.sparkSession)
+    pairs = batch.select("x", "y", "n")
+    if validation is not None:
+        pairs = pairs.unionByName(validation.select("x", "y", F.lit(0).cast("bigint").alias("n")))
+    pairs = pairs.groupBy("x", "y").agg(F.sum("n").alias("n"))
+    known = (F.col("y") >= chunks.lo) & (F.col("y") <= chunks.hi)
+    y = F.when(known, F.col("y")).otherwise(F.raise_error(
+        F.concat(F.lit("gradient: no model row for id "), F.col("y").cast("string"))))
+    # one list entry per distinct next token of a current token: at most V of them
+    per_x = (pairs.select("x", y.alias("y"), "n").groupBy("x")
+             .agg(F.sum("n").alias("nx"), F.collect_list(F.struct("y", "n")).alias("yn")))
+    embed = params.filter(F.col("tensor") == "embed").select(F.col("row").alias("x"), F.col("vec").alias("evec"))
+    per_x = scoring.required(per_x, embed, "x", "evec", "gradient").select(
+        "x", "nx", "evec", F.col("yn.y").alias("ys"), F.col("yn.n").alias("ns"))
+    widest = max(width for _, width, _ in chunks.parts)
+    return per_x.mapInArrow(_round_fn(chunks.parts, scoring.slice_rows(widest)), _ROUND_SCHEMA)
+
+
+def round_losses(found: DataFrame, batch: DataFrame, validation: DataFrame | None) -> list:
+    """[(avg, min, max, count) of the batch's samples, the same of the validation samples], in one job."""
+    terms = found.filter("tensor IS NULL").select(F.col("row").alias("x"), F.explode(F.arrays_zip("ys", "vec")).alias("t")).select(
+        "x", F.col("t.ys").alias("y"), F.col("t.vec").alias("term"))
+    rows = batch.select(F.lit(0).alias("part"), "doc_id", "k", "x", "y", "n")
+    if validation is not None:
+        rows = rows.unionByName(validation.select(F.lit(1).alias("part"), "doc_id", F.lit(0).alias("k"), "x", "y", "n"))
+    losses = scoring.losses_from_terms(rows, terms, ["part", "doc_id", "k"])
+    got = {r["part"]: r for r in losses.groupBy("part").agg(
+        F.avg("loss").alias("avg"), F.min("loss").alias("min"), F.max("loss").alias("max"), F.count(F.lit(1)).alias("n")).collect()}
+    return [got.get(0), got.get(1)]
+
+
 def _vector_rows(tensor: str, rows: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
     at = np.arange(len(rows) + 1, dtype=np.int32) * values.shape[1]
     vec = pa.ListArray.from_arrays(pa.array(at), pa.array(np.ascontiguousarray(values).reshape(-1)))
@@ -242,34 +330,30 @@ def train(per_sample_pairs: DataFrame, batch_ids: DataFrame, params: DataFrame,
     if cfg.resume and cfg.output_dir and (last := last_commit(spark, cfg)) is not None:
         metrics, params, begun = committed_metrics(spark, cfg), spark.read.parquet(_round_path(cfg.output_dir, last)), last + 1
         logged = len(metrics)
-    params = save_scratch(params, "params")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    params, held = save_bucketed(params.select("tensor", "block", "row", "vec").repartition(buckets, *vector_ops.PARAM_KEYS),
+                                 vector_ops.PARAM_KEYS, buckets)
     for b in range(begun, n_batches + 1):
         t0 = time.time()
         rows = pairs_tbl.filter(F.col("batch_id") == b).drop("batch_id")
-        embed = params.filter(F.col("tensor") == "embed").select(F.col("row").alias("idx"), "vec")
-        unembed = params.filter(F.col("tensor") == "unembed").select(F.col("row").alias("idx"), "vec")
-        chunks = scoring.UnembedChunks(unembed)
-        batch_pairs = rows.groupBy("x", "y").agg(F.sum("n").alias("n"))
-        # one softmax normaliser per distinct current token of batch and validation
-        xs = batch_pairs.select("x")
-        z = save_scratch(scoring.normalizers(
-            xs if val_tbl is None else xs.unionByName(val_tbl.select("x")), embed, unembed, chunks), "normalizers")
-        losses = scoring.losses_from_pairs(rows, embed, unembed, ["doc_id", "k"], z)
-        m = losses.agg(F.avg("loss"), F.min("loss"), F.max("loss"), F.count(F.lit(1))).first()
-        val = None
-        if val_tbl is not None:
-            vl = scoring.losses_from_pairs(val_tbl, embed, unembed, ["doc_id"], z)
-            val = vl.agg(F.avg("loss")).first()[0]
-        raw = batch_gradients(batch_pairs, params, z, chunks)
-        grads = save_scratch(vector_ops.scale_vectors(raw, 1.0 / cfg.batch_size), "gradients")
+        chunks = scoring.UnembedChunks(params.filter(F.col("tensor") == "unembed").select(F.col("row").alias("idx"), "vec"))
+        found = save_scratch(round_pass(rows, val_tbl, params, chunks), "round")
+        m, v = round_losses(found, rows, val_tbl)
+        val = None if v is None else v["avg"]
+        raw = found.filter("tensor IS NOT NULL").select("tensor", F.lit(-1).alias("block"), "row", "vec")
+        grads, grad_table = save_bucketed(vector_ops.scale_vectors(vector_ops.sum_vectors(
+            raw, vector_ops.PARAM_KEYS, "vec", "vec"), 1.0 / cfg.batch_size), vector_ops.PARAM_KEYS, buckets)
         norm = vector_ops.global_l2_norm(grads).first()[0]
-        clipped = vector_ops.clip_by_norm(grads, cfg.max_norm)
-        new_params = save_scratch(vector_ops.apply_update(params, clipped, cfg.lr * cfg.batch_size), "params")
-        for old in (params, grads, z):
-            drop_scratch(old)
+        coeff = cfg.max_norm / min(max(norm, SMOL), BIGE)
+        clipped = vector_ops.scale_vectors(grads, coeff) if coeff < 1.0 else grads
+        new_params, new_held = save_bucketed(
+            vector_ops.apply_update(params, clipped.hint("merge"), cfg.lr * cfg.batch_size), vector_ops.PARAM_KEYS, buckets)
+        drop_scratch(found)
+        for old in (held, grad_table):
+            drop_bucketed(spark, old)
         chunks.destroy()
-        params = new_params
-        metrics.append((b, float(m[0]), float(m[1]), float(m[2]), int(m[3]),
+        params, held = new_params, new_held
+        metrics.append((b, float(m["avg"]), float(m["min"]), float(m["max"]), int(m["n"]),
                         None if val is None else float(val), float(norm), time.time() - t0))
         if cfg.checkpoint_every and cfg.output_dir and (b + 1) % cfg.checkpoint_every == 0:
             # a folder without its log entry was left by a run that ended in between

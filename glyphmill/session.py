@@ -108,6 +108,26 @@ def drop_scratch(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def save_bucketed(df: DataFrame, keys: list[str], buckets: int) -> tuple[DataFrame, str]:
+    """Like ``save_scratch``, in ``buckets`` hash buckets of ``keys``: tables of equal keys and buckets join without a shuffle.
+
+    Returns the table and its name, by which ``drop_bucketed`` removes it.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    name = f"glyphmill_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/glyphmill-{uuid.uuid4().hex}/{name}"
+    df.write.format("parquet").option("path", path).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    return spark.table(name), name
+
+
+def drop_bucketed(spark: SparkSession, name: str) -> None:
+    """Forget a table made by ``save_bucketed`` and delete its folder."""
+    table = spark.table(name)
+    drop_scratch(table)
+    spark.sql(f"DROP TABLE {name}")
+
+
 _PKG_PARENT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 

@@ -98,3 +98,46 @@ def test_the_plan_of_a_small_cap_reads_the_first_files(spark, tmp_path):
     read = read_corpus(spark, first)
     assert sorted(r.doc_id for r in read.collect()) == list(range(10))
     assert len(read.inputFiles()) == 1 and len(spark.read.parquet(path).inputFiles()) == 6
+
+
+def test_round_pass_equals_separate_steps(spark, training_set, monkeypatch):
+    """Losses and gradients of the one pass equal those of the separate operators, with one chunk of U and with several."""
+    from glyphmill.operators import scoring
+    per_sample, _, params = training_set
+    embed, unembed = (params.filter(F.col("tensor") == t).select(F.col("row").alias("idx"), "vec") for t in ("embed", "unembed"))
+    batch, val = per_sample.filter("doc_id < 5"), per_sample.filter("doc_id >= 5")
+    pairs = batch.groupBy("x", "y").agg(F.sum("n").alias("n"))
+    want = {(r.tensor, r.row): list(r.vec) for r in training.batch_gradients(pairs, params).collect()}
+    losses = {r.doc_id: r.loss for r in scoring.losses_from_pairs(per_sample, embed, unembed, ["doc_id"]).collect()}
+    for most in (scoring.MAX_CHUNK_DOUBLES, 8):
+        monkeypatch.setattr(scoring, "MAX_CHUNK_DOUBLES", most)
+        chunks = scoring.UnembedChunks(unembed)
+        assert len(chunks.parts) == (1 if most > 8 else 3)
+        found = training.round_pass(batch, val, params, chunks).cache()
+        got = training.vector_ops.sum_vectors(found.filter("tensor IS NOT NULL"), ["tensor", "row"], "vec", "vec")
+        got = {(r.tensor, r.row): list(r.vec) for r in got.collect()}
+        close(got, want)
+        mine, other = training.round_losses(found, batch, val)
+        assert (mine.n, other.n) == (5, 4)
+        assert abs(mine.max - max(losses[d] for d in range(5))) < 1e-9
+        assert abs(other.avg - sum(losses[d] for d in range(5, 9)) / 4) < 1e-9
+
+
+def test_update_does_not_shuffle_the_parameters(spark, training_set):
+    from glyphmill.operators import vector_ops
+    from glyphmill.session import drop_bucketed, save_bucketed
+    keys = vector_ops.PARAM_KEYS
+    params = training_set[2].select(*keys, "vec")
+    p, p_name = save_bucketed(params.repartition(4, *keys), keys, 4)
+    g, g_name = save_bucketed(params.filter("row < 3").repartition(4, *keys), keys, 4)
+    new = vector_ops.apply_update(p, vector_ops.scale_vectors(g, 0.5).hint("merge"), 0.1)
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    want = vector_ops.apply_update(params, vector_ops.scale_vectors(params.filter("row < 3"), 0.5), 0.1)
+    close(rows_of(new), rows_of(want))
+    for name in (p_name, g_name):
+        folder = spark.table(name).inputFiles()[0].rpartition("/")[0]
+        drop_bucketed(spark, name)
+        assert not spark.catalog.tableExists(name)
+        from glyphmill.sources.corpus import path_exists
+        assert not path_exists(spark, folder)

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,12 +33,28 @@ from glyphmill.session import drop_scratch, ensure_worker_import, save_scratch
 MAX_PACKED_BYTES = 64 << 20
 
 
+#: Elements (pieces or codes) that a task handles at once; a longer row is handled alone.
+SLICE_ELEMENTS = 1 << 18
+
+
+def _slices(batch: pa.RecordBatch, source: str) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose lists hold at most SLICE_ELEMENTS elements together."""
+    sizes = pc.fill_null(pc.list_value_length(batch.column(source)), 0).to_numpy(zero_copy_only=False)
+    ends, lo = np.cumsum(sizes, dtype=np.int64), 0
+    while lo < batch.num_rows:
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + SLICE_ELEMENTS, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def _mapped(df: DataFrame, bc, fn, source: str, out_col: str, keep: list[str]) -> DataFrame:
     """``out_col`` = ``fn(source column, packed vocabulary)`` beside the kept columns."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [batch.column(c) for c in keep] + [fn(batch.column(source), bc.value)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, out_col])
+            for rows in _slices(batch, source):
+                cols = [rows.column(c) for c in keep] + [fn(rows.column(source), bc.value)]
+                yield pa.RecordBatch.from_arrays(cols, names=[*keep, out_col])
     return df.mapInArrow(run, _schema_with(df, keep, f"`{out_col}` array<bigint>"))
 
 

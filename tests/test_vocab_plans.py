@@ -78,6 +78,14 @@ def test_joined_plan_on_no_rows(spark):
     assert codec.encode(docs, entries, all_legal=True, max_packed_bytes=0).collect() == []
 
 
+def test_slices_hold_every_row_once(monkeypatch):
+    monkeypatch.setattr(codec, "SLICE_ELEMENTS", 5)
+    batch = pa.RecordBatch.from_pydict({"i": list(range(8)), "x": [[1] * n if n is not None else None for n in (0, 2, 3, 9, None, 5, 0, 1)]})
+    parts = list(codec._slices(batch, "x"))
+    assert [r for p in parts for r in p.column("i").to_pylist()] == list(range(8))
+    assert [p.num_rows for p in parts] == [3, 1, 3, 1]
+
+
 def test_map_tokens(spark):
     df = spark.createDataFrame([(1, [5, 9, 5]), (2, []), (3, None)], "doc_id long, tokens array<long>")
     ids = spark.createDataFrame([(5, 0), (7, 1), (9, 2)], "code long, tok_idx int")

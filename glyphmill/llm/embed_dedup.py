@@ -14,7 +14,8 @@ get more coordinates as a label grows.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components, and rows
 with a null label or id, link with nothing (component: own id); vectors of unlike lengths
-never link; repeated rows are copies of one another; an empty table gives an empty result;
+never link; repeated rows are copies of one another, and rows that share a ``vec_id`` are
+linked by their own vectors only; an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import group_attributes, save
+from glyphmill.llm.common import salt, save
 from glyphmill.llm.components import components
 
 COSINE = 0.93
@@ -178,14 +179,15 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tile: int = TILE) -
                 .mapInArrow(_valid_batches, f"vec_id long, label {kind}, raw binary")
                 .withColumn("key", F.md5("raw")), "vectors")
     able = rows.filter("raw IS NOT NULL AND label IS NOT NULL AND vec_id IS NOT NULL")
-    member = save(group_attributes(able.select("vec_id", "label", "key"), ["label", "key"], "vec_id",
-                                   {"rep": F.min("vec_id"), "mult": F.count(F.lit(1))},
-                                   {"rep": F.min("rep"), "mult": F.sum("mult")}), "vector-classes")
-    reps = save(able.join(member.filter("vec_id = rep").select("vec_id", "mult").distinct(), "vec_id")
-                .dropDuplicates(["vec_id"]).select("vec_id", "mult", "label", "raw"), "vector-representatives")
+    # a class of equal vectors has a number of its own: a repeated vec_id may stand in several
+    key = ["label", "key"]
+    first = able.groupBy(*key).agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("mult"))
+    reps = save(able.join(first, [*key, "vec_id"]).dropDuplicates(key).select(
+        F.monotonically_increasing_id().alias("id"), *key, "vec_id", "mult", "raw"), "vector-representatives")
     largest = reps.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     grid = max(1, math.ceil(math.log(max(1, largest / (4 * tile)), 4)) + 1) if largest > 4 * tile else 1
-    placed = save(reps.mapInArrow(_cells(cosine, min(grid, BLOCK_DIMS)),
+    narrow = reps.select(F.col("id").alias("vec_id"), "mult", "label", "raw")
+    placed = save(narrow.mapInArrow(_cells(cosine, min(grid, BLOCK_DIMS)),
                                   f"vec_id long, mult long, label {kind}, raw binary, cell string, home boolean"), "vector-cells")
     big = save(placed.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1), "vector-cell-sizes")
     tiles = F.ceil(F.col("n") / F.lit(tile)).cast("int")
@@ -198,11 +200,15 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tile: int = TILE) -
                  "vector-links")
     totals = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     comps = components(found.filter("vec_id <> root").select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
-    per_rep = save(totals.join(comps.withColumnRenamed("id", "vec_id"), "vec_id", "left")
-                   .select(F.col("vec_id").alias("rep"), "links", "component"), "vector-results")
-    linked = member.join(per_rep, "rep", "left").select(
-        "vec_id", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"),
-        F.coalesce("component", "rep").alias("component_id"))
+    numbered = reps.select(*key, "id", F.col("vec_id").alias("rep"), "mult").join(
+        totals.withColumnRenamed("vec_id", "id"), "id", "left").join(comps, "id", "left")
+    least = numbered.groupBy("component").agg(F.min("rep").alias("least")).filter("component IS NOT NULL")
+    classes = save(numbered.join(least, "component", "left").select(
+        *key, (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"),
+        F.coalesce("least", "rep").alias("component_id")), "vector-results")
+    salted = able.select("vec_id", *key).withColumn("_salt", salt("vec_id"))
+    spread = salted.select(*key, "_salt").distinct().join(classes, key)  # at most SALTS rows a class
+    linked = salted.join(spread, [*key, "_salt"]).select("vec_id", "n_links", "component_id")
     rest = rows.filter("raw IS NULL OR label IS NULL OR vec_id IS NULL").select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -2,7 +2,8 @@
 
 1. One pass makes each text's shingle set (64-bit hashes), its size, a digest of the set, the
    128 minima's low bits packed into words, and 32 band keys of four full minima each.
-2. Texts with equal sets form a class; the smallest ``doc_id`` represents it.
+2. Texts with equal sets form a class with a number of its own, which stands for it until the
+   end: a repeated ``doc_id`` with other texts is a member of several classes.
 3. Representatives that share a band key are candidates.  Each bucket first gives the pairs
    with one hub, its text with the most bucket mates in all; members that links join need no pair among themselves.  Pairs across what is
    then still apart follow, all at once when they are at most ``SPARE`` times the bucket rows,
@@ -16,8 +17,8 @@
 At the threshold a pair shares no band with probability (1 - 0.75^4)^32 < 6e-6.
 
 Edge cases: a null text, or one without words, has an empty set and links with nothing; with
-fewer words than a shingle the whole sequence is one shingle; repeated (doc_id, text) rows
-each return a row; a row with a null ``doc_id`` links with nothing; an empty table gives an
+fewer words than a shingle the whole sequence is one shingle; repeated rows each return a row,
+and rows that share a ``doc_id`` are linked by their own texts only; a row with a null ``doc_id`` links with nothing; an empty table gives an
 empty result; other columns of the input are never read.
 """
 
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm import textbytes as tb
-from glyphmill.llm.common import group_attributes, in_bit_table, save
+from glyphmill.llm.common import in_bit_table, salt, save
 from glyphmill.llm.components import components
 
 SHINGLE = 5
@@ -98,6 +99,13 @@ def packed_bits(m: np.ndarray) -> np.ndarray:
     return np.hstack([p.reshape(len(m), -1) for p in planes])
 
 
+def digests(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, 2) figures that tell unequal sets of one size apart; zeros for an empty set."""
+    return np.array([[int(np.bitwise_xor.reduce(tb.mix(s)).view(np.int64)),
+                      int(tb.mix(s + np.uint64(7)).sum(dtype=np.uint64).view(np.int64))] if len(s) else [0, 0]
+                     for s in sets], np.int64).reshape(-1, 2)
+
+
 def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         body, offs = tb.column(batch.column("text"))
@@ -107,13 +115,10 @@ def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             full = np.flatnonzero(sizes)
             bands = np.zeros((len(sets), BANDS), np.int64)
             bits = np.zeros((len(sets), BITS * _WORDS), np.int64)
-            digest = np.zeros((len(sets), 2), np.int64)
+            digest = digests(sets)
             if len(full):
-                some = [sets[i] for i in full.tolist()]
-                m = minima(some)
+                m = minima([sets[i] for i in full.tolist()])
                 bands[full], bits[full] = band_keys(m), packed_bits(m)
-                digest[full] = [[int(np.bitwise_xor.reduce(tb.mix(s)).view(np.int64)),
-                                 int(tb.mix(s + np.uint64(7)).sum(dtype=np.uint64).view(np.int64))] for s in some]
 
             def lists(x):
                 at = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
@@ -128,12 +133,15 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         body, offs = tb.column(batch.column("text"))
         for lo, hi in tb.slices(offs):
-            sets = [s.view(np.int64) for s in shingle_sets(body, offs[lo: hi + 1])]
-            at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+            sets = shingle_sets(body, offs[lo: hi + 1])
+            sizes = np.array([len(s) for s in sets], np.int64)
+            at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            digest = digests(sets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["doc_id", "set"])
+                [batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), pa.array(sizes),
+                 pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()),
+                 pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["doc_id", "n", "d1", "d2", "set"])
 
 
 def estimate(a: str, b: str) -> Column:
@@ -153,15 +161,16 @@ def estimate(a: str, b: str) -> Column:
 
 def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) among candidate pairs: estimate by bits, then the full sets."""
-    side = reps.select("doc_id", "n", "bits")
+    side = reps.select("id", "n", "bits")
     p = pairs.join(side.toDF("a", "na", "bits_a"), "a").join(side.toDF("b", "nb", "bits_b"), "b")
     likely = save(p.filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
                            & (estimate("bits_a", "bits_b") >= PERCENT / 100 - SLACK))
                   .select("a", "b", "na", "nb"), "minhash-likely")
-    wanted = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
+    ids = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
+    wanted = save(reps.select("id", "doc_id", "n", "d1", "d2").join(ids, "id", "left_semi"), "minhash-wanted")
     texts = in_bit_table(docs.select("doc_id", "text"), wanted, "doc_id", "_read").filter("_read")
-    sets = save(texts.select("doc_id", "text").mapInArrow(_set_batches, "doc_id long, set array<long>")
-                .join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "minhash-sets")
+    found = texts.select("doc_id", "text").mapInArrow(_set_batches, "doc_id long, n long, d1 long, d2 long, set array<long>")
+    sets = save(found.join(wanted, ["doc_id", "n", "d1", "d2"]).dropDuplicates(["id"]).select("id", "set"), "minhash-sets")
     both = likely.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     common = F.size(F.array_intersect("set_a", "set_b")).cast("long")
     return save(both.withColumn("c", common).filter(F.col("c") * 100 >= (F.col("na") + F.col("nb") - F.col("c")) * PERCENT)
@@ -176,9 +185,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     narrow = sigs.select("doc_id", "n", "d1", "d2")
     linked = narrow.filter("n > 0 AND doc_id IS NOT NULL")
     first = linked.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc_id"))
-    reps = save(sigs.join(first, ["doc_id", "n", "d1", "d2"], "left_semi").dropDuplicates(["doc_id"])
-                .select("doc_id", "n", "bits", "bands"), "minhash-representatives")
-    rows = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"))
+    reps = save(sigs.join(first, ["doc_id", "n", "d1", "d2"], "left_semi").dropDuplicates(["n", "d1", "d2"])
+                .withColumn("id", F.monotonically_increasing_id()), "minhash-representatives")
+    rows = reps.select(F.explode("bands").alias("bucket"), "id")
     several = save(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "minhash-buckets")
     # both sides are read as they are, so that a hot bucket's side can be split
     rows = save(rows.join(several, "bucket"), "minhash-bucket-rows")
@@ -220,12 +229,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if last:
             break
         hubs *= HUBS
-    member = group_attributes(linked, ["n", "d1", "d2"], "doc_id", {"class_id": F.min("doc_id")},
-                              {"class_id": F.min("class_id")}).select("doc_id", "n", "class_id")
-    every = member.unionByName(narrow.filter("n = 0 OR doc_id IS NULL").select(
-        "doc_id", "n", F.col("doc_id").alias("class_id")))
-    every = save(every, "minhash-members")
-    out = every.join(comps.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
-    found = F.coalesce("component", "class_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", found.alias("component_id"),
-                      found.eqNullSafe(F.col("doc_id")).alias("kept"))
+    # classes' numbers become the smallest doc_id of their component
+    numbered = reps.select("id", "n", "d1", "d2", F.col("doc_id").alias("class_id")).join(comps, "id", "left")
+    least = numbered.groupBy("component").agg(F.min("class_id").alias("component_id")).filter("component IS NOT NULL")
+    classes = save(numbered.join(least, "component", "left").select(
+        "n", "d1", "d2", "class_id", F.coalesce("component_id", "class_id").alias("component_id")), "minhash-classes")
+    key = ["n", "d1", "d2"]
+    salted = linked.withColumn("_salt", salt("doc_id"))
+    spread = salted.select(*key, "_salt").distinct().join(classes, key)  # at most SALTS rows a class
+    every = salted.join(spread, [*key, "_salt"]).select("doc_id", "n", "class_id", "component_id").unionByName(
+        narrow.filter("n = 0 OR doc_id IS NULL").select(
+            "doc_id", "n", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id")))
+    return every.select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id",
+                        F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))

@@ -17,9 +17,11 @@ gives no sequences; other columns of the input are ignored.  ``sequence_id`` is
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -32,32 +34,55 @@ from glyphmill.llm import textbytes as tb
 SEQUENCE = 4096
 MAX_SEGMENTS = 512
 END_ID = 2
-#: Pending pieces that the heuristic chooses from, and words whose ids a task remembers.
+#: Pending pieces that the heuristic chooses from.
 POOL = 2048
-WORD_CACHE = 400_000
+#: Pieces of text whose ids a task remembers (twice as many at most), and their longest.
+CACHED = 200_000
+LONGEST = 64
+#: Pieces that the tokenizer gets in one line.
+LINE = 500
 
 PIECE = ("doc_id long, start long, length long, loss long, doc_tokens long, ids_crc32 long, "
          "sequence_id long, offset long")
 
 
-class WordTokenizer:
-    """Ids of whole texts through a cache of ids by word.
+#: Latin-1 bytes of the characters that the vocabulary's normaliser only lower-cases, one by one.
+_PLAIN = bytes(range(128)) + "".join(chr(c) for c in range(0xC0, 0x100) if chr(c).isalpha()).encode("latin-1")
+#: The vocabulary's own pieces of such text in lower case (fixed by its pre-tokenizer).
+_PIECES = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\\x09-\\x0D\\x20a-z0-9ß-öø-ÿ]+")
+_SPACES = re.compile("[\\x09-\\x0D\\x20]+")
 
-    The vocabulary's normaliser drops white space and its merges never cross it, so a text's
-    ids are those of its words in turn.  A text with a piece that the tokenizer itself treats
-    apart (a special token's characters) is encoded whole.  The cache has two generations of
-    at most WORD_CACHE words; words still in use move to the younger one.
+
+def plain(text: str) -> bool:
+    """Has the text only ASCII and the letters of Latin-1?"""
+    if text.isascii():
+        return True
+    try:
+        return not text.encode("latin-1").translate(None, _PLAIN)
+    except UnicodeEncodeError:
+        return False
+
+
+class PieceTokenizer:
+    """Ids of whole texts through a cache of ids by piece.
+
+    The vocabulary's merges never cross its pre-tokenizer's pieces (letters, single digits,
+    runs of other signs), and white space is dropped, so a text's ids are those of its pieces
+    in turn.  A word with a character beyond Latin-1's letters stays whole and is left to the
+    tokenizer, and so is a text with a special token's characters.  The cache has two generations
+    of at most CACHED pieces of at most LONGEST characters; pieces still in use move to the
+    younger one, longer pieces are forgotten after their texts.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _whole(self, text: bytes) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def encode(self, texts: list[bytes], most: int = 1 << 20) -> Iterator[np.ndarray]:
         group, size = [], 0
@@ -69,33 +94,63 @@ class WordTokenizer:
                 group, size = [], 0
         yield from self._group(group)
 
-    def _group(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        parts = [t.split() if b"<|" not in t else None for t in texts]
-        if len(self.cache) > WORD_CACHE:
+    @staticmethod
+    def pieces(text: str) -> list[str]:
+        if plain(text):
+            return _PIECES.findall(text.lower())
+        out: list[str] = []
+        for word in _SPACES.split(text):
+            if plain(word):
+                out += _PIECES.findall(word.lower())
+            else:
+                out.append(word)
+        return out
+
+    def _codes(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of each piece; plain pieces go to the tokenizer in lines of several."""
+        several = [p for p in pieces if plain(p)]
+        other = [p for p in pieces if not plain(p)]
+        for lo in range(0, len(several), LINE):
+            some = several[lo: lo + LINE]
+            line = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            of, ids = np.array(line.word_ids, np.int64), np.array(line.ids, "<u4").tobytes()
+            cuts = (4 * np.searchsorted(of, np.arange(len(some) + 1))).tolist()
+            if len(of) and of[-1] != len(some) - 1:
+                raise ValueError("the vocabulary cuts words otherwise than its pieces")
+            yield from zip(some, (ids[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)), strict=True)
+        for lo in range(0, len(other), 10_000):
+            some = other[lo: lo + 10_000]
+            codes = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            yield from zip(some, (array("I", c.ids).tobytes() for c in codes), strict=True)
+
+    def _group(self, group: list[bytes]) -> Iterator[np.ndarray]:
+        texts = [t.decode() for t in group]
+        parts = [self.pieces(t) if "<|" not in t else None for t in texts]
+        if len(self.cache) > CACHED:
             self.cache, self.older = {}, self.cache
         cache, older = self.cache, self.older
         new = []
-        for w in set().union(*[p for p in parts if p]) - cache.keys():
+        for w in {w for p in parts if p for w in filterfalse(cache.__contains__, p)}:
             known = older.get(w)
             if known is None:
                 new.append(w)
             else:
                 cache[w] = known
-        for lo in range(0, len(new), 10_000):
-            some = new[lo: lo + 10_000]
-            codes = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            cache.update(zip(some, (array("I", c.ids).tobytes() for c in codes), strict=True))
+        cache.update(self._codes(new))
         for t, p in zip(texts, parts, strict=True):
             yield self._whole(t) if p is None else np.frombuffer(b"".join(map(cache.__getitem__, p)), "<u4")
+        for w in new:
+            if len(w) > LONGEST:
+                del cache[w]
 
 
-_coders: dict[str, WordTokenizer] = {}
+_coders: dict[str, PieceTokenizer] = {}
 
 
-def coder(path: str) -> WordTokenizer:
+def coder(path: str) -> PieceTokenizer:
     """One tokenizer and cache for all tasks of a Python worker."""
     if path not in _coders:
-        _coders[path] = WordTokenizer(path)
+        _coders[path] = PieceTokenizer(path)
     return _coders[path]
 
 

@@ -179,9 +179,10 @@ class Packer:
     def _sequence(self) -> None:
         alive = np.ones(len(self.keys), bool)
         scaled = self.demand / self.limits
+        tokens, bearing = self.demand[:, 0], self.demand[:, 2]  # each piece is one segment
         room, got = self.limits.copy(), []
         while room[0] > 0 and room[1] > 0 and alive.any():
-            fits = alive & (self.demand <= room).all(axis=1)
+            fits = alive & (tokens <= room[0]) & (bearing <= room[2])
             if fits.any():
                 best = int(np.argmax(np.where(fits, scaled @ (room / self.limits), -1.0)))
                 alive[best] = False

@@ -1,18 +1,20 @@
 """Near-duplicate texts by b-bit MinHash over five-word shingles.
 
 1. One pass makes each text's shingle set (64-bit hashes), its size, a digest of the set, the
-   128 minima's low bits packed into words, and 32 band keys of four full minima each.
+   low bits of 256 minima packed into words, and 32 band keys of four full minima each.
 2. Texts with equal sets form a class with a number of its own, which stands for it until the
    end: a repeated ``doc_id`` with other texts is a member of several classes.
 3. Representatives that share a band key are candidates.  Each bucket first gives the pairs
-   with one hub, its text with the most bucket mates in all; members that links join need no pair among themselves.  Pairs across what is
-   then still apart follow, all at once when they are at most ``SPARE`` times the bucket rows,
-   else with ``HUBS`` hubs a bucket, then ``HUBS`` times as many, until each bucket lies in one
-   component or all its pairs are settled: the rounds grow with the logarithm of a bucket.
-4. A candidate's similarity is estimated from the packed bits by bit counts, corrected for
-   chance collisions; what is far below the threshold is dropped (``SLACK`` is more than five
-   standard deviations).  The rest is confirmed on the full sets.
-5. Links give components by star contraction.
+   with one hub, its text with the most bucket mates in all; members that links join need no
+   pair among themselves.
+4. Where a bucket still lies in several components, the texts outside its largest one meet all
+   of the bucket in tiles of bounded size.  A tile estimates similarity from the packed bits by
+   bit counts, corrected for chance collisions; what is far below the threshold falls (``SLACK``
+   is more than five standard deviations).  Of the rest only a text's ``BEST`` likeliest pairs
+   across components leave the task.  Where there were more, rounds with ``GROWTH`` times as many
+   follow until no pair across components is left out: a linked text is soon inside, so only
+   texts that near misses surround go on.
+5. Likely pairs are confirmed on the full sets; links give components by star contraction.
 
 At the threshold a pair shares no band with probability (1 - 0.75^4)^32 < 6e-6.
 
@@ -37,15 +39,16 @@ from glyphmill.llm.components import components
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
-HASHES = BANDS * ROWS
+#: Minima; the bands are made of the first ones, the estimate of all.
+HASHES = 256
 BITS = 2
 #: Similarity in hundredths that links, and how far below it an estimate may lie.
 PERCENT = 75
-SLACK = 0.25
-#: Pairs across components of a bucket that are compared at once, per bucket row in all.
-SPARE = 4
-#: Further hubs a bucket in the second round; as many times more in each round after it.
-HUBS = 8
+SLACK = 0.17
+#: Rows of a bucket's tile, and the pairs a text that leave it in the first round.
+TILE = 4096
+BEST = 4
+GROWTH = 8
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _A = _rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -86,7 +89,7 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def band_keys(m: np.ndarray) -> np.ndarray:
-    wide = m.astype(np.uint64).reshape(len(m), BANDS, ROWS)
+    wide = m[:, : BANDS * ROWS].astype(np.uint64).reshape(len(m), BANDS, ROWS)
     key = np.arange(BANDS, dtype=np.uint64)[None, :] + np.uint64(1)
     for r in range(0, ROWS, 2):
         key = tb.mix(key * np.uint64(0x9E3779B97F4A7C15) + (wide[:, :, r] << np.uint64(32) | wide[:, :, r + 1]))
@@ -159,13 +162,74 @@ def estimate(a: str, b: str) -> Column:
     return (same / F.lit(float(HASHES)) - chance) / (1 - chance)
 
 
-def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) among candidate pairs: estimate by bits, then the full sets."""
+def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b, na, nb): the pairs (a, b) that their sizes and packed bits allow."""
     side = reps.select("id", "n", "bits")
     p = pairs.join(side.toDF("a", "na", "bits_a"), "a").join(side.toDF("b", "nb", "bits_b"), "b")
-    likely = save(p.filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
-                           & (estimate("bits_a", "bits_b") >= PERCENT / 100 - SLACK))
-                  .select("a", "b", "na", "nb"), "minhash-likely")
+    return p.filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
+                    & (estimate("bits_a", "bits_b") >= PERCENT / 100 - SLACK)).select("a", "b", "na", "nb")
+
+
+def _meet(best: int):
+    """Within one (bucket, tile pair): each left row's ``best`` likeliest pairs across components.
+
+    ``more`` marks a row that has further ones.
+    """
+    def fn(table: pa.Table) -> pa.Table:
+        ids, n, comp = (table.column(c).to_numpy() for c in ("id", "n", "comp"))
+        left = table.column("left").to_numpy(zero_copy_only=False).astype(bool)
+        bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+        chance = 2.0 ** -BITS
+        need = HASHES * ((PERCENT / 100 - SLACK) * (1 - chance) + chance) - 1e-6
+        ours, theirs = np.flatnonzero(left), np.flatnonzero(~left)
+        got: list[tuple] = []
+        for lo in range(0, len(ours), 256):
+            rows = ours[lo: lo + 256]
+            same = np.zeros((len(rows), len(theirs)), np.int16)
+            for w in range(_WORDS):
+                differ = np.zeros(same.shape, np.uint64)
+                for c in range(w, BITS * _WORDS, _WORDS):
+                    differ |= bits[rows, c][:, None] ^ bits[theirs, c][None, :]
+                same += 64 - np.bitwise_count(differ).astype(np.int16)
+            na, nb = n[rows][:, None], n[theirs][None, :]
+            able = ((same >= need) & (comp[rows][:, None] != comp[theirs][None, :])
+                    & (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * PERCENT))
+            more = able.sum(axis=1) > best
+            if more.any():
+                first = np.argpartition(np.where(able, -same, 1), best - 1, axis=1)[:, :best]
+                chosen = np.zeros_like(able)
+                np.put_along_axis(chosen, first, True, axis=1)
+                able &= chosen
+            i, j = np.nonzero(able)
+            got.append((rows[i], theirs[j], more[i]))
+        i, j, more = (np.concatenate(x) for x in zip(*got, strict=True))
+        swap = ids[i] > ids[j]
+        a, b = np.where(swap, j, i), np.where(swap, i, j)
+        return pa.table({"a": ids[a], "b": ids[b], "na": n[a], "nb": n[b], "more": more})
+    return fn
+
+
+def _across(rows: DataFrame, open_: DataFrame, reps: DataFrame, best: int) -> DataFrame:
+    """(a, b, na, nb, more): likely pairs across components of the buckets ``open_``."""
+    def tile(n):
+        return F.ceil(F.col(n) / F.lit(TILE)).cast("int")
+
+    def placed(n):
+        return F.pmod(F.xxhash64("id"), tile(n)).cast("int")
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0), tile(n) - 1))
+    here = rows.join(open_, "bucket").join(reps.select("id", "n", "bits"), "id")
+    columns = ["bucket", "id", "comp", "n", "bits"]
+    few = here.filter("comp <> most").select(*columns, F.lit(True).alias("left"), placed("outside").alias("t"),
+                                             every("size").alias("u"))
+    all_ = here.select(*columns, F.lit(False).alias("left"), placed("size").alias("u"), every("outside").alias("t"))
+    return few.unionByName(all_).groupBy("bucket", "t", "u").applyInArrow(
+        _meet(best), "a long, b long, na long, nb long, more boolean")
+
+
+def _confirm(likely: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) among likely pairs, by the full sets; ``likely`` is a saved table."""
     ids = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
     wanted = save(reps.select("id", "doc_id", "n", "d1", "d2").join(ids, "id", "left_semi"), "minhash-wanted")
     texts = in_bit_table(docs.select("doc_id", "text"), wanted, "doc_id", "_read").filter("_read")
@@ -197,38 +261,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = save(rows.join(save(best.select("bucket", (-F.col("m.neg")).alias("hub")), "minhash-hubs"), "bucket"),
                 "minhash-bucket-rows")
 
-    n_rows = several.agg(F.sum("size")).first()[0] or 0
     pairs = rows.filter("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
-    comps = components(_confirm(pairs, reps, docs))
-    hubs = HUBS
-    while n_rows:
+    tried = save(_likely(pairs, reps), "minhash-likely")
+    comps = components(_confirm(tried, reps, docs))
+    tried = tried.select("a", "b")
+    best = BEST
+    while True:
         apart = save(rows.select("bucket", "id").join(comps.select("id", "component"), "id", "left").select(
             "bucket", "id", F.coalesce("component", "id").alias("comp")), "minhash-apart")
         each = apart.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-        open_ = save(each.groupBy("bucket").agg(
-            F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count(F.lit(1)).alias("comps"),
-            F.max(F.struct("n", "comp")).alias("most")).filter("comps > 1")
-            .select("bucket", "size", "squares", F.col("most.comp").alias("most")), "minhash-open")
-        across, largest = open_.agg(F.sum((F.col("size") * F.col("size") - F.col("squares")) / 2), F.max("size")).first()
-        if not across:
-            break
-        rows = save(apart.join(open_.drop("squares"), "bucket"), "minhash-bucket-rows")
-        other = rows.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb"))
-        last = across <= SPARE * n_rows or hubs >= largest
-        if last:
-            few = rows.filter("comp <> most").select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca"), "most")
-            pairs = few.join(other, "bucket").filter("ca <> cb AND (cb = most OR a < b)")
-        else:  # hubs by hash: about as many a bucket, the same texts in every bucket
-            unit = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-            few = rows.filter(unit < F.lit(float(hubs)) / F.col("size")).select(
-                "bucket", F.col("id").alias("a"), F.col("comp").alias("ca"))
-            pairs = few.join(other, "bucket").filter("ca <> cb")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = _confirm(pairs, reps, docs)
-        comps = components(new.unionByName(comps.select(F.col("id").alias("a"), F.col("component").alias("b"))))
-        if last:
+        open_ = each.groupBy("bucket").agg(
+            F.sum("n").alias("size"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp")).alias("most")).filter(
+            "comps > 1").select("bucket", "size", (F.col("size") - F.col("most.n")).alias("outside"),
+                                F.col("most.comp").alias("most"))
+        found = save(_across(apart, save(open_, "minhash-open"), reps, best), "minhash-across")
+        new = save(found.select("a", "b", "na", "nb").distinct().join(tried, ["a", "b"], "left_anti"), "minhash-likely")
+        links = _confirm(new, reps, docs)
+        comps = components(links.unionByName(comps.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+        if found.filter("more").isEmpty():
             break
-        hubs *= HUBS
+        tried = tried.unionByName(new.select("a", "b"))
+        rows = apart
+        best *= GROWTH
     # classes' numbers become the smallest doc_id of their component
     numbered = reps.select("id", "n", "d1", "d2", F.col("doc_id").alias("class_id")).join(comps, "id", "left")
     least = numbered.groupBy("component").agg(F.min("class_id").alias("component_id")).filter("component IS NOT NULL")

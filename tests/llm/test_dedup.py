@@ -26,7 +26,8 @@ def test_exact(docs, rows):
 
 def test_near(docs, rows, monkeypatch):
     assert got(minhash.near_duplicates(docs), "n_shingles", "component_id", "kept") == cases.near(rows)
-    monkeypatch.setattr(minhash, "SPARE", 0)  # hub rounds to the end
+    for name, value in (("TILE", 3), ("BEST", 1), ("GROWTH", 2)):  # many tiles and rounds
+        monkeypatch.setattr(minhash, name, value)
     assert got(minhash.near_duplicates(docs), "n_shingles", "component_id", "kept") == cases.near(rows)
 
 

@@ -171,20 +171,27 @@ def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _meet(best: int):
-    """Within one (bucket, tile pair): each left row's ``best`` likeliest pairs across components.
+    """Within each (bucket, tile pair) of a slot: each left row's ``best`` likeliest pairs across components.
 
     ``more`` marks a row that has further ones.
     """
     def fn(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("bucket", "t", "u")])
+        keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("bucket", "t", "u")])
         ids, n, comp = (table.column(c).to_numpy() for c in ("id", "n", "comp"))
         left = table.column("left").to_numpy(zero_copy_only=False).astype(bool)
         bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
         chance = 2.0 ** -BITS
         need = HASHES * ((PERCENT / 100 - SLACK) * (1 - chance) + chance) - 1e-6
-        ours, theirs = np.flatnonzero(left), np.flatnonzero(~left)
-        got: list[tuple] = []
-        for lo in range(0, len(ours), 256):
-            rows = ours[lo: lo + 256]
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), len(ids)]
+        turns = []
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            ours, theirs = x + np.flatnonzero(left[x:y]), x + np.flatnonzero(~left[x:y])
+            if len(theirs):
+                turns += [(ours[lo: lo + 256], theirs) for lo in range(0, len(ours), 256)]
+        none = np.zeros(0, np.int64)
+        got: list[tuple] = [(none, none, none.astype(bool))]
+        for rows, theirs in turns:
             same = np.zeros((len(rows), len(theirs)), np.int16)
             for w in range(_WORDS):
                 differ = np.zeros(same.shape, np.uint64)
@@ -205,12 +212,15 @@ def _meet(best: int):
         i, j, more = (np.concatenate(x) for x in zip(*got, strict=True))
         swap = ids[i] > ids[j]
         a, b = np.where(swap, j, i), np.where(swap, i, j)
-        return pa.table({"a": ids[a], "b": ids[b], "na": n[a], "nb": n[b], "more": more})
+        return pa.table({"bucket": keys[0][i], "a": ids[a], "b": ids[b], "na": n[a], "nb": n[b], "more": more})
     return fn
 
 
 def _across(rows: DataFrame, open_: DataFrame, reps: DataFrame, best: int) -> DataFrame:
-    """(a, b, na, nb, more): likely pairs across components of the buckets ``open_``."""
+    """(bucket, a, b, na, nb, more): likely pairs across components of the buckets ``open_``.
+
+    A task's call takes a slot of about TILE rows: many small buckets, or a tile pair of a large one.
+    """
     def tile(n):
         return F.ceil(F.col(n) / F.lit(TILE)).cast("int")
 
@@ -221,11 +231,13 @@ def _across(rows: DataFrame, open_: DataFrame, reps: DataFrame, best: int) -> Da
         return F.explode(F.sequence(F.lit(0), tile(n) - 1))
     here = rows.join(open_, "bucket").join(reps.select("id", "n", "bits"), "id")
     columns = ["bucket", "id", "comp", "n", "bits"]
+    n_rows = open_.agg(F.sum(F.col("size") * tile("outside") + F.col("outside") * tile("size"))).first()[0] or 0
+    slot = F.pmod(F.xxhash64("bucket", "t", "u"), F.lit(n_rows // TILE + 1)).alias("slot")
     few = here.filter("comp <> most").select(*columns, F.lit(True).alias("left"), placed("outside").alias("t"),
                                              every("size").alias("u"))
     all_ = here.select(*columns, F.lit(False).alias("left"), placed("size").alias("u"), every("outside").alias("t"))
-    return few.unionByName(all_).groupBy("bucket", "t", "u").applyInArrow(
-        _meet(best), "a long, b long, na long, nb long, more boolean")
+    return few.unionByName(all_).groupBy(slot).applyInArrow(
+        _meet(best), "bucket long, a long, b long, na long, nb long, more boolean")
 
 
 def _confirm(likely: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
@@ -278,10 +290,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         new = save(found.select("a", "b", "na", "nb").distinct().join(tried, ["a", "b"], "left_anti"), "minhash-likely")
         links = _confirm(new, reps, docs)
         comps = components(links.unionByName(comps.select(F.col("id").alias("a"), F.col("component").alias("b"))))
-        if found.filter("more").isEmpty():
+        again = save(found.filter("more").select("bucket").distinct(), "minhash-again")
+        if again.isEmpty():
             break
         tried = tried.unionByName(new.select("a", "b"))
-        rows = apart
+        rows = save(apart.join(again, "bucket", "left_semi"), "minhash-bucket-rows")  # the others are settled
         best *= GROWTH
     # classes' numbers become the smallest doc_id of their component
     numbered = reps.select("id", "n", "d1", "d2", F.col("doc_id").alias("class_id")).join(comps, "id", "left")

@@ -129,10 +129,10 @@ def batched(rows: Iterator[tuple], most: int = 8 << 20) -> Iterator[pa.RecordBat
         yield _rows(held)
 
 
-def state(docs: DataFrame) -> DataFrame:
+def state(docs: DataFrame, packed: Callable[[Chunk], bytes] = Chunk.packed) -> DataFrame:
     """One packed row a chunk: what the answers are brought back to."""
     def fn(batches):
-        return batched((c.number, STATE, 0, join_parts([np.int64(c.digest()).tobytes(), c.packed()]))
+        return batched((c.number, STATE, 0, join_parts([np.int64(c.digest()).tobytes(), packed(c)]))
                        for c in chunks(batches))
     return docs.select("doc_id", "text").mapInArrow(fn, ROW)
 
@@ -212,13 +212,13 @@ def solve_buckets(requests: DataFrame, partitions: int,
 
 
 class Meeting:
-    """A chunk with the answers to its requests, by kind, in key order."""
+    """A chunk (or what ``opened`` made of its state) with the answers to its requests, by kind, in key order."""
 
-    def __init__(self, chunk: Chunk, answers: dict[int, list[np.ndarray]]):
+    def __init__(self, chunk, answers: dict[int, list[np.ndarray]]):
         self.chunk, self.answers = chunk, answers
 
 
-def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[Meeting]:
+def _meetings(batches: Iterator[pa.RecordBatch], opened: Callable) -> Iterator[Meeting]:
     def built(number, rows):
         mark, body = split_parts(rows[0][2])
         got: dict[int, list] = {}
@@ -227,7 +227,7 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[Meeting]:
             if other != mark:
                 raise RuntimeError("a chunk changed between two reads of the input")
             got.setdefault(kind, []).append([unpack(v) for v in values])
-        return Meeting(Chunk.unpacked(number, body),
+        return Meeting(opened(number, body),
                        {k: [np.concatenate(c) for c in zip(*v, strict=True)] for k, v in got.items()})
 
     held, at = [], None
@@ -244,11 +244,15 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[Meeting]:
 
 
 def meet(states: DataFrame, answers: DataFrame, partitions: int,
-         fn: Callable[[Iterator[Meeting]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Bring the answers back to their chunks and run ``fn`` over (chunk, answers)."""
+         fn: Callable[[Iterator[Meeting]], Iterator[pa.RecordBatch]], schema: str,
+         opened: Callable = Chunk.unpacked) -> DataFrame:
+    """Bring the answers back to their chunks and run ``fn`` over (chunk, answers).
+
+    ``opened(number, packed state)`` undoes the packing that ``state`` was given.
+    """
     rows = states.unionByName(answers.filter(F.col("chunk") >= 0))
     dealt = rows.repartition(partitions, "chunk").sortWithinPartitions("chunk", "kind", "bucket")
-    return dealt.mapInArrow(lambda batches: fn(_meetings(batches)), schema)
+    return dealt.mapInArrow(lambda batches: fn(_meetings(batches, opened)), schema)
 
 
 def buckets_for(n_bytes: int) -> int:

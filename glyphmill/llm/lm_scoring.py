@@ -6,8 +6,8 @@ are learned by expectation-maximisation on held-out counts: the documents of one
 training part, under counts of the other folds.  The final model counts the whole training part.
 
 Counts cover all training documents and travel as packed, distinct keys per chunk; each chunk
-gets the counts of its own keys back, so hot words cost one entry a chunk.  The expectation
-step needs only a histogram of (bucket, bigram estimate, unigram estimate) in eighths of an
+gets the counts of its own keys back, so hot words cost one entry a chunk.  What meets them is not
+the texts but their tokens' places among the chunk's keys.  The expectation step needs only a histogram of (bucket, bigram estimate, unigram estimate) in eighths of an
 octave, which has a bounded number of cells.
 
 Tokens: words of the text with A-Z lower-cased, then one end.  A document's first context is
@@ -65,15 +65,61 @@ class Tokens:
                 np.concatenate([self.text, np.arange(self.n_texts)]))
 
 
+def ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, first, place): a sorting order, where distinct keys begin in it, each key's rank among these."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), place
+
+
 def _requests(chunk: ex.Chunk, buckets: int) -> Iterator[tuple]:
     t = Tokens(chunk)
     for kind, (keys, text) in ((UNIGRAM, t.unigrams()), (BIGRAM, (t.pair, t.text))):
-        order = np.argsort(keys)
-        ranked, rest = keys[order], t.rest[text[order]]
-        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        order, first, _ = ranks(keys)
+        rest = t.rest[text[order]]
         train = np.add.reduceat((rest != HELD_OUT).astype(np.int64), first)
         fold = np.add.reduceat((rest == FOLD).astype(np.int64), first)
-        yield from ex.ask(chunk, kind, ranked[first], [train, fold], buckets)
+        yield from ex.ask(chunk, kind, keys[order][first], [train, fold], buckets)
+
+
+class Places:
+    """A chunk's texts as places in its requests: tokens and pairs by their rank among the chunk's keys.
+
+    This meets the answers in the texts' stead, so that nothing is split, hashed or looked up again.
+    """
+
+    def __init__(self, doc_id: np.ndarray, rest: np.ndarray, sizes: np.ndarray,
+                 token: np.ndarray, pair: np.ndarray, start: int):
+        self.doc_id, self.rest, self.sizes, self.token, self.pair, self.start = doc_id, rest, sizes, token, pair, start
+
+    @classmethod
+    def of(cls, chunk: ex.Chunk, fold_only: bool) -> Places:
+        t = Tokens(chunk)
+        texts = t.rest == FOLD if fold_only else np.ones(t.n_texts, bool)
+        token, pair, start = t.token[:0].view(np.int64), t.pair[:0].view(np.int64), 0
+        if texts.any():
+            uni, mine = ranks(t.unigrams()[0])[2], texts[t.text]
+            token, pair, start = uni[: len(t.token)][mine], ranks(t.pair)[2][mine], int(uni[-1])
+        sizes = np.bincount(t.text, minlength=t.n_texts)[texts]
+        return cls(t.doc_id[texts], t.rest[texts], sizes, token, pair, start)
+
+    def packed(self) -> bytes:
+        rows = (self.doc_id, self.rest, self.sizes, self.token, self.pair, np.array([self.start]))
+        return ex.join_parts([ex.pack(r.astype(np.int64, copy=False).view(np.uint64)) for r in rows])
+
+    @classmethod
+    def unpacked(cls, number: int, data: bytes) -> Places:
+        *rows, start = (ex.unpack(p).view(np.int64) for p in ex.split_parts(data))
+        return cls(*rows, int(start[0]))
+
+    def counts(self, tokens: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(count of token, of context, of pair) at every token, from counts in key order."""
+        context = np.concatenate([[self.start], self.token[:-1]])
+        context[np.cumsum(self.sizes) - self.sizes] = self.start
+        return tokens[self.token], tokens[context], pairs[self.pair]
 
 
 def _totals(kind: int, first: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
@@ -100,19 +146,6 @@ def _sum_figures(answers: DataFrame) -> tuple[int, int, int, int]:
     return tuple(int(x) for x in r)
 
 
-def _counts(m: ex.Meeting, t: Tokens, which: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(count of token, of context, of pair) at every token; ``which`` is train or kept."""
-    def values(kind):
-        train, fold = (v.view(np.int64) for v in m.answers[kind])
-        return train if which == "train" else train - fold
-
-    def at(keys, table, wanted):
-        return table[np.searchsorted(keys, wanted)]
-    known = np.unique(t.unigrams()[0])
-    uni = values(UNIGRAM)
-    return at(known, uni, t.token), at(known, uni, t.context), at(np.unique(t.pair), values(BIGRAM), t.pair)
-
-
 def bucket(context: np.ndarray) -> np.ndarray:
     return np.frexp(context.astype(np.float64))[1].astype(np.int64)  # 0 for none, else floor(log2) + 1
 
@@ -124,11 +157,9 @@ def _ratio(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
 def _cells(meetings: Iterator[ex.Meeting], n_kept: int) -> Iterator[pa.RecordBatch]:
     """The fold's tokens under the other folds' counts, as histogram cells."""
     for m in meetings:
-        t = Tokens(m.chunk)
-        use = (t.rest == FOLD)[t.text]
-        if not use.any():
+        if not len(m.chunk.doc_id):
             continue
-        c, v, p = (x[use] for x in _counts(m, t, "kept"))
+        c, v, p = m.chunk.counts(*(np.subtract(*(x.view(np.int64) for x in m.answers[k])) for k in (UNIGRAM, BIGRAM)))
 
         def cell(f):
             out = np.zeros(len(f), np.int64)
@@ -167,17 +198,17 @@ def learn_weights(cells: dict[int, int], n_types: int, rounds: int = EM_ROUNDS)
 
 def _scores(meetings: Iterator[ex.Meeting], weights: np.ndarray, n: int, v: int) -> Iterator[pa.RecordBatch]:
     for m in meetings:
-        t = Tokens(m.chunk)
-        c, context, pair = _counts(m, t, "train")
+        t = m.chunk
+        c, context, pair = t.counts(*(m.answers[k][0].view(np.int64) for k in (UNIGRAM, BIGRAM)))
         w = weights[bucket(context)]
         p = w[:, 0] * _ratio(pair, context) + w[:, 1] * _ratio(c, n) + w[:, 2] / (v + 1)
         if not n:
             p = np.ones(len(c))
-        per_text = lambda x: np.bincount(t.text, weights=x, minlength=t.n_texts)
-        tokens = np.bincount(t.text, minlength=t.n_texts)
+        text = np.repeat(np.arange(len(t.sizes)), t.sizes)
+        per_text = lambda x: np.bincount(text, weights=x, minlength=len(t.sizes))
         yield pa.RecordBatch.from_arrays(
-            [tb.id_array(t.doc_id), pa.array(t.rest == HELD_OUT), pa.array(tokens),
-             pa.array(per_text(c > 0).astype(np.int64)), pa.array(np.full(t.n_texts, n, np.int64)),
+            [tb.id_array(t.doc_id), pa.array(t.rest == HELD_OUT), pa.array(t.sizes),
+             pa.array(per_text(c > 0).astype(np.int64)), pa.array(np.full(len(t.sizes), n, np.int64)),
              pa.array(per_text(np.log10((c + 1) / (n + v + 1)))), pa.array(per_text(np.log10(p)))],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
@@ -191,10 +222,10 @@ def score(docs: DataFrame) -> DataFrame:
         lambda batches: ex.batched(r for c in ex.chunks(batches) for r in _requests(c, buckets)), ex.ROW)
     counts = save(ex.answer(asked, parts, _totals, _figures), "ngram-counts")
     n, v, n_kept, _ = _sum_figures(counts)
-    states = ex.state(docs)
-    cells = ex.meet(states, counts, parts, lambda ms: _cells(ms, n_kept), "code long, n long")
+    fold, every = (ex.state(docs, lambda c, only=only: Places.of(c, only).packed()) for only in (True, False))
+    cells = ex.meet(fold, counts, parts, lambda ms: _cells(ms, n_kept), "code long, n long", Places.unpacked)
     # bounded: buckets x estimates in eighths of an octave
     weights = learn_weights({r["code"]: r["n"] for r in cells.groupBy("code").agg(F.sum("n").alias("n")).collect()}, v)
-    return ex.meet(states, counts, parts, lambda ms: _scores(ms, weights, n, v),
+    return ex.meet(every, counts, parts, lambda ms: _scores(ms, weights, n, v),
                    "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-                   "base_score double, score double")
+                   "base_score double, score double", Places.unpacked)

@@ -37,7 +37,35 @@ def test_lm_base_and_score(docs, rows):
         assert r["held_out"] == (cases.crc(i, 7) == 2)
         assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), abs=1e-6)
         assert math.isfinite(r["score"]) and r["score"] < 0
-    assert pairs  # the mixture is compared below
+    for i, expected in mixture_scores(tokens, train).items():
+        assert out[i]["score"] == pytest.approx(expected, abs=1e-6)
+    assert pairs[0, None] >= 3
+
+
+def mixture_scores(tokens, train):
+    """Each text's score restated over plain counts: weights from the fold under the rest's, then the mixture."""
+    def counts(ids):
+        pairs = Counter(p for i in ids for p in itertools.pairwise([0, *tokens[i]]))
+        c = Counter(w for i in ids for w in tokens[i])
+        return pairs, c, c + Counter({0: len(ids)}), sum(c.values()), len(c)
+
+    def steps(top, bottom):  # a histogram cell: eighths of an octave below 1
+        return 1 + round(-math.log2(top / bottom) * 8) if top else 0
+    fold = [i for i in train if cases.crc(i, 7) == lm_scoring.FOLD]
+    pairs, c, context, n, _ = counts([i for i in train if i not in fold])
+    cells = Counter()
+    for i in fold:
+        for h, w in itertools.pairwise([0, *tokens[i]]):
+            cells[(context[h].bit_length() << 40) | (steps(pairs[h, w], context[h]) << 20) | steps(c[w], n)] += 1
+    pairs, c, context, n, v = counts(train)
+    weights = lm_scoring.learn_weights(cells, v)
+    out = {}
+    for i, ws in tokens.items():
+        out[i] = 0.0
+        for h, w in itertools.pairwise([0, *ws]):
+            a = weights[context[h].bit_length()]
+            out[i] += math.log10(a[0] * pairs[h, w] / max(context[h], 1) + a[1] * c[w] / n + a[2] / (v + 1))
+    return out
 
 
 def test_lm_mixture_is_a_distribution():

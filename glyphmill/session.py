@@ -85,6 +85,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         staged.unpersist()
 
 
+#: Row groups of scratch tables: a writer or reader holds one, texts and all.
+ROW_GROUP_BYTES = 32 << 20
+
+
 def save_scratch(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a parquet table in the shared checkpoint folder and read it back.
 
@@ -94,7 +98,7 @@ def save_scratch(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{checkpoint_dir(spark).rstrip('/')}/glyphmill-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -128,13 +132,18 @@ def drop_bucketed(spark: SparkSession, name: str) -> None:
     spark.sql(f"DROP TABLE {name}")
 
 
+#: Allocator settings of Python workers: arrays from 4 MB on are mapped on their own, few arenas.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20),
+                 "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
 _PKG_PARENT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def ensure_worker_import(spark: SparkSession) -> None:
     """Let Python workers import this package (needed by the Arrow jobs), one BLAS thread per task cpu.
 
-    Adds the package's parent folder to the PYTHONPATH handed to Python workers.
+    A worker gives large arrays back to the system when they are freed, so that one that waits
+    for its next task holds little.  Adds the package's parent folder to the PYTHONPATH handed to Python workers.
     On a cluster the package is normally shipped with ``--py-files``; this only
     covers sessions started without it (local runs, tests).
     """
@@ -149,3 +158,6 @@ def ensure_worker_import(spark: SparkSession) -> None:
     for var in ("OPENBLAS_NUM_THREADS", "OMP_NUM_THREADS", "MKL_NUM_THREADS"):
         if var not in env and var not in os.environ:
             env[var] = task_cpus
+    for var, value in WORKER_MEMORY.items():
+        if var not in env and var not in os.environ:
+            env[var] = value

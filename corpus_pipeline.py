@@ -5,8 +5,8 @@ writes each stage's rows as Parquet in the shared scratch folder and reads them
 
 Language ID learns from the documents themselves and drops what has no language.  Exact and
 near dedup drop all but one row of each group, also where ids are repeated or null.  Mixing
-repeats or drops documents so that sources meet their target weights; there rows with equal
-ids share one decision.  Packing cuts the mix into sequences.
+repeats or drops documents so that sources meet their target weights, each row by a decision of
+its own, whatever its id.  Packing cuts the mix into sequences.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.llm import exact_dedup, langid, minhash, mixing, packing
-from glyphmill.llm.common import documents, null_safe_join, own_ids, residue, save, whole_rows, without
+from glyphmill.llm.common import documents, own_ids, residue, save, without
 from glyphmill.llm.queries import tokenizer_path
 
 
@@ -40,10 +40,12 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    copies = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")).filter("_copies > 0")
+    rows = own_ids(docs)
+    mixed = mixing.mix(rows.select(F.col("_id").alias("doc_id"), "_row.text", "_row.source"))
+    copies = mixed.select(F.col("doc_id").alias("_id"), F.col("copies").cast("int").alias("_copies")).filter("_copies > 0")
     # a row a document: never small where it matters, so the same join at every size
-    taken = null_safe_join(whole_rows(docs), save(copies, "mix-copies").hint("merge"), ["doc_id"])
-    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")
+    taken = rows.join(save(copies, "mix-copies").hint("merge"), "_id")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

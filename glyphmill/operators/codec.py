@@ -211,21 +211,28 @@ def map_tokens(df: DataFrame, ids: DataFrame, tokens_col: str = "tokens") -> Dat
     ``MAX_PACKED_BYTES`` is refused, and a code without an id is an error.
     """
     keep = [c for c in df.columns if c != tokens_col]
-    spark = df.sparkSession
-    ensure_worker_import(spark)
+    ensure_worker_import(df.sparkSession)
+
+    def mapped(column: pa.Array, known) -> pa.Array:
+        flat, offs = packed.flat_lists(column)
+        return packed.list_column(to_ids(flat.to_numpy(zero_copy_only=False).astype(np.int64), known), offs, column.is_valid())
+
+    return _mapped(df, broadcast_ids(ids), mapped, tokens_col, tokens_col, keep)
+
+
+def broadcast_ids(ids: DataFrame):
+    """``ids(code, tok_idx)`` as two arrays in code order; a larger table than ``MAX_PACKED_BYTES`` is refused."""
     n_ids = ids.count()
     if 16 * n_ids > MAX_PACKED_BYTES:
         raise ValueError(f"{n_ids} model ids are more than one broadcast may hold")
     found = ids.select(F.col("code").cast("bigint"), F.col("tok_idx").cast("bigint")).toArrow().sort_by("code")
-    bc = spark.sparkContext.broadcast((found.column("code").to_numpy(), found.column("tok_idx").to_numpy()))
+    return ids.sparkSession.sparkContext.broadcast((found.column("code").to_numpy(), found.column("tok_idx").to_numpy()))
 
-    def mapped(column: pa.Array, known) -> pa.Array:
-        codes, idx = known
-        flat, offs = packed.flat_lists(column)
-        flat = flat.to_numpy(zero_copy_only=False).astype(np.int64)
-        at = np.minimum(np.searchsorted(codes, flat), max(0, len(codes) - 1))
-        if len(flat) and not (len(codes) and (codes[at] == flat).all()):
-            raise ValueError("token code without a model id")
-        return packed.list_column(idx[at] if len(flat) else flat, offs, column.is_valid())
 
-    return _mapped(df, bc, mapped, tokens_col, tokens_col, keep)
+def to_ids(flat: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Model ids of codes; a code without one is an error."""
+    codes, idx = known
+    at = np.minimum(np.searchsorted(codes, flat), max(0, len(codes) - 1))
+    if len(flat) and not (len(codes) and (codes[at] == flat).all()):
+        raise ValueError("token code without a model id")
+    return idx[at] if len(flat) else flat

@@ -7,12 +7,15 @@ windows come from ``sequence``/``slice``, random starts from a seeded md5 of
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphmill.session import cut_lineage
+from glyphmill.operators import codec, packed
+from glyphmill.session import cut_lineage, ensure_worker_import
 from glyphmill.sources.corpus import read_corpus, seeded_hash_key, seeded_uint32
 
 # Defaults of the reference trainer (fixed values).
@@ -51,15 +54,17 @@ def sample_windows(encoded: DataFrame, sample_size: int = SAMPLE_SIZE, seed: int
     wins = (base.select(*keys, tokens_col, "_len", F.explode_outer(ks).alias("k"))
             .filter(F.col("k").isNotNull()))
     sl = F.least(F.lit(sample_size), F.col("_len"))
+    if not keep_short:
+        # reads k as well, so that it stays above the explode; size(x) would cut every window twice
+        wins = wins.filter(F.when(F.col("k") >= 0, sl > 1).otherwise(False))
     span = F.col("_len") - sl
     start = F.when(span <= 0, F.lit(0)).otherwise(
         F.pmod(seeded_uint32(seed, *keys, "k"), span)).cast("int")
     wins = wins.withColumn("sample_len", sl.cast("int")).withColumn("start_idx", start)
-    out = wins.select(
+    return wins.select(
         *keys, F.col("k").cast("int").alias("k"), "start_idx", "sample_len",
         F.slice(tokens_col, F.col("start_idx") + 1, F.col("sample_len") - 1).alias("x"),
         F.slice(tokens_col, F.col("start_idx") + 2, F.col("sample_len") - 1).alias("y"))
-    return out if keep_short else out.filter(F.size("x") > 0)
 
 
 def sample_summary(windows: DataFrame, n_samples: int = N_SAMPLES) -> DataFrame:
@@ -82,6 +87,76 @@ def pair_counts(samples: DataFrame, keys: list[str] | None = None) -> DataFrame:
             .groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("n")))
 
 
+def window_pairs(samples: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """P06 of each window in its own row: ``x, y`` become its distinct pairs ``xs, ys`` and their counts ``ns``.
+
+    All pairs of a window are in its row, so they are counted in the map task and nothing is shuffled.
+    ``y`` is ``x`` a place on (L03), so only its last token travels with ``x``.  ``ids(code, tok_idx)`` turns codes into model ids (E06) on
+    the way; a code without one is an error.  Other columns stay.
+    """
+    ensure_worker_import(samples.sparkSession)
+    keep = [c for c in samples.columns if c not in ("x", "y")]
+    known = None if ids is None else codec.broadcast_ids(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in codec._slices(batch, "x"):
+                x, offs = packed.flat_lists(rows.column("x"))
+                x, last = (v.to_numpy(zero_copy_only=False).astype(np.int64) for v in (x, rows.column("_last").drop_null()))
+                if known is not None:
+                    x, last = codec.to_ids(x, known.value), codec.to_ids(last, known.value)
+                y = np.append(x[1:], x[:1])
+                y[offs[1:][np.diff(offs) > 0] - 1] = last
+                row = np.repeat(np.arange(rows.num_rows), np.diff(offs))
+                row, x, y, n = counted_pairs(x, y, np.ones(len(x), np.int64), row)
+                ends = np.searchsorted(row, np.arange(rows.num_rows + 1))
+                yield pa.RecordBatch.from_arrays([rows.column(c) for c in keep] + [packed.list_column(v, ends) for v in (x, y, n)],
+                                                 names=[*keep, "xs", "ys", "ns"])
+
+    shifted = samples.select(*keep, "x", F.when(F.size("x") > 0, F.element_at("y", -1)).alias("_last"))
+    return shifted.mapInArrow(run, codec._schema_with(samples, keep, "xs array<bigint>, ys array<bigint>, ns array<bigint>"))
+
+
+def counted_pairs(x: np.ndarray, y: np.ndarray, n: np.ndarray, row: np.ndarray | None = None):
+    """(row, x, y, n) with the counts of equal (row, x, y) added up, in that order."""
+    if not len(x):
+        return np.zeros(0, np.int64), x, y, n
+    row = np.zeros(len(x), np.int64) if row is None else row
+    if max(x.max(), y.max()) < 1 << 21 and row[-1] < 1 << 20:      # all characters and 983,000 tokens: one sort
+        key = row << 42 | x << 21 | y
+        order = np.argsort(key) if n.max() > 1 else None
+        key = np.sort(key) if order is None else key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        counts = np.diff(np.append(first, len(key))) if order is None else np.add.reduceat(n[order], first)
+        key = key[first]
+        return key >> 42, key >> 21 & 0x1FFFFF, key & 0x1FFFFF, counts.astype(np.int64)
+    pairs, at = np.unique(x << 32 | y, return_inverse=True)        # ids and codes are below 2**31
+    found, back = np.unique(row * len(pairs) + at, return_inverse=True)
+    pair = pairs[found % len(pairs)]
+    return found // len(pairs), pair >> 32, pair & 0xFFFFFFFF, np.bincount(back, n).astype(np.int64)
+
+
+def total_pairs(windows: DataFrame) -> DataFrame:
+    """P06 over all rows of ``window_pairs``: ``(x, y, n)``, combined in the map task before the shuffle."""
+    ensure_worker_import(windows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, n = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("xs", "ys", "ns"))
+            _, x, y, n = counted_pairs(x, y, n)
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(n)], names=["x", "y", "n"])
+
+    found = windows.select("xs", "ys", "ns").mapInArrow(run, "x bigint, y bigint, n bigint")
+    return found.groupBy("x", "y").agg(F.sum("n").alias("n"))
+
+
+def exploded_pairs(windows: DataFrame) -> DataFrame:
+    """Rows of ``window_pairs`` as a row a pair: other columns, ``x, y, n``."""
+    keep = [c for c in windows.columns if c not in ("xs", "ys", "ns")]
+    rows = windows.select(*keep, F.explode(F.arrays_zip("xs", "ys", "ns")).alias("p"))
+    return rows.select(*keep, F.col("p.xs").alias("x"), F.col("p.ys").alias("y"), F.col("p.ns").alias("n"))
+
+
 def global_index(df: DataFrame, order_cols: list[str], weight_col: str | None = None) -> DataFrame:
     """Exclusive running total of ``weight_col`` (or row count) in ``order_cols`` order.
 

@@ -770,19 +770,17 @@ def q_next_token(spark, d):
 
 
 def _scored_windows(spark, d):
-    """Windows, their pair counts by (doc_id, k) in model ids, and per-pair terms.
-
-    The pair counts are the only pass over positions and are stored once.
-    """
+    """Windows with their pair counts in model ids, stored once, and per-pair terms."""
     toks, mv, emb = _model(spark, d)
-    wins = samples.sample_windows(toks, SAMPLE_SIZE, SEED)
-    pairs = save_scratch(_to_idx(samples.pair_counts(wins, ["doc_id", "k"]), mv, ["x", "y"]), "window-pairs")
-    terms = scoring.pair_terms(pairs.groupBy("x", "y").agg(F.sum("n").alias("n")), emb, emb)
-    return wins, pairs, terms
+    wins = save_scratch(samples.window_pairs(samples.sample_windows(toks, SAMPLE_SIZE, SEED), mv), "window-pairs")
+    totals = save_scratch(samples.total_pairs(wins), "pairs")
+    return wins, save_scratch(scoring.pair_terms(totals, emb, emb), "terms")
 
 
 def q_pair_loss(spark, d):
-    _, _, terms = _scored_windows(spark, d)
+    toks, mv, emb = _model(spark, d)
+    wins = samples.window_pairs(samples.sample_windows(toks, SAMPLE_SIZE, SEED), mv)
+    terms = scoring.pair_terms(save_scratch(samples.total_pairs(wins), "pairs"), emb, emb)
     return terms.select("x", "y", "n", _r(F.col("term")).alias("term"))
 
 
@@ -794,8 +792,8 @@ def _metrics(losses, index):
 
 
 def q_batch_metrics(spark, d):
-    wins, pairs, terms = _scored_windows(spark, d)
-    losses = scoring.losses_from_terms(pairs, terms, ["doc_id", "k"])
+    wins, terms = _scored_windows(spark, d)
+    losses = scoring.losses_from_windows(wins, terms, ["doc_id", "k"])
     return _metrics(losses, samples.limit_samples(wins.select("doc_id", "k"), None, BATCH))
 
 
@@ -812,9 +810,10 @@ def q_trained_tokens_loss(spark, d):
     params = save_scratch(training.init_params(spark, shape, SEED), "params")
     emb, unemb = (params.filter(F.col("tensor") == t).select(F.col("row").alias("idx"), "vec")
                   for t in ("embed", "unembed"))
-    wins = samples.sample_windows(toks, SAMPLE_SIZE, SEED)
-    pairs = save_scratch(_to_idx(samples.pair_counts(wins, ["doc_id", "k"]), mv, ["x", "y"]), "window-pairs")
-    losses = scoring.losses_from_pairs(pairs, emb, unemb, ["doc_id", "k"])
+    wins = save_scratch(samples.window_pairs(samples.sample_windows(toks, SAMPLE_SIZE, SEED), mv), "window-pairs")
+    totals = save_scratch(samples.total_pairs(wins), "pairs")
+    terms = save_scratch(scoring.pair_terms(totals, emb, unemb), "terms")
+    losses = scoring.losses_from_windows(wins, terms, ["doc_id", "k"])
     return _metrics(losses, samples.limit_samples(wins.select("doc_id", "k"), None, BATCH))
 
 
@@ -1170,8 +1169,8 @@ FROM tot LEFT JOIN loss USING (item_id)
 
 def q_sample_log(spark, d):
     """Per sample -- doc, global index, start, end, length, loss."""
-    wins, pairs, terms = _scored_windows(spark, d)
-    losses = scoring.losses_from_terms(pairs, terms, ["doc_id", "k"])
+    wins, terms = _scored_windows(spark, d)
+    losses = scoring.losses_from_windows(wins, terms, ["doc_id", "k"])
     idx = samples.limit_samples(wins.select("doc_id", "k"), None, BATCH)
     return (wins.select("doc_id", "k", "start_idx", "sample_len")
             .join(idx.select("doc_id", "k", "i"), ["doc_id", "k"])

@@ -150,6 +150,14 @@ def total_pairs(windows: DataFrame) -> DataFrame:
     return found.groupBy("x", "y").agg(F.sum("n").alias("n"))
 
 
+def merged_pairs(per_sample: DataFrame, keys: list[str]) -> DataFrame:
+    """Pair counts ``(keys, x, y, n)``, or rows of ``window_pairs``, as one row ``(keys, xs, ys, ns)`` a sample."""
+    if "xs" in per_sample.columns:
+        return per_sample.groupBy(*keys).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("xs", "ys", "ns")])
+    found = per_sample.groupBy(*keys).agg(F.collect_list(F.struct("x", "y", "n")).alias("p"))
+    return found.select(*keys, F.col("p.x").alias("xs"), F.col("p.y").alias("ys"), F.col("p.n").alias("ns"))
+
+
 def exploded_pairs(windows: DataFrame) -> DataFrame:
     """Rows of ``window_pairs`` as a row a pair: other columns, ``x, y, n``."""
     keep = [c for c in windows.columns if c not in ("xs", "ys", "ns")]

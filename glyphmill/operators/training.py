@@ -49,8 +49,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions.vectors import BIGE, SMOL
-from glyphmill.operators import scoring, vector_ops
-from glyphmill.session import drop_bucketed, drop_scratch, ensure_worker_import, save_bucketed, save_scratch
+from glyphmill.operators import samples, scoring, vector_ops
+from glyphmill.session import drop_bucketed, drop_scratch, ensure_worker_import, save_bucketed, save_scratch, scratch_root
 from glyphmill.sources.corpus import path_exists, seeded_uint32
 
 PARAM_SCHEMA = "tensor string, block int, row bigint, vec array<double>"
@@ -205,34 +205,43 @@ def _gradients(tensor: str, rows: np.ndarray, values: np.ndarray) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([*found.columns, pa.nulls(len(rows), pa.list_(pa.int64()))], names=["tensor", "row", "vec", "ys"])
 
 
-def round_pass(batch: DataFrame, validation: DataFrame | None, params: DataFrame, chunks: scoring.UnembedChunks) -> DataFrame:
-    """The pass of step 2 over the pairs ``(x, y, n)`` of a batch; validation pairs add losses but no gradient."""
+def round_pass(batch: DataFrame, validation: DataFrame | None, params: DataFrame, chunks: scoring.UnembedChunks,
+               one_task: bool = False) -> DataFrame:
+    """The pass of step 2 over the pairs ``(x, y, n)`` of a batch; validation pairs add losses but no gradient.
+
+    ``one_task``: batch and parameters are small enough that a shuffle would cost more than it spreads.
+    """
     ensure_worker_import(batch.sparkSession)
     pairs = batch.select("x", "y", "n")
     if validation is not None:
         pairs = pairs.unionByName(validation.select("x", "y", F.lit(0).cast("bigint").alias("n")))
-    pairs = pairs.groupBy("x", "y").agg(F.sum("n").alias("n"))
+    pairs = _fitted(pairs, one_task).groupBy("x", "y").agg(F.sum("n").alias("n"))
     known = (F.col("y") >= chunks.lo) & (F.col("y") <= chunks.hi)
     y = F.when(known, F.col("y")).otherwise(F.raise_error(
         F.concat(F.lit("gradient: no model row for id "), F.col("y").cast("string"))))
     # one list entry per distinct next token of a current token: at most V of them
     per_x = (pairs.select("x", y.alias("y"), "n").groupBy("x")
              .agg(F.sum("n").alias("nx"), F.collect_list(F.struct("y", "n")).alias("yn")))
-    embed = params.filter(F.col("tensor") == "embed").select(F.col("row").alias("x"), F.col("vec").alias("evec"))
+    embed = _fitted(params.filter(F.col("tensor") == "embed").select(F.col("row").alias("x"), F.col("vec").alias("evec")), one_task)
     per_x = scoring.required(per_x, embed, "x", "evec", "gradient").select(
         "x", "nx", "evec", F.col("yn.y").alias("ys"), F.col("yn.n").alias("ns"))
     widest = max(width for _, width, _ in chunks.parts)
     return per_x.mapInArrow(_round_fn(chunks.parts, scoring.slice_rows(widest)), _ROUND_SCHEMA)
 
 
-def round_losses(found: DataFrame, batch: DataFrame, validation: DataFrame | None) -> list:
+def _fitted(df: DataFrame, one_task: bool) -> DataFrame:
+    """A single partition needs no exchange for the grouping and joins that follow."""
+    return df.coalesce(1) if one_task else df
+
+
+def round_losses(found: DataFrame, batch: DataFrame, validation: DataFrame | None, one_task: bool = False) -> list:
     """[(avg, min, max, count) of the batch's samples, the same of the validation samples], in one job."""
     terms = found.filter("tensor IS NULL").select(F.col("row").alias("x"), F.explode(F.arrays_zip("ys", "vec")).alias("t")).select(
         "x", F.col("t.ys").alias("y"), F.col("t.vec").alias("term"))
     rows = batch.select(F.lit(0).alias("part"), "doc_id", "k", "x", "y", "n")
     if validation is not None:
         rows = rows.unionByName(validation.select(F.lit(1).alias("part"), "doc_id", F.lit(0).alias("k"), "x", "y", "n"))
-    losses = scoring.losses_from_terms(rows, terms, ["part", "doc_id", "k"])
+    losses = scoring.losses_from_terms(_fitted(rows, one_task), _fitted(terms, one_task), ["part", "doc_id", "k"])
     got = {r["part"]: r for r in losses.groupBy("part").agg(
         F.avg("loss").alias("avg"), F.min("loss").alias("min"), F.max("loss").alias("max"), F.count(F.lit(1)).alias("n")).collect()}
     return [got.get(0), got.get(1)]
@@ -277,6 +286,22 @@ def batch_gradients(pairs: DataFrame, params: DataFrame, z: DataFrame | None = N
     return vector_ops.sum_vectors(raw.withColumn("block", F.lit(-1)), ["tensor", "block", "row"], "vec", "vec")
 
 
+#: Pairs of a batch (a thousand windows of a thousand tokens hold at most a million) that one task handles.
+ONE_TASK_PAIRS = 2_000_000
+#: Bytes of parameters in a hash bucket of a round's tables.
+BUCKET_BYTES = 8 << 20
+
+
+def param_buckets(spark: SparkSession, chunks: scoring.UnembedChunks) -> int:
+    """Hash buckets of the parameters by their size, so that a small model's rounds are not all task starts."""
+    size = 2 * 8 * (chunks.hi - chunks.lo + 1) * chunks.width
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES)))
+
+
+def _unembed_chunks(params: DataFrame, like: scoring.UnembedChunks | None = None) -> scoring.UnembedChunks:
+    return scoring.UnembedChunks(params.filter(F.col("tensor") == "unembed").select(F.col("row").alias("idx"), "vec"), like)
+
+
 @dataclass
 class TrainConfig:
     batch_size: int = 10
@@ -289,20 +314,19 @@ class TrainConfig:
 
 
 def write_training_pairs(per_sample: DataFrame, batch_ids: DataFrame) -> DataFrame:
-    """Join per-sample pair counts to batch ids and write them sorted by ``batch_id``.
+    """Join per-sample pair counts to batch ids and write a row ``(doc_id, k, xs, ys, ns)`` a sample.
 
-    The scratch table is range-partitioned and sorted by batch, so each round's
-    ``batch_id = b`` filter is pushed into the scan and skips other row groups.
+    A batch has a folder of its own, so a round lists and reads its own files only.
     """
-    tagged = per_sample.join(batch_ids, ["doc_id", "k"])
-    return save_scratch(tagged.repartitionByRange("batch_id").sortWithinPartitions("batch_id"), "pairs")
+    tagged = samples.merged_pairs(per_sample, ["doc_id", "k"]).join(batch_ids, ["doc_id", "k"])
+    return save_scratch(tagged.repartitionByRange("batch_id").sortWithinPartitions("batch_id"), "pairs", "batch_id")
 
 
 def train(per_sample_pairs: DataFrame, batch_ids: DataFrame, params: DataFrame,
           cfg: TrainConfig, val_pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The batch loop.  Returns (final params, metrics per batch).
 
-    ``per_sample_pairs(doc_id, k, x, y, n)`` in model ids; ``batch_ids(doc_id, k,
+    ``per_sample_pairs(doc_id, k, x, y, n)`` or rows of ``samples.window_pairs`` in model ids; ``batch_ids(doc_id, k,
     batch_id, complete)`` from ``samples.limit_samples``.  Per batch: train loss
     avg/min/max (L08), validation loss before the update (L09), gradient norm,
     then scale 1/B, clip and update with ``lr * B``.  Only complete batches are
@@ -322,25 +346,31 @@ def train(per_sample_pairs: DataFrame, batch_ids: DataFrame, params: DataFrame,
     applied = batch_ids.filter("complete").select("doc_id", "k", "batch_id")
     pairs_tbl = write_training_pairs(per_sample_pairs, applied)
     val_tbl = None if val_pairs is None else save_scratch(val_pairs, "validation")
-    n_batches = pairs_tbl.agg(F.max("batch_id")).first()[0]
-    n_batches = -1 if n_batches is None else int(n_batches)
+    # a row a round, as the metrics
+    n_pairs = {r["batch_id"]: r["n"] for r in pairs_tbl.groupBy("batch_id").agg(F.sum(F.size("xs")).alias("n")).collect()}
+    n_batches = max(n_pairs, default=-1)
     if cfg.max_batches is not None:
         n_batches = min(n_batches, cfg.max_batches - 1)
     metrics, begun, logged = [], 0, 0
     if cfg.resume and cfg.output_dir and (last := last_commit(spark, cfg)) is not None:
         metrics, params, begun = committed_metrics(spark, cfg), spark.read.parquet(_round_path(cfg.output_dir, last)), last + 1
         logged = len(metrics)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks = _unembed_chunks(params)
+    buckets = param_buckets(spark, chunks)
+    pairs_root, sample = scratch_root(pairs_tbl), pairs_tbl.drop("batch_id").schema
     params, held = save_bucketed(params.select("tensor", "block", "row", "vec").repartition(buckets, *vector_ops.PARAM_KEYS),
                                  vector_ops.PARAM_KEYS, buckets)
     for b in range(begun, n_batches + 1):
         t0 = time.time()
-        rows = pairs_tbl.filter(F.col("batch_id") == b).drop("batch_id")
-        chunks = scoring.UnembedChunks(params.filter(F.col("tensor") == "unembed").select(F.col("row").alias("idx"), "vec"))
-        found = save_scratch(round_pass(rows, val_tbl, params, chunks), "round")
-        m, v = round_losses(found, rows, val_tbl)
+        rows = spark.read.schema(sample).parquet(f"{pairs_root}/batch_id={b}")
+        if b > begun:
+            chunks = _unembed_chunks(params, chunks)
+        small = buckets == 1 and n_pairs.get(b, 0) <= ONE_TASK_PAIRS
+        batch = samples.exploded_pairs(_fitted(rows, small))
+        found = save_scratch(round_pass(batch, val_tbl, params, chunks, small), "round")
+        m, v = round_losses(found, batch, val_tbl, small)
         val = None if v is None else v["avg"]
-        raw = found.filter("tensor IS NOT NULL").select("tensor", F.lit(-1).alias("block"), "row", "vec")
+        raw = _fitted(found, small).filter("tensor IS NOT NULL").select("tensor", F.lit(-1).alias("block"), "row", "vec")
         grads, grad_table = save_bucketed(vector_ops.scale_vectors(vector_ops.sum_vectors(
             raw, vector_ops.PARAM_KEYS, "vec", "vec"), 1.0 / cfg.batch_size), vector_ops.PARAM_KEYS, buckets)
         norm = vector_ops.global_l2_norm(grads).first()[0]

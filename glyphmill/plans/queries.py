@@ -1053,9 +1053,8 @@ def _training_set(spark, d):
     """Pairs and batch ids of all windows, validation pairs and seeded parameters, on character tokens."""
     from glyphmill.operators import training
     toks, mv, _ = _model(spark, d)
-    wins = samples.sample_windows(toks, SAMPLE_SIZE, SEED)
-    per_sample = _to_idx(samples.pair_counts(wins, ["doc_id", "k"]), mv, ["x", "y"])
-    batch_ids = samples.limit_samples(wins.select("doc_id", "k"), None, TRAIN_BATCH)
+    per_sample = save_scratch(samples.window_pairs(samples.sample_windows(toks, SAMPLE_SIZE, SEED), mv), "window-pairs")
+    batch_ids = samples.limit_samples(per_sample.select("doc_id", "k"), None, TRAIN_BATCH)
     val = samples.validation_set(toks, TRAIN_BATCH, SAMPLE_SIZE, SEED)
     val_pairs = _to_idx(samples.pair_counts(val, ["doc_id"]), mv, ["x", "y"])
     params = training.init_params(spark, training.ModelShape(vocab_size=mv.count(), embed_dim=TRAIN_EMBED), SEED)

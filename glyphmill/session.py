@@ -89,27 +89,40 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 ROW_GROUP_BYTES = 32 << 20
 
 
-def save_scratch(df: DataFrame, name: str) -> DataFrame:
+def save_scratch(df: DataFrame, name: str, folder_by: str | None = None) -> DataFrame:
     """Write ``df`` as a parquet table in the shared checkpoint folder and read it back.
 
+    ``folder_by`` names a column whose every value gets a folder of its own (``scratch_root``).
+
     Like ``cut_lineage``, but the table can be dropped by ``drop_scratch`` as soon as
     no later step reads it, so loops leave nothing behind.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{checkpoint_dir(spark).rstrip('/')}/glyphmill-{uuid.uuid4().hex}/{name}"
-    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    writer = df.write.option("parquet.block.size", ROW_GROUP_BYTES)
+    (writer.partitionBy(folder_by) if folder_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_root(df: DataFrame) -> str | None:
+    """The folder of a table made by ``save_scratch``; None when it has no file."""
+    for file in df.inputFiles():
+        parts = file.split("/")
+        at = [i for i, part in enumerate(parts) if part.startswith("glyphmill-")]
+        if at:
+            return "/".join(parts[:at[-1] + 2])
+    return None
+
+
 def drop_scratch(df: DataFrame) -> None:
     """Delete a table made by ``save_scratch`` (its whole folder), through Spark's file systems."""
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0].rpartition("/")[0] for f in df.inputFiles()}:
-        if folder.rpartition("/")[2].startswith("glyphmill-"):
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    root = scratch_root(df)
+    if root is not None:
+        path = jvm.org.apache.hadoop.fs.Path(root.rpartition("/")[0])
+        path.getFileSystem(conf).delete(path, True)
 
 
 def save_bucketed(df: DataFrame, keys: list[str], buckets: int) -> tuple[DataFrame, str]:

@@ -14,10 +14,21 @@ aggregate, so it cannot skew the second shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions.text import char_array, legal, nseq_windows, segments
+from glyphmill.operators import packed
+from glyphmill.session import ensure_worker_import
+
+#: Code points whose windows a task counts at once; a longer text is counted alone.
+SLICE_CHARS = 1 << 19
 
 
 def segment_counts(corpus: DataFrame, scope: str = "corpus") -> DataFrame:
@@ -42,6 +53,64 @@ def nseq_counts(corpus: DataFrame, n: int, scope: str = "corpus", min_count: int
     if n < 1:
         raise ValueError("n must be >= 1")
     keys = _scope_keys(scope)
+    if keys:
+        # null keys are one group, as for groupBy
+        repeated = corpus.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
+        if repeated.isEmpty():
+            return row_counts(corpus, keys, n, min_count, legal_only)
+        repeated = repeated.select(*[F.col(k).alias(f"_{k}") for k in keys])
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+        alone = row_counts(corpus.join(repeated, same, "left_anti"), keys, n, min_count, legal_only)
+        return alone.unionByName(_grouped_counts(corpus.join(repeated, same, "left_semi"), keys, n, min_count, legal_only))
+    return _grouped_counts(corpus, keys, n, min_count, legal_only)
+
+
+def row_counts(corpus: DataFrame, keys: list[str], n: int, min_count: int = 2, legal_only: bool = True) -> DataFrame:
+    """``nseq_counts`` of rows whose keys no other row has: counted in the map task, nothing is shuffled.
+
+    A window that crosses a segment's border is not legal, so whole texts are counted.
+    """
+    ensure_worker_import(corpus.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, lo = np.cumsum(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(), dtype=np.int64), 0
+            while lo < batch.num_rows:
+                before = ends[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, before + SLICE_CHARS, side="right")))
+                rows, lo = batch.slice(lo, hi - lo), hi
+                row, nseq, cnt = _counted_windows(pc.fill_null(rows.column("text"), ""), n, min_count)
+                yield pa.RecordBatch.from_arrays([*(rows.column(k).take(pa.array(row)) for k in keys), nseq, pa.array(cnt)],
+                                                 names=[*keys, "nseq", "cnt"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for k in keys for f in corpus.schema.fields if f.name == k)
+    found = corpus.select(*keys, "text").mapInArrow(run, f"{fields}, nseq string, cnt bigint")
+    return found.filter(legal(F.col("nseq"))) if legal_only else found
+
+
+def _counted_windows(texts: pa.Array, n: int, min_count: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(row, window text, count) of the windows that a text holds ``min_count`` times or more."""
+    codes, offs = packed.char_codes(texts)
+    starts = packed.window_starts(offs, n)
+    row = np.searchsorted(offs, starts, side="right") - 1
+    ids = codes[starts]
+    for j in range(1, n):
+        if j > 1:
+            ids = np.unique(ids, return_inverse=True)[1]
+        ids = ids << 21 | codes[starts + j]
+    ids = np.unique(ids, return_inverse=True)[1]
+    key = row * (int(ids.max(initial=0)) + 1) + ids
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    cnt = np.diff(np.append(first, len(key)))
+    at = order[first[cnt >= min_count]]
+    windows = codes[starts[at][:, None] + np.arange(n)].reshape(-1)
+    return row[at], packed.texts_of(windows, np.arange(len(at) + 1) * n), cnt[cnt >= min_count].astype(np.int64)
+
+
+def _grouped_counts(corpus: DataFrame, keys: list[str], n: int, min_count: int, legal_only: bool) -> DataFrame:
+    """``nseq_counts`` by grouping: for the whole corpus, and for keys on several rows."""
     if not legal_only:
         # windows may cross any border: the whole text, one aggregate
         texts, freq = corpus.select(*keys, F.col("text").alias("segment")), F.count(F.lit(1))
@@ -50,7 +119,7 @@ def nseq_counts(corpus: DataFrame, n: int, scope: str = "corpus", min_count: int
         texts = corpus.select(*keys, F.explode(segments(F.col("text"))).alias("segment"))
         freq = F.count(F.lit(1))
     else:
-        texts, freq = segment_counts(corpus, scope), F.sum("freq")
+        texts, freq = segment_counts(corpus), F.sum("freq")
     texts = texts.filter(F.length("segment") >= n)
     rest = [c for c in texts.columns if c != "segment"]
     wins = texts.select(*rest, F.explode(nseq_windows(char_array(F.col("segment")), n)).alias("w"))

@@ -144,6 +144,14 @@ def char_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.concatenate([[0], np.cumsum(sizes)])
 
 
+def texts_of(codes: np.ndarray, offs: np.ndarray) -> pa.Array:
+    """Strings of the code points between offsets: the inverse of :func:`char_codes`."""
+    data = codes.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8")
+    widths = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+    ends = np.concatenate([[0], np.cumsum(widths, dtype=np.int64)])[offs]
+    return pa.StringArray.from_buffers(len(offs) - 1, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data))
+
+
 def flat_lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The elements of a list column and offsets into them; a null list is empty."""
     sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -62,17 +62,39 @@ def decode_fn(bc, codes_col: str, out_col: str, keep: list[str]):
     """mapInArrow body: ``codes ARRAY<BIGINT>`` -> text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = bc.value["texts"]
+        known = token_texts(bc.value["texts"])
         for batch in batches:
-            seqs = batch.column(codes_col).to_pylist()
-            out = [None if seq is None else "".join(
-                texts[c] if c >= TOK_ID_OFFSET else chr(c) for c in seq) for seq in seqs]
-            cols = [batch.column(c) for c in keep] + [pa.array(out, type=pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=keep + [out_col])
+            for rows in _slices(batch, codes_col):
+                cols = [rows.column(c) for c in keep] + [decoded(rows.column(codes_col), *known)]
+                yield pa.RecordBatch.from_arrays(cols, names=keep + [out_col])
 
     return run
 
 
+def token_texts(texts: dict[int, str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A vocabulary's codes in order, the code points of their texts one behind the other, and where each begins."""
+    codes = np.array(sorted(texts), np.int64)
+    return codes, *packed.char_codes(pa.array([texts[c] for c in codes.tolist()], pa.string()))
+
+
+def decoded(column: pa.Array, codes: np.ndarray, points: np.ndarray, begins: np.ndarray) -> pa.Array:
+    """Texts of a list column of codes, without a Python object a code; a null list stays null."""
+    flat, offs = packed.flat_lists(column)
+    flat = flat.to_numpy(zero_copy_only=False).astype(np.int64)
+    token = flat >= TOK_ID_OFFSET
+    at = np.searchsorted(codes, flat[token])
+    if len(at) and not (len(codes) and (codes[np.minimum(at, len(codes) - 1)] == flat[token]).all()):
+        raise KeyError("token code that the vocabulary lacks")
+    sizes = np.ones(len(flat), np.int64)
+    sizes[token] = np.diff(begins)[at]
+    out = np.empty(int(sizes.sum()), np.int64)
+    of_token = np.repeat(token, sizes)
+    out[of_token] = packed.gather(points, begins, at)[0]
+    out[~of_token] = flat[~token]
+    texts = packed.texts_of(out, np.concatenate([[0], np.cumsum(sizes)])[offs])
+    return pc.if_else(column.is_valid(), texts, pa.scalar(None, pa.string())) if column.null_count else texts
+
+
 def _schema_with(df: DataFrame, keep: list[str], extra: str) -> str:
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields
               if f.name in keep]

@@ -10,11 +10,13 @@
 4. Where a bucket still lies in several components, the texts outside its largest one meet all
    of the bucket in tiles of bounded size.  A tile estimates similarity from the packed bits by
    bit counts, corrected for chance collisions; what is far below the threshold falls (``SLACK``
-   is more than five standard deviations).  Of the rest only a text's ``BEST`` likeliest pairs
-   across components leave the task.  Where there were more, rounds with ``GROWTH`` times as many
-   follow until no pair across components is left out: a linked text is soon inside, so only
-   texts that near misses surround go on.
-5. Likely pairs are confirmed on the full sets; links give components by star contraction.
+   is more than five standard deviations).  Of the rest a text's ``BEST`` likeliest pairs across
+   components leave the task, and are confirmed on the full sets like the hubs' pairs.
+5. Texts with further likely pairs across components meet once more, with their full sets: the
+   task itself tests every likely pair whose texts its links have not joined yet, and gives the
+   links that join components, fewer than its texts.  So near misses, which can grow with the
+   square of a group, cost comparisons but leave no task.
+6. Links give components by star contraction.
 
 At the threshold a pair shares no band with probability (1 - 0.75^4)^32 < 6e-6.
 
@@ -45,10 +47,11 @@ BITS = 2
 #: Similarity in hundredths that links, and how far below it an estimate may lie.
 PERCENT = 75
 SLACK = 0.17
-#: Rows of a bucket's tile, and the pairs a text that leave it in the first round.
+#: Rows of a bucket's tile, and the pairs of a text that leave it.
 TILE = 4096
 BEST = 4
-GROWTH = 8
+#: Shingles of a tile whose full sets meet.
+SET_TILE = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _A = _rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -170,89 +173,175 @@ def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
                     & (estimate("bits_a", "bits_b") >= PERCENT / 100 - SLACK)).select("a", "b", "na", "nb")
 
 
-def _meet(best: int):
-    """Within each (bucket, tile pair) of a slot: each left row's ``best`` likeliest pairs across components.
+def _tile_turns(table: pa.Table):
+    """A slot's columns and its turns (left rows, right rows), each within one (bucket, tile pair)."""
+    table = table.sort_by([(c, "ascending") for c in ("bucket", "t", "u")])
+    keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("bucket", "t", "u")])
+    cols = {c: table.column(c).to_numpy() for c in ("id", "n", "comp")} | {"bucket": keys[0]}
+    n = len(cols["id"])
+    cols["bits"] = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(n, -1)
+    left = table.column("left").to_numpy(zero_copy_only=False).astype(bool)
+    cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), n]
+    turns = []
+    for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+        ours, theirs = x + np.flatnonzero(left[x:y]), x + np.flatnonzero(~left[x:y])
+        if len(ours) and len(theirs):
+            turns.append((ours, theirs))
+    return table, cols, turns
+
+
+def _able(cols: dict, rows: np.ndarray, theirs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which pairs sizes and packed bits allow, across components; agreeing minima)."""
+    chance = 2.0 ** -BITS
+    need = HASHES * ((PERCENT / 100 - SLACK) * (1 - chance) + chance) - 1e-6
+    bits, n, comp = cols["bits"], cols["n"], cols["comp"]
+    same = np.zeros((len(rows), len(theirs)), np.int16)
+    for w in range(_WORDS):
+        differ = np.zeros(same.shape, np.uint64)
+        for c in range(w, BITS * _WORDS, _WORDS):
+            differ |= bits[rows, c][:, None] ^ bits[theirs, c][None, :]
+        same += 64 - np.bitwise_count(differ).astype(np.int16)
+    na, nb = n[rows][:, None], n[theirs][None, :]
+    return ((same >= need) & (comp[rows][:, None] != comp[theirs][None, :])
+            & (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * PERCENT)), same
+
 
-    ``more`` marks a row that has further ones.
+def _nearest(best: int):
+    """Each left row's ``best`` likeliest pairs across components, and (``b`` null) the rows that have further ones.
+
+    Pairs with the bucket's hub were tried before.
     """
     def fn(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in ("bucket", "t", "u")])
-        keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("bucket", "t", "u")])
-        ids, n, comp = (table.column(c).to_numpy() for c in ("id", "n", "comp"))
-        left = table.column("left").to_numpy(zero_copy_only=False).astype(bool)
-        bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
-        chance = 2.0 ** -BITS
-        need = HASHES * ((PERCENT / 100 - SLACK) * (1 - chance) + chance) - 1e-6
-        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), len(ids)]
-        turns = []
-        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-            ours, theirs = x + np.flatnonzero(left[x:y]), x + np.flatnonzero(~left[x:y])
-            if len(theirs):
-                turns += [(ours[lo: lo + 256], theirs) for lo in range(0, len(ours), 256)]
+        table, cols, turns = _tile_turns(table)
+        hub, ids, n, bucket = table.column("hub").to_numpy(), cols["id"], cols["n"], cols["bucket"]
         none = np.zeros(0, np.int64)
-        got: list[tuple] = [(none, none, none.astype(bool))]
-        for rows, theirs in turns:
-            same = np.zeros((len(rows), len(theirs)), np.int16)
-            for w in range(_WORDS):
-                differ = np.zeros(same.shape, np.uint64)
-                for c in range(w, BITS * _WORDS, _WORDS):
-                    differ |= bits[rows, c][:, None] ^ bits[theirs, c][None, :]
-                same += 64 - np.bitwise_count(differ).astype(np.int16)
-            na, nb = n[rows][:, None], n[theirs][None, :]
-            able = ((same >= need) & (comp[rows][:, None] != comp[theirs][None, :])
-                    & (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * PERCENT))
-            more = able.sum(axis=1) > best
-            if more.any():
-                first = np.argpartition(np.where(able, -same, 1), best - 1, axis=1)[:, :best]
-                chosen = np.zeros_like(able)
-                np.put_along_axis(chosen, first, True, axis=1)
-                able &= chosen
-            i, j = np.nonzero(able)
-            got.append((rows[i], theirs[j], more[i]))
-        i, j, more = (np.concatenate(x) for x in zip(*got, strict=True))
+        got, on = [(none, none)], [none]
+        for ours, theirs in turns:
+            further = np.zeros(len(ids), bool)
+            for lo in range(0, len(ours), 256):
+                rows = ours[lo: lo + 256]
+                able, same = _able(cols, rows, theirs)
+                able[ids[rows] == hub[rows]] = False
+                able[:, ids[theirs] == hub[theirs]] = False
+                chosen = able
+                if (able.sum(axis=1) > best).any():
+                    first = np.argpartition(np.where(able, -same, 1), best - 1, axis=1)[:, :best]
+                    chosen = np.zeros_like(able)
+                    np.put_along_axis(chosen, first, True, axis=1)
+                    chosen &= able
+                    able &= ~chosen
+                    further[rows] |= able.any(axis=1)
+                    further[theirs] |= able.any(axis=0)
+                i, j = np.nonzero(chosen)
+                got.append((rows[i], theirs[j]))
+            on.append(np.flatnonzero(further))
+        i, j = (np.concatenate(x) for x in zip(*got, strict=True))
+        more = np.concatenate(on)
         swap = ids[i] > ids[j]
         a, b = np.where(swap, j, i), np.where(swap, i, j)
-        return pa.table({"bucket": keys[0][i], "a": ids[a], "b": ids[b], "na": n[a], "nb": n[b], "more": more})
+        empty = pa.nulls(len(more), pa.int64())
+        return pa.table({"bucket": np.concatenate([bucket[i], bucket[more]]), "a": np.concatenate([ids[a], ids[more]]),
+                         "b": pa.concat_arrays([pa.array(ids[b]), empty]), "na": np.concatenate([n[a], n[more]]),
+                         "nb": pa.concat_arrays([pa.array(n[b]), empty])})
     return fn
 
 
-def _across(rows: DataFrame, open_: DataFrame, reps: DataFrame, best: int) -> DataFrame:
-    """(bucket, a, b, na, nb, more): likely pairs across components of the buckets ``open_``.
-
-    A task's call takes a slot of about TILE rows: many small buckets, or a tile pair of a large one.
+def _exact(table: pa.Table) -> pa.Table:
+    """Links by the full sets that join a (bucket, tile pair)'s components: a forest, not all pairs."""
+    table, cols, turns = _tile_turns(table)
+    ids, n = cols["id"], cols["n"]
+    sets = table.column("set").combine_chunks()
+    ends = np.concatenate([[0], np.cumsum(n)])
+    shingles, local = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+    part = np.unique(cols["comp"], return_inverse=True)[1]
+    held = np.zeros(len(shingles), bool)
+    links: list[tuple[int, int]] = []
+    for ours, theirs in turns:
+        label = part.copy()  # a bucket's components, as its links join them
+        for lo in range(0, len(ours), 256):
+            rows = ours[lo: lo + 256]
+            able, _ = _able(cols, rows, theirs)
+            for row, likely in zip(rows.tolist(), able, strict=True):
+                other = theirs[likely & (label[theirs] != label[row])]
+                if not len(other):
+                    continue
+                sizes = n[other]
+                firsts = np.cumsum(sizes) - sizes
+                at = np.arange(sizes.sum()) + np.repeat(ends[other] - firsts, sizes)
+                held[local[ends[row]: ends[row + 1]]] = True
+                common = np.add.reduceat(held[local[at]], firsts, dtype=np.int64)
+                held[local[ends[row]: ends[row + 1]]] = False
+                for one in other[common * 100 >= (n[row] + sizes - common) * PERCENT].tolist():
+                    if label[one] != label[row]:
+                        links.append((row, one))
+                        label[label == label[one]] = label[row]
+    i, j = np.array(links, np.int64).reshape(-1, 2).T
+    return pa.table({"a": ids[i], "b": ids[j]})
+
+
+def _across(rows: DataFrame, open_: DataFrame, most: int) -> DataFrame:
+    """``rows`` (bucket, id, comp, ...) of the buckets ``open_``, dealt to slots of tile pairs.
+
+    A bucket's texts outside its largest component (``left``) meet all of it.  A tile holds some
+    ``most`` of what ``size`` and ``outside`` of ``open_`` sum up (rows, or shingles); a slot holds many
+    small buckets, or a tile pair of a large one.
     """
     def tile(n):
-        return F.ceil(F.col(n) / F.lit(TILE)).cast("int")
+        return F.ceil(F.col(n) / F.lit(most)).cast("int")
 
     def placed(n):
         return F.pmod(F.xxhash64("id"), tile(n)).cast("int")
 
     def every(n):
         return F.explode(F.sequence(F.lit(0), tile(n) - 1))
-    here = rows.join(open_, "bucket").join(reps.select("id", "n", "bits"), "id")
-    columns = ["bucket", "id", "comp", "n", "bits"]
-    n_rows = open_.agg(F.sum(F.col("size") * tile("outside") + F.col("outside") * tile("size"))).first()[0] or 0
-    slot = F.pmod(F.xxhash64("bucket", "t", "u"), F.lit(n_rows // TILE + 1)).alias("slot")
+    here = rows.join(open_, "bucket")
+    columns = rows.columns
+    total = open_.agg(F.sum(F.col("size") * tile("outside") + F.col("outside") * tile("size"))).first()[0] or 0
+    slot = F.pmod(F.xxhash64("bucket", "t", "u"), F.lit(int(total) // most + 1)).alias("slot")
     few = here.filter("comp <> most").select(*columns, F.lit(True).alias("left"), placed("outside").alias("t"),
                                              every("size").alias("u"))
     all_ = here.select(*columns, F.lit(False).alias("left"), placed("size").alias("u"), every("outside").alias("t"))
-    return few.unionByName(all_).groupBy(slot).applyInArrow(
-        _meet(best), "bucket long, a long, b long, na long, nb long, more boolean")
+    return few.unionByName(all_).groupBy(slot)
+
+
+def _open(rows: DataFrame, weight) -> DataFrame:
+    """(bucket, size, outside, most): buckets of several components, by the sum of ``weight``."""
+    each = rows.groupBy("bucket", "comp").agg(F.sum(weight).alias("n"))
+    return save(each.groupBy("bucket").agg(
+        F.sum("n").alias("size"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp")).alias("most")).filter(
+        "comps > 1").select("bucket", "size", (F.col("size") - F.col("most.n")).alias("outside"),
+                            F.col("most.comp").alias("most")), "minhash-open")
+
+
+def _placed(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """``rows`` with their component so far, ``comp``."""
+    return rows.join(comps.select("id", "component"), "id", "left").withColumn(
+        "comp", F.coalesce("component", "id")).drop("component")
+
+
+def _full_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, set) of the representatives ``wanted``, a saved table."""
+    texts = in_bit_table(docs.select("doc_id", "text"), wanted, "doc_id", "_read").filter("_read")
+    found = texts.select("doc_id", "text").mapInArrow(_set_batches, "doc_id long, n long, d1 long, d2 long, set array<long>")
+    return save(found.join(wanted, ["doc_id", "n", "d1", "d2"]).dropDuplicates(["id"]).select("id", "set"), "minhash-sets")
 
 
 def _confirm(likely: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) among likely pairs, by the full sets; ``likely`` is a saved table."""
     ids = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
     wanted = save(reps.select("id", "doc_id", "n", "d1", "d2").join(ids, "id", "left_semi"), "minhash-wanted")
-    texts = in_bit_table(docs.select("doc_id", "text"), wanted, "doc_id", "_read").filter("_read")
-    found = texts.select("doc_id", "text").mapInArrow(_set_batches, "doc_id long, n long, d1 long, d2 long, set array<long>")
-    sets = save(found.join(wanted, ["doc_id", "n", "d1", "d2"]).dropDuplicates(["id"]).select("id", "set"), "minhash-sets")
+    sets = _full_sets(wanted, docs)
     both = likely.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     common = F.size(F.array_intersect("set_a", "set_b")).cast("long")
     return save(both.withColumn("c", common).filter(F.col("c") * 100 >= (F.col("na") + F.col("nb") - F.col("c")) * PERCENT)
                 .select("a", "b"), "minhash-links")
 
 
+def _joined(links: DataFrame, comps: DataFrame) -> DataFrame:
+    """``links`` with those that stand for the components so far."""
+    return links.unionByName(comps.select(F.col("id").alias("a"), F.col("component").alias("b")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id, kept for every row of (doc_id, text)."""
     docs = docs.select("doc_id", "text")
@@ -274,28 +363,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 "minhash-bucket-rows")
 
     pairs = rows.filter("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
-    tried = save(_likely(pairs, reps), "minhash-likely")
-    comps = components(_confirm(tried, reps, docs))
-    tried = tried.select("a", "b")
-    best = BEST
-    while True:
-        apart = save(rows.select("bucket", "id").join(comps.select("id", "component"), "id", "left").select(
-            "bucket", "id", F.coalesce("component", "id").alias("comp")), "minhash-apart")
-        each = apart.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-        open_ = each.groupBy("bucket").agg(
-            F.sum("n").alias("size"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp")).alias("most")).filter(
-            "comps > 1").select("bucket", "size", (F.col("size") - F.col("most.n")).alias("outside"),
-                                F.col("most.comp").alias("most"))
-        found = save(_across(apart, save(open_, "minhash-open"), reps, best), "minhash-across")
-        new = save(found.select("a", "b", "na", "nb").distinct().join(tried, ["a", "b"], "left_anti"), "minhash-likely")
-        links = _confirm(new, reps, docs)
-        comps = components(links.unionByName(comps.select(F.col("id").alias("a"), F.col("component").alias("b"))))
-        again = save(found.filter("more").select("bucket").distinct(), "minhash-again")
-        if again.isEmpty():
-            break
-        tried = tried.unionByName(new.select("a", "b"))
-        rows = save(apart.join(again, "bucket", "left_semi"), "minhash-bucket-rows")  # the others are settled
-        best *= GROWTH
+    hub_pairs = save(_likely(pairs, reps), "minhash-likely")
+    comps = components(_confirm(hub_pairs, reps, docs))
+    side = reps.select("id", "n", "bits")
+    apart = save(_placed(rows.select("bucket", "id", "hub"), comps), "minhash-apart")
+    open_ = _open(apart, F.lit(1))
+    met = apart.join(open_.select("bucket"), "bucket", "left_semi").join(side, "id")
+    found = save(_across(met, open_, TILE).applyInArrow(
+        _nearest(BEST), "bucket long, a long, b long, na long, nb long"), "minhash-nearest")
+    tried = hub_pairs.select("a", "b")
+    new = save(found.filter("b IS NOT NULL").select("a", "b", "na", "nb").distinct().join(tried, ["a", "b"], "left_anti"),
+               "minhash-likely")
+    comps = components(_joined(_confirm(new, reps, docs), comps))
+    # where a text has further likely pairs, those that have them meet with their sets
+    further = found.filter("b IS NULL").select("bucket", F.col("a").alias("id"), F.col("na").alias("n")).distinct()
+    apart = save(_placed(further, comps), "minhash-apart")
+    open_ = _open(apart, F.greatest("n", F.lit(SET_TILE // TILE)))  # so a tile has some TILE texts at most
+    left = save(apart.join(open_.select("bucket"), "bucket", "left_semi"), "minhash-bucket-rows")
+    if not left.isEmpty():
+        wanted = save(reps.select("id", "doc_id", "n", "d1", "d2").join(left.select("id").distinct(), "id", "left_semi"),
+                      "minhash-wanted")
+        sides = save(_full_sets(wanted, docs).join(reps.select("id", "bits"), "id"), "minhash-sides")
+        links = save(_across(left.join(sides, "id"), open_, SET_TILE).applyInArrow(_exact, "a long, b long"), "minhash-links")
+        if not links.isEmpty():
+            comps = components(_joined(links, comps))
     # classes' numbers become the smallest doc_id of their component
     numbered = reps.select("id", "n", "d1", "d2", F.col("doc_id").alias("class_id")).join(comps, "id", "left")
     least = numbered.groupBy("component").agg(F.min("class_id").alias("component_id")).filter("component IS NOT NULL")

@@ -7,7 +7,7 @@ table ``(code, comps)`` (or the trainer's :class:`~glyphmill.operators.vocab.Voc
 * its packed array is below ``MAX_PACKED_BYTES``: the array is broadcast and the passes run over
   whole Arrow batches in ``mapInArrow`` (``operators.packed``), without a shuffle;
 * it is larger: the distinct pieces of the corpus meet the vocabulary in a join a pass, and the
-  encoded pieces go back to the rows that hold them.
+  encoded pieces go back to chunks of rows that hold them.
 
 Documents are first cut into uncrossable segments by a JVM regex (see
 ``functions.text.SEGMENT_BODY``), so a word is encoded once a batch (or once at all) however
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ MAX_PACKED_BYTES = 64 << 20
 
 #: Elements (pieces or codes) that a task handles at once; a longer row is handled alone.
 SLICE_ELEMENTS = 1 << 18
+#: Text of the rows that meet the codes of their pieces together; a longer text is alone or with its neighbours' rest.
+CHUNK_BYTES = 16 << 20
 
 
 def _slices(batch: pa.RecordBatch, source: str) -> Iterator[pa.RecordBatch]:
@@ -155,26 +158,62 @@ def _replace_hits(n: int):
     return fn
 
 
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow body: ``_bytes`` -> ``_chunk``, a number for each run of rows with some CHUNK_BYTES of text."""
+    base, before = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        at = batch.schema.get_field_index("_bytes")
+        ends = before + np.cumsum(batch.column(at).to_numpy(), dtype=np.int64)
+        chunk = base + np.concatenate([[before], ends[:-1]]) // CHUNK_BYTES
+        before = int(ends[-1]) if len(ends) else before
+        yield batch.set_column(at, "_chunk", pa.array(chunk, pa.int64()))
+
+
+def _spelled(out_col: str, keep: list[str]):
+    """Cogrouped body: a chunk's rows with ``_pieces``, and the codes of its distinct pieces -> the rows' codes."""
+    def fn(rows: pa.Table, known: pa.Table) -> pa.Table:
+        pieces = known.column("piece").combine_chunks()
+        codes, ends = packed.flat_lists(known.column("codes").combine_chunks())
+        codes = codes.to_numpy(zero_copy_only=False).astype(np.int64)
+        out = []
+        for some in (s for batch in rows.to_batches() for s in _slices(batch, "_pieces")):
+            held = some.column("_pieces")
+            flat, offs = packed.flat_lists(held)
+            coded = flat.dictionary_encode()
+            at = pc.index_in(coded.dictionary, value_set=pieces)
+            if at.null_count:
+                raise ValueError("a piece of the text has no codes")
+            which = at.to_numpy(zero_copy_only=False).astype(np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+            values, piece_ends = packed.gather(codes, ends, which)
+            tokens = packed.list_column(values, piece_ends[offs], held.is_valid())
+            out.append(pa.RecordBatch.from_arrays([some.column(c) for c in keep] + [tokens], names=[*keep, out_col]))
+        return pa.Table.from_batches(out)
+    return fn
+
+
 def _encode_joined(df: DataFrame, entries: DataFrame, n: int, text_col: str, out_col: str, by_segment: bool) -> DataFrame:
     """E02 for a vocabulary too large to broadcast: a join a pass over the distinct pieces.
 
     A piece leaves the loop when a pass replaces nothing in it.  After the first pass only windows with
-    a token are looked up.  The rows meet each of their distinct pieces once.
+    a token are looked up.  A chunk of rows meets each of its distinct pieces once, however many of its rows hold
+    it, so what is shuffled is the texts and a dictionary a chunk, not a row a document and piece.
     """
     plain = df.columns
-    rows = save_scratch(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    held = _pieces(rows, text_col, by_segment).select("_row", F.posexplode("_pieces").alias("pos", "piece"))
-    held = save_scratch(held.groupBy("_row", "piece").agg(F.collect_list("pos").alias("at")), "pieces")
-    active = save_scratch(held.select("piece").distinct().select("piece", char_codes(F.col("piece")).alias("codes")), "active")
+    sized = df.withColumn("_bytes", F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long"))
+    rows = save_scratch(sized.mapInArrow(_chunked, _schema_with(df, plain, "`_chunk` bigint")), "rows")
+    each = _pieces(rows, text_col, by_segment).select("_chunk", F.explode(F.array_distinct("_pieces")).alias("piece"))
+    held = save_scratch(each.distinct(), "pieces")
+    active = save_scratch(held.select("piece").distinct(), "active")
     entries = save_scratch(entries, "entries")
     finished, first = [], True
     while True:
-        places = F.transform(nseq_windows(F.col("codes"), n), lambda w, i: F.struct(i.alias("i"), w.alias("comps")))
+        codes = char_codes(F.col("piece")) if first else F.col("codes")  # a piece's own codes need not travel with it
+        places = F.transform(nseq_windows(codes, n), lambda w, i: F.struct(i.alias("i"), w.alias("comps")))
         if not first:
             places = F.filter(places, lambda p: F.array_max(p["comps"]) >= TOK_ID_OFFSET)
         hits = (active.select("piece", F.explode(places).alias("p")).select("piece", "p.i", "p.comps")
                 .join(entries, "comps").groupBy("piece").agg(F.collect_list(F.struct("i", "code")).alias("hits")))
-        met = save_scratch(active.join(hits, "piece", "left"), "met")
+        met = save_scratch(active.join(hits, "piece", "left").select("piece", codes.alias("codes"), "hits"), "met")
         drop_scratch(active)
         finished.append(met.filter("hits IS NULL").select("piece", "codes"))
         hit = met.filter("hits IS NOT NULL")
@@ -184,11 +223,11 @@ def _encode_joined(df: DataFrame, entries: DataFrame, n: int, text_col: str, out
     encoded = finished[0]
     for more in finished[1:]:
         encoded = encoded.unionByName(more)
-    parts = held.join(encoded, "piece").select("_row", F.explode("at").alias("pos"), "codes")
-    back = parts.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("pos", "codes"))).alias("xs"))
-    tokens = F.when(F.col(text_col).isNotNull(), F.coalesce(F.flatten(F.transform("xs", lambda x: x["codes"])),
-                                                           F.array().cast("array<bigint>")))
-    return rows.join(back, "_row", "left").select(*plain, tokens.alias(out_col))
+    known = held.join(encoded, "piece").select("_chunk", "piece", "codes").groupBy("_chunk")
+    # texts are cut again behind the exchange, so that no piece travels with its row
+    together = _pieces(rows.repartition("_chunk").sortWithinPartitions("_chunk"), text_col, by_segment)
+    return together.groupBy("_chunk").cogroup(known).applyInArrow(
+        _spelled(out_col, plain), _schema_with(df, plain, f"`{out_col}` array<bigint>"))
 
 
 def reencode(df: DataFrame, vocab, codes_col: str = "tokens") -> DataFrame:

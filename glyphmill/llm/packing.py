@@ -20,8 +20,9 @@ import os
 import re
 import zlib
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import filterfalse
+from itertools import count, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ CACHED = 200_000
 LONGEST = 64
 #: Pieces that the tokenizer gets in one line.
 LINE = 500
+#: Bytes of texts whose pieces are looked up together.
+GROUP = 4 << 20
 
 PIECE = ("doc_id long, start long, length long, loss long, doc_tokens long, ids_crc32 long, "
          "sequence_id long, offset long")
@@ -49,7 +52,7 @@ PIECE = ("doc_id long, start long, length long, loss long, doc_tokens long, ids_
 #: Latin-1 bytes of the characters that the vocabulary's normaliser only lower-cases, one by one.
 _PLAIN = bytes(range(128)) + "".join(chr(c) for c in range(0xC0, 0x100) if chr(c).isalpha()).encode("latin-1")
 #: The vocabulary's own pieces of such text in lower case (fixed by its pre-tokenizer).
-_PIECES = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\\x09-\\x0D\\x20a-z0-9ß-öø-ÿ]+")
+_PIECES = re.compile("[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\\x09-\\x0D\\x20a-z0-9ß-öø-ÿ]+")
 _SPACES = re.compile("[\\x09-\\x0D\\x20]+")
 
 
@@ -63,6 +66,14 @@ def plain(text: str) -> bool:
         return False
 
 
+def gather(flat: np.ndarray, offs: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The runs ``which`` of ``flat`` one behind the other; run i lies between offsets i and i + 1."""
+    firsts = offs[which]
+    sizes = offs[which + 1] - firsts
+    ends = np.cumsum(sizes)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(firsts - ends + sizes, sizes)]
+
+
 class PieceTokenizer:
     """Ids of whole texts through a cache of ids by piece.
 
@@ -84,7 +95,7 @@ class PieceTokenizer:
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def encode(self, texts: list[bytes], most: int = 1 << 20) -> Iterator[np.ndarray]:
+    def encode(self, texts: list[bytes], most: int = GROUP) -> Iterator[np.ndarray]:
         group, size = [], 0
         for t in texts:
             group.append(t)
@@ -106,10 +117,11 @@ class PieceTokenizer:
                 out.append(word)
         return out
 
-    def _codes(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+    def _codes(self, pieces: list[str]) -> Iterator[bytes]:
         """Ids of each piece; plain pieces go to the tokenizer in lines of several."""
-        several = [p for p in pieces if plain(p)]
-        other = [p for p in pieces if not plain(p)]
+        several = [p for p in pieces if p.isascii() or plain(p)]
+        other = [p for p in pieces if not (p.isascii() or plain(p))] if len(several) < len(pieces) else []
+        pieces[:] = several + other
         for lo in range(0, len(several), LINE):
             some = several[lo: lo + LINE]
             line = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
@@ -117,28 +129,37 @@ class PieceTokenizer:
             cuts = (4 * np.searchsorted(of, np.arange(len(some) + 1))).tolist()
             if len(of) and of[-1] != len(some) - 1:
                 raise ValueError("the vocabulary cuts words otherwise than its pieces")
-            yield from zip(some, (ids[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)), strict=True)
+            yield from map(ids.__getitem__, map(slice, cuts[:-1], cuts[1:]))
         for lo in range(0, len(other), 10_000):
             some = other[lo: lo + 10_000]
             codes = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            yield from zip(some, (array("I", c.ids).tobytes() for c in codes), strict=True)
+            yield from (array("I", c.ids).tobytes() for c in codes)
 
     def _group(self, group: list[bytes]) -> Iterator[np.ndarray]:
-        texts = [t.decode() for t in group]
-        parts = [self.pieces(t) if "<|" not in t else None for t in texts]
+        # a group's pieces are numbered as they come, so that they are looked up once and its ids gathered at once
+        number: defaultdict[str, int] = defaultdict(count().__next__)
+        which: list[np.ndarray | None] = []
+        for t in group:
+            text = t.decode()
+            held = self.pieces(text) if "<|" not in text else None
+            which.append(None if held is None else np.fromiter(map(number.__getitem__, held), np.int32, len(held)))
         if len(self.cache) > CACHED:
             self.cache, self.older = {}, self.cache
         cache, older = self.cache, self.older
         new = []
-        for w in {w for p in parts if p for w in filterfalse(cache.__contains__, p)}:
+        for w in filterfalse(cache.__contains__, number):
             known = older.get(w)
             if known is None:
                 new.append(w)
             else:
                 cache[w] = known
-        cache.update(self._codes(new))
-        for t, p in zip(texts, parts, strict=True):
-            yield self._whole(t) if p is None else np.frombuffer(b"".join(map(cache.__getitem__, p)), "<u4")
+        found = list(self._codes(new))  # which puts ``new`` in their order
+        cache.update(zip(new, found, strict=True))
+        codes = list(map(cache.__getitem__, number))
+        ends = np.cumsum(np.fromiter(map(len, codes), np.int64, len(codes))) // 4
+        flat, offs = np.frombuffer(b"".join(codes), "<u4"), np.concatenate([[0], ends])
+        for t, at in zip(group, which, strict=True):
+            yield self._whole(t.decode()) if at is None else gather(flat, offs, at)
         for w in new:
             if len(w) > LONGEST:
                 del cache[w]

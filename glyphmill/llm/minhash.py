@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm import textbytes as tb
-from glyphmill.llm.common import in_bit_table, salt, save
+from glyphmill.llm.common import drop_saved, in_bit_table, salt, save
 from glyphmill.llm.components import components
 
 SHINGLE = 5
@@ -333,8 +333,11 @@ def _confirm(likely: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     sets = _full_sets(wanted, docs)
     both = likely.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     common = F.size(F.array_intersect("set_a", "set_b")).cast("long")
-    return save(both.withColumn("c", common).filter(F.col("c") * 100 >= (F.col("na") + F.col("nb") - F.col("c")) * PERCENT)
-                .select("a", "b"), "minhash-links")
+    links = save(both.withColumn("c", common).filter(F.col("c") * 100 >= (F.col("na") + F.col("nb") - F.col("c")) * PERCENT)
+                 .select("a", "b"), "minhash-links")
+    drop_saved(sets)
+    drop_saved(wanted)
+    return links
 
 
 def _joined(links: DataFrame, comps: DataFrame) -> DataFrame:
@@ -355,11 +358,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = reps.select(F.explode("bands").alias("bucket"), "id")
     several = save(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "minhash-buckets")
     # both sides are read as they are, so that a hot bucket's side can be split
-    rows = save(rows.join(several, "bucket"), "minhash-bucket-rows")
+    sized = save(rows.join(several, "bucket"), "minhash-bucket-rows")
     # a bucket's hub is the text with the most bucket mates in all: what copies were made from
-    mates = save(rows.groupBy("id").agg(F.sum("size").alias("mates")), "minhash-mates")
-    best = rows.join(mates, "id").groupBy("bucket").agg(F.max(F.struct("mates", (-F.col("id")).alias("neg"))).alias("m"))
-    rows = save(rows.join(save(best.select("bucket", (-F.col("m.neg")).alias("hub")), "minhash-hubs"), "bucket"),
+    mates = save(sized.groupBy("id").agg(F.sum("size").alias("mates")), "minhash-mates")
+    best = sized.join(mates, "id").groupBy("bucket").agg(F.max(F.struct("mates", (-F.col("id")).alias("neg"))).alias("m"))
+    rows = save(sized.join(save(best.select("bucket", (-F.col("m.neg")).alias("hub")), "minhash-hubs"), "bucket"),
                 "minhash-bucket-rows")
 
     pairs = rows.filter("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
@@ -379,12 +382,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     further = found.filter("b IS NULL").select("bucket", F.col("a").alias("id"), F.col("na").alias("n")).distinct()
     apart = save(_placed(further, comps), "minhash-apart")
     open_ = _open(apart, F.greatest("n", F.lit(SET_TILE // TILE)))  # so a tile has some TILE texts at most
-    left = save(apart.join(open_.select("bucket"), "bucket", "left_semi"), "minhash-bucket-rows")
-    if not left.isEmpty():
-        wanted = save(reps.select("id", "doc_id", "n", "d1", "d2").join(left.select("id").distinct(), "id", "left_semi"),
+    further_rows = save(apart.join(open_.select("bucket"), "bucket", "left_semi"), "minhash-bucket-rows")
+    if not further_rows.isEmpty():
+        wanted = save(reps.select("id", "doc_id", "n", "d1", "d2").join(further_rows.select("id").distinct(), "id", "left_semi"),
                       "minhash-wanted")
         sides = save(_full_sets(wanted, docs).join(reps.select("id", "bits"), "id"), "minhash-sides")
-        links = save(_across(left.join(sides, "id"), open_, SET_TILE).applyInArrow(_exact, "a long, b long"), "minhash-links")
+        links = save(_across(further_rows.join(sides, "id"), open_, SET_TILE).applyInArrow(_exact, "a long, b long"), "minhash-links")
+        drop_saved(sides)
         if not links.isEmpty():
             comps = components(_joined(links, comps))
     # classes' numbers become the smallest doc_id of their component
@@ -392,6 +396,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = numbered.groupBy("component").agg(F.min("class_id").alias("component_id")).filter("component IS NOT NULL")
     classes = save(numbered.join(least, "component", "left").select(
         "n", "d1", "d2", "class_id", F.coalesce("component_id", "class_id").alias("component_id")), "minhash-classes")
+    for read in (reps, several, sized, rows, hub_pairs, apart, found, further_rows):  # what the result does not read
+        drop_saved(read)
     key = ["n", "d1", "d2"]
     salted = linked.withColumn("_salt", salt("doc_id"))
     spread = salted.select(*key, "_salt").distinct().join(classes, key)  # at most SALTS rows a class

@@ -1,7 +1,8 @@
 """A training corpus from raw documents: language ID, two dedups, mixing and packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; ``run``
-writes each stage's rows as Parquet in the shared scratch folder and reads them again.
+writes each stage's rows as Parquet in the shared scratch folder and reads them again; what the
+next stage has read is dropped.
 
 Language ID learns from the documents themselves and drops what has no language.  Exact and
 near dedup drop all but one row of each group, also where ids are repeated or null.  Mixing
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.llm import exact_dedup, langid, minhash, mixing, packing
-from glyphmill.llm.common import documents, own_ids, residue, save, without
+from glyphmill.llm.common import documents, drop_saved, own_ids, residue, save, without
 from glyphmill.llm.queries import tokenizer_path
 
 
@@ -63,7 +64,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        read, docs = docs, stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = save(docs, f"pipeline-{name}")
+            if i:
+                drop_saved(read)
     return docs

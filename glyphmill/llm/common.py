@@ -100,22 +100,26 @@ def whole_rows(docs: DataFrame) -> DataFrame:
 
 
 def own_ids(docs: DataFrame) -> DataFrame:
-    """(_id, _row), saved: the whole rows with an id that no other row has.
+    """(_id, _row): the whole rows of ``docs``, a table scan, with an id that no other row has.
 
-    ``_id`` is the ``doc_id`` where no other row has it.  Rows with a null or repeated ``doc_id``
-    get a number above all ids, so that of equal rank a row with an id of its own comes first.
+    ``_id`` is the ``doc_id`` where no other row has it; such rows are read from ``docs`` each time,
+    not copied.  Rows with a null or repeated ``doc_id`` get a number above all ids, so that of equal
+    rank a row with an id of its own comes first; they are saved with it (and the rows that share
+    their bit with a repeated id), as the number depends on the scan.
     """
     ids = docs.select("doc_id").filter("doc_id IS NOT NULL")
     repeated = save(ids.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
-    top = ids.agg(F.max("doc_id")).first()[0]
+    top, nulls = docs.agg(F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
     rows = whole_rows(docs)
+    if not nulls and repeated.isEmpty():
+        return rows.select(F.col("doc_id").alias("_id"), "_row")
     marked = in_bit_table(rows.filter("doc_id IS NOT NULL"), repeated, "doc_id", "_flag")
-    placed = marked.filter("NOT _flag").select(F.col("doc_id").alias("_id"), "_row").unionByName(
-        marked.filter("_flag").join(repeated.withColumn("_several", F.lit(True)), "doc_id", "left").select(
-            F.when(F.col("_several").isNull(), F.col("doc_id")).alias("_id"), "_row")).unionByName(
+    odd = marked.filter("_flag").join(repeated.withColumn("_several", F.lit(True)), "doc_id", "left").select(
+        F.when(F.col("_several").isNull(), F.col("doc_id")).alias("_id"), "_row").unionByName(
         rows.filter("doc_id IS NULL").select(F.col("doc_id").alias("_id"), "_row"))
     fresh = F.lit(max(0, 0 if top is None else top + 1)) + F.monotonically_increasing_id()
-    return save(placed.select(F.coalesce("_id", fresh).alias("_id"), "_row"), "own-ids")
+    numbered = save(odd.select(F.coalesce("_id", fresh).alias("_id"), "_row"), "own-ids")
+    return marked.filter("NOT _flag").select(F.col("doc_id").alias("_id"), "_row").unionByName(numbered)
 
 
 def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:

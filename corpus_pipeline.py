@@ -8,6 +8,8 @@ Language ID learns from the documents themselves and drops what has no language.
 near dedup drop all but one row of each group, also where ids are repeated or null.  Mixing
 repeats or drops documents so that sources meet their target weights, each row by a decision of
 its own, whatever its id.  Packing cuts the mix into sequences.
+
+Stages with Python workers bound their Arrow batches by bytes, for this session.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ from pyspark.sql import functions as F
 from glyphmill.llm import exact_dedup, langid, minhash, mixing, packing
 from glyphmill.llm.common import documents, drop_saved, own_ids, residue, save, without
 from glyphmill.llm.queries import tokenizer_path
+from glyphmill.session import bound_batches
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language (null text, or no letter)."""
+    bound_batches(spark)
     return langid.keep_identified(docs, langid.fit(docs, residue("doc_id", 3) != 1))
 
 
@@ -34,6 +38,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies stays."""
+    bound_batches(spark)
     rows = own_ids(docs)
     found = minhash.near_duplicates(rows.select(F.col("_id").alias("doc_id"), "_row.text"))
     return without(rows, found.filter("NOT kept").select(F.col("doc_id").alias("_id")))
@@ -51,6 +56,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix's pieces in sequences of 4,096 tokens."""
+    bound_batches(spark)
     return packing.pieces(packing.pack(docs, tokenizer_path()))
 
 

@@ -145,6 +145,21 @@ def drop_bucketed(spark: SparkSession, name: str) -> None:
     spark.sql(f"DROP TABLE {name}")
 
 
+#: Bytes of an Arrow batch.  Spark's bound of 10,000 rows holds any number of bytes, and both the JVM
+#: and the Python worker hold a batch several times (as it grows, in, out).
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session end at BATCH_BYTES (one longer row is a batch), unless it has a bound of its own.
+
+    The bound is read when a job runs, so it stays set for the frames that a stage returns.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 _PKG_PARENT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 

@@ -30,6 +30,10 @@ A gradient round (batch) is a chain of Spark jobs:
    the hash buckets that the parameters lie in, and the global L2 norm (one aggregate row);
 5. clip and update: a join of two tables in the same buckets, so the parameters are never shuffled.
 
+For a model and batches that fit a task, many rounds run in two jobs (``operators.rounds``): one task
+does steps 1, 2, 4 and 5 of one batch after the other from the batches' added-up pair counts, and all tasks do
+step 3 for the windows of these batches.
+
 The model's predictions use only the embedding and unembedding tensors (the
 attention blocks feed neither logits nor loss), so the gradient works on pair counts
 alone.  Block tensors are initialised and stored like any others; training them is
@@ -49,9 +53,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions.vectors import BIGE, SMOL
-from glyphmill.operators import samples, scoring, vector_ops
+from glyphmill.operators import rounds, samples, scoring, vector_ops
 from glyphmill.session import drop_bucketed, drop_scratch, ensure_worker_import, save_bucketed, save_scratch, scratch_root
-from glyphmill.sources.corpus import path_exists, seeded_uint32
+from glyphmill.sources.corpus import check_output, path_exists, seeded_uint32
 
 PARAM_SCHEMA = "tensor string, block int, row bigint, vec array<double>"
 
@@ -155,11 +159,6 @@ def _grad_fn(bc, lo: int, cols: int, step: int):
 _ROUND_SCHEMA = "tensor string, row bigint, vec array<double>, ys array<bigint>"
 
 
-def _clipped(values: np.ndarray) -> np.ndarray:
-    """C05 for values that are not negative."""
-    return np.minimum(np.where(np.abs(values) > SMOL, values, SMOL), BIGE)
-
-
 def _round_fn(parts: list, step: int):
     """mapInArrow body: normalisers, pair losses and partial gradients of a round, in one pass.
 
@@ -177,17 +176,8 @@ def _round_fn(parts: list, step: int):
             ys, ns = batch.column("ys"), batch.column("ns")
             row = np.repeat(np.arange(len(xs)), np.diff(ys.offsets.to_numpy()))
             y, n = ys.flatten().to_numpy(), ns.flatten().to_numpy()
-            total = sum(np.exp(ev @ bc.value).sum(axis=1) for _, _, bc in parts)
-            zsum, terms, g_embed = _clipped(total), np.zeros(len(y)), np.zeros_like(ev)
-            for i, (lo, width, bc) in enumerate(parts):
-                p = _clipped(np.exp(ev @ bc.value)) / zsum[:, None]
-                here = (y >= lo) & (y < lo + width)
-                terms[here] = -np.log(np.maximum(p[row[here], y[here] - lo], SMOL))
-                g = p * nx[:, None]
-                np.subtract.at(g, (row[here], y[here] - lo), n[here])
-                g_embed += g @ bc.value.T
-                part = ev.T @ g
-                sums[i] = part if sums[i] is None else sums[i] + part
+            terms, g_embed, found = rounds.dense_pass(ev, nx, row, y, n, [(lo, width, bc.value) for lo, width, bc in parts])
+            sums = [part if acc is None else acc + part for acc, part in zip(sums, found, strict=True)]
             losses = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(row, minlength=len(xs)))).astype(np.int32)),
                                               pa.array(terms))
             yield pa.RecordBatch.from_arrays([pa.nulls(len(xs), pa.string()), pa.array(xs, pa.int64()), losses, ys.cast(pa.list_(pa.int64()))],
@@ -313,13 +303,14 @@ class TrainConfig:
     max_batches: int | None = None   # stop early (None = all complete batches)
 
 
-def write_training_pairs(per_sample: DataFrame, batch_ids: DataFrame) -> DataFrame:
-    """Join per-sample pair counts to batch ids and write a row ``(doc_id, k, xs, ys, ns)`` a sample.
+def write_training_pairs(per_sample: DataFrame, batch_ids: DataFrame, folders: bool = True) -> DataFrame:
+    """Join per-sample pair counts to batch ids and write a row ``(doc_id, k, xs, ys, ns)`` a sample, in the order of the batches.
 
-    A batch has a folder of its own, so a round lists and reads its own files only.
+    ``folders``: a batch has a folder of its own, so a round lists and reads its own files only.
     """
     tagged = samples.merged_pairs(per_sample, ["doc_id", "k"]).join(batch_ids, ["doc_id", "k"])
-    return save_scratch(tagged.repartitionByRange("batch_id").sortWithinPartitions("batch_id"), "pairs", "batch_id")
+    ordered = tagged.repartitionByRange("batch_id").sortWithinPartitions("batch_id")
+    return save_scratch(ordered, "pairs", "batch_id" if folders else None)
 
 
 def train(per_sample_pairs: DataFrame, batch_ids: DataFrame, params: DataFrame,
@@ -332,39 +323,77 @@ def train(per_sample_pairs: DataFrame, batch_ids: DataFrame, params: DataFrame,
     then scale 1/B, clip and update with ``lr * B``.  Only complete batches are
     applied, as in the reference.
 
-    The corpus is read once, for the pair tables.  A round reads the unembedding once, in
+    The corpus is read once, for the pair tables.  A model that fits one bucket does runs of rounds, of which
+    all parameters together are at most a broadcast chunk, in two jobs each.  Otherwise, or where a batch has more than
+    ``ONE_TASK_PAIRS`` pairs, a round reads the unembedding once, in
     chunks that losses, validation and gradient share; broadcasts and the last round's
     tables are dropped when the round ends.
 
     With ``checkpoint_every`` and ``output_dir`` a round's parameters are written, and then its
-    entry of the commit log, which holds the metrics since the last entry.  With ``resume`` training
+    entry of the commit log, which holds the metrics since the last entry (a run of rounds writes those of all its rounds).  With ``resume`` training
     starts behind the last entry (``params`` when there is none); a log of another configuration is an error.
     """
     spark = params.sparkSession
     if not params.filter(~F.col("tensor").isin("embed", "unembed")).isEmpty():
         raise ValueError("attention blocks are not trained here; pass the embedding tensors alone")
-    applied = batch_ids.filter("complete").select("doc_id", "k", "batch_id")
-    pairs_tbl = write_training_pairs(per_sample_pairs, applied)
-    val_tbl = None if val_pairs is None else save_scratch(val_pairs, "validation")
-    # a row a round, as the metrics
-    n_pairs = {r["batch_id"]: r["n"] for r in pairs_tbl.groupBy("batch_id").agg(F.sum(F.size("xs")).alias("n")).collect()}
-    n_batches = max(n_pairs, default=-1)
-    if cfg.max_batches is not None:
-        n_batches = min(n_batches, cfg.max_batches - 1)
     metrics, begun, logged = [], 0, 0
     if cfg.resume and cfg.output_dir and (last := last_commit(spark, cfg)) is not None:
-        metrics, params, begun = committed_metrics(spark, cfg), spark.read.parquet(_round_path(cfg.output_dir, last)), last + 1
+        metrics, params, begun = committed_metrics(spark, cfg, last), spark.read.parquet(_round_path(cfg.output_dir, last)), last + 1
         logged = len(metrics)
     chunks = _unembed_chunks(params)
     buckets = param_buckets(spark, chunks)
+    model = rounds.read_model(params, chunks) if buckets == 1 else None
+    val_tbl = None if val_pairs is None else save_scratch(val_pairs, "validation")
+    val_known = rounds.validation_pairs(val_tbl, ONE_TASK_PAIRS) if model else False
+    runs = model is not None and val_known is not False
+    # of the complete batches, those whose rounds this call does
+    applied = batch_ids.filter("complete").filter(F.col("batch_id") >= begun).select("doc_id", "k", "batch_id")
+    if cfg.max_batches is not None:
+        applied = applied.filter(F.col("batch_id") < cfg.max_batches)
+    pairs_tbl = write_training_pairs(per_sample_pairs, applied, folders=not runs)
+    counts = rounds.round_pairs(pairs_tbl) if runs else None
+    # a row a round, as the metrics
+    sizes = counts.groupBy("batch_id").agg(F.sum("n_pairs").alias("n")) if runs else pairs_tbl.groupBy("batch_id").agg(
+        F.sum(F.size("xs")).alias("n"))
+    n_pairs = {r["batch_id"]: r["n"] for r in sizes.collect()}
+    n_batches = max(n_pairs, default=begun - 1)
     pairs_root, sample = scratch_root(pairs_tbl), pairs_tbl.drop("batch_id").schema
-    params, held = save_bucketed(params.select("tensor", "block", "row", "vec").repartition(buckets, *vector_ops.PARAM_KEYS),
-                                 vector_ops.PARAM_KEYS, buckets)
-    for b in range(begun, n_batches + 1):
-        t0 = time.time()
-        rows = spark.read.schema(sample).parquet(f"{pairs_root}/batch_id={b}")
-        if b > begun:
+    most = max(1, scoring.MAX_CHUNK_DOUBLES // model.doubles) if runs else 0
+    held = None                                    # parameters are in this table, or in the model
+    if runs:
+        chunks.destroy()
+    else:
+        params, held = _bucketed(params, buckets)
+    b = begun
+    while b <= n_batches:
+        t0, end = time.time(), b
+        while runs and end <= n_batches and end - b < most and n_pairs.get(end, 0) <= ONE_TASK_PAIRS:
+            end += 1
+        if end > b:
+            if held:
+                model = rounds.read_model(params, chunks)
+                chunks.destroy()
+                drop_bucketed(spark, held)
+                held = None
+            found = rounds.run_rounds(counts, model, val_known, b, end, cfg.batch_size, cfg.lr, cfg.max_norm)
+            after, figures = rounds.read_rounds(found, model, b, end)
+            losses = rounds.window_losses(pairs_tbl, [model, *after[:-1]], b)
+            each = (time.time() - t0) / (end - b)
+            for i, (norm, val) in enumerate(figures, b):
+                m = losses[i]
+                metrics.append((i, float(m["avg"]), float(m["min"]), float(m["max"]), int(m["n"]), val, norm, each))
+            if cfg.checkpoint_every and cfg.output_dir:
+                done = [i for i in range(b, end) if (i + 1) % cfg.checkpoint_every == 0]
+                write_rounds(found, cfg, done)
+                logged = commit_rounds(spark, cfg, done, metrics, logged)
+            drop_scratch(found)
+            model, b = after[-1], end
+            continue
+        if held is None:
+            params, held = _bucketed(rounds.param_table(spark, model), buckets)
             chunks = _unembed_chunks(params, chunks)
+        rows = (pairs_tbl.filter(F.col("batch_id") == b).select(sample.names) if runs
+                else spark.read.schema(sample).parquet(f"{pairs_root}/batch_id={b}"))
         small = buckets == 1 and n_pairs.get(b, 0) <= ONE_TASK_PAIRS
         batch = samples.exploded_pairs(_fitted(rows, small))
         found = save_scratch(round_pass(batch, val_tbl, params, chunks, small), "round")
@@ -388,14 +417,23 @@ def train(per_sample_pairs: DataFrame, batch_ids: DataFrame, params: DataFrame,
         if cfg.checkpoint_every and cfg.output_dir and (b + 1) % cfg.checkpoint_every == 0:
             # a folder without its log entry was left by a run that ended in between
             write_params(params, cfg.output_dir, b, "overwrite" if cfg.resume else "errorifexists")
-            commit_round(spark, cfg, b, metrics[logged:])
-            logged = len(metrics)
-    for old in (pairs_tbl, val_tbl):
+            logged = commit_rounds(spark, cfg, [b], metrics, logged)
+        b += 1
+        if b <= n_batches:
+            chunks = _unembed_chunks(params, chunks)
+    if held is None:
+        params, _ = _bucketed(rounds.param_table(spark, model), buckets)
+    for old in (pairs_tbl, val_tbl, counts):
         if old is not None:
             drop_scratch(old)
     return params, spark.createDataFrame(metrics, METRIC_SCHEMA)
 
 
+def _bucketed(params: DataFrame, buckets: int) -> tuple[DataFrame, str]:
+    return save_bucketed(params.select(*vector_ops.PARAM_KEYS, "vec").repartition(buckets, *vector_ops.PARAM_KEYS),
+                         vector_ops.PARAM_KEYS, buckets)
+
+
 METRIC_SCHEMA = ("batch_id bigint, avg_loss double, min_loss double, max_loss double, "
                  "n_samples bigint, val_loss double, grad_norm double, seconds double")
 
@@ -412,10 +450,22 @@ def _configuration(cfg: TrainConfig) -> str:
     return f"batch_size={cfg.batch_size} lr={cfg.lr!r} max_norm={cfg.max_norm!r}"
 
 
-def commit_round(spark: SparkSession, cfg: TrainConfig, round_no: int, metrics: list[tuple]) -> None:
-    """An entry of the commit log: complete once its write job is, which is after the parameters' write."""
-    rows = spark.createDataFrame(metrics, METRIC_SCHEMA).withColumn("configuration", F.lit(_configuration(cfg)))
-    rows.coalesce(1).write.mode("overwrite").parquet(f"{_log_path(cfg)}/committed={round_no}")
+def commit_rounds(spark: SparkSession, cfg: TrainConfig, done: list[int], metrics: list[tuple], logged: int) -> int:
+    """Entries of the commit log for the rounds ``done``, after the write of their parameters; returns how many metrics the log holds then.
+
+    An entry has the metrics from ``logged`` on, or since the entry before, up to its round (``metrics`` has a row a round, from round 0).
+    """
+    if not done:
+        return logged
+    entry = {i: next(r for r in done if r >= i) for i in range(logged, done[-1] + 1)}
+    rows = spark.createDataFrame([(*m, entry[m[0]]) for m in metrics[logged: done[-1] + 1]], f"{METRIC_SCHEMA}, committed bigint")
+    _write_folders(rows.withColumn("configuration", F.lit(_configuration(cfg))).coalesce(1), _log_path(cfg), "committed")
+    return done[-1] + 1
+
+
+def _write_folders(rows: DataFrame, path: str, column: str) -> None:
+    """A folder a value of ``column``; of those that exist, only these are replaced."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
 
 
 def _log(spark: SparkSession, cfg: TrainConfig) -> DataFrame:
@@ -423,18 +473,36 @@ def _log(spark: SparkSession, cfg: TrainConfig) -> DataFrame:
 
 
 def last_commit(spark: SparkSession, cfg: TrainConfig) -> int | None:
-    """The last round of the commit log; None without a log."""
+    """The last round of the commit log up to which it has the metrics of every round; None without one."""
     if not path_exists(spark, _log_path(cfg)):
         return None
-    found = _log(spark, cfg).groupBy("configuration").agg(F.max("committed").alias("last")).collect()  # a row a configuration
-    for configuration, _ in found:
+    found = _log(spark, cfg).select("configuration", "committed", "batch_id").collect()  # a row a round
+    for configuration in {r["configuration"] for r in found}:
         if configuration != _configuration(cfg):
             raise ValueError(f"{cfg.output_dir} holds a training with {configuration}, not {_configuration(cfg)}")
-    return max((int(r["last"]) for r in found), default=None)
-
-
-def committed_metrics(spark: SparkSession, cfg: TrainConfig) -> list[tuple]:
-    return [tuple(r) for r in _log(spark, cfg).drop("configuration", "committed").orderBy("batch_id").collect()]
+    # entries are written together, so a run that ended meanwhile may have left some of them
+    last, known = None, {r["batch_id"] for r in found}
+    for committed in sorted({r["committed"] for r in found}):
+        if not known.issuperset(range(committed + 1)):
+            break
+        last = int(committed)
+    return last
+
+
+def committed_metrics(spark: SparkSession, cfg: TrainConfig, last: int) -> list[tuple]:
+    rows = _log(spark, cfg).filter(F.col("committed") <= last).drop("configuration", "committed")
+    return list({r["batch_id"]: tuple(r) for r in rows.orderBy("batch_id").collect()}.values())
+
+
+def write_rounds(found: DataFrame, cfg: TrainConfig, done: list[int]) -> None:
+    """S08 for the rounds ``done`` of ``rounds.run_rounds``, in one job: the folders of ``write_params``."""
+    for i in [] if cfg.resume else done:
+        # with resume, a folder without its log entry was left by a run that ended in between
+        check_output(found.sparkSession, _round_path(cfg.output_dir, i), "errorifexists")
+    if done:
+        rows = found.filter(F.col("tensor").isNotNull() & F.col("batch_id").isin(done))
+        _write_folders(rows.select(*vector_ops.PARAM_KEYS, "vec", F.format_string("%06d", "batch_id").alias("round")),
+                       cfg.output_dir.rstrip("/"), "round")
 
 
 def write_params(params: DataFrame, output_dir: str, round_no: int,

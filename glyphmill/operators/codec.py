@@ -255,9 +255,13 @@ def model_vocab(encoded: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     """Dense model ids ``tok_idx`` 0..V-1 for every code seen, ordered by code.
 
     The distinct codes are at most (chars seen + vocab size) rows, so the single
-    ordered ``row_number`` runs over a bounded table.
+    ordered ``row_number`` runs over a bounded table.  Of a text column the codes are its characters.
     """
     from pyspark.sql import Window
+    if dict(encoded.dtypes)[tokens_col] == "string":
+        ensure_worker_import(encoded.sparkSession)
+        codes = encoded.select(F.col(tokens_col).alias("text")).mapInArrow(_char_sets, "code bigint").distinct()
+        return codes.withColumn("tok_idx", F.row_number().over(Window.orderBy("code")) - 1)
     # de-duplicate inside each row first (codegen'd), so the explode emits at most
     # |distinct codes per row| rows instead of one per token position
     codes = (encoded.select(F.explode_outer(F.array_distinct(tokens_col)).alias("code"))
@@ -265,6 +269,16 @@ def model_vocab(encoded: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     return codes.withColumn("tok_idx", F.row_number().over(Window.orderBy("code")) - 1)
 
 
+def _char_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct code points of a task's texts."""
+    seen = np.zeros(0x110000, bool)
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            text = "".join(batch.column("text").slice(lo, 256).drop_null().to_pylist())
+            seen[np.frombuffer(text.encode("utf-32-le"), np.uint32)] = True
+    yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen))], names=["code"])
+
+
 def map_tokens(df: DataFrame, ids: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     """Token arrays of codes -> arrays of dense model ids from ``ids(code, tok_idx)``, one map pass.
 

@@ -112,7 +112,7 @@ def round_pairs(windows: DataFrame) -> DataFrame:
                     yield row()
                 if b != now:
                     now, held, n_pairs = b, (np.zeros(0, np.int64),) * 3, 0
-                more = [rows.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("xs", "ys", "ns")]
+                more = _lists(rows)
                 n_pairs += len(more[0])
                 held = samples.counted_pairs(*(np.concatenate(v) for v in zip(held, more, strict=True)))[1:]
         if now is not None:
@@ -123,6 +123,10 @@ def round_pairs(windows: DataFrame) -> DataFrame:
     return save_scratch(found, "round-pairs")
 
 
+def _lists(rows: pa.RecordBatch) -> list[np.ndarray]:
+    return [rows.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for c in ("xs", "ys", "ns")]
+
+
 def by_batch(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Runs of rows of equal ``batch_id``."""
     ids = batch.column("batch_id").to_numpy()
@@ -191,7 +195,7 @@ def run_rounds(pairs: DataFrame, model: Model, validation: tuple | None, begin:
                         yield b, held
                         held = []
                     b = found
-                    held.append([rows.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("xs", "ys", "ns")])
+                    held.append(_lists(rows))
             if held:
                 yield b, held
 
@@ -258,7 +262,7 @@ def window_losses(windows: DataFrame, models: list[Model], begin: int) -> dict:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b, rows in by_batch(batch):
-                x, y, n = (rows.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("xs", "ys", "ns"))
+                x, y, n = _lists(rows)
                 sizes = np.diff(rows.column("xs").offsets.to_numpy())
                 row = np.repeat(np.arange(rows.num_rows), sizes)
                 loss = np.bincount(row, n * pair_losses(bc.value[b - begin], x, y, step), minlength=rows.num_rows)

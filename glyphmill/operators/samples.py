@@ -11,9 +11,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from glyphmill.functions.text import char_codes
 from glyphmill.operators import codec, packed
 from glyphmill.session import cut_lineage, ensure_worker_import
 from glyphmill.sources.corpus import read_corpus, seeded_hash_key, seeded_uint32
@@ -117,6 +119,85 @@ def window_pairs(samples: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     return shifted.mapInArrow(run, codec._schema_with(samples, keep, "xs array<bigint>, ys array<bigint>, ns array<bigint>"))
 
 
+def text_window_pairs(texts: DataFrame, ids: DataFrame, sample_size: int = SAMPLE_SIZE, seed: int = RNG_SEED,
+                      text_col: str = "text", keys: list[str] | None = None) -> DataFrame:
+    """L01-L04 and P06 of character tokens: the rows of ``window_pairs(sample_windows(char_codes(text)), ids)``, whose lists are of 32 bits.
+
+    The starts are drawn from the number of characters; texts travel as they are, once each, and are
+    cut to windows where their pairs are counted, so no array of codes or windows is made on the way.
+    """
+    keys = keys or ["doc_id"]
+    ensure_worker_import(texts.sparkSession)
+    known = codec.broadcast_ids(ids)
+    # the length is a column of its own: each draw reads it
+    sized = texts.select(*keys, F.col(text_col).alias("_text"), F.length(text_col).alias("_n"))
+    n = F.col("_n")
+    sl = F.least(F.lit(sample_size), n)
+    span = n - sl
+    ks = F.when((n > 0) & (sl > 1), F.sequence(F.lit(0), windows_per_doc(n, sample_size) - 1))
+    start = lambda k: F.when(span <= 0, F.lit(0)).otherwise(F.pmod(seeded_uint32(seed, *keys, k), span)).cast("int")
+    rows = sized.select(*keys, "_text", sl.cast("int").alias("sample_len"), F.transform(ks, start).alias("_starts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, idx = known.value
+        place = np.full(int(codes.max(initial=-1)) + 2, -1, np.int64)     # of code points: 8 MB at most
+        place[codes] = idx
+        width = int(idx.max(initial=0)) + 1
+        for batch in batches:
+            some = pc.fill_null(pc.list_value_length(batch.column("_starts")), 0)
+            for rows in _text_slices(batch.filter(pc.greater(some, 0))):
+                flat, offs = packed.char_codes(rows.column("_text"))
+                flat = place[np.minimum(flat, len(place) - 1)]
+                if (flat < 0).any():
+                    raise ValueError("token code without a model id")
+                starts, ends = packed.flat_lists(rows.column("_starts"))
+                starts = starts.to_numpy(zero_copy_only=False).astype(np.int64)
+                doc = np.repeat(np.arange(rows.num_rows), np.diff(ends))
+                k = np.arange(len(doc)) - ends[doc]
+                size = rows.column("sample_len").to_numpy().astype(np.int64)[doc]
+                for lo, hi in _runs(size, codec.SLICE_ELEMENTS):
+                    x, y, n, at = _counted_windows(flat, offs[doc[lo: hi]] + starts[lo: hi], size[lo: hi] - 1, width)
+                    own = pa.array(doc[lo: hi])
+                    yield pa.RecordBatch.from_arrays(
+                        [*(rows.column(c).take(own) for c in keys), pa.array(k[lo: hi].astype(np.int32)), pa.array(starts[lo: hi].astype(np.int32)),
+                         pa.array(size[lo: hi].astype(np.int32)), *(packed.list_column(v.astype(np.int32), at) for v in (x, y, n))],
+                        names=[*keys, "k", "start_idx", "sample_len", "xs", "ys", "ns"])
+
+    return rows.mapInArrow(run, codec._schema_with(
+        texts, keys, "k int, start_idx int, sample_len int, xs array<int>, ys array<int>, ns array<int>"))
+
+
+def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Places (lo, hi) of neighbours whose sizes add up to ``most``, or of one that is larger."""
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+def _text_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of some SLICE_ELEMENTS bytes of text."""
+    for lo, hi in _runs(pc.binary_length(batch.column("_text")).to_numpy().astype(np.int64), 4 * codec.SLICE_ELEMENTS):
+        yield batch.slice(lo, hi - lo)
+
+
+def _counted_windows(flat: np.ndarray, start: np.ndarray, n_pairs: np.ndarray, width: int):
+    """(x, y, n, offsets by window) of the distinct pairs of neighbours in windows of ``flat``, ids below ``width``."""
+    ends = np.append(0, np.cumsum(n_pairs))
+    at = np.arange(ends[-1]) + np.repeat(start - ends[:-1], n_pairs)
+    row = np.repeat(np.arange(len(start)), n_pairs)
+    if len(start) * width * width >= 1 << 62:
+        row, x, y, n = counted_pairs(flat[at], flat[at + 1], np.ones(len(at), np.int64), row)
+        return x, y, n, np.searchsorted(row, np.arange(len(start) + 1))
+    key = (row * width + flat[at]) * width + flat[at + 1]
+    key = np.sort(key.astype(np.int32) if len(start) * width * width < 1 << 31 else key)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    n, key = np.diff(np.append(first, len(key))), key[first].astype(np.int64)
+    pair = key % (width * width)
+    return pair // width, pair % width, n, np.searchsorted(key // (width * width), np.arange(len(start) + 1))
+
+
 def counted_pairs(x: np.ndarray, y: np.ndarray, n: np.ndarray, row: np.ndarray | None = None):
     """(row, x, y, n) with the counts of equal (row, x, y) added up, in that order."""
     if not len(x):
@@ -282,11 +363,13 @@ def validation_set(encoded: DataFrame, batch_size: int = BATCH_SIZE,
     # Ineligible rows get a NULL draw and sort last; they are dropped *after* the
     # top-n, where the filter cannot be pushed into the scan (a pushed-down
     # size(tokens) filter would recompute the token arrays there).
-    draw = F.when(F.size(tokens_col) >= sample_size, seeded_hash_key(seed, *keys))
+    text = dict(encoded.dtypes)[tokens_col] == "string"      # a text's tokens are its characters
+    n = F.length(tokens_col) if text else F.size(tokens_col)
+    draw = F.when(n >= sample_size, seeded_hash_key(seed, *keys))
     picked = (encoded.select(*keys, tokens_col, draw.alias("_draw"))
               .orderBy(F.col("_draw").asc_nulls_last(), *keys).limit(n_val)
               .filter(F.col("_draw").isNotNull()).drop("_draw"))
-    head = F.slice(tokens_col, 1, sample_size)
+    head = char_codes(F.substring(tokens_col, 1, sample_size)) if text else F.slice(tokens_col, 1, sample_size)
     return picked.select(*keys,
                          F.slice(head, 1, sample_size - 1).alias("x"),
                          F.slice(head, 2, sample_size - 1).alias("y"))

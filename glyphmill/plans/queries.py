@@ -1052,10 +1052,11 @@ FROM e, (SELECT unnest(['embed', 'unembed']) AS t) GROUP BY t
 def _training_set(spark, d):
     """Pairs and batch ids of all windows, validation pairs and seeded parameters, on character tokens."""
     from glyphmill.operators import training
-    toks, mv, _ = _model(spark, d)
-    per_sample = save_scratch(samples.window_pairs(samples.sample_windows(toks, SAMPLE_SIZE, SEED), mv), "window-pairs")
+    docs = _docs(spark, d)
+    mv = save_scratch(codec.model_vocab(docs, "text"), "model-vocab")
+    per_sample = save_scratch(samples.text_window_pairs(docs, mv, SAMPLE_SIZE, SEED), "window-pairs")
     batch_ids = samples.limit_samples(per_sample.select("doc_id", "k"), None, TRAIN_BATCH)
-    val = samples.validation_set(toks, TRAIN_BATCH, SAMPLE_SIZE, SEED)
+    val = save_scratch(samples.validation_set(docs, TRAIN_BATCH, SAMPLE_SIZE, SEED, "text"), "validation-set")
     val_pairs = _to_idx(samples.pair_counts(val, ["doc_id"]), mv, ["x", "y"])
     params = training.init_params(spark, training.ModelShape(vocab_size=mv.count(), embed_dim=TRAIN_EMBED), SEED)
     return per_sample, batch_ids, params, val_pairs

@@ -49,8 +49,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphmill.functions.vectors import BIGE, SMOL
 from glyphmill.operators import rounds, samples, scoring, vector_ops
@@ -303,14 +305,83 @@ class TrainConfig:
     max_batches: int | None = None   # stop early (None = all complete batches)
 
 
+#: Samples of a partition of the training pairs (some 3 KB each).
+PARTITION_SAMPLES = 8_192
+
+
 def write_training_pairs(per_sample: DataFrame, batch_ids: DataFrame, folders: bool = True) -> DataFrame:
     """Join per-sample pair counts to batch ids and write a row ``(doc_id, k, xs, ys, ns)`` a sample, in the order of the batches.
 
-    ``folders``: a batch has a folder of its own, so a round lists and reads its own files only.
+    Rows of ``samples.window_pairs`` whose batches follow the order of the keys are not joined: their batch is looked up in the
+    batches' first and last keys, and they are shuffled once.  ``folders``: a batch has a folder of its own, so a round
+    lists and reads its own files only.
     """
-    tagged = samples.merged_pairs(per_sample, ["doc_id", "k"]).join(batch_ids, ["doc_id", "k"])
-    ordered = tagged.repartitionByRange("batch_id").sortWithinPartitions("batch_id")
-    return save_scratch(ordered, "pairs", "batch_id" if folders else None)
+    keys = ["doc_id", "k"]
+    batch_ids = save_scratch(batch_ids.select(*keys, "batch_id"), "batch-ids")
+    spans = _spans(per_sample, batch_ids) if "xs" in per_sample.columns else None
+    if spans is None:
+        tagged = samples.merged_pairs(per_sample, keys).join(batch_ids, keys).repartitionByRange("batch_id")
+    else:
+        n_samples, ids = spans[0], [b for b, _, _ in spans[1]]
+        parts = max(1, min(int(per_sample.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(ids), -(-n_samples // PARTITION_SAMPLES)))
+        tagged = per_sample.select(*keys, "xs", "ys", "ns", _batch_of(spans[1])("doc_id", "k").alias("batch_id")).filter("batch_id IS NOT NULL")
+        part = F.floor((F.col("batch_id") - min(ids)) * (parts / (max(ids) - min(ids) + 1))).cast("int")
+        tagged = tagged.repartitionById(parts, F.least(part, F.lit(parts - 1)))
+    written = save_scratch(tagged.sortWithinPartitions("batch_id"), "pairs", "batch_id" if folders else None)
+    drop_scratch(batch_ids)
+    return written
+
+
+def _spans(per_sample: DataFrame, batch_ids: DataFrame) -> tuple[int, list[tuple]] | None:
+    """The number of samples, and (batch, first key, last key) of each batch, in the order of the keys.
+
+    None unless the keys ``(doc_id, k)`` are integers, each on one row of either table, batches do not overlap in them, and
+    ``per_sample`` has just the keys of ``batch_ids`` from the first to the last of these.
+    """
+    keys, key = ["doc_id", "k"], F.struct("doc_id", "k")
+    if not all(isinstance(df.schema[c].dataType, T.IntegralType) for df in (per_sample, batch_ids) for c in keys):
+        return None
+    # a row a round, as the metrics
+    found = batch_ids.groupBy("batch_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).collect()
+    spans = [(r["batch_id"], tuple(r["lo"]), tuple(r["hi"])) for r in found]
+    if not spans or any(None in (*lo, *hi) for _, lo, hi in spans):
+        return None
+    spans.sort(key=lambda s: s[1])
+    if any(a[2] >= b[1] for a, b in zip(spans[:-1], spans[1:], strict=True)):
+        return None
+    if not batch_ids.groupBy(*keys).count().filter("count > 1").isEmpty():
+        return None
+    (d0, k0), (d1, k1) = spans[0][1], spans[-1][2]
+    doc, k = F.col("doc_id"), F.col("k")
+    inside = ((doc > d0) | ((doc == d0) & (k >= k0))) & ((doc < d1) | ((doc == d1) & (k <= k1)))
+    figures = [F.count(F.lit(1)), F.sum(F.xxhash64(doc.cast("bigint"), k.cast("bigint")).cast("decimal(38,0)"))]
+    mine = batch_ids.agg(*figures).first()
+    return (mine[0], spans) if per_sample.filter(inside).agg(*figures).first() == mine else None
+
+
+def _batch_of(spans: list[tuple]):
+    """A function of (doc_id, k): the batch whose span holds the key; null before the first and behind the last."""
+    docs = np.unique(np.array([hi[0] for _, _, hi in spans], np.int64))
+    last = np.array([hi for _, _, hi in spans], np.int64).reshape(-1, 2)
+    first, batches = spans[0][1], np.array([b for b, _, _ in spans], np.int64)
+
+    def code(doc: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """A number in the order of the keys; of documents that end no span, all keys are one."""
+        at = np.searchsorted(docs, doc)
+        ends = docs[np.minimum(at, len(docs) - 1)] == doc
+        return (2 * at + ends << 32) + np.where(ends, k, 0)
+
+    ends = code(last[:, 0], last[:, 1])
+
+    @F.arrow_udf("bigint")
+    def place(doc: pa.Array, k: pa.Array) -> pa.Array:
+        null = pc.or_(doc.is_null(), k.is_null()).to_numpy(zero_copy_only=False)
+        doc, k = (pc.fill_null(c.cast(pa.int64()), 0).to_numpy() for c in (doc, k))
+        at = np.searchsorted(ends, code(doc, k))
+        out = null | (at == len(ends)) | (doc < first[0]) | ((doc == first[0]) & (k < first[1]))
+        return pa.array(batches[np.minimum(at, len(batches) - 1)], pa.int64(), mask=out)
+
+    return place
 
 
 def train(per_sample_pairs: DataFrame, batch_ids: DataFrame, params: DataFrame,
@@ -347,7 +418,7 @@ def train(per_sample_pairs: DataFrame, batch_ids: DataFrame, params: DataFrame,
     val_known = rounds.validation_pairs(val_tbl, ONE_TASK_PAIRS) if model else False
     runs = model is not None and val_known is not False
     # of the complete batches, those whose rounds this call does
-    applied = batch_ids.filter("complete").filter(F.col("batch_id") >= begun).select("doc_id", "k", "batch_id")
+    applied = batch_ids.filter("complete").filter(F.col("batch_id") >= begun)
     if cfg.max_batches is not None:
         applied = applied.filter(F.col("batch_id") < cfg.max_batches)
     pairs_tbl = write_training_pairs(per_sample_pairs, applied, folders=not runs)

@@ -217,23 +217,23 @@ def run_rounds(pairs: DataFrame, model: Model, validation: tuple | None, begin:
 
 def read_rounds(found: DataFrame, model: Model, begin: int, end: int) -> tuple[list[Model], list[tuple]]:
     """From ``run_rounds``: the models after the rounds, and (gradient norm, validation loss or None) of each."""
-    table = found.toArrow().combine_chunks()
     n, width = model.embed.shape
     models = [Model(model.lo, np.zeros((n, width)), np.zeros((width, n))) for _ in range(begin, end)]
     figures = [None] * (end - begin)
-    at, tensor, row = (table.column(c).to_numpy() for c in ("batch_id", "tensor", "row"))
-    at = at - begin
-    none = tensor == None  # noqa: E711
-    for i, vec in zip(at[none].tolist(), table.column("vec").filter(pa.array(none)).to_pylist(), strict=True):
-        figures[i] = (vec[0], vec[1] if len(vec) > 1 else None)
-    for batch in table.filter(pa.array(~none)).to_batches():
-        at, tensor, row = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("batch_id", "tensor", "row"))
-        values = scoring.vectors(batch.column("vec"))
-        at, row = at - begin, row - model.lo
+    for batch in found.toArrow().to_batches():
+        at, tensor = batch.column("batch_id").to_numpy() - begin, batch.column("tensor").to_numpy(zero_copy_only=False)
         for i in np.unique(at).tolist():
-            e, u = (at == i) & (tensor == "embed"), (at == i) & (tensor == "unembed")
-            models[i].embed[row[e]] = values[e]
-            models[i].unembed[:, row[u]] = values[u].T
+            here = at == i
+            for vec in batch.filter(pa.array(here & (tensor == None))).column("vec").to_pylist():  # noqa: E711
+                figures[i] = (vec[0], vec[1] if len(vec) > 1 else None)
+            for name in ("embed", "unembed"):
+                rows = batch.filter(pa.array(here & (tensor == name)))
+                if rows.num_rows:
+                    row, values = rows.column("row").to_numpy() - model.lo, scoring.vectors(rows.column("vec"))
+                    if name == "embed":
+                        models[i].embed[row] = values
+                    else:
+                        models[i].unembed[:, row] = values.T
     return models, figures
 
 

@@ -17,7 +17,7 @@ from glyphmill.functions import text as TX
 from glyphmill.functions import vectors as V
 from glyphmill.operators import codec, nseq, samples, scoring, vector_ops, vocab as vocab_ops
 from glyphmill.plans import train_sql, vocab_sql
-from glyphmill.session import save_scratch
+from glyphmill.session import bound_batches, save_scratch
 from glyphmill.sources import corpus as src
 
 # Parameters of the registered queries (fixed here, shared by Spark and SQL).
@@ -1052,6 +1052,7 @@ FROM e, (SELECT unnest(['embed', 'unembed']) AS t) GROUP BY t
 def _training_set(spark, d):
     """Pairs and batch ids of all windows, validation pairs and seeded parameters, on character tokens."""
     from glyphmill.operators import training
+    bound_batches(spark)
     docs = _docs(spark, d)
     mv = save_scratch(codec.model_vocab(docs, "text"), "model-vocab")
     per_sample = save_scratch(samples.text_window_pairs(docs, mv, SAMPLE_SIZE, SEED), "window-pairs")

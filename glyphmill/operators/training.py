@@ -49,8 +49,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -324,7 +323,8 @@ def write_training_pairs(per_sample: DataFrame, batch_ids: DataFrame, folders: b
     else:
         n_samples, ids = spans[0], [b for b, _, _ in spans[1]]
         parts = max(1, min(int(per_sample.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(ids), -(-n_samples // PARTITION_SAMPLES)))
-        tagged = per_sample.select(*keys, "xs", "ys", "ns", _batch_of(spans[1])("doc_id", "k").alias("batch_id")).filter("batch_id IS NOT NULL")
+        tagged = per_sample.select(*keys, "xs", "ys", "ns", _batch_of(spans[1], F.col("doc_id"), F.col("k")).alias("batch_id"))
+        tagged = tagged.filter("batch_id IS NOT NULL")
         part = F.floor((F.col("batch_id") - min(ids)) * (parts / (max(ids) - min(ids) + 1))).cast("int")
         tagged = tagged.repartitionById(parts, F.least(part, F.lit(parts - 1)))
     written = save_scratch(tagged.sortWithinPartitions("batch_id"), "pairs", "batch_id" if folders else None)
@@ -359,29 +359,24 @@ def _spans(per_sample: DataFrame, batch_ids: DataFrame) -> tuple[int, list[tuple
     return (mine[0], spans) if per_sample.filter(inside).agg(*figures).first() == mine else None
 
 
-def _batch_of(spans: list[tuple]):
-    """A function of (doc_id, k): the batch whose span holds the key; null before the first and behind the last."""
-    docs = np.unique(np.array([hi[0] for _, _, hi in spans], np.int64))
-    last = np.array([hi for _, _, hi in spans], np.int64).reshape(-1, 2)
-    first, batches = spans[0][1], np.array([b for b, _, _ in spans], np.int64)
+def _batch_of(spans: list[tuple], doc: Column, k: Column) -> Column:
+    """The batch whose span holds the key ``(doc, k)``, by binary search; null before the first and behind the last.
 
-    def code(doc: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """A number in the order of the keys; of documents that end no span, all keys are one."""
-        at = np.searchsorted(docs, doc)
-        ends = docs[np.minimum(at, len(docs) - 1)] == doc
-        return (2 * at + ends << 32) + np.where(ends, k, 0)
+    An expression, not a Python function: rows that wait for one are queued as they are, on disk at last.
+    """
+    def numbers(values) -> Column:
+        return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")   # folded to a literal
 
-    ends = code(last[:, 0], last[:, 1])
+    docs, ks = numbers(hi[0] for _, _, hi in spans), numbers(hi[1] for _, _, hi in spans)
+    steps = [1 << i for i in reversed(range(len(spans).bit_length()))]
 
-    @F.arrow_udf("bigint")
-    def place(doc: pa.Array, k: pa.Array) -> pa.Array:
-        null = pc.or_(doc.is_null(), k.is_null()).to_numpy(zero_copy_only=False)
-        doc, k = (pc.fill_null(c.cast(pa.int64()), 0).to_numpy() for c in (doc, k))
-        at = np.searchsorted(ends, code(doc, k))
-        out = null | (at == len(ends)) | (doc < first[0]) | ((doc == first[0]) & (k < first[1]))
-        return pa.array(batches[np.minimum(at, len(batches) - 1)], pa.int64(), mask=out)
+    def ends_before(at: Column) -> Column:
+        there = F.get(docs, at - 1)
+        return F.coalesce((there < doc) | ((there == doc) & (F.get(ks, at - 1) < k)), F.lit(False))
 
-    return place
+    at = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: at + F.when(ends_before(at + step), step).otherwise(0))
+    d0, k0 = spans[0][1]
+    return F.when((doc > d0) | ((doc == d0) & (k >= k0)), F.get(numbers(b for b, _, _ in spans), at))
 
 
 def train(per_sample_pairs: DataFrame, batch_ids: DataFrame, params: DataFrame,

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from glyphmill.operators import training
 from glyphmill.session import save_scratch
@@ -61,3 +62,18 @@ def test_windows_are_shuffled_once(spark, monkeypatch):
     training.write_training_pairs(windows, ids, False)
     plan = dict(plans)["pairs"]
     assert "Join" not in plan and "Aggregate" not in plan and plan.count("Repartition") == 1, plan
+
+
+def test_rows_wait_for_no_python_function(spark):
+    """Rows beside a Python function's arguments are queued, on disk at last: more than the tables themselves."""
+    windows, ids = tables(spark, "plain")
+    spans = training._spans(windows, ids.select("doc_id", "k", "batch_id"))[1]
+    found = training._batch_of(spans, F.col("doc_id"), F.col("k"))
+    assert "split" in windows.select(found)._jdf.queryExecution().analyzed().toString()
+    plan = windows.select("doc_id", "k", found.alias("b"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Python" not in plan and "split" not in plan
+    batch = {(r.doc_id, r.k): r.batch_id for r in ids.collect()}
+    rows = spark.range(-9, 63).crossJoin(spark.range(-1, 32).withColumnRenamed("id", "k")).selectExpr("id AS doc_id", "k")
+    got = {(r.doc_id, r.k): r.b for r in rows.select("doc_id", "k", found.alias("b")).collect()}
+    assert {key: got[key] for key in batch} == batch
+    assert all((b is None) == (key < spans[0][1] or key > spans[-1][2]) for key, b in got.items())
